@@ -467,3 +467,33 @@ def _(d):
            CASE WHEN l.l_partkey % 31 = 0 THEN 0 ELSE 5 - l.l_partkey % 3 END AS traced,
            CASE WHEN l.l_partkey % 31 = 0 THEN 0 ELSE 5 END AS total
     FROM {lineitem} l JOIN {routes} r ON r.route_id = (l.l_orderkey * 7 + l.l_linenumber * 13) % 1400"""
+
+
+@derived("lineage", "lineitem")
+def _(d):
+    # record n of an order feeds record n + 1
+    rec = "{0}.l_orderkey * 1000 + {0}.l_linenumber * 100 + {0}.l_suppkey % 100".format
+    return f"""
+    SELECT DISTINCT {rec('a')} AS parent, {rec('b')} AS child,
+           CASE a.l_partkey % 7 WHEN 0 THEN 'REFERENCES' WHEN 1 THEN 'EXCLUDED_FROM' WHEN 2 THEN 'INPUT_TO' WHEN 3 THEN 'VALIDATES'
+                WHEN 4 THEN 'OVERRIDES' ELSE 'DERIVED_FROM' END AS relation
+    FROM {{lineitem}} a JOIN {{lineitem}} b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1"""
+
+
+@derived("members", "trace_records")
+def _(d):
+    return "SELECT DISTINCT record_id, decision_id % 150 AS user_id FROM {trace_records} WHERE record_id % 4 <> 1"
+
+
+@derived("sources", "supplier")
+def _(d):
+    return f"""
+    SELECT s_suppkey AS source_id, 'src' || cast(s_suppkey as string) AS source_key, s_name AS display_name,
+           s_suppkey % 12 <> 5 AS enabled, {d.sha("s_name || ':' || cast(s_nationkey as string)")} AS source_digest
+    FROM {{supplier}} WHERE s_suppkey % 10 <> 9"""
+
+
+@derived("chains", "legs")
+def _(d):
+    return """
+    SELECT plan_id, min(origin) AS plan_origin, max(destination) AS plan_destination, min(tie) AS created_key FROM {legs} GROUP BY plan_id"""
