@@ -36,17 +36,18 @@ class Dialect:
     def prop(self, col: str, key: str) -> str:
         return self._json.format(col, key)
 
-    def text(self, number: str) -> str:
-        return self._num.format(number)
+    def glued(self, text: str) -> str:
+        """All values of a group in order, as one text."""
+        return self._num.format(text)
 
 
 SPARK = Dialect(
     "unix_micros({})", "timestamp_micros({})", "sha2({}, 256)",
-    "get_json_object({}, '$.{}')", "cast({} as string)",
+    "get_json_object({}, '$.{}')", "array_join(array_sort(collect_list({0})), '')",
 )
 DUCK = Dialect(
     "epoch_us({})", "make_timestamp({})", "sha256({})",
-    "json_extract_string({}, '$.{}')", "cast({} as string)",
+    "json_extract_string({}, '$.{}')", "string_agg({0}, '' ORDER BY {0})",
 )
 
 TABLES: dict[str, tuple[tuple[str, ...], object]] = {}
@@ -497,3 +498,138 @@ def _(d):
 def _(d):
     return """
     SELECT plan_id, min(origin) AS plan_origin, max(destination) AS plan_destination, min(tie) AS created_key FROM {legs} GROUP BY plan_id"""
+
+
+# --- evidence of route decisions ------------------------------------------------------
+# One decision per order and nine records per decision; the order's key modulo 40 picks one fault or none.
+
+NOW = "timestamp '2024-01-20 00:00:00'"
+
+
+@derived("ev_snapshots", "orders")
+def _(d):
+    return """
+    SELECT o_orderkey AS snapshot_id, o_orderkey AS route_id, o_custkey AS user_id, 'R' || cast(o_orderkey as string) AS request_id,
+           CASE o_orderkey % 40 WHEN 6 THEN 'HARD_BLOCKED' WHEN 26 THEN 'PENDING' ELSE 'APPROVED' END AS clearance_state,
+           cast(round(o_totalprice * 100) as bigint) % 101 AS reliability_score,
+           cast(50 + o_orderkey % 50 as double) AS weather, cast(40 + o_orderkey % 60 as double) AS port,
+           cast(30 + o_orderkey % 70 as double) AS congestion, cast(20 + o_orderkey % 80 as double) AS historical,
+           4 + (o_orderkey % 8) / 1e1 AS height, 3 + (o_orderkey % 5) / 1e1 AS width, cast(70 + o_orderkey % 50 as double) AS weight,
+           's' || cast(o_orderkey % 7 as string) || ',s' || cast(10 + o_orderkey % 7 as string) AS segment_ids,
+           'NGP' AS source_code, 'JNPT' AS destination_code
+    FROM {orders}"""
+
+
+def _value(d):
+    t = "cast({} as string)".format
+    day = f"'2024-01-19T23:55:00Z'"
+    seg = (
+        "'‹\"id\":\"' || {0} || '\",\"max_height\":6.5,\"max_width\":4.5,\"max_weight\":150,\"source_reference\":\"doc\",\"certified_by\":\"issuer\","
+        "\"certified_at\":\"2024-01-01T00:00:00Z\",\"verified\":true,\"declared_checksum\":\"a\",\"computed_checksum\":\"a\",\"source_code\":\"' || {1} || '\",\"destination_code\":\"' || {2} || '\"›'"
+    ).format
+    s1 = seg("'s' || " + t("k % 7"), "'NGP'", "'MID'")
+    s2 = seg("'s' || " + t("10 + k % 7"), "'MID'", "'JNPT'")
+    num = lambda x: t(f"cast({x} as decimal(10,1))")
+    return f"""CASE WHEN f = 25 AND no = 9 THEN '‹›'
+      WHEN no = 1 THEN '‹"height":' || {num('height')} || ',"width":' || {num('width')} || ',"weight":' || {num('CASE WHEN f = 15 THEN weight + 1 ELSE weight END')} || '›'
+      WHEN no = 2 THEN '‹"certification":"VERIFIED","segments":[' || {s1} || ',' || {s2} || ']›'
+      WHEN no = 3 THEN '‹"status":"' || CASE WHEN f = 6 THEN 'HARD_BLOCKED' ELSE 'APPROVED' END || '"›'
+      WHEN no = 4 THEN '‹"wind":‹"speed":' || {t('k % 30')} || '›,"main":‹"visibility":' || {t('1000 + k % 9000')} || '›,"weather":[‹"id":' || {t('200 + k % 600')} || '›]›'
+      WHEN no IN (0, 5) THEN '‹"score":' || {num('weather')} || ',"provider_unavailable":false›'
+      WHEN no = 6 THEN '‹"score":' || {num('CASE WHEN f = 24 THEN 150e0 ELSE port END')} || ',"available":true,"aligned":' || CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END ||
+           ',"port_id":"JNPT","vessel_id":"V' || {t('k % 90')} || '","evaluated_at":"2024-01-19T23:00:00Z","train_arrival_hours":' || {t('k % 40')} || ',"loading_window":‹"start":"2024-01-20T00:00:00Z","end":"2024-01-21T00:00:00Z"››'
+      WHEN no = 7 THEN '‹"score":' || {num('congestion')} || ',"stations_live":' || {t('k % 4')} || ',"stations_total":4›'
+      WHEN no = 8 THEN '‹"score":' || {num('CASE WHEN f = 20 THEN congestion + 1 ELSE congestion END')} || ',"static_score":55.5›'
+      ELSE '‹"score":' || {num('historical')} || ',"segment_delay_hours":[0.5,' || {t('k % 3')} || ']›' END"""
+
+
+def envelope(quote: str = "replace({0}, '\"', '\\\"')") -> str:
+    """Canonical text of the 27 trust fields of a record, as the digest functions write it."""
+    q = lambda c: f"coalesce('\"' || {quote.format(c)} || '\"', 'null')"
+    n = lambda c: f"coalesce(cast({c} as string), 'null')"
+    dec = lambda c: n(f"cast({c} as decimal(38,6))")
+    fields = {
+        "availability_state": q("availability"), "cache_hit": n("cache_hit"), "canonical_source_type": q("source_type"),
+        "completeness": dec("completeness"), "confidence": dec("confidence"), "decision_input_role": q("role"),
+        "decision_snapshot_id": n("snapshot_id"), "entity_key": q("entity_key"), "entity_type": q("entity_type"),
+        "excluded_reason": q("excluded_reason"), "fetched_at": n("fetched_us"), "formula_reference": q("formula_reference"),
+        "freshness_state_at_capture": q("freshness_state"), "id": n("record_id"), "metadata": q("metadata"),
+        "observed_at": n("observed_us"), "raw_source_state": q("raw_state"), "request_id": q("request_id"),
+        "route_id": n("route_id"), "source_id": q("source_id"), "transform_name": q("transform_name"),
+        "transform_version": q("transform_version"), "used_in_decision": n("used"), "user_id": n("user_id"),
+        "valid_until": n("valid_us"), "value_checksum": q("checksum"), "value_summary": q("value"),
+    }
+    return "'‹' || " + " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in fields.items()) + " || '›'"
+
+
+def braced(sql: str) -> str:
+    return sql.replace("‹", "{{").replace("›", "}}")
+
+
+@derived("ev_records", "ev_snapshots")
+def _(d):
+    kinds = [
+        (0, "WEATHER_SCORE", "'WEATHER'", "derived_engine", "DERIVED"), (1, "CARGO_DECLARATION", "NULL", "operator_input", "OPERATOR_INPUT"),
+        (2, "ENGINEERING_LIMITS", "NULL", "imported_engineering", "IMPORTED_DOCUMENT"), (3, "CLEARANCE_RESULT", "'CLEARANCE_DECISION'", "derived_engine", "DERIVED"),
+        (4, "WEATHER_OBSERVATION", "NULL", "open_meteo", "LIVE_PROVIDER"), (5, "WEATHER_SCORE", "'WEATHER'", "derived_engine", "DERIVED"),
+        (6, "PORT_ALIGNMENT_SCORE", "'PORT_ALIGNMENT'", "maritime_feed", "LIVE_PROVIDER"), (7, "RAIL_CONGESTION_SIGNAL", "NULL", "railradar", "LIVE_PROVIDER"),
+        (8, "CONGESTION_SCORE", "'CONGESTION'", "derived_engine", "DERIVED"), (9, "HISTORICAL_DELAY_SCORE", "'HISTORICAL_DELAY'", "derived_engine", "DERIVED"),
+    ]
+    rows = " UNION ALL ".join(
+        f"SELECT {n} AS no, '{e}' AS entity_type, cast({r} as string) AS role, '{s}' AS src, '{t}' AS typ" for n, e, r, s, t in kinds)
+    us = d.us(NOW)
+    base = f"""
+    SELECT k * 10 + no AS record_id, k AS snapshot_id, no, f, route_id, CASE WHEN f = 14 AND no = 5 THEN user_id + 1 ELSE user_id END AS user_id, request_id,
+      CASE WHEN f = 12 AND no = 7 THEN 'x9' WHEN f = 13 AND no = 1 THEN NULL ELSE src END AS source_id, entity_type, entity_type || ':' || cast(k as string) AS entity_key, role,
+      CASE WHEN f = 5 AND no = 3 THEN 'SEEDED_BASELINE' WHEN f = 21 AND no = 6 THEN 'OPERATOR_INPUT' ELSE typ END AS source_type,
+      CASE WHEN typ = 'LIVE_PROVIDER' THEN 'LIVE' ELSE typ END AS raw_state,
+      CASE WHEN f = 30 AND no = 4 THEN NULL WHEN f = 2 AND no = 4 THEN {us} - 5000000000 WHEN f = 29 AND no = 4 THEN {us} - 1500000000 ELSE {us} - 300000000 END AS observed_us,
+      CASE WHEN f = 7 AND no = 4 THEN {us} + 900000000 ELSE {us} - 60000000 END AS fetched_us,
+      CASE WHEN f = 27 AND no = 6 THEN {us} - 100000000 WHEN no = 6 THEN {us} + 3600000000 END AS valid_us,
+      CASE WHEN typ = 'LIVE_PROVIDER' THEN 'FRESH' ELSE 'NOT_APPLICABLE' END AS freshness_state, false AS cache_hit, NOT (f = 11 AND no = 2) AS used,
+      CASE WHEN f = 11 AND no = 2 THEN 'operator said so' END AS excluded_reason, CASE WHEN f = 9 AND no = 6 THEN 'UNAVAILABLE' ELSE 'AVAILABLE' END AS availability,
+      cast(NULL as double) AS confidence, CASE WHEN f = 10 AND no = 7 THEN 0.5e0 ELSE 1e0 END AS completeness, CASE WHEN typ = 'DERIVED' THEN 'engine' END AS transform_name,
+      CASE WHEN typ = 'DERIVED' THEN '1.0.0' END AS transform_version, cast(NULL as string) AS formula_reference,
+      CASE WHEN no = 2 AND f <> 28 THEN '‹"verified":true,"signature_verified":true,"issuer_authentication":"DETACHED_SIGNATURE"›' ELSE '‹›' END AS metadata,
+      {_value(d)} AS value
+    FROM (SELECT s.*, snapshot_id AS k, snapshot_id % 40 AS f, kinds.* FROM {{ev_snapshots}} s CROSS JOIN ({rows}) kinds) x
+    WHERE NOT (f = 1 AND no = 5) AND (no <> 0 OR f = 8)"""
+    sealed = f"SELECT b.*, {d.sha('value')} AS sealed_digest FROM ({base}) b"
+    summed = f"SELECT c.*, CASE WHEN f = 3 AND no = 5 THEN 'tampered' ELSE sealed_digest END AS checksum FROM ({sealed}) c"
+    quote = "replace({0}, '\"', '\\\\\"')" if d is SPARK else "replace({0}, '\"', '\\\"')"
+    digests = f"SELECT e.*, {d.sha(envelope(quote))} AS envelope_digest FROM ({summed}) e"
+    return braced(f"""
+    SELECT g.*, CASE WHEN f = 4 AND no = 8 THEN 'tampered' ELSE envelope_digest END AS integrity_checksum,
+      {d.at('observed_us')} AS observed_at, {d.at('fetched_us')} AS fetched_at, {d.at('valid_us')} AS valid_until FROM ({digests}) g""")
+
+
+@derived("ev_edges", "ev_snapshots")
+def _(d):
+    rules = [
+        (1, 3, "INPUT_TO", "true"), (2, 3, "VALIDATES", "f <> 16"), (4, 5, "DERIVED_FROM", "f <> 1"), (7, 8, "DERIVED_FROM", "true"), (2, 9, "DERIVED_FROM", "true"),
+        (5, 4, "INPUT_TO", "f = 17"), (8, 8, "DERIVED_FROM", "f = 18"), (77, 9, "INPUT_TO", "f = 19"), (6, 9, "REFERENCES", "true"), (4, 0, "DERIVED_FROM", "f = 8"),
+    ]
+    rows = " UNION ALL ".join(f"SELECT snapshot_id, snapshot_id * 10 + {p} AS parent, snapshot_id * 10 + {c} AS child, '{r}' AS relation FROM s WHERE {w}" for p, c, r, w in rules)
+    return f"WITH s AS (SELECT snapshot_id, snapshot_id % 40 AS f FROM {{ev_snapshots}}) {rows}"
+
+
+@derived("ev_roots", "ev_records", "ev_edges")
+def _(d):
+    # digests of digests: per five leading hex digits, then per decision
+    def tree(src, digest):
+        leaf = f"SELECT snapshot_id, {d.sha(d.glued('dg'))} AS lf FROM (SELECT snapshot_id, {digest} AS dg FROM {src}) z GROUP BY snapshot_id, substring(dg, 1, 5)"
+        return f"SELECT snapshot_id, {d.sha(d.glued('lf'))} AS top FROM ({leaf}) y GROUP BY snapshot_id"
+
+    edge = d.sha("cast(parent as string) || '>' || cast(child as string) || ':' || relation")
+    return f"""
+    SELECT r.snapshot_id, CASE r.snapshot_id % 40 WHEN 22 THEN NULL WHEN 23 THEN 'tampered' ELSE {d.sha("r.top || coalesce(e.top, '')")} END AS root_checksum,
+      {d.sha("r.top || coalesce(e.top, '')")} AS computed_root
+    FROM ({tree('{ev_records}', 'envelope_digest')}) r LEFT JOIN ({tree('{ev_edges}', edge)}) e ON e.snapshot_id = r.snapshot_id"""
+
+
+@derived("ev_sources", "supplier")
+def _(d):
+    # the source catalogue; one entry is switched off
+    keys = ["open_meteo", "maritime_feed", "railradar", "operator_input", "imported_engineering", "derived_engine"]
+    pick = " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(keys))
+    return f"SELECT CASE i {pick} END AS source_id, CASE i {pick} END AS catalogue_key, enabled FROM (SELECT s_suppkey % 6 AS i, bool_and(s_nationkey >= 0) AS enabled FROM {{supplier}} GROUP BY s_suppkey % 6) g"
