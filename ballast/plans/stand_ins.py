@@ -633,3 +633,57 @@ def _(d):
     keys = ["open_meteo", "maritime_feed", "railradar", "operator_input", "imported_engineering", "derived_engine"]
     pick = " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(keys))
     return f"SELECT CASE i {pick} END AS source_id, CASE i {pick} END AS catalogue_key, enabled FROM (SELECT s_suppkey % 6 AS i, bool_and(s_nationkey >= 0) AS enabled FROM {{supplier}} GROUP BY s_suppkey % 6) g"
+
+
+@derived("case_rows", "ev_records")
+def _(d):
+    return """
+    SELECT snapshot_id AS case_id, record_id, f, no, user_id, source_id, entity_type,
+           CASE WHEN snapshot_id % 6 = 1 AND no IN (1, 7) THEN 'SHARED' ELSE coalesce(role, entity_type) END AS role,
+           CASE WHEN snapshot_id % 6 = 1 AND no IN (1, 7) THEN 'SHARED' WHEN f = 31 AND no = 3 THEN 'OTHER' ELSE coalesce(role, entity_type) END AS record_role,
+           no IN (3, 6) AS link_required, source_type, used, excluded_reason,
+           CASE source_type WHEN 'LIVE_PROVIDER' THEN CASE WHEN f = 13 AND no = 7 THEN 'LIVE' ELSE 'AUTHENTICATED_CONNECTOR' END WHEN 'IMPORTED_DOCUMENT' THEN 'AUTHENTICATED_IMPORT' ELSE raw_state END AS raw_state,
+           NOT (f = 32 AND no = 4) AS connector_authenticated, f <> 28 AS signature_verified,
+           CASE WHEN f = 33 THEN cast(snapshot_id + 1 as string) WHEN f = 34 THEN '' ELSE cast(snapshot_id as string) END AS bound_case_id,
+           'ROUTE' AS bound_subject_type, CASE WHEN f = 35 AND no = 5 THEN 'other' ELSE request_id END AS bound_subject_key, 'ctx' AS bound_context_digest,
+           integrity_checksum, envelope_digest, observed_at, fetched_at, valid_until, freshness_state, availability, completeness, value NOT IN ('{{}}', '') AS has_value,
+           checksum AS value_digest, CASE WHEN snapshot_id % 6 = 1 AND no IN (1, 7) THEN 'k' ELSE entity_key END AS entity_key,
+           CASE WHEN source_id <> 'x9' THEN source_id END AS catalogue_id, NOT (f = 36 AND no = 6) AS enabled,
+           CASE WHEN f = 37 THEN NULL WHEN source_type = 'LIVE_PROVIDER' THEN 3600 END AS stale_after_s,
+           CASE WHEN snapshot_id % 6 = 1 AND no IN (1, 7) THEN 'X' ELSE entity_type END AS entity_kind
+    FROM {ev_records} WHERE NOT (f = 38)"""
+
+
+@derived("judged_cases", "ev_snapshots")
+def _(d):
+    return """
+    SELECT snapshot_id AS case_id, CASE WHEN snapshot_id % 40 = 14 THEN user_id + 5 ELSE user_id END AS owner_id, 'ROUTE' AS subject_type, request_id AS subject_key, 'ctx' AS context_digest
+    FROM {ev_snapshots}"""
+
+
+@derived("documents_in", "lineitem")
+def _(d):
+    # shipment documents: one per order line
+    return """
+    SELECT l_orderkey AS check_id, cast(l_linenumber as bigint) * 1000000000 + cast(round(l_extendedprice * 100) as bigint) AS doc_no,
+           CASE l_partkey % 6 WHEN 0 THEN 'permit' WHEN 1 THEN 'INSURANCE ' WHEN 2 THEN 'CARGO_DECLARATION' WHEN 3 THEN 'PERMIT' WHEN 4 THEN 'INSURANCE' ELSE 'OTHER' END AS document_type,
+           CASE WHEN l_suppkey % 3 = 0 THEN 'n1' ELSE '' END AS document_number, CASE WHEN l_suppkey % 7 = 0 THEN 'c' END AS checksum,
+           CASE WHEN l_suppkey % 5 = 0 THEN 's3' END AS storage_reference, CASE WHEN l_suppkey % 4 <> 1 THEN l_shipdate END AS expires_at,
+           CASE WHEN l_suppkey % 11 = 0 THEN 'UNVERIFIED' ELSE 'VERIFIED' END AS verification_state
+    FROM {lineitem}"""
+
+
+@derived("speed_rows", "lineitem")
+def _(d):
+    kinds = ["ROUTE_LIMIT", "HEADWAY", "TRACK_GEOMETRY", "ENVIRONMENT", "ROUTE_LIMIT", "HEADWAY"]
+    pick = " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(kinds))
+    return f"""
+    SELECT l_orderkey AS request_id, cast(l_linenumber as bigint) * 1000000000 + cast(round(l_extendedprice * 100) as bigint) AS constraint_no,
+           CASE WHEN l_partkey % 29 = 0 THEN 'BRAKING' ELSE CASE l_linenumber % 6 {pick} END END AS category, 'limit ' || cast(l_linenumber as string) AS label,
+           l_quantity * 4 + CASE WHEN l_suppkey % 47 = 0 THEN 600 ELSE 0 END AS limit_kph,
+           CASE WHEN l_partkey % 31 = 0 THEN 'OPERATOR_INPUT' WHEN l_partkey % 37 = 0 THEN 'REPLAYED_SNAPSHOT' WHEN l_partkey % 2 = 0 THEN 'IMPORTED_DOCUMENT' ELSE 'AUTHORIZED_FEED' END AS source_type,
+           CASE WHEN l_suppkey % 23 = 0 THEN 'SUPPLEMENTARY' ELSE 'AUTHORITATIVE' END AS authority_level,
+           CASE WHEN l_suppkey % 43 = 0 THEN 'x' ELSE 'gazette' END AS source_reference, CASE WHEN l_suppkey % 41 = 0 THEN 'bad' ELSE {d.sha('l_returnflag')} END AS checksum,
+           l_shipdate AS observed_at, {d.plus('l_shipdate', '(l_partkey % 50 - 1) * 60')} AS fetched_at,
+           CASE WHEN l_suppkey % 53 = 0 THEN NULL ELSE {d.plus('l_shipdate', '(300 + l_suppkey) * 86400 * 10')} END AS valid_until
+    FROM {{lineitem}}"""

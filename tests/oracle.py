@@ -63,7 +63,7 @@ def main(argv):
     spark = session("check", master="local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
         "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = duck(folder)
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = 0
@@ -74,7 +74,7 @@ def main(argv):
         try:
             n, verdict = compare(spark, con, name, run, oracles.get(name), folder)
         except Exception as exc:  # noqa: BLE001
-            n, verdict = -1, f"{type(exc).__name__}: {str(exc)[:900]}"
+            n, verdict = -1, f"{type(exc).__name__}: {str(exc)[:500]}"
         if verdict not in ("ok", "rows-only"):
             bad += 1
         if verdict != "ok" or n == 0 or os.environ.get("VERBOSE"):
