@@ -2,6 +2,6 @@
 
 from ballast.plans.registry import ORACLES, QUERIES
 
-from ballast.plans import checked, decisions, matching, network, rollups, scalars  # noqa: F401,E402  isort: skip
+from ballast.plans import checked, decisions, landed, matching, network, rollups, scalars  # noqa: F401,E402  isort: skip
 
 __all__ = ["ORACLES", "QUERIES"]
