@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,13 @@ def plus_seconds(ts: Column, seconds: Column) -> Column:
 
 def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add costly columns that later filters and columns then read without computing them again.
+
+    A plain column may be substituted into every later use of it, filters
+    included; a generated one is computed where it stands.
+    """
+    packed = F.explode(F.array(F.struct(*[v.alias(k) for k, v in columns.items()])))
+    return df.withColumn("_once", packed).select("*", "_once.*").drop("_once")

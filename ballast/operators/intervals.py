@@ -64,31 +64,31 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], residual=No
 RADIX = 4
 
 
-def _point_nodes(p: Column, top: int) -> Column:
-    return F.array(*[
-        F.struct(F.lit(k).alias("level"), F.floor(p / F.lit(RADIX**k)).alias("node")) for k in range(top + 1)
-    ])
+def _per_level(df: DataFrame, top: int) -> DataFrame:
+    """One row per block level with the block size of this level and of the next."""
+    sizes = F.array(*[F.lit(RADIX**k).cast("bigint") for k in range(top + 2)])
+    rows = df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    return rows.withColumns({"_s": F.get(sizes, F.col("level")), "_t": F.get(sizes, F.col("level") + 1)})
 
 
-def _range_nodes(lo: Column, hi: Column, top: int) -> Column:
+def _point_nodes(df: DataFrame, point: str, top: int) -> DataFrame:
+    return _per_level(df, top).withColumn("node", F.floor(F.col(point) / F.col("_s"))).drop("_s", "_t")
+
+
+def _range_nodes(df: DataFrame, lo: str, hi: str, top: int) -> DataFrame:
     """The few aligned blocks that exactly fill [lo, hi)."""
-    empty = F.array().cast("array<struct<level:int,node:bigint>>")
-    out = []
-    for k in range(top + 1):
-        size, nxt = RADIX**k, RADIX ** (k + 1)
-        a, b = F.ceil(lo / F.lit(size)), F.floor(hi / F.lit(size))
-        a2, b2 = F.ceil(lo / F.lit(nxt)), F.floor(hi / F.lit(nxt))
+    rows = _per_level(df, top).withColumns({
+        "_a": F.ceil(F.col(lo) / F.col("_s")), "_b": F.floor(F.col(hi) / F.col("_s")),
+        "_c": F.ceil(F.col(lo) / F.col("_t")) * RADIX, "_d": F.floor(F.col(hi) / F.col("_t")) * RADIX,
+    }).where("_a < _b")
 
-        def run(x, y, k=k):
-            blocks = F.transform(F.sequence(x, y - 1), lambda n: F.struct(F.lit(k).alias("level"), n.alias("node")))
-            return F.when(x < y, blocks).otherwise(empty)
+    def run(x, y):
+        return F.when(F.col(x) < F.col(y), F.sequence(F.col(x), F.col(y) - 1)).otherwise(F.array().cast("array<bigint>"))
 
-        if k == top:
-            out.append(run(a, b))
-        else:
-            whole = a2 < b2
-            out.append(F.when(whole, F.concat(run(a, a2 * RADIX), run(b2 * RADIX, b))).otherwise(run(a, b)))
-    return F.flatten(F.array(*out))
+    # blocks of the next level are left to it, except at the top
+    wider = (F.col("_c") < F.col("_d")) & (F.col("level") < top)
+    blocks = F.when(wider, F.concat(run("_a", "_c"), run("_d", "_b"))).otherwise(run("_a", "_b"))
+    return rows.withColumn("node", F.explode(blocks)).drop("_s", "_t", "_a", "_b", "_c", "_d")
 
 
 def _two_least(nodes: DataFrame, at: list[str]) -> DataFrame:
@@ -117,14 +117,10 @@ def least_partner(items: DataFrame, others: DataFrame, keys: list[str], unit_us:
     top = max(0, math.ceil(math.log(span, RADIX)))
     at = [*keys, "level", "node"]
 
-    def spread(df, nodes):
-        return df.select(*keys, "id", "a", "b", F.explode(nodes).alias("x")).select(*keys, "id", "a", "b", "x.level", "x.node")
-
-    a, b = F.col("a"), F.col("b")
-    starts = _two_least(spread(theirs, _point_nodes(a, top)).select(*at, "id"), at)
-    covers = _two_least(spread(theirs, _range_nodes(a, b, top)).select(*at, "id"), at)
-    inside = spread(mine, _range_nodes(a, b, top)).join(starts, at)
-    around = spread(mine, _point_nodes(a, top)).join(covers, at)
+    starts = _two_least(_point_nodes(theirs, "a", top).select(*at, "id"), at)
+    covers = _two_least(_range_nodes(theirs, "a", "b", top).select(*at, "id"), at)
+    inside = _range_nodes(mine, "a", "b", top).join(starts, at)
+    around = _point_nodes(mine, "a", top).join(covers, at)
     best = F.when(F.col("m1") != F.col("id"), F.col("m1")).otherwise(F.col("m2"))
     hits = inside.unionByName(around).groupBy(*keys, "id", "a", "b").agg(F.min(best).alias("partner"))
     res = mine.join(hits, [*keys, "id", "a", "b"], "left")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ballast.session import table
+from ballast.session import cut, table
 
 BASE = (
     "region nation customer supplier part orders lineitem events documents "
@@ -61,6 +61,11 @@ def derived(name: str, *needs: str):
     return register
 
 
+# inputs whose derivation costs more than most operators on them: written once per application and folder
+STORED = ("ev_records", "ev_edges", "ev_roots")
+_STORED_AT: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Tables:
     """Lazy access to the supplied and derived tables of one data folder."""
 
@@ -74,14 +79,19 @@ class Tables:
             if name in BASE:
                 self._made[name] = table(self.spark, self.folder, name)
             elif name in TABLES:
-                needs, fn = TABLES[name]
-                self._made[name] = self.spark.sql(fn(SPARK), **{n: getattr(self, n) for n in needs})
+                self._made[name] = self._derive(name)
             else:
                 raise AttributeError(name)
         return self._made[name]
 
-    def sql(self, text: str, *names: str) -> DataFrame:
-        return self.spark.sql(text, **{n: getattr(self, n) for n in names})
+    def _derive(self, name: str) -> DataFrame:
+        needs, fn = TABLES[name]
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if name not in STORED:
+            return self.spark.sql(fn(SPARK), **{n: getattr(self, n) for n in needs})
+        if key not in _STORED_AT:
+            _STORED_AT[key] = cut(self.spark.sql(fn(SPARK), **{n: getattr(self, n) for n in needs}))
+        return _STORED_AT[key]
 
 
 def with_tables(names: tuple[str, ...], select: str) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ballast.functions.clock import from_unix, schedule_value, service_seconds
-from ballast.functions.common import blank_to_null
+from ballast.functions.common import blank_to_null, once
 from ballast.functions.vocab import TIMETABLE_ALIASES
 from ballast.operators.contracts import snake
 
@@ -184,15 +184,16 @@ def open_data_timetable(records: DataFrame, keys: list[str]) -> tuple[DataFrame,
     ``records`` have a ``record`` map of text values. Violations name the missing
     fields and the fields that were there.
     """
-    m = F.transform_keys("record", lambda k, v: _snake_key(k))
-    named = records.withColumn("_m", m)
+    named = once(records, {"_m": F.transform_keys("record", lambda k, v: _snake_key(k))})
     canon = {
         field: F.coalesce(*[blank_to_null(F.col("_m")[a]) for a in aliases]) for field, aliases in TIMETABLE_ALIASES.items()
     }
-    rows = named.select(*keys, "_m", *[c.alias(f) for f, c in canon.items()])
+    rows = once(named, canon).select(*keys, "_m", *canon)
     need = [f for f in TIMETABLE_ALIASES if f != "service_date"]
     lost = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in need]))
     dep, arr = schedule_value(F.col("scheduled_departure")), schedule_value(F.col("scheduled_arrival"))
+    rows = once(rows, {"_dep": dep, "_arr": arr})
+    dep, arr = F.col("_dep"), F.col("_arr")
     date = F.coalesce(F.col("service_date"), dep["date"], arr["date"])
     dated = date.isNull() | date.rlike(r"^\d{4}-\d{2}-\d{2}$")
     code = (
