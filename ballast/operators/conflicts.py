@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ballast.functions.common import codes, plus_seconds
 from ballast.functions.vocab import HISTORICAL_TYPES, REAL_TYPES
 from ballast.operators.intervals import least_partner, overlap_join
+from ballast.session import cut
 
 
 def source_errors() -> Column:
@@ -102,7 +103,7 @@ def coverage_gaps(schedules: DataFrame, windows: DataFrame, policies: DataFrame)
 
 def _partnered(windows: DataFrame, keys: list[str]) -> DataFrame:
     w = windows.select(*keys, F.col("schedule_id").alias("id"), "lo", "hi")
-    return least_partner(w, w, keys).where("partner is not null").select(F.col("id").alias("schedule_id")).distinct()
+    return least_partner(w, w, keys, any_partner=True).where("partner is not null").select(F.col("id").alias("schedule_id")).distinct()
 
 
 def schedule_statuses(schedules: DataFrame, windows: DataFrame, policies: DataFrame, network: str) -> DataFrame:
@@ -113,9 +114,10 @@ def schedule_statuses(schedules: DataFrame, windows: DataFrame, policies: DataFr
     """
     active = schedules.where("status <> 'CANCELLED'").select("schedule_id", network)
     w = windows.join(active, "schedule_id")
-    sound = _sound(w).select(
+    # read by both conflict searches
+    sound = cut(_sound(w).select(
         network, "section_id", "schedule_id", F.upper("direction").alias("direction"), "entry_at", "exit_at"
-    )
+    ))
     overlapping = _partnered(sound.withColumns({"lo": F.col("entry_at"), "hi": F.col("exit_at")}), [network, "section_id"])
     ruled = sound.join(policies.where("headway_s > 0").select("section_id", "single_track", "headway_s"), "section_id")
     lane = F.when(F.col("single_track"), F.lit("*")).otherwise(F.col("direction"))

@@ -337,9 +337,9 @@ def bundle_fingerprints(snapshots: DataFrame, roots: DataFrame, fault: Column) -
 
 def baselines(snapshots: DataFrame, records: DataFrame, asof: Column, quorum: int = 4, threshold: float = 60.0) -> DataFrame:
     """Answers of the five baseline rules per decision, from two aggregates over the records."""
-    rows = opened(records)
-    c, v = F.col, F.col("v")
-    approved = _is(v["status"] == "APPROVED")
+    c = F.col
+    text = F.trim(F.coalesce("value", F.lit("")))
+    approved = _is(F.from_json("value", "struct<status:string>")["status"] == "APPROVED")
     soon = lambda t: F.coalesce(seconds_between(t, asof) <= FUTURE_SECONDS, F.lit(True))
     sound = (
         _is(c("checksum") == F.sha2("value", 256)) & _is(c("completeness") >= 1) & _is(c("availability") == "AVAILABLE")
@@ -347,15 +347,20 @@ def baselines(snapshots: DataFrame, records: DataFrame, asof: Column, quorum: in
         & soon(c("observed_at")) & F.coalesce(c("valid_until") >= asof, F.lit(True))
         & ~_is((c("source_type") == "IMPORTED_DOCUMENT") & (seconds_between(asof, c("observed_at")) > 366 * 86_400))
     )
+    # both aggregates read these few columns instead of the payloads
+    rows = cut(records.select(
+        "snapshot_id", "role", "fetched_at", c("record_id").cast("string").alias("rid"), (~text.isin("", "{}", "null")).alias("has_value"),
+        approved.alias("ok"), sound.alias("sound"), (_is(c("used")) & c("excluded_reason").isNull()).alias("kept"),
+    ))
     whole = rows.groupBy("snapshot_id").agg(
-        F.bool_and(sound).alias("sound"), F.bool_and(_is(c("used")) & c("excluded_reason").isNull()).alias("all_used"),
-        F.bool_or((c("role") == "CLEARANCE_DECISION") & approved).alias("any_approved"),
+        F.bool_and("sound").alias("sound"), F.bool_and("kept").alias("all_used"),
+        F.bool_or((c("role") == "CLEARANCE_DECISION") & c("ok")).alias("any_approved"),
         F.count_distinct(F.when(c("role").isin(*ROLES) & c("has_value"), c("role"))).alias("filled"),
         F.count_distinct(F.when(c("role").isin(*ROLES), c("role"))).alias("roles"),
         F.count_if(c("role").isin(*ROLES)).alias("direct"),
     )
     last = newest(
-        rows.where(c("role").isin(*ROLES)).select("snapshot_id", "role", "fetched_at", F.col("record_id").cast("string").alias("rid"), "has_value", approved.alias("ok")),
+        rows.where(c("role").isin(*ROLES)).select("snapshot_id", "role", "fetched_at", "rid", "has_value", "ok"),
         ["snapshot_id", "role"], ["fetched_at", "rid"])
     latest = last.groupBy("snapshot_id").agg(
         F.bool_and("has_value").alias("latest_filled"), F.bool_or((c("role") == "CLEARANCE_DECISION") & c("ok")).alias("latest_ok"))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ballast.session import fan_out
+
 MINUTE_US = 60_000_000
 
 
@@ -98,30 +100,47 @@ def _two_least(nodes: DataFrame, at: list[str]) -> DataFrame:
     return first.join(second, at, "left")
 
 
-def least_partner(items: DataFrame, others: DataFrame, keys: list[str], unit_us: int = 1_000_000) -> DataFrame:
+def _ends(nodes: DataFrame, at: list[str]) -> DataFrame:
+    """Smallest and greatest id per node: enough to know whether another id is there."""
+    return nodes.groupBy(*at).agg(F.min("id").alias("m1"), F.max("id").alias("m2"))
+
+
+# coarser units need fewer block levels; the coarsest that every bound is a whole number of is used
+UNITS_US = (86_400_000_000, 3_600_000_000, MINUTE_US, 1_000_000, 1_000, 1)
+
+
+def least_partner(items: DataFrame, others: DataFrame, keys: list[str], any_partner: bool = False) -> DataFrame:
     """For each item the smallest id of another's interval that overlaps it, null if none.
 
-    ``items`` and ``others`` have the keys, ``id`` and timestamps ``lo`` < ``hi``
-    that are multiples of the unit. Two intervals overlap exactly when one starts
-    inside the other, so each item asks two questions of pre-aggregated blocks:
-    the least id starting inside it, and the least id whose interval contains its
-    start. No pair is formed, so the cost does not grow with the overlaps.
+    With ``any_partner`` it may be any such id, which is cheaper to find.
+
+    ``items`` and ``others`` have the keys, ``id`` and timestamps ``lo`` < ``hi``.
+    Two intervals overlap exactly when one starts inside the other, so each item
+    asks two questions of pre-aggregated blocks: the least id starting inside it,
+    and the least id whose interval contains its start. No pair is formed, so the
+    cost does not grow with the overlaps.
     """
-    def units(df):
-        return df.select(*keys, "id", (F.unix_micros("lo") / unit_us).cast("bigint").alias("a"),
-                         (F.unix_micros("hi") / unit_us).cast("bigint").alias("b")).where("a < b")
-
-    mine, theirs = units(items), units(others)
-    longest = mine.select((F.col("b") - F.col("a")).alias("n")).union(theirs.select(F.col("b") - F.col("a")))
-    span = longest.agg(F.max("n")).first()[0] or 1
-    top = max(0, math.ceil(math.log(span, RADIX)))
-    at = [*keys, "level", "node"]
+    def bounds(df):
+        return df.select(*keys, "id", F.unix_micros("lo").alias("a"), F.unix_micros("hi").alias("b")).where("a < b")
+
+    mine, theirs = bounds(items), bounds(others)
+    both = mine.select("a", "b").union(theirs.select("a", "b"))
+    whole = lambda u: F.bool_and((F.pmod("a", F.lit(u)) == 0) & (F.pmod("b", F.lit(u)) == 0))
+    facts = both.agg(F.max(F.col("b") - F.col("a")).alias("span"), *[whole(u).alias(f"u{u}") for u in UNITS_US]).first()
+    unit = next((u for u in UNITS_US if facts[f"u{u}"]), 1)
+    top = max(0, math.ceil(math.log(max(1, (facts["span"] or 1) // unit), RADIX)))
 
-    starts = _two_least(_point_nodes(theirs, "a", top).select(*at, "id"), at)
-    covers = _two_least(_range_nodes(theirs, "a", "b", top).select(*at, "id"), at)
+    def scaled(df):
+        return fan_out(df.withColumns({c: F.floor(F.col(c) / F.lit(unit)) for c in ("a", "b")}), "id")
+
+    mine, theirs = scaled(mine), scaled(theirs)
+    at = [*keys, "level", "node"]
+    summary = _ends if any_partner else _two_least
+    starts = summary(_point_nodes(theirs, "a", top).select(*at, "id"), at)
+    covers = summary(_range_nodes(theirs, "a", "b", top).select(*at, "id"), at)
     inside = _range_nodes(mine, "a", "b", top).join(starts, at)
     around = _point_nodes(mine, "a", top).join(covers, at)
-    best = F.when(F.col("m1") != F.col("id"), F.col("m1")).otherwise(F.col("m2"))
+    best = F.when(F.col("m1") != F.col("id"), F.col("m1")).when(F.col("m2") != F.col("id"), F.col("m2"))
     hits = inside.unionByName(around).groupBy(*keys, "id", "a", "b").agg(F.min(best).alias("partner"))
     res = mine.join(hits, [*keys, "id", "a", "b"], "left")
     return res.groupBy(*keys, "id").agg(F.min("partner").alias("partner"))

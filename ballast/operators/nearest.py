@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ballast.functions.geo import along, great_circle_km
 from ballast.operators.ordered import Step, number_slot, scan
-from ballast.session import cut
+from ballast.session import cut, fan_out
 
 KM_PER_DEGREE = 111.0
 LAST_CELL = 180.0
@@ -39,7 +39,7 @@ def _search(points: DataFrame, places: DataFrame, pid: str, measure, cell: float
     cell's smaller side lies in them, so an answer within that distance is final;
     the other points go on with cells four times as wide.
     """
-    rounds, todo, size = [], points, cell
+    rounds, todo, size = [], fan_out(points, pid), cell
     while True:
         last = size >= LAST_CELL
         size = LAST_CELL if last else size

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ballast.session import cut, table
+from ballast.session import cut, fan_out, table
 
 BASE = (
     "region nation customer supplier part orders lineitem events documents "
@@ -90,7 +90,8 @@ class Tables:
         if name not in STORED:
             return self.spark.sql(fn(SPARK), **{n: getattr(self, n) for n in needs})
         if key not in _STORED_AT:
-            _STORED_AT[key] = cut(self.spark.sql(fn(SPARK), **{n: getattr(self, n) for n in needs}))
+            frames = {n: fan_out(getattr(self, n), "snapshot_id") for n in needs}
+            _STORED_AT[key] = cut(self.spark.sql(fn(SPARK), **frames))
         return _STORED_AT[key]
 
 

@@ -54,6 +54,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread narrow rows evenly before each becomes many or costly ones.
+
+    One shuffle of the small rows, so that the many are made by all tasks even
+    where the input came from few files.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def run_folder(spark: SparkSession) -> str:
     """This application's own part of the shared folder."""
     return f"{shared_folder(spark)}/ballast/{spark.sparkContext.applicationId}"

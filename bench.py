@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from ballast.plans import QUERIES  # noqa: E402
 from ballast.session import discard_cuts, session  # noqa: E402
 
-HEADLINE = (
+HEADLINE = tuple(os.environ["BENCH_ONLY"].split(",")) if os.environ.get("BENCH_ONLY") else (
     "fun_11_reliability", "fun_13_what_if_stress", "fun_20_weather_conditions", "fun_30_canonical_digest",
     "agg_04_clearance_decision", "agg_10_traceability_summary", "agg_13_classifier_metrics", "agg_15_interpolated_percentiles",
     "agg_21_drift_report", "agg_23_regression_metrics", "agg_26_plan_decision", "agg_29_document_checklist",
@@ -33,6 +33,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = session("bench", master=f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g",
+        # the bench data is small: keep all threads busy after a shuffle
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="ballast-bench-"),
     })
     spark.sparkContext.setLogLevel("OFF")
