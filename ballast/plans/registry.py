@@ -24,6 +24,9 @@ def query(name: str, oracle: str | None = None, needs: tuple[str, ...] = ()):
             raise ValueError(f"{name} is registered twice")
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            # zone-less times of the supplied tables are UTC
+            if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+                spark.conf.set("spark.sql.session.timeZone", "UTC")
             return fn(Tables(spark, folder))
 
         run.__doc__ = fn.__doc__

@@ -81,6 +81,6 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def discard_cuts(spark: SparkSession) -> None:
-    """Delete the tables that this application's ``cut`` calls left behind."""
+    """Delete the tables that this application's ``cut`` calls left behind; call it last."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
