@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,25 @@ from ballast.session import run_folder
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that tasks can import it from anywhere."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    handle, path = tempfile.mkstemp(suffix=".zip", prefix="ballast-")  # the driver serves it to the executors
+    with os.fdopen(handle, "wb") as f, zipfile.ZipFile(f, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(package)))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
+
+
 class Shelf:
     """Tables written to the shared folder during one operator call.
 
@@ -21,6 +43,7 @@ class Shelf:
     """
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark = spark
         self.root = f"{run_folder(spark)}/{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm import decontaminate, shards
+from ballast.llm import decontaminate, packing, rules, shards, warc
 from ballast.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,23 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes, copies together."""
     placed = shards.shard_documents(table(spark, folder, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op7_decision_list")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics and verdict of every document, by a decision list learned from the quality labels."""
+    found = rules.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op3_sum_of_squares_packing")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens."""
+    return packing.pack(table(spark, folder, "documents"))
+
+
+@query("op2_warc_captures")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written to archives and read back through the merged capture index."""
+    found = warc.archive_pages(table(spark, folder, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "archive", "at", "size")
