@@ -32,6 +32,8 @@ def ship(spark: SparkSession) -> None:
                 if name.endswith(".py"):
                     z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(package)))
     context.addPyFile(path)
+    # whole texts travel: fewer rows at once than Spark's default of 10,000
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 500)
     _SHIPPED.add(context.applicationId)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm import decontaminate, packing, rules, shards, warc
+from ballast.llm import decontaminate, jaccard, packing, rules, shards, warc
 from ballast.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,9 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     """All pages written to archives and read back through the merged capture index."""
     found = warc.archive_pages(table(spark, folder, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "archive", "at", "size")
+
+
+@query("op4_ngram_jaccard_join")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents linked at a Jaccard similarity of 0.85 of their 4-word shingles."""
+    return jaccard.near_duplicates(table(spark, folder, "documents"), width=4, percent=85)
