@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm import decontaminate, jaccard, packing, rules, shards, warc
-from ballast.llm.common import table
+from ballast.llm import decontaminate, jaccard, language, packing, rules, shards, warc
+from ballast.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents linked at a Jaccard similarity of 0.85 of their 4-word shingles."""
     return jaccard.near_duplicates(table(spark, folder, "documents"), width=4, percent=85)
+
+
+@query("op5_language_bloom_filters")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from two folds of three."""
+    docs = table(spark, folder, "documents")
+    found = language.identify(docs, language.learn(language.learning_rows(docs)))
+    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
