@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm import decontaminate, jaccard, language, packing, rules, shards, warc
+from ballast.llm import decontaminate, jaccard, language, packing, rules, shards, toxicity, warc
 from ballast.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,12 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = language.identify(docs, language.learn(language.learning_rows(docs)))
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query("op1_toxicity_network")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of every document, learned from four folds of five."""
+    docs = table(spark, folder, "documents")
+    net = toxicity.fit(docs, toxicity.learning_labels(table(spark, folder, "labels")))
+    found = toxicity.score_documents(docs, net)
+    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "windows", "worst_start", "worst_end")

@@ -68,7 +68,7 @@ def short_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> n
     for k in range(n):
         at = start + k
         value = (value << U64(8)) | np.where(at < end, raw[np.minimum(at, len(raw) - 1)], 0).astype(U64)
-    return mix(value + U64(n) * U64(0xD6E8FEB86659FD93))
+    return mix(value + np.full(1, n, U64) * U64(0xD6E8FEB86659FD93))
 
 
 def spans_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
