@@ -3,16 +3,20 @@
 Documents of equal text form one group that is never split. Groups are ordered
 by the hash of their text, so a cut between two groups is one hash value. The
 smallest capacity with which a greedy left-to-right filling needs no more than
-``shards`` shards is found by binary search, many capacities being probed by the
-same job; the shards are then cut where that filling stops. No shard of any
+``shards`` shards is found by binary search; the shards are then cut where that
+filling stops. No shard of any
 other contiguous cutting in this order has a smaller largest shard.
 
-Only DataFrame operations. The driver sees one sum per probe and the cut keys;
-a group may hold any share of the rows, as it is one row of summed sizes.
+Only DataFrame operations. The driver sees sums over stretches of the hash range
+and the cut keys; a group may hold any share of the rows, as it is one row of
+summed sizes.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,61 +24,103 @@ from pyspark.sql import functions as F
 from ballast.llm.common import Shelf
 
 SHARDS = 16
-#: Buckets of the hash range within which prefix sums are windowed, as a power of two.
-BUCKET_BITS = 12
+#: Stretches of the hash range that are summed up first, and parts into which one is split, as powers of two.
+FIRST_BITS, MORE_BITS = 12, 8
 #: Cells per shard within which rows are numbered.
 CELLS = 1024
-#: Capacities probed by one job.
-PROBES = 63
 
 
-def group_order(groups: DataFrame) -> DataFrame:
-    """Rows (h, size) with the running sum ``cum`` of sizes in the order of h."""
-    groups = groups.withColumn("bucket", F.shiftright("h", 64 - BUCKET_BITS))
-    # one row per bucket: at most 2^BUCKET_BITS rows in the only task of this window
-    before = (
-        groups.groupBy("bucket").agg(F.sum("size").alias("total"))
-        .withColumn("before", F.sum("total").over(W.orderBy("bucket")) - F.col("total"))
-        .select("bucket", "before")
-    )
-    inside = F.sum("size").over(W.partitionBy("bucket").orderBy("h").rowsBetween(W.unboundedPreceding, 0))
-    return (
-        groups.withColumn("inside", inside).join(F.broadcast(before), "bucket")
-        .select("h", (F.col("before") + F.col("inside")).alias("cum"))
-        .repartitionByRange("h").sortWithinPartitions("h")
-    )
+@dataclass
+class Cells:
+    """Stretches of the hash range in order: ``end`` is the running sum of sizes up to and with
+    a stretch, ``last`` its largest hash, ``single`` whether it is one group, ``bits`` its width."""
+
+    end: np.ndarray
+    last: np.ndarray
+    single: np.ndarray
+    bits: np.ndarray
+    key: np.ndarray
+
+    @staticmethod
+    def of(rows: list[tuple]) -> Cells:
+        """From (key, bits, size, groups, last) of each stretch."""
+        rows = sorted(rows, key=lambda r: r[4])
+        key, bits, size, groups, last = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+        return Cells(np.cumsum(size), last, groups == 1, bits, key)
 
+    def rows(self) -> list[tuple]:
+        return list(zip(self.key.tolist(), self.bits.tolist(), np.diff(self.end, prepend=0).tolist(), np.where(self.single, 1, 2).tolist(), self.last.tolist(), strict=True))
+
+    def filled(self, capacity: int, shards: int) -> list[int]:
+        """Greedy filling: the number of stretches in front of each shard's end."""
+        ends, at = [], 0
+        for _ in range(shards):
+            before = int(self.end[at - 1]) if at else 0
+            at = int(np.searchsorted(self.end, before + capacity, "right"))
+            ends.append(at)
+        return ends
+
+    def smallest(self, low: int, shards: int) -> int:
+        """The least capacity over ``low`` that fits, by binary search."""
+        high = int(self.end[-1])
+        while low < high:
+            middle = (low + high) // 2
+            if self.filled(middle, shards)[-1] == len(self.end):
+                high = middle
+            else:
+                low = middle + 1
+        return low
+
+    def undecided(self, low: int, high: int, shards: int) -> np.ndarray:
+        """Stretches of several groups in which a filling of capacity low to high may end a shard."""
+        out, first, least, most = np.zeros(len(self.end), bool), np.concatenate(([0], self.end[:-1])), 0, 0
+        for _ in range(shards):
+            a = min(int(np.searchsorted(self.end, least + low, "right")), len(self.end) - 1)
+            b = min(int(np.searchsorted(self.end, most + high, "right")), len(self.end) - 1)
+            out[a : b + 1] = True
+            least = int(self.end[a]) if self.end[a] <= least + low else int(first[a])
+            most = int(self.end[b]) if self.end[b] <= most + high else int(first[b]) if self.single[b] else most + high
+        return out & ~self.single
+
+
+def cut_keys(groups: DataFrame, shards: int) -> list[int]:
+    """The last hash of each shard but the last one, of groups (h, size).
+
+    The hash range is summed up in stretches; only those in which a shard may
+    end are summed up more finely, until all of these are single groups. What
+    reaches the driver depends on ``shards`` and the stretches' fan-out alone.
+    """
+    def summed(rows: DataFrame, bits: int) -> list[tuple]:
+        found = rows.groupBy(F.shiftright("h", 64 - bits).alias("key")).agg(F.sum("size").alias("size"), F.count("*").alias("groups"), F.max("h").alias("last")).collect()
+        return [(r.key, bits, r["size"], r.groups, r.last) for r in found]
 
-def fillings(order: DataFrame, total: int, capacities: list[int], shards: int) -> list[list[int]]:
-    """For each capacity the running sums at which a greedy filling ends its shards."""
-    ends: list[list[int]] = [[] for _ in capacities]
-    for _ in range(shards):
-        at = [e[-1] if e else 0 for e in ends]
-        if min(at) >= total:
+    found = summed(groups, FIRST_BITS)
+    if not found:
+        return []
+    cells = Cells.of(found)
+    total, largest = int(cells.end[-1]), groups.agg(F.max("size")).first()[0]
+    low = max(-(-total // shards), largest)
+    while True:
+        high = cells.smallest(low, shards)
+        open_ = cells.undecided(low, high, shards)
+        if not open_.any():
             break
-        goals = [a + c for a, c in zip(at, capacities, strict=True)]
-        # as columns of a one-row table rather than literals: the same compiled code serves every job
-        row = order.sparkSession.createDataFrame([tuple(goals)], ", ".join(f"g{i} long" for i in range(len(goals))))
-        found = order.where((F.col("cum") > min(at)) & (F.col("cum") <= max(goals))).crossJoin(F.broadcast(row)).agg(
-            *[F.max(F.when(F.col("cum") <= F.col(f"g{i}"), F.col("cum"))).alias(f"c{i}") for i in range(len(goals))]
-        ).first()
-        for i, e in enumerate(ends):
-            e.append(max(at[i], found[i] or 0))
-    return ends
-
-
-def smallest_capacity(order: DataFrame, total: int, largest: int, shards: int, probes: int = PROBES) -> tuple[int, list[int]]:
-    """The least feasible capacity and the ends of its shards."""
-    low, high = max(-(-total // shards), largest), -(-total // shards) + largest  # high always fits
-    best: list[int] | None = None
-    while low < high or best is None:
-        tried = sorted({low + (high - low) * k // probes for k in range(probes + 1)})
-        ends = fillings(order, total, tried, shards)
-        fits = [i for i, e in enumerate(ends) if e[-1] >= total]
-        first = fits[0]
-        best, high = ends[first], tried[first]
-        low = tried[first - 1] + 1 if first else high
-    return high, best
+        bits = min(64, int(cells.bits[open_].min()) + MORE_BITS)
+        rows = cells.rows()
+        ranges = []
+        for i in np.flatnonzero(open_):
+            shift = 64 - int(cells.bits[i])
+            a, b = int(cells.key[i]) << shift, (int(cells.key[i]) << shift) + (1 << shift) - 1
+            if ranges and ranges[-1][1] == a - 1:
+                ranges[-1][1] = b
+            else:
+                ranges.append([a, b])
+        inside = F.lit(False)
+        for a, b in ranges:
+            inside = inside | F.col("h").between(a, b)
+        cells = Cells.of([r for r, o in zip(rows, open_, strict=True) if not o] + summed(groups.where(inside), bits))
+    ends = cells.filled(high, shards)
+    return [int(cells.last[e - 1]) for e in dict.fromkeys(ends) if 0 < e < len(cells.end)]
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -95,13 +141,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
     ))
-    order = shelf.put(group_order(facts.groupBy("h").agg(F.sum("size").alias("size"))))
-    sums = facts.groupBy("h").agg(F.sum("size").alias("size")).agg(F.sum("size"), F.max("size")).first()
-    keys: list[int] = []
-    if sums[0]:
-        _, ends = smallest_capacity(order, sums[0], sums[1], shards)
-        inner = sorted({e for e in ends if e < sums[0]})
-        keys = [r.h for r in order.where(F.col("cum").isin(inner)).select("h").collect()] if inner else []  # < shards rows
+    groups = shelf.put(facts.groupBy("h").agg(F.sum("size").alias("size")))
+    keys = cut_keys(groups, shards)
+    shelf.drop(groups)
     shard = F.lit(0)
     for key in sorted(keys):
         shard = shard + F.when(F.col("h") > key, 1).otherwise(0)
