@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm import decontaminate, jaccard, language, packing, rules, shards, toxicity, warc
+from ballast.llm import decontaminate, jaccard, language, packing, repeats, rules, shards, toxicity, warc
 from ballast.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,13 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     net = toxicity.fit(docs, toxicity.learning_labels(table(spark, folder, "labels")))
     found = toxicity.score_documents(docs, net)
     return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "windows", "worst_start", "worst_end")
+
+
+@query("op10_repeated_strings")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without its repeated strings of 200 bytes."""
+    found = repeats.without_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
