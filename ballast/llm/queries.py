@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm import decontaminate, jaccard, language, packing, repeats, rules, shards, toxicity, warc
+from ballast.llm import decontaminate, jaccard, language, licenses, packing, repeats, rules, shards, toxicity, warc
 from ballast.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_license_spans")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Every license notice or text in a document, with matched coverage and span."""
+    return licenses.license_spans(table(spark, folder, "documents"))
