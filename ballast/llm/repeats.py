@@ -203,12 +203,31 @@ def repeated_spans(docs: DataFrame, shelf: Shelf, size: int = SIZE) -> DataFrame
     return out
 
 
-def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
+def inside_character(data: Column, at: Column) -> Column:
+    """Whether a byte, counted from 0, continues a character."""
+    return F.coalesce(F.hex(F.substring(data, at.cast("int") + 1, F.lit(1))).between("80", "BF"), F.lit(False))
+
+
+def whole_characters(data: Column, span: Column) -> Column:
+    """The part of a span that holds whole characters only."""
+    def steps(at: Column, way: int) -> Column:
+        out = F.when(~inside_character(data, at), 0)
+        for k in (1, 2):
+            out = out.when(~inside_character(data, at + way * k), k)
+        return out.otherwise(3)
+
+    start, end = span["start"], span["end"]
+    first = start + steps(start, 1)
+    return F.struct(first.alias("start"), F.greatest(first, end - steps(end, -1)).alias("end"))
+
+
+def without_repeats(docs: DataFrame, size: int = SIZE, characters: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with ``spans`` (start, end of each covered stretch of UTF-8 bytes) and ``kept`` (the other bytes).
 
     Every byte is covered that lies in a string of ``size`` bytes which also
     starts elsewhere, in the same text or another. A null text counts as empty,
     as do texts shorter than ``size`` for this purpose: nothing is covered.
+    With ``characters`` a character that is covered in part stays whole.
     Repeated rows cover each other. An empty table gives no rows. Columns of
     ``docs`` named k1, k2, spans or kept are replaced.
     """
@@ -220,6 +239,8 @@ def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     bytes_of = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     spans_or = F.coalesce("spans", none)
+    if characters:
+        spans_or = F.transform(spans_or, lambda s: whole_characters(bytes_of, s))
     # what lies between the spans: bytes are cut in the binary form
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans_or, lambda s: s["end"]))
     ends = F.concat(F.transform(spans_or, lambda s: s["start"]), F.array(F.octet_length(bytes_of).cast("long")))

@@ -114,3 +114,16 @@ def batches(frames: Iterator, column: str = "text", limit: int = 4 << 20) -> Ite
             size += len(x)
         if at < len(texts):
             yield frame.iloc[at:], texts[at:]
+
+
+def slices(texts: list[str | None], limit: int) -> Iterator[tuple[int, int]]:
+    """Stretches of texts with at most ``limit`` characters, or one text if it is longer."""
+    at = size = 0
+    for i, x in enumerate(texts):
+        n = len(x) if x else 0
+        if size and size + n > limit:
+            yield at, i
+            at, size = i, 0
+        size += n
+    if at < len(texts):
+        yield at, len(texts)

@@ -18,11 +18,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballast.llm.common import Shelf, fold
-from ballast.llm.text import U64, Batch, batches, mix
+from ballast.llm.text import U64, Batch, batches, mix, slices
 
 #: Labelled documents to learn from: of each class about this many, chosen by the hash of their id.
 SAMPLE = {1: 1500, 0: 3000}
@@ -255,6 +256,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None
     return train([r.text.encode("utf-8", "surrogatepass") for r in rows], np.array([r.toxic for r in rows], np.int64))
 
 
+def judge(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the score, the number of windows and the bytes of the highest one (-1 without words)."""
+    batch = Batch(texts, letters=True)
+    start, length, owner = windows_of(batch.first)
+    logit, low, high = np.full(len(texts), float(net.p["c"][0])), np.full(len(texts), -1), np.full(len(texts), -1)
+    if len(start):
+        found = net.window_logits(net.ids(word_features(batch)), start, length)
+        worst = worst_windows(found, owner)
+        at = owner[worst]
+        logit[at] = found[worst]
+        low[at] = batch.start[start[worst]] - batch.offset[at]
+        high[at] = batch.end[start[worst] + length[worst] - 1] - batch.offset[at]
+    return sigmoid(logit.astype(np.float64)), np.bincount(owner, minlength=len(texts)), low, high
+
+
 def score_documents(docs: DataFrame, net: Network) -> DataFrame:
     """Rows (doc_id, score, predicted, windows, worst_start, worst_end) for every row of ``docs``.
 
@@ -267,27 +283,30 @@ def score_documents(docs: DataFrame, net: Network) -> DataFrame:
     key = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size
 
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net = shared.value
-        empty = float(net.p["c"][0])
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, texts in batches(frames, limit=1 << 20):
-            batch = Batch(texts, letters=True)
-            start, length, owner = windows_of(batch.first)
-            logit, low, high = np.full(len(texts), empty), np.full(len(texts), -1), np.full(len(texts), -1)
-            if len(start):
-                found = net.window_logits(net.ids(word_features(batch)), start, length)
-                worst = worst_windows(found, owner)
-                at = owner[worst]
-                logit[at] = found[worst]
-                low[at] = batch.start[start[worst]] - batch.offset[at]
-                high[at] = batch.end[start[worst] + length[worst] - 1] - batch.offset[at]
-            score = sigmoid(logit.astype(np.float64))
+            score, windows, low, high = judge(shared.value, texts)
             yield pd.DataFrame({
-                "doc_id": frame["doc_id"].array, "score": score, "predicted": (score >= 0.5).astype(np.int32), "windows": np.bincount(owner, minlength=len(texts)),
+                "doc_id": frame["doc_id"].array, "score": score, "predicted": (score >= 0.5).astype(np.int32), "windows": windows,
                 "worst_start": pd.array(np.where(low < 0, None, low), "Int64"), "worst_end": pd.array(np.where(low < 0, None, high), "Int64"),
             })
 
-    return docs.select("doc_id", "text").mapInPandas(judge, f"doc_id {key}, score double, predicted int, windows long, worst_start long, worst_end long")
+    return docs.select("doc_id", "text").mapInPandas(rows, f"doc_id {key}, score double, predicted int, windows long, worst_start long, worst_end long")
+
+
+def without_toxic(docs: DataFrame, net: Network) -> DataFrame:
+    """The rows of ``docs`` that score under a half, all columns as they are."""
+    Shelf(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def rows(frames):
+        for frame in frames:
+            for low, high in slices(frame.column("text").to_pylist(), 1 << 20):
+                part = frame.slice(low, high - low)
+                texts = [b"" if x is None else x.encode("utf-8", "surrogatepass") for x in part.column("text").to_pylist()]
+                yield part.filter(pa.array(judge(shared.value, texts)[0] < 0.5))
+
+    return docs.mapInArrow(rows, docs.schema)
 
 
 def learning_labels(labels: DataFrame) -> DataFrame:
