@@ -51,9 +51,9 @@ def letter_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     value = np.zeros(n, U64)
     for k in range(WIDTH):
         value = (value << U64(8)) | raw[k : k + n]
-    # a blank before the first letter belongs to the text before: the text of an n-gram is that of its second byte
-    owner, last = doc[1 : n + 1], doc[WIDTH - 1 :]
-    own = (owner == last) | (raw[WIDTH - 1 :] == 32)
+    # a text owns the blank behind it; the blank in front of its first letter is the text before's
+    owner = doc[1 : n + 1]
+    own = (owner == doc[WIDTH - 1 :]) & ((owner == doc[:n]) | (raw[:n] == 32))
     return mix(value[own]), np.bincount(owner[own], minlength=len(texts) + 1)[1:]
 
 
