@@ -2,11 +2,12 @@
 
 A document becomes its token ids and an end id. Documents longer than a
 sequence are cut into full pieces, the first being what is left over. Pieces are
-dealt into groups of a set mean size and each group is packed in one task: a
-piece goes where the sum of the squared numbers of open sequences per fill
-level becomes smallest, which keeps all levels in stock, so that a fitting one
-is there for whatever comes next. Groups grow in number with the data, never in
-size, and the waste is a few open sequences in each.
+dealt into groups of a set mean size and each group is packed in one task, longest first: of the
+open sequences with room a piece goes where the sum of the squared numbers of
+open sequences per fill level becomes smallest, which keeps all levels in stock,
+so that a fitting one is there for whatever comes next; a new one is opened where
+none has room. Groups grow in number with the data, never in size, and the waste
+is a few open sequences in each.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
             change[-1] -= 1  # the bin becomes full
             change[now == 0] = 1 << 40
             best = len(change) - 1 - int(change[::-1].argmin())  # of equals the fullest
-            if change[best] <= 2 * count[s] + 1:
+            if change[best] < 1 << 40:  # a new bin only where none fits: the set is finite
                 level = best + 1
         if level:
             chosen = held[level].pop()
@@ -133,7 +134,7 @@ def pack(docs: DataFrame, length: int = LENGTH, group: int = GROUP, **tokens) ->
 
     def fill(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.iloc[np.lexsort((frame["piece"], frame["doc_id"].fillna(-1), frame["ids_crc32"]))].reset_index(drop=True)
-        order = packing_order(frame["length"].to_numpy(), length)
+        order = np.argsort(-frame["length"].to_numpy(), kind="stable")
         bins, places = sum_of_squares(frame["length"].to_numpy()[order], length)
         out = frame.iloc[order].reset_index(drop=True)
         out["sequence_id"], out["offset"] = bins + (out["deal"].to_numpy() << 32), places
@@ -143,13 +144,3 @@ def pack(docs: DataFrame, length: int = LENGTH, group: int = GROUP, **tokens) ->
 
     return dealt.groupBy("deal").applyInPandas(
         fill, f"doc_id {key}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * ("ids" in pieces.columns) + ", sequence_id long, offset long")
-
-
-def packing_order(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """Pieces over two fifths of a sequence first, longest first, then the others as they come.
-
-    Large pieces decide how many sequences there are; the mixed small ones then
-    find gaps of every size in stock.
-    """
-    large = np.flatnonzero(lengths * 5 >= capacity * 2)
-    return np.concatenate((large[np.argsort(-lengths[large], kind="stable")], np.flatnonzero(lengths * 5 < capacity * 2)))
