@@ -68,13 +68,29 @@ def components(links: DataFrame, shelf: Shelf) -> DataFrame:
         label = new.select("node", "component")
 
 
-def could_reach(percent: int, n: Column, m: Column, before: Column, before_m: Column, after: Column, after_m: Column) -> Column:
-    """Length and positional filter for sets of n and m that share an n-gram.
+def could_reach(percent: int, n: Column, m: Column, at: Column, at_m: Column) -> Column:
+    """Length and positional filter for sets of n and m whose first shared n-gram, in order, has these places.
 
-    ``before`` counts n-grams ahead of it that any other set has, ``after`` all behind it.
+    Both must have enough n-grams from there on. Shared n-grams that are not the
+    pair's first one may be dropped by this as well.
     """
-    most = F.least(before, before_m) + 1 + F.least(after, after_m)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (100 * most >= percent * (n + m - most))
+    least = -F.floor(-(percent * (n + m)) / F.lit(100 + percent))  # of shared n-grams
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (n - at >= least) & (m - at_m >= least)
+
+
+def bitmap(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of hashed ids, eight to sixteen bits an id and 16 MB at most, and its number of bits."""
+    bits = 1 << min(27, max(15, (8 * ids.count()).bit_length()))
+    spot = spot_of(bits)
+    rows = ids.groupBy(F.floor(spot / 32768).alias("block")).agg(F.bitmap_construct_agg(spot % 32768).alias("bits")).collect()
+    out = np.zeros((bits // 32768, 4096), np.uint8)
+    for r in rows:
+        out[r.block] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel(), bits
+
+
+def spot_of(bits: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(bits))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, ranges: DataFrame, width: int, percent: int, shelf: Shelf) -> DataFrame:
@@ -87,11 +103,18 @@ def verified(pairs: DataFrame, docs: DataFrame, ranges: DataFrame, width: int, p
         pairs.join(of("a"), "a").join(of("b"), "b").where(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).select("a", "b"))
     wanted = shelf.put(asked.select(F.col("a").alias("doc_id")).unionByName(asked.select(F.col("b").alias("doc_id"))).distinct())
 
+    marks, bits = bitmap(wanted)
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+
     def spell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, texts in batches(frames):
-            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "grams": [s.tobytes() for s in text_sets(texts, width)]})
+        for frame in frames:
+            spot = frame["spot"].to_numpy()
+            for part, texts in batches([frame[(shared.value[spot >> 3] >> (spot & 7)) & 1 > 0]]):
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "grams": [s.tobytes() for s in text_sets(texts, width)]})
 
-    sets = shelf.put(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInPandas(spell, f"doc_id {key}, grams binary").dropDuplicates(["doc_id"]))
+    # the bitmap spares most texts the way through a shuffle; the join is exact
+    spelled = docs.where("doc_id is not null").select("doc_id", "text", spot_of(bits).alias("spot")).mapInPandas(spell, f"doc_id {key}, grams binary")
+    sets = shelf.put(spelled.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -168,15 +191,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = THRESHOL
     by_doc = W.partitionBy("doc_id")
     entries = shelf.put(
         indexed.join(met, "gram")
-        .withColumn("before", F.row_number().over(by_doc.orderBy("at", "gram")) - 1)
         .withColumn("score", F.count("*").over(by_doc) / F.col("n")))
     shelf.drop(indexed)
 
-    lead = F.struct("score", "n", (-F.col("doc_id") if key in ("bigint", "int") else F.col("doc_id")).alias("tie"), F.col("doc_id").alias("a"), F.col("at").alias("at_a"), F.col("before").alias("before_a"))
-    heads = entries.groupBy("gram").agg(F.max(lead).alias("lead")).select("gram", "lead.a", F.col("lead.n").alias("n_a"), "lead.at_a", "lead.before_a")
+    lead = F.struct("score", "n", (-F.col("doc_id") if key in ("bigint", "int") else F.col("doc_id")).alias("tie"), F.col("doc_id").alias("a"), F.col("at").alias("at_a"))
+    heads = entries.groupBy("gram").agg(F.max(lead).alias("lead")).select("gram", "lead.a", F.col("lead.n").alias("n_a"), "lead.at_a")
     star = shelf.put(
         entries.withColumnRenamed("doc_id", "b").join(heads, "gram").where("a <> b")
-        .where(could_reach(percent, F.col("n"), F.col("n_a"), F.col("before"), F.col("before_a"), F.col("n") - F.col("at") - 1, F.col("n_a") - F.col("at_a") - 1))
+        .where(could_reach(percent, F.col("n"), F.col("n_a"), F.col("at"), F.col("at_a")))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     first = verified(star, docs, ranges, width, percent, shelf)
     label = components(first, shelf)
@@ -186,9 +208,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = THRESHOL
         entries.drop("score").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
     most = placed.groupBy("gram", "component").agg(F.count("*").alias("rows")).groupBy("gram").agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("rows", "component")).alias("main")).where("kinds > 1")
     mixed = placed.join(most.select("gram", "main"), "gram")
-    right = mixed.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "at", "before", "component")])
+    right = mixed.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "at", "component")])
     rest = mixed.where("component <> main").join(right, "gram").where("component <> component_b and (component_b = main or doc_id < doc_id_b)").where(
-        could_reach(percent, F.col("n"), F.col("n_b"), F.col("before"), F.col("before_b"), F.col("n") - F.col("at") - 1, F.col("n_b") - F.col("at_b") - 1)
+        could_reach(percent, F.col("n"), F.col("n_b"), F.col("at"), F.col("at_b"))
     ).select(F.least("doc_id", "doc_id_b").alias("a"), F.greatest("doc_id", "doc_id_b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     second = verified(rest, docs, ranges, width, percent, shelf)
     final = components(first.unionByName(second).unionByName(copies), shelf)
