@@ -68,14 +68,14 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, conta
 
     Words are lower-cased. An item with fewer words than ``width`` counts as one
     shingle of its own length. Null and empty texts on either side match
-    nothing; repeated items and documents of equal id count once each. Empty
-    tables give no rows. Columns other than doc_id, item_id and text are not read.
+    nothing, nor do rows without an id; repeated items and documents of equal id
+    count once each. Empty tables give no rows. Columns other than doc_id, item_id and text are not read.
     """
     shelf = Shelf(docs.sparkSession)
     shingled = shelf.put(item_shingles(items.select("item_id", "text"), width))
     sketch = shelf.put(sketches(shingled, containment))
     widths = [r.width for r in sketch.select("width").distinct().collect()]  # at most ``width`` values
-    docs = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    docs = docs.select("doc_id", "text").where("text is not null and doc_id is not null")
     hits = None
     for size in sorted(widths):
         held = docs.select("doc_id", F.explode(shingles(words_of(F.lower("text")), size, False)).alias("h"))

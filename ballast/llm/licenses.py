@@ -24,7 +24,7 @@ from ballast.llm.text import Batch, batches, shingles
 
 #: Words of a fingerprint, and fingerprints of which one is kept.
 K, W = 3, 3
-#: Words by which an alignment may leave its diagonal, and the least share of template words matched.
+#: Words by which an alignment may leave its diagonal at most, and the least share of template words matched.
 BAND, COVERAGE = 12, 0.8
 #: The index is sent to all tasks; more template words than this are refused.
 MOST_WORDS = 1_000_000
@@ -102,7 +102,7 @@ class Index:
         for h, t, at in zip(*(x.tolist() for x in fingerprints(hashes, batch.first)), strict=True):
             found[h].append((t, at))
         keys = np.array(sorted(found), np.uint64)
-        return Index(names, [hashes[a:b] for a, b in zip(batch.first[:-1], batch.first[1:], strict=True)], keys, [found[k] for k in keys.tolist()])
+        return Index(names, [hashes[a:b] for a, b in zip(batch.first[:-1], batch.first[1:], strict=True)][: len(names)], keys, [found[k] for k in keys.tolist()])
 
 
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
@@ -142,11 +142,12 @@ def scan_text(words: np.ndarray, hits: list[tuple[int, int, int]], index: Index,
         by_template[t].add(b - a)
     for t, diagonals in sorted(by_template.items()):
         template, found, last = index.words[t], [], None
+        band = max(2, min(BAND, len(template) // 3))  # narrower than two occurrences are apart
         for d in sorted(diagonals):
-            if last is not None and d - last <= BAND // 2:
+            if last is not None and d - last <= band // 2:
                 continue  # within the band of the candidate before
             last = d
-            matched, low, high = align(template, words, d)
+            matched, low, high = align(template, words, d, band)
             if matched and matched >= coverage * len(template) - 1e-9:
                 found.append((matched, low, high))
         # of alignments that overlap the best one stays, of equals the first
