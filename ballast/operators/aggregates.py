@@ -66,9 +66,8 @@ def clearance(legs: DataFrame) -> DataFrame:
 
 
 def stress_every_route(routes: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Each route under each scenario; scenarios are the few rows a planner types in."""
-    few = scenarios.limit(1000)
-    pairs = routes.crossJoin(F.broadcast(few))
+    """Each route under each scenario. Every pair is asked for; Spark broadcasts the scenarios if their size allows."""
+    pairs = routes.crossJoin(scenarios)
     v = scoring.stressed(F.col("reliability_score"), F.col("storm"), F.col("kp"), F.col("port"))
     return pairs.withColumn("_v", v).select("*", "_v.score", "_v.degradation_pct", "_v.alerts").drop("_v")
 
@@ -216,13 +215,15 @@ def latest_vessels(messages: DataFrame) -> DataFrame:
     return newest(messages, ["vessel_id"], ["seen_at", "message_id"])
 
 
-def condition_report(points: DataFrame, conditions: DataFrame, kp: DataFrame, report: str) -> DataFrame:
-    """Conditions of each report's first eight points, one solar row at Kp 5 or more, and its status.
+def condition_report(points: DataFrame, conditions: DataFrame, kp: DataFrame, report: str, first_points: int | None = None) -> DataFrame:
+    """Conditions of each report's points, one solar row at Kp 5 or more, and its status.
+
+    A report covers all its points, or the first ``first_points`` where that is given.
 
     ``points`` has (report, pos, valid, lat, lon); ``conditions`` has (report, pos, type);
     ``kp`` has one row per report with a nullable index.
     """
-    first = points.where("pos < 8")
+    first = points if first_points is None else points.where(F.col("pos") < first_points)
     status = first.groupBy(report).agg(F.count_if(~F.col("valid")).alias("failures")).join(kp, report, "left")
     status = status.select(
         report, (F.col("failures") + F.when(F.col("kp").isNull(), 1).otherwise(0)).alias("failures"), "kp"

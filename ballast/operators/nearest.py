@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -27,9 +28,11 @@ def line_pieces(points: DataFrame, line: str, pos: str = "pos") -> DataFrame:
 
 
 def _cells(lat_lo, lat_hi, lon_lo, lon_hi, size):
+    """Cells of a box. Those of longitude close to a ring of whole cells: the last is followed by the first."""
     ys = F.sequence(F.floor(lat_lo / size), F.floor(lat_hi / size))
-    xs = F.sequence(F.floor(lon_lo / size), F.floor(lon_hi / size))
-    return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(y.alias("y"), x.alias("x")))))
+    xs = F.sequence(F.floor((lon_lo + 180) / size), F.floor((lon_hi + 180) / size))
+    ring = F.round(F.lit(360.0) / size).cast("bigint")
+    return F.array_distinct(F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(y.alias("y"), F.pmod(x, ring).alias("x"))))))
 
 
 def _search(points: DataFrame, places: DataFrame, pid: str, measure, cell: float) -> DataFrame:
@@ -42,7 +45,7 @@ def _search(points: DataFrame, places: DataFrame, pid: str, measure, cell: float
     rounds, todo, size = [], fan_out(points, pid), cell
     while True:
         last = size >= LAST_CELL
-        size = LAST_CELL if last else size
+        size = LAST_CELL if last else 360.0 / math.ceil(360.0 / size)
         grid = places.select(
             "gid", F.explode(_cells(F.col("lat_lo"), F.col("lat_hi"), F.col("lon_lo"), F.col("lon_hi"), F.lit(size))).alias("c")
         ).select("gid", "c.y", "c.x")

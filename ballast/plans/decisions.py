@@ -194,7 +194,7 @@ def _(t):
 
 
 @query("gra_09_derivation_edges", needs=("ev_records", "ev_snapshots"), oracle="""
-WITH r AS (SELECT snapshot_id, record_id, entity_type FROM ev_records UNION ALL SELECT snapshot_id, snapshot_id * 10 + 99000000000, 'FINAL_RRI' FROM ev_snapshots)
+WITH r AS MATERIALIZED (SELECT snapshot_id, record_id, entity_type FROM ev_records UNION ALL SELECT snapshot_id, snapshot_id * 10 + 99000000000, 'FINAL_RRI' FROM ev_snapshots)
 SELECT p.snapshot_id, p.record_id AS parent, c.record_id AS child, CASE WHEN rule = 'PORT' THEN CASE WHEN p.snapshot_id % 5 <> 0 THEN 'INPUT_TO' ELSE 'EXCLUDED_FROM' END ELSE rule END AS relation
 FROM r p JOIN (VALUES ('CARGO_DECLARATION', 'CLEARANCE_RESULT', 'INPUT_TO'), ('ENGINEERING_LIMITS', 'CLEARANCE_RESULT', 'VALIDATES'), ('WEATHER_OBSERVATION', 'WEATHER_SCORE', 'DERIVED_FROM'),
  ('RAIL_CONGESTION_SIGNAL', 'CONGESTION_SCORE', 'DERIVED_FROM'), ('ENGINEERING_LIMITS', 'HISTORICAL_DELAY_SCORE', 'DERIVED_FROM'), ('WEATHER_SCORE', 'FINAL_RRI', 'INPUT_TO'), ('CONGESTION_SCORE', 'FINAL_RRI', 'INPUT_TO'),

@@ -458,11 +458,11 @@ def _(t):
 
 @query("str_07_schedule_status", needs=("obs", "schedules"), oracle="""
 SELECT schedule_id, event_id AS observation_id, status, CASE WHEN NOT valid THEN 'bad ' || cast(k as varchar) END AS last_error
-FROM (SELECT s.schedule_id, o.*, row_number() OVER (PARTITION BY s.schedule_id ORDER BY o.fetched_at DESC, o.event_id DESC) AS rn FROM obs o JOIN schedules s ON s.train_code = 'T' || cast(o.user_id % 600 as varchar)) x WHERE rn = 1""")
+FROM (SELECT s.schedule_id, o.*, row_number() OVER (PARTITION BY s.schedule_id ORDER BY o.fetched_at DESC, o.event_id DESC) AS rn FROM obs o JOIN schedules s ON s.train_code = 'T' || cast(o.event_id as varchar)) x WHERE rn = 1""")
 def _(t):
     path = scratch(t)
     proj = so.ScheduleProjection(t.spark, f"{path}/state", t.schedules)
-    rows = streamed(t)("obs").select(c("event_id").alias("observation_id"), F.concat(F.lit("T"), (c("user_id") % 600).cast("string")).alias("train_code"), "fetched_at", "status", "valid",
+    rows = streamed(t)("obs").select(c("event_id").alias("observation_id"), F.concat(F.lit("T"), c("event_id").cast("string")).alias("train_code"), "fetched_at", "status", "valid",
                                      F.array(F.concat(F.lit("bad "), c("k").cast("string"))).alias("errors"))
     so.run_available(rows.writeStream.foreachBatch(proj), f"{path}/checkpoint")
     return proj.latest.read().select("schedule_id", "observation_id", "status", "last_error")
@@ -503,7 +503,7 @@ def _(t):
 
 
 @query("mlo_03_registry_rows", needs=("predictions",), oracle="""
-SELECT DISTINCT model_name, model_version FROM predictions WHERE (model_name, model_version) NOT IN (SELECT (model_name, model_version) FROM predictions WHERE user_id % 50 = 3)""")
+SELECT DISTINCT model_name, model_version FROM predictions WHERE (model_name, model_version) NOT IN (SELECT (model_name, model_version) FROM predictions WHERE model_version < '1.3')""")
 def _(t):
-    known = t.predictions.where("user_id % 50 = 3").select("model_name", "model_version").distinct()
+    known = t.predictions.where("model_version < '1.3'").select("model_name", "model_version").distinct()
     return models.unregistered(t.predictions.select("model_name", "model_version"), known, ["model_name", "model_version"])

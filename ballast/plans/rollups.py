@@ -424,7 +424,7 @@ def _(t):
     points = t.weather.select(report, pos, (F.col("valid") & F.col("visibility").isNotNull()).alias("valid"), "lat", "lon")
     conds = all_conditions(t).select(report, pos, F.col("c.type").alias("type"))
     kp = points.select("report").distinct().withColumn("kp", F.when(F.col("report") % 6 != 0, F.col("report") % 10))
-    return agg.condition_report(points, conds, kp, "report")
+    return agg.condition_report(points, conds, kp, "report", first_points=8)
 
 
 @query("agg_45_journey_what_if", needs=("journey_legs",), oracle="""

@@ -246,7 +246,7 @@ def _(d):
 def _(d):
     return """
     SELECT l_orderkey AS consist_id, l_linenumber AS position,
-           'C' || cast(l_partkey % 4000 as string) AS identifier, 20 + (l_partkey % 50) / 1e1 AS tare_t,
+           'C' || cast(l_partkey as string) AS identifier, 20 + (l_partkey % 50) / 1e1 AS tare_t,
            l_quantity AS cargo_t,
            20 + (l_partkey % 50) / 1e1 + l_quantity + CASE WHEN l_suppkey % 20 = 0 THEN 0.5e0 ELSE 0e0 END AS gross_t,
            10 + (l_partkey % 80) / 1e1 AS length_m, 3 + (l_suppkey % 10) / 1e1 AS width_m,
@@ -382,7 +382,7 @@ def _(d):
                 WHEN l_partkey % 3 = 1 THEN 'OPERATOR_INPUT' ELSE 'DERIVED' END AS risk_source_type,
            CASE l_partkey % 40 WHEN 0 THEN 'BLOCKED' WHEN 1 THEN 'MANUAL_REVIEW' WHEN 2 THEN 'NOT_ASSESSED'
                 WHEN 3 THEN 'WARNING' ELSE 'PASSED' END AS compliance_status,
-           CASE WHEN l_suppkey % 4 = 3 THEN NULL ELSE l_partkey % 3000 END AS check_id,
+           CASE WHEN l_suppkey % 4 = 3 THEN NULL ELSE l_partkey END AS check_id,
            CASE l_suppkey % 30 WHEN 0 THEN 'HARD_BLOCKED' WHEN 1 THEN 'UNKNOWN' WHEN 2 THEN 'WARNING'
                 ELSE 'PASSED' END AS constraint_status,
            CASE WHEN l_suppkey % 25 = 0 THEN NULL ELSE 'carrier' END AS source_provider, 'tariff' AS source_dataset,
@@ -478,7 +478,7 @@ def _(d):
            CASE WHEN l.l_partkey % 31 = 0 THEN NULL WHEN l.l_partkey % 6 = 0 THEN 'DEGRADED' ELSE 'HOT' END AS kit_status,
            CASE WHEN l.l_partkey % 31 = 0 THEN 0 ELSE 5 - l.l_partkey % 3 END AS traced,
            CASE WHEN l.l_partkey % 31 = 0 THEN 0 ELSE 5 END AS total
-    FROM {lineitem} l JOIN {routes} r ON r.route_id = (l.l_orderkey * 7 + l.l_linenumber * 13) % 1400"""
+    FROM {lineitem} l JOIN {routes} r ON r.route_id = l.l_orderkey"""
 
 
 @derived("lineage", "lineitem")
@@ -643,7 +643,7 @@ def _(d):
     # the source catalogue; one entry is switched off
     keys = ["open_meteo", "maritime_feed", "railradar", "operator_input", "imported_engineering", "derived_engine"]
     pick = " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(keys))
-    return f"SELECT CASE i {pick} END AS source_id, CASE i {pick} END AS catalogue_key, enabled FROM (SELECT s_suppkey % 6 AS i, bool_and(s_nationkey >= 0) AS enabled FROM {{supplier}} GROUP BY s_suppkey % 6) g"
+    return f"SELECT CASE i {pick} END AS source_id, CASE i {pick} END AS catalogue_key, enabled FROM (SELECT s_suppkey % 6 AS i, s_suppkey % 6 <> 2 AS enabled FROM {{supplier}} GROUP BY s_suppkey % 6) g"
 
 
 @derived("case_rows", "ev_records")
@@ -658,11 +658,11 @@ def _(d):
            CASE WHEN f = 33 THEN cast(snapshot_id + 1 as string) WHEN f = 34 THEN '' ELSE cast(snapshot_id as string) END AS bound_case_id,
            'ROUTE' AS bound_subject_type, CASE WHEN f = 35 AND no = 5 THEN 'other' ELSE request_id END AS bound_subject_key, 'ctx' AS bound_context_digest,
            integrity_checksum, envelope_digest, observed_at, fetched_at, valid_until, freshness_state, availability, completeness, value NOT IN ('{{}}', '') AS has_value,
-           checksum AS value_digest, CASE WHEN snapshot_id % 6 = 1 AND no IN (1, 7) THEN 'k' ELSE entity_key END AS entity_key,
+           VALUE_DIGEST AS value_digest, CASE WHEN snapshot_id % 6 = 1 AND no IN (1, 7) THEN 'k' ELSE entity_key END AS entity_key,
            CASE WHEN source_id <> 'x9' THEN source_id END AS catalogue_id, NOT (f = 36 AND no = 6) AS enabled,
            CASE WHEN f = 37 THEN NULL WHEN source_type = 'LIVE_PROVIDER' THEN 3600 END AS stale_after_s,
            CASE WHEN snapshot_id % 6 = 1 AND no IN (1, 7) THEN 'X' ELSE entity_type END AS entity_kind
-    FROM {ev_records} WHERE NOT (f = 38)"""
+    FROM {ev_records} WHERE NOT (f = 38)""".replace("VALUE_DIGEST", d.sha("value"))
 
 
 @derived("judged_cases", "ev_snapshots")
