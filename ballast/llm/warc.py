@@ -5,7 +5,8 @@ that Spark's own writer makes the archives on any file system. Of pages with
 equal payloads, the one of the smallest id is a response with the payload and
 the others are revisits that name it.
 
-Reading: each archive is walked record by record along Content-Length.
+Reading: each archive is walked record by record along Content-Length; the index
+counts bytes of the uncompressed archive.
 
 Index: every archive gives one capture run sorted by URL key, time and id. The
 runs are cut at common splitters of the key range and each range is merged from
@@ -16,6 +17,7 @@ index is ordered as a whole; a URL with very many captures is cut by time.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -68,7 +70,7 @@ def records(pages: DataFrame, shelf: Shelf, least: int = 0) -> DataFrame:
 
 
 def write_archives(described: DataFrame, path: str, archives: int) -> None:
-    """One WARC file per task; a revisit has headers only."""
+    """One compressed WARC file per task; a revisit has headers only."""
     clean = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[\r\n]", " ")
     revisit = F.col("record_type") == "revisit"
     block = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
@@ -83,7 +85,7 @@ def write_archives(described: DataFrame, path: str, archives: int) -> None:
         F.lit("Content-Type: text/html; charset=utf-8"), F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
     described.repartition(archives, F.xxhash64("page_id", "url", "payload_digest")) \
-        .select(F.concat(head, F.lit(END), block).alias("value")).write.option("lineSep", END).text(path)
+        .select(F.concat(head, F.lit(END), block).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def parse(name: str, data: bytes) -> Iterator[tuple]:
@@ -111,7 +113,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         names = [x.split()[0] for x in RECORD.split(", ")]
         for frame in frames:
             for name, data in zip(frame["path"], frame["content"], strict=True):
-                out = pd.DataFrame(list(parse(name.rpartition("/")[2], data)), columns=names)
+                out = pd.DataFrame(list(parse(name.rpartition("/")[2], gzip.decompress(data))), columns=names)
                 for c in ("page_id", "refers_to"):
                     out[c] = pd.array(out[c].astype(object).where(out[c].notna(), None), "Int64")
                 yield out
