@@ -98,7 +98,7 @@ def realtime_docs(t):
 @query("src_03_realtime_feed", needs=("obs",), oracle="""
 SELECT event_id AS doc_id, 'trip' AS kind, CASE WHEN k % 11 <> 0 THEN cast(user_id as varchar) END AS ref, 1700000000 + event_id AS at_s FROM obs WHERE event_id % 3 = 0
 UNION ALL SELECT event_id, 'vehicle', cast(user_id as varchar), 1700000000 + event_id FROM obs WHERE event_id % 3 = 1
-UNION ALL SELECT event_id, 'alert', left(event_type || repeat('x', 2100), 2000), NULL FROM obs WHERE event_id % 3 = 2
+UNION ALL SELECT event_id, 'alert', event_type || repeat('x', 2100), NULL FROM obs WHERE event_id % 3 = 2
 UNION ALL SELECT event_id, 'NO_VERSION', NULL, NULL FROM obs WHERE k % 29 = 0 UNION ALL SELECT event_id, 'NO_ENTITY_ID', NULL, NULL FROM obs WHERE k % 23 = 0
 UNION ALL SELECT event_id, 'NO_TRIP_ID', NULL, NULL FROM obs WHERE event_id % 3 = 0 AND k % 11 = 0 UNION ALL SELECT event_id, 'POSITION_RANGE', NULL, NULL FROM obs WHERE event_id % 3 = 1 AND coalesce(lat NOT BETWEEN -90 AND 90 OR lon NOT BETWEEN -180 AND 180, lat NOT BETWEEN -90 AND 90, lon NOT BETWEEN -180 AND 180)
 UNION ALL SELECT event_id, 'SPEED_RANGE', NULL, NULL FROM obs WHERE event_id % 3 = 1 AND value < 1""")
@@ -214,7 +214,7 @@ def _(t):
 
 @query("src_14_passenger_status", needs=("obs",), oracle="""
 SELECT event_id, CASE WHEN event_id % 8 = 0 THEN 'NO_TIME' WHEN value * 60 > 10000 THEN 'DELAY_RANGE' WHEN lat NOT BETWEEN -90 AND 90 THEN 'LATITUDE_RANGE' WHEN lon NOT BETWEEN -180 AND 180 THEN 'LONGITUDE_RANGE' END AS code,
-  CASE WHEN NOT bad THEN left(repeat(event_type, 30), 80) END AS running_status, CASE WHEN NOT bad THEN round(value * 60, 6) END AS delay_minutes
+  CASE WHEN NOT bad THEN repeat(event_type, 30) END AS running_status, CASE WHEN NOT bad THEN round(value * 60, 6) END AS delay_minutes
 FROM (SELECT *, event_id % 8 = 0 OR value * 60 > 10000 OR coalesce(lat NOT BETWEEN -90 AND 90, false) OR coalesce(lon NOT BETWEEN -180 AND 180, false) AS bad FROM obs) o""")
 def _(t):
     k = c("event_id")

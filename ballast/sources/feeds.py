@@ -134,19 +134,19 @@ def passenger_status(docs: DataFrame, keys: list[str], text: str = "text") -> tu
     """Listed fields of a partner's train status with its fallbacks, and rejected documents with a code.
 
     The status may stand at the root or under ``data``; unlisted fields are dropped.
+    Texts are kept whole.
     """
     root = F.from_json(text, f"struct<data:{STATUS}>")["data"]
     d = docs.select(*keys, F.coalesce(root, F.from_json(text, STATUS)).alias("d"))
     c = lambda n: F.col(f"d.{n}")
-    cut_to = lambda x, n: F.substring(x, 1, n)
     stamp = F.coalesce(*[F.nullif(c(n), F.lit("")) for n in ("observed_at", "updated_at", "last_updated")])
     at = F.coalesce(zoned_time(stamp), F.try_to_timestamp(stamp))
     rows = d.select(
-        *keys, at.alias("observed_at"), cut_to(F.coalesce(c("running_status"), c("status")), 80).alias("running_status"),
-        cut_to(c("current_station"), 160).alias("current_station"), cut_to(c("station_code"), 20).alias("station_code"),
+        *keys, at.alias("observed_at"), F.coalesce(c("running_status"), c("status")).alias("running_status"),
+        c("current_station").alias("current_station"), c("station_code").alias("station_code"),
         F.coalesce(c("delay_minutes"), c("delay")).alias("delay_minutes"), F.coalesce(c("latitude"), c("lat")).alias("latitude"),
-        F.coalesce(c("longitude"), c("lon")).alias("longitude"), cut_to(c("scheduled_arrival"), 80).alias("scheduled_arrival"),
-        cut_to(c("estimated_arrival"), 80).alias("estimated_arrival"),
+        F.coalesce(c("longitude"), c("lon")).alias("longitude"), c("scheduled_arrival").alias("scheduled_arrival"),
+        c("estimated_arrival").alias("estimated_arrival"),
     )
     code = (
         F.when(F.col("observed_at").isNull(), "NO_TIME").when(~F.col("delay_minutes").between(-240, 10000), "DELAY_RANGE")

@@ -137,7 +137,7 @@ def realtime_tables(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     vehicles = e.where("vehicle is not null").select(
         doc_id, eid.alias("entity_id"), blank_to_null(F.col("vehicle.vehicle.id")).alias("vehicle_id"), blank_to_null(F.col("vehicle.trip.trip_id")).alias("trip_id"),
         p["latitude"].alias("latitude"), p["longitude"].alias("longitude"), p["speed"].alias("speed_mps"), F.timestamp_seconds("vehicle.timestamp").alias("observed_at"))
-    words = lambda c: F.nullif(F.substring(F.get(F.col(f"alert.{c}.translation"), 0)["text"], 1, 2000), F.lit(""))
+    words = lambda c: F.nullif(F.get(F.col(f"alert.{c}.translation"), 0)["text"], F.lit(""))
     alerts = e.where("alert is not null").select(
         doc_id, eid.alias("alert_id"), blank_to_null(F.col("alert.cause")).alias("cause"), blank_to_null(F.col("alert.effect")).alias("effect"),
         words("header_text").alias("header_text"), words("description_text").alias("description_text"))

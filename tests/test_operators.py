@@ -283,3 +283,56 @@ def test_reading_grows_stale_one_way(spark):
     df = spark.range(0, 40_000, 700).select(evidence_freshness(F.timestamp_seconds(F.col("id") + 1_700_000_000), F.lit("noaa_swpc"), F.timestamp_seconds(F.lit(1_700_000_000))).alias("s"), "id")
     seen = [order.index(r["s"]) for r in df.orderBy("id").collect()]
     assert seen == sorted(seen) and bisect.bisect_left(seen, 2) < len(seen)
+
+
+def test_stress_keeps_every_scenario(spark):
+    routes = spark.createDataFrame([(1, 80), (2, 60)], "route_id int, reliability_score int")
+    scenarios = spark.range(1500).selectExpr("id scenario", "cast(id % 2 as double) storm", "cast(id % 9 as double) kp", "cast(id % 3 as double) port")
+    assert agg.stress_every_route(routes, scenarios).count() == 3000
+
+
+def test_condition_report_covers_all_points(spark):
+    points = spark.range(20).selectExpr("1 report", "cast(id as int) pos", "id < 10 valid", "0.0 lat", "0.0 lon")
+    none = spark.createDataFrame([], "report int, pos int, type string")
+    kp = spark.createDataFrame([(1, 2)], "report int, kp int")
+    assert agg.condition_report(points, none, kp, "report").first().failures == 10
+    assert agg.condition_report(points, none, kp, "report", first_points=8).first().failures == 0
+
+
+def test_nearest_place_around_the_globe(spark):
+    rng = random.Random(7)
+    spots = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(60)] + [(100, 0.0, -179.95), (101, 0.0, 178.9), (102, 89.9, 10.0), (103, -89.9, -170.0)]
+    asked = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(80)] + [(200, 0.0, 179.95), (201, 89.95, -171.0), (202, -89.8, 12.0), (203, 0.0, 180.0), (204, 0.0, -180.0)]
+
+    def km(a, b):
+        x, y, p, q = map(math.radians, (a[1], a[2], b[1], b[2]))
+        h = math.sin((p - x) / 2) ** 2 + math.cos(x) * math.cos(p) * math.sin((q - y) / 2) ** 2
+        return 2 * math.asin(math.sqrt(min(1, h)))
+
+    p = spark.createDataFrame(asked, "pid int, lat double, lon double")
+    s = spark.createDataFrame(spots, "sid int, lat double, lon double")
+    for cell in (2.0, 7.0):
+        got = {r.pid: r.sid for r in nearest.nearest_place(p, "pid", s, "sid", cell=cell).collect()}
+        assert got == {a[0]: min(spots, key=lambda b: (km(a, b), b[0]))[0] for a in asked}
+
+
+def test_cheapest_paths_have_no_hop_bound(spark):
+    rng = random.Random(4)
+    chain = [(i, i + 1, i, 1.0) for i in range(6)]
+    more = [(100 + k, rng.randrange(8), rng.randrange(8)) for k in range(18)]
+    edges = chain + [(20 + a % 8, 20 + b % 8, k, 1.0 + (k * 37 % 11) / 10) for k, a, b in more if a != b]
+    df = spark.createDataFrame(edges, "src int, dst int, seg_id int, cost double")
+    wanted = [(0, 6)] + [(20 + a, 20 + b) for a in range(8) for b in range(8) if a != b]
+    got = graph.k_cheapest_paths(df, spark.createDataFrame(wanted, "source int, dest int"), 3).collect()
+
+    def walk(node, dest, seen, cost, path):
+        if node == dest:
+            yield (round(cost, 9), path)
+            return
+        for a, b, s, c in edges:
+            if a == node and b not in seen:
+                yield from walk(b, dest, seen | {b}, cost + c, path + [s])
+
+    want = sorted((a, b, n + 1, p) for a, b in wanted for n, (_, p) in enumerate(sorted(walk(a, b, {a}, 0.0, []))[:3]))
+    assert sorted((r.source, r.dest, r["rank"], r.path) for r in got) == want
+    assert [r.path for r in got if r.source == 0] == [[0, 1, 2, 3, 4, 5]]
