@@ -20,11 +20,6 @@ from ballast.operators.ordered import Step, newest, number_slot, scan
 
 
 
-def none_if_all_known(total: Column, known: Column, value: Column) -> Column:
-    """``value`` only where every row contributed to it."""
-    return F.when(total == known, value)
-
-
 # --- routes ---------------------------------------------------------------------
 
 

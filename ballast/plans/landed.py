@@ -153,16 +153,35 @@ def _(t):
     return feeds.vessel_positions(vessel_messages(t)).drop("observed_at")
 
 
+def board_docs(t):
+    z = c("k") % 9
+    train = lambda kind, d: F.struct(F.struct(F.lit("1").alias("number")).alias("train"), F.struct(F.lit(kind).alias("type"), d.cast("int").alias("delayMinutes")).alias("live"))
+    full = F.struct(F.lit(True).alias("success"), F.struct(F.array(train("at-station", c("k")), train("running", F.when(c("k") % 5 != 0, c("user_id")))).alias("trains")).alias("data"))
+    text = F.when(z == 0, '{"success":false,"error":{"message":"limit"}}').when(z == 1, '{"success":true,"data":{"count":3}}').when(z == 2, '{"success":true,"data":{"trains":[]}}').otherwise(F.to_json(full))
+    return t.obs.select("event_id", text.alias("text"))
+
+
+@query("src_06_board_trains", needs=("obs",), oracle="""
+SELECT event_id, '1' AS number, 'at-station' AS live_type, cast(k as int) AS delay FROM obs WHERE k % 9 > 2
+UNION ALL SELECT event_id, '1', 'running', CASE WHEN k % 5 <> 0 THEN cast(user_id as int) END FROM obs WHERE k % 9 > 2""")
+def _(t):
+    return feeds.board_trains(board_docs(t), ["event_id"])
+
+
+@query("snk_03_retained_latest", needs=("obs",), oracle="""
+SELECT provider_key, entity_id, event_id AS observation_id FROM (SELECT *, row_number() OVER (PARTITION BY provider_key, entity_id ORDER BY fetched_at DESC, event_id DESC) AS n
+ FROM (SELECT event_type AS provider_key, cast(user_id as varchar) AS entity_id, fetched_at, event_id FROM obs WHERE valid) o) x WHERE n = 1 AND fetched_at >= timestamp '2024-01-30 00:00:00' - INTERVAL 10 DAY""")
+def _(t):
+    rows = t.obs.select(c("event_type").alias("provider_key"), F.lit("state").alias("observation_type"), c("user_id").cast("string").alias("entity_id"), "fetched_at", c("event_id").alias("observation_id"), "valid")
+    return sinks.latest_valid(rows, F.lit("2024-01-30 00:00:00").cast("timestamp"), 10 * 86400).select("provider_key", "entity_id", "observation_id")
+
+
 @query("src_06_station_boards", needs=("obs",), oracle="""
 SELECT event_id, CASE WHEN k % 9 = 0 OR k % 9 = 1 THEN 'UNAVAILABLE' ELSE 'LIVE' END AS source, CASE WHEN k % 9 > 2 THEN 2 ELSE 0 END AS trains, CASE WHEN k % 9 > 2 THEN round((k + CASE WHEN k % 5 = 0 THEN 0 ELSE user_id END) / CASE WHEN k % 5 = 0 THEN 1.0e0 ELSE 2.0e0 END, 1) ELSE 0 END AS mean_delay,
   CASE WHEN k % 9 > 2 THEN CASE WHEN k % 5 = 0 THEN k ELSE greatest(k, user_id) END ELSE 0 END AS max_delay, CASE WHEN k % 9 > 2 THEN 1 ELSE 0 END AS at_station,
   CASE k % 9 WHEN 0 THEN 'limit' WHEN 1 THEN 'Malformed response: no train list' WHEN 2 THEN 'No trains in window' END AS detail FROM obs""")
 def _(t):
-    z = c("k") % 9
-    train = lambda kind, d: F.struct(F.struct(F.lit("1").alias("number")).alias("train"), F.struct(F.lit(kind).alias("type"), d.cast("int").alias("delayMinutes")).alias("live"))
-    full = F.struct(F.lit(True).alias("success"), F.struct(F.array(train("at-station", c("k")), train("running", F.when(c("k") % 5 != 0, c("user_id")))).alias("trains")).alias("data"))
-    text = F.when(z == 0, '{"success":false,"error":{"message":"limit"}}').when(z == 1, '{"success":true,"data":{"count":3}}').when(z == 2, '{"success":true,"data":{"trains":[]}}').otherwise(F.to_json(full))
-    return feeds.station_boards(t.obs.select("event_id", text.alias("text")), ["event_id"])
+    return feeds.station_boards(board_docs(t), ["event_id"])
 
 
 @query("src_07_authorized_corridors", needs=("obs",), oracle="""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ballast.functions import track
+from ballast.functions.delay import delay_risk
 from ballast.operators import aggregates as agg
 from ballast.operators import statistics as st
 from ballast.operators.ordered import percentiles
@@ -131,6 +132,19 @@ def _(t):
     return agg.traceability(t.trace_records, "decision_id")
 
 
+@query("agg_10_source_modes", needs=("trace_records",), oracle="SELECT decision_id, source_type, count(*) AS n FROM trace_records GROUP BY decision_id, source_type")
+def _(t):
+    return agg.source_modes(t.trace_records, "decision_id")
+
+
+@query("agg_11_missing_values", needs=("trace_records", "routes"), oracle="\nUNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", n FROM (SELECT count(*) FILTER ({c} IS NULL) AS n FROM {src}) x WHERE n > 0"
+    for src, names in (("trace_records", ("decision_id", "role", "source_id", "fetched_at", "excluded_reason")), ("routes", ("route_id", "weather_score", "port_score", "estimated_hours"))) for c in names))
+def _(t):
+    first = st.missing_values(t.trace_records.select("decision_id", "role", "source_id", "fetched_at", "excluded_reason"))
+    return first.unionByName(st.missing_values(t.routes.select("route_id", "weather_score", "port_score", "estimated_hours")))
+
+
 @query("agg_11_dataset_profile", needs=("features",), oracle="""
 SELECT count(*) AS row_count, count(*) FILTER (data_class LIKE 'REAL%') AS real_row_count, count(*) FILTER (data_class = 'SIMULATED') AS simulated_row_count,
   count(*) FILTER (data_class = 'SEEDED') AS seeded_row_count, count(*) FILTER (data_class = 'OPERATOR_CONFIRMED') AS operator_confirmed_row_count,
@@ -319,13 +333,14 @@ def _(t):
 
 @query("agg_34_delay_bottleneck", needs=("route_legs", "routes"), oracle="""
 SELECT g.route_id, cast(ceil(round(h + c + w, 9)) as int) AS delay_minutes, bottleneck,
+  CASE WHEN ceil(round(h + c + w, 9)) < 30 THEN 'LOW' WHEN ceil(round(h + c + w, 9)) < 60 THEN 'MODERATE' WHEN ceil(round(h + c + w, 9)) < 90 THEN 'HIGH' ELSE 'CRITICAL' END AS risk,
   CASE WHEN known THEN CASE WHEN round(h + c + w, 9) > 0 THEN round(w / round(h + c + w, 9) * 100, 1) ELSE 0 END END AS weather_pct,
   CASE WHEN round(h + c + w, 9) > 0 THEN round(c / round(h + c + w, 9) * 100, 1) ELSE 0 END AS congestion_pct
 FROM (SELECT route_id, sum(hm) AS h, sum(cm) AS c, arg_min(src_code || ' → ' || dst_code, (-round(hm + cm, 9), seq)) AS bottleneck
       FROM (SELECT *, greatest(0.0::double, delay_h * 60) AS hm, greatest(0.0::double, (factor - 1) * 30) AS cm FROM route_legs) l GROUP BY route_id) g
 JOIN (SELECT route_id, weather_score IS NOT NULL AS known, coalesce(greatest(0.0::double, (100 - weather_score) * 0.3e0), 0) AS w FROM routes) r USING (route_id)""")
 def _(t):
-    return agg.bottleneck(t.route_legs, t.routes)
+    return agg.bottleneck(t.route_legs, t.routes).withColumn("risk", delay_risk(F.col("delay_minutes")))
 
 
 HOP_SQL = """2 * 6371.0 * asin(sqrt(least(1.0::double, pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2))))"""
