@@ -43,19 +43,26 @@ def route_scores(legs: DataFrame, routes: DataFrame | None = None) -> DataFrame:
     )
 
 
-def remaining_hours(legs: DataFrame, km: str = "km") -> DataFrame:
-    """Hours left from a position: distance at 45 km/h plus stored delays."""
-    return legs.groupBy("route_id").agg(
+def remaining_hours(legs: DataFrame, km: str = "km", routes: DataFrame | None = None) -> DataFrame:
+    """Hours left from a position: distance at 45 km/h plus stored delays; none on a route without legs."""
+    per = legs.groupBy("route_id").agg(
         F.round(F.sum(km) / 45 + F.sum("delay_h"), 2).alias("eta_hours"), F.round(F.sum(km), 1).alias("remaining_km")
     )
+    return per if routes is None else routes.select("route_id").join(per, "route_id", "left").fillna(0.0, ["eta_hours", "remaining_km"])
+
 
+def clearance(legs: DataFrame, routes: DataFrame | None = None) -> DataFrame:
+    """APPROVED, or HARD_BLOCKED with the first segment whose limits the cargo exceeds.
 
-def clearance(legs: DataFrame) -> DataFrame:
-    """APPROVED, or HARD_BLOCKED with the first segment whose limits the cargo exceeds."""
+    With ``routes`` given, a route without legs is approved, as nothing blocks it.
+    """
     c = F.col
     over = exceeds((c("cargo_h"), c("cargo_w"), c("cargo_t")), (c("max_h"), c("max_w"), c("max_t")))
     first = F.min_by("seg_id", F.when(over, F.struct("seq", "seg_id")))
-    return legs.groupBy("route_id").agg(first.alias("blocking_segment")).withColumn(
+    per = legs.groupBy("route_id").agg(first.alias("blocking_segment"))
+    if routes is not None:
+        per = routes.select("route_id").join(per, "route_id", "left")
+    return per.withColumn(
         "status", F.when(F.col("blocking_segment").isNull(), "APPROVED").otherwise("HARD_BLOCKED")
     )
 

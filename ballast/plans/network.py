@@ -82,12 +82,15 @@ leg AS (SELECT source, dest, unnest(path) AS seg_id, unnest(range(len(path))) AS
 per AS (SELECT source, dest, count(*) AS n, avg(factor) AS f, avg(delay_h) AS d, sum(delay_h) AS s FROM leg JOIN segments USING (seg_id) GROUP BY source, dest),
 blk AS (SELECT r.request_id, arg_min(l.seg_id, l.seq) AS blocking FROM req r JOIN leg l ON l.source = r.source AND l.dest = r.dest JOIN segments g ON g.seg_id = l.seg_id WHERE h > max_h OR w > max_w OR wt > max_t GROUP BY r.request_id),
 x AS (SELECT r.*, b.cost, array_to_string(b.path, ',') AS path, blocking, n, s, round(greatest(0.0::double, least(100.0::double, 100 - (f - 1) * 40)), 6) AS cs, round(greatest(0.0::double, least(100.0::double, 100 - d * 10)), 6) AS hs
-  FROM req r JOIN best b ON b.source = r.source AND b.dest = r.dest JOIN per p ON p.source = r.source AND p.dest = r.dest LEFT JOIN blk k ON k.request_id = r.request_id)
-SELECT request_id, source, dest, round(cost, 6) AS cost, path, CASE WHEN blocking IS NULL THEN 'APPROVED' ELSE 'HARD_BLOCKED' END AS status, blocking AS blocking_segment, round(n * 4.5e0 + s, 2) AS transit_hours,
-  CASE WHEN blocking IS NOT NULL THEN 0 ELSE cast(ceil((0.0e0 + 0.15e0 * cs + 0.15e0 * hs + coalesce(0.4e0 * weather, 0) + coalesce(0.3e0 * port, 0))
+  FROM req r LEFT JOIN best b ON b.source = r.source AND b.dest = r.dest LEFT JOIN per p ON p.source = r.source AND p.dest = r.dest LEFT JOIN blk k ON k.request_id = r.request_id)
+SELECT request_id, source, dest, round(cost, 6) AS cost, path, CASE WHEN path IS NULL THEN 'NO_PATH' WHEN blocking IS NULL THEN 'APPROVED' ELSE 'HARD_BLOCKED' END AS status, blocking AS blocking_segment, round(n * 4.5e0 + s, 2) AS transit_hours,
+  CASE WHEN path IS NULL THEN NULL WHEN blocking IS NOT NULL THEN 0 ELSE cast(ceil((0.0e0 + 0.15e0 * cs + 0.15e0 * hs + coalesce(0.4e0 * weather, 0) + coalesce(0.3e0 * port, 0))
    / (0.0e0 + 0.15e0 + 0.15e0 + CASE WHEN weather IS NULL THEN 0 ELSE 0.4e0 END + CASE WHEN port IS NULL THEN 0 ELSE 0.3e0 END)) as int) END AS reliability_score FROM x""")
 def evaluated_routes(t):
-    """All requests at once: cheapest path, clearance of the cargo on it, transit hours and reliability."""
+    """All requests at once: cheapest path, clearance of the cargo on it, transit hours and reliability.
+
+    A request that no path answers has the status NO_PATH and no figures.
+    """
     c = F.col
     paths = graph.least_cost_paths(graph.edge_costs(t.segments))
     legs = paths.select("source", "dest", F.posexplode("path").alias("seq", "seg_id")).join(t.segments.drop("src", "dst"), "seg_id")
@@ -101,6 +104,9 @@ def evaluated_routes(t):
     facts = paths.select("source", "dest", "cost", "path")
     cargo = req.select("request_id", "source", "dest", "cargo_h", "cargo_w", "cargo_t")
     clear = agg.clearance(cargo.join(legs, ["source", "dest"]).withColumnRenamed("request_id", "route_id")).withColumnRenamed("route_id", "request_id")
-    j = req.join(facts, ["source", "dest"]).join(scores, "pair").join(clear, "request_id")
+    j = req.join(facts, ["source", "dest"], "left").join(scores, "pair", "left").join(clear, "request_id", "left")
     score = scoring.reliability(c("weather"), c("port"), F.round("congestion_score", 6), F.round("historical_score", 6), c("status") == "HARD_BLOCKED")
-    return j.select("request_id", "source", "dest", F.round("cost", 6).alias("cost"), joined("path").alias("path"), "status", "blocking_segment", "transit_hours", score.alias("reliability_score"))
+    found = c("path").isNotNull()
+    return j.select(
+        "request_id", "source", "dest", F.round("cost", 6).alias("cost"), joined("path").alias("path"), F.when(found, c("status")).otherwise("NO_PATH").alias("status"),
+        "blocking_segment", "transit_hours", F.when(found, score).alias("reliability_score"))

@@ -30,19 +30,19 @@ def _(t):
     return agg.route_scores(t.route_legs, t.routes).select("route_id", F.round("historical_score", 6).alias("score"))
 
 
-@query("agg_03_transit_hours", needs=("route_legs",), oracle="""
-SELECT route_id, round(count(*) * 4.5e0 + sum(delay_h), 2) AS transit_hours, round(sum(delay_h * 100) / 45 + sum(delay_h), 2) AS eta_hours
-FROM route_legs GROUP BY route_id""")
+@query("agg_03_transit_hours", needs=("route_legs", "routes"), oracle="""
+SELECT r.route_id, coalesce(round(n * 4.5e0 + s, 2), 0) AS transit_hours, coalesce(round(k / 45 + s, 2), 0) AS eta_hours
+FROM routes r LEFT JOIN (SELECT route_id, count(*) AS n, sum(delay_h) AS s, sum(delay_h * 100) AS k FROM route_legs GROUP BY route_id) g USING (route_id)""")
 def _(t):
-    eta = agg.remaining_hours(t.route_legs.withColumn("km", F.col("delay_h") * 100)).select("route_id", "eta_hours")
-    return agg.route_scores(t.route_legs).select("route_id", "transit_hours").join(eta, "route_id")
+    eta = agg.remaining_hours(t.route_legs.withColumn("km", F.col("delay_h") * 100), routes=t.routes).select("route_id", "eta_hours")
+    return agg.route_scores(t.route_legs, t.routes).select("route_id", "transit_hours").join(eta, "route_id")
 
 
-@query("agg_04_clearance_decision", needs=("route_legs",), oracle="""
-SELECT route_id, b AS blocking_segment, CASE WHEN b IS NULL THEN 'APPROVED' ELSE 'HARD_BLOCKED' END AS status
-FROM (SELECT route_id, min_by(seg_id, seq * 100000 + seg_id) FILTER (cargo_h > max_h OR cargo_w > max_w OR cargo_t > max_t) AS b FROM route_legs GROUP BY route_id) g""")
+@query("agg_04_clearance_decision", needs=("route_legs", "routes"), oracle="""
+SELECT r.route_id, b AS blocking_segment, CASE WHEN b IS NULL THEN 'APPROVED' ELSE 'HARD_BLOCKED' END AS status
+FROM routes r LEFT JOIN (SELECT route_id, min_by(seg_id, seq * 100000 + seg_id) FILTER (cargo_h > max_h OR cargo_w > max_w OR cargo_t > max_t) AS b FROM route_legs GROUP BY route_id) g USING (route_id)""")
 def _(t):
-    return agg.clearance(t.route_legs)
+    return agg.clearance(t.route_legs, t.routes)
 
 
 @query("agg_05_station_board", needs=("boards",), oracle="""
