@@ -23,6 +23,8 @@ import numpy as np
 
 #: Tuples of a range that are sorted at once, and those kept in memory altogether.
 RANGE, MEMORY = 1 << 13, 1 << 22
+#: Stretches between leftmost S suffixes are sorted as tuples where none is longer, otherwise by two sweeps.
+SHORT = 16
 
 
 class TupleQueue:
@@ -258,14 +260,19 @@ def suffix_array(text: np.ndarray, symbols: int, cap: int, wall: int = -1, memor
         return order, out
 
     if len(left) > 1:
-        order, _ = both_sweeps(left[np.argsort(text[left], kind="stable")], None)
-        is_left = np.zeros(n, bool)
-        is_left[left] = True
-        sorted_left = order[is_left[order]]
-        rank = np.zeros(n, np.int64)
-        rank[left] = np.arange(len(left))
         following = np.append(left[1:], n - 1)
         length = following - left
+        if length.max() <= SHORT:
+            # one that ends where another goes on ends in an S suffix, which is the larger
+            columns = [np.where(length >= k, text[np.minimum(left + k, n - 1)], symbols) for k in range(int(length.max()) + 1)]
+            sorted_left = left[np.lexsort(columns[::-1])]
+        else:
+            order, _ = both_sweeps(left[np.argsort(text[left], kind="stable")], None)
+            is_left = np.zeros(n, bool)
+            is_left[left] = True
+            sorted_left = order[is_left[order]]
+        rank = np.zeros(n, np.int64)
+        rank[left] = np.arange(len(left))
         fresh = ~equal_stretches(text, sorted_left[:-1], sorted_left[1:], length[rank[sorted_left]])
         names = np.concatenate(([0], np.cumsum(fresh)))
         reduced = np.zeros(len(left), np.int64)

@@ -31,9 +31,9 @@ SIZE = 200
 #: Bytes of the grams among which anchors are chosen.
 GRAM = 32
 #: Mean bytes of the segments that one task sorts.
-SHARD_BYTES = 1 << 20
-#: An anchor with more different segments than this is dealt out string by string.
-CROWD = 2000
+SHARD_BYTES = 6 << 20
+#: An anchor with more different segments than fill a shard is dealt out string by string.
+CROWD = SHARD_BYTES // 300
 #: Bytes of one text that are looked at together; stretches overlap, so that nothing is lost.
 STRETCH = 1 << 23
 
@@ -46,21 +46,21 @@ def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
         x = (x[:-width] << U64(8 * width)) | x[width:]
         width *= 2
     while width < gram:
-        x = mix(x[:-width] * U64(0x9E3779B97F4A7C15) + x[width:])
+        x = x[:-width] * U64(0x9E3779B97F4A7C15) + x[width:]
         width *= 2
     return mix(x)
 
 
-def anchors(text: bytes, size: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first, count): the strings that start at first .. first+count-1 have this anchor."""
+def anchors(text: bytes, size: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first, count, spot): the strings that start at first .. first+count-1 have their anchor at spot."""
     parts = [_anchors(text[a : a + STRETCH + size - 1], size, gram, a) for a in range(0, max(1, len(text) - size + 1), STRETCH)]
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _anchors(text: bytes, size: int, gram: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(text: bytes, size: int, gram: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(text) - size + 1
     if n < 1:
-        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, U64), *[np.zeros(0, np.int64)] * 3
     value = gram_hashes(np.frombuffer(text, np.uint8), gram)
     # the smallest hash decides, of equal ones the leftmost
     low = (value & ~U64(STRETCH * 2 - 1)) | np.arange(len(value), dtype=U64)
@@ -72,7 +72,7 @@ def _anchors(text: bytes, size: int, gram: int, base: int) -> tuple[np.ndarray,
         low = np.minimum(low[: len(low) - (among - width)], low[among - width :])
     at = (low & U64(STRETCH * 2 - 1)).astype(np.int64)
     first = np.flatnonzero(np.diff(at, prepend=-1))
-    return value[at[first]], first + base, np.diff(first, append=n)
+    return value[at[first]], first + base, np.diff(first, append=n), at[first] + base
 
 
 def span_key(text: bytes, first: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
@@ -102,23 +102,72 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _TABLES[0], _TABLES[1]
 
 
-def shared_strings(segments: list[bytes], counts: list[int], size: int) -> list[list[tuple[int, int]]]:
-    """Per segment the runs (from, to) of its first ``count`` strings that also start elsewhere in the segments."""
-    wall = b"\xff"  # no byte of UTF-8
-    joined = np.frombuffer(wall.join(segments) + wall, np.uint8).astype(np.int64) + 1
-    order, lcp = suffix_array(np.append(joined, 0), 257, size, 256)
-    long = lcp >= size
-    twice = np.zeros(len(joined) + 1, bool)
-    twice[order[long]] = True
-    twice[order[np.flatnonzero(long) - 1]] = True
-    out, at = [], 0
-    for segment, n in zip(segments, counts, strict=True):
-        edge = np.flatnonzero(np.diff(twice[at : at + n].astype(np.int8), prepend=0, append=0))
-        out.append(list(zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True)))
-        at += len(segment) + 1
+def shared_strings(segments: list[bytes], counts: np.ndarray, spots: np.ndarray, size: int) -> np.ndarray:
+    """Which of the first ``count`` strings of each segment, one after another, also start elsewhere in the segments.
+
+    Equal strings have equal anchors at equal places, so that all segments can be
+    cut into blocks from their anchors' places (``spots``) on: the blocks are the
+    symbols that are sorted. Strings that share all their whole blocks are
+    neighbours with a common prefix of that many blocks; among them the bytes in
+    front of the first and behind the last block are compared.
+    """
+    block = 32 if size >= 128 else 8
+    blocks = (size - block + 1) // block  # whole blocks of a string, wherever it begins
+    length = np.fromiter(map(len, segments), np.int64, len(segments))
+    base = np.cumsum(length) - length
+    eight, width = np.frombuffer(b"".join(segments), np.uint8).astype(U64), 1
+    while width < 8:  # the eight bytes from each place on
+        eight = eight[:-width] | (eight[width:] << U64(8 * width))
+        width *= 2
+    offset = spots % block
+    made = (length - offset) // block
+    of = np.repeat(np.arange(len(segments)), made)
+    place = offset[of] + block * (np.arange(made.sum()) - np.repeat(np.cumsum(made) - made, made))  # of each block in its segment
+    words = [eight[base[of] + place + k] for k in range(0, block, 8)]
+    rank = np.lexsort(words)
+    fresh = np.zeros(len(of), bool)
+    for x in words:
+        fresh[1:] |= x[rank[1:]] != x[rank[:-1]]
+    names = np.empty(len(of), np.int64)
+    names[rank] = np.cumsum(fresh) + 1
+    wall = int(names.max()) + 1
+    text = np.full(len(of) + len(segments) + 1, wall, np.int64)
+    at = np.arange(len(of)) + of
+    text[at], text[-1] = names, 0
+    order, lcp = suffix_array(text, wall + 1, blocks, wall)
+    group = np.empty(len(text), np.int64)
+    group[order] = np.cumsum(lcp < blocks)
+    group = group[at]
+    some = np.flatnonzero(np.bincount(group)[group] > 1)
+    out, first = np.zeros(counts.sum(), bool), np.cumsum(counts) - counts
+    for left in range(block):
+        begin = place[some] - left
+        inside = (begin >= 0) & (begin < counts[of[some]])
+        own, begin = some[inside], begin[inside]
+        where = base[of[own]] + begin
+        # eight bytes at a time; what of them lies in the blocks is equal anyway
+        front = [eight[where + k] for k in range(0, left, 8)]
+        behind = [eight[where + size - 8 - k] for k in range(0, size - blocks * block - left, 8)]
+        keys = [*front, *behind, group[own]]
+        rank = np.lexsort(keys)
+        same = np.ones(max(0, len(own) - 1), bool)
+        for x in keys:
+            same &= x[rank[1:]] == x[rank[:-1]]
+        string = first[of[own]] + begin
+        out[string[rank[1:][same]]] = True
+        out[string[rank[:-1][same]]] = True
     return out
 
 
+def runs_of(marked: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, from, to) of each run of marks; runs end with their segment."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    inner = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    begins = marked & ~(np.concatenate(([False], marked[:-1])) & (inner > 0))
+    ends = marked & ~(np.concatenate((marked[1:], [False])) & (inner < counts[of] - 1))
+    return of[begins], inner[begins], inner[ends] + 1
+
+
 def _keys() -> tuple[Column, Column]:
     return F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(17), "text", F.octet_length("text")).alias("k2")
 
@@ -131,9 +180,9 @@ def repeated_spans(docs: DataFrame, shelf: Shelf, size: int = SIZE) -> DataFrame
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, texts in batches(frames):
             found = [anchors(x, size) for x in texts]
-            n = [len(h) for h, _, _ in found]
+            n = [len(x[0]) for x in found]
             yield pd.DataFrame({
-                "h": np.concatenate([h for h, _, _ in found]).view(np.int64), "at": np.concatenate([a for _, a, _ in found]),
+                "h": np.concatenate([x[0] for x in found]).view(np.int64), "at": np.concatenate([x[1] for x in found]),
                 "k1": np.repeat(frame["k1"].to_numpy(), n), "k2": np.repeat(frame["k2"].to_numpy(), n),
             })
 
@@ -148,31 +197,35 @@ def repeated_spans(docs: DataFrame, shelf: Shelf, size: int = SIZE) -> DataFrame
 
     def segment(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, raw in batches(frames):
-            for k1, k2, own, x in zip(frame["k1"], frame["k2"], frame["anchors"], raw, strict=True):
-                h, first, count = anchors(x, size)
-                keep = np.isin(h, np.asarray(own, np.int64).view(U64))
-                h, first, count = h[keep], first[keep], count[keep]
-                yield pd.DataFrame({"h": h.view(np.int64), "segment": span_key(x, first, count, size).view(np.int64), "k1": k1, "k2": k2, "first": first, "n": count})
-
-    places = shelf.put(texts.mapInPandas(segment, "h long, segment long, k1 long, k2 long, first long, n long"))
-    kinds = shelf.put(places.groupBy("h", "segment").agg(F.count("*").alias("rows"), F.min(F.struct("k1", "k2", "first", "n")).alias("one")))
+            rows, n = [], []
+            for own, x in zip(frame["anchors"], raw, strict=True):
+                h, first, count, spot = anchors(x, size)
+                keep = np.flatnonzero(np.isin(h, np.asarray(own, np.int64).view(U64)))
+                h, first, count, spot = h[keep], first[keep], count[keep], spot[keep]
+                rows.append((h.view(np.int64), span_key(x, first, count, size).view(np.int64), first, count, spot - first))
+                n.append(len(keep))
+            columns = dict(zip(("h", "segment", "first", "n", "spot"), map(np.concatenate, zip(*rows, strict=True)), strict=True))
+            yield pd.DataFrame({**columns, "k1": np.repeat(frame["k1"].to_numpy(), n), "k2": np.repeat(frame["k2"].to_numpy(), n)})
+
+    places = shelf.put(texts.mapInPandas(segment, "h long, segment long, first long, n long, spot long, k1 long, k2 long"))
+    kinds = shelf.put(places.groupBy("h", "segment").agg(F.count("*").alias("rows"), F.min(F.struct("k1", "k2", "first", "n", "spot")).alias("one")))
     crowds = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
     mixed = shelf.put(kinds.join(crowds, "h").select("h", "segment", "kinds", (F.col("rows") == 1).alias("alone"), "one.*"))
     shards = max(1, -(-int(mixed.where(F.col("kinds") <= CROWD).agg(F.sum(F.col("n") + size)).first()[0] or 0) // SHARD_BYTES))
 
     def spell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, raw in batches(frames):
-            for asked, x in zip(frame["asked"], raw, strict=True):
-                rows = [(a["h"], a["segment"], a["alone"], a["n"], x[a["first"] : a["first"] + a["n"] + size - 1]) for a in asked]
-                yield pd.DataFrame(rows, columns=["h", "segment", "alone", "n", "bytes"])
+            rows = [(a["h"], a["segment"], a["alone"], a["n"], a["spot"], x[a["first"] : a["first"] + a["n"] + size - 1]) for asked, x in zip(frame["asked"], raw, strict=True) for a in asked]
+            yield pd.DataFrame(rows, columns=["h", "segment", "alone", "n", "spot", "bytes"])
 
-    of_text = lambda rows: texts.drop("anchors").join(rows.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "segment", "alone", "first", "n")).alias("asked")), ["k1", "k2"])
-    form = "h long, segment long, alone boolean, n long, bytes binary"
+    of_text = lambda rows: texts.drop("anchors").join(rows.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "segment", "alone", "first", "n", "spot")).alias("asked")), ["k1", "k2"])
+    form = "h long, segment long, alone boolean, n long, spot long, bytes binary"
 
     def sort_shard(frame: pd.DataFrame) -> pd.DataFrame:
-        runs = shared_strings(frame["bytes"].tolist(), frame["n"].tolist(), size)
-        rows = [(h, s, a, b) for h, s, alone, own in zip(frame["h"], frame["segment"], frame["alone"], runs, strict=True) if alone for a, b in own]
-        return pd.DataFrame(rows, columns=["h", "segment", "a", "b"])
+        counts = frame["n"].to_numpy()
+        of, a, b = runs_of(shared_strings(frame["bytes"].tolist(), counts, frame["spot"].to_numpy(), size), counts)
+        alone = frame["alone"].to_numpy()[of]
+        return pd.DataFrame({"h": frame["h"].to_numpy()[of], "segment": frame["segment"].to_numpy()[of], "a": a, "b": b})[alone]
 
     runs = "h long, segment long, a long, b long"
     sorted_runs = of_text(mixed.where(F.col("kinds") <= CROWD)).mapInPandas(spell, form) \
@@ -180,9 +233,11 @@ def repeated_spans(docs: DataFrame, shelf: Shelf, size: int = SIZE) -> DataFrame
 
     def strings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for h, s, alone, n, x in zip(frame["h"], frame["segment"], frame["alone"], frame["n"], frame["bytes"], strict=True):
-                at = np.arange(n)
-                yield pd.DataFrame({"h": h, "segment": s, "alone": alone, "a": at, "w": span_key(x, at, np.ones(n, np.int64), size).view(np.int64)})
+            n = frame["n"].to_numpy()
+            at = [np.arange(x) for x in n]
+            w = [span_key(x, a, np.ones(len(a), np.int64), size) for x, a in zip(frame["bytes"], at, strict=True)]
+            if len(n):
+                yield pd.DataFrame({**{c: np.repeat(frame[c].to_numpy(), n) for c in ("h", "segment", "alone")}, "a": np.concatenate(at), "w": np.concatenate(w).view(np.int64)})
 
     single = of_text(mixed.where(F.col("kinds") > CROWD)).mapInPandas(spell, form).mapInPandas(strings, "h long, segment long, alone boolean, a long, w long")
     # two different strings of one anchor have different values; a string's places differ in segment or start
@@ -229,13 +284,15 @@ def without_repeats(docs: DataFrame, size: int = SIZE, characters: bool = False)
     as do texts shorter than ``size`` for this purpose: nothing is covered.
     With ``characters`` a character that is covered in part stays whole.
     Repeated rows cover each other. An empty table gives no rows. Columns of
-    ``docs`` named k1, k2, spans or kept are replaced.
+    ``docs`` named spans or kept are replaced.
     """
     shelf = Shelf(docs.sparkSession)
-    docs = docs.drop("k1", "k2", "spans", "kept")
-    spans = repeated_spans(docs.select("text"), shelf, size)
+    docs = docs.drop("spans", "kept")
+    spans = repeated_spans(docs.select("text"), shelf, size).withColumnsRenamed({"k1": "text_key_1", "k2": "text_key_2"})
+    k1, k2 = _keys()
     # nulls hash like anything else, but have no row in ``spans``
-    joined = docs.select("*", *_keys()).join(spans, ["k1", "k2"], "left").drop("k1", "k2")
+    joined = docs.select("*", k1.alias("own_key_1"), k2.alias("own_key_2")).join(spans, (F.col("own_key_1") == F.col("text_key_1")) & (F.col("own_key_2") == F.col("text_key_2")), "left") \
+        .drop("own_key_1", "own_key_2", "text_key_1", "text_key_2")
     bytes_of = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     spans_or = F.coalesce("spans", none)

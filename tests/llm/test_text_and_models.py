@@ -10,7 +10,7 @@ from ballast.llm.induced import suffix_array
 from ballast.llm.language import letter_grams
 from ballast.llm.licenses import Index, align, fingerprints
 from ballast.llm.packing import END_ID, Codec, sum_of_squares
-from ballast.llm.repeats import anchors, shared_strings, span_key
+from ballast.llm.repeats import anchors, runs_of, shared_strings, span_key
 from ballast.llm.shards import Cells
 from ballast.llm.text import Batch, shingles
 from ballast.llm.toxicity import HIDDEN, Network, judge, train, windowed, windows_of
@@ -118,24 +118,38 @@ def test_suffix_array(memory):
     assert order.tolist() == list(range(3000, -1, -1)) and lcp.max() == 200
 
 
-def test_shared_strings():
-    rng = random.Random(1)
+@pytest.mark.parametrize("size", [40, 45, 200])
+def test_shared_strings(size):
+    """Segments are aligned at their anchors, as those of equal strings are."""
+    rng = random.Random(size)
     part = lambda n: bytes(rng.choice(b"abc") for _ in range(n))
-    common = part(60)
-    segments = [part(30) + common + part(20), part(25) + common[:45] + part(40), b"z" * 90, part(80)]
-    got = shared_strings(segments, [len(s) - 39 for s in segments], 40)
-    marks = covered(segments, 40)
-    for s, runs, mark in zip(segments, got, marks):
-        own = bytearray(len(s))
-        for a, b in runs:
-            own[a : b + 39] = b"\1" * (b + 39 - a)
-        assert own == mark
+    texts = []
+    common = part(3 * size)
+    for _ in range(25):
+        a = rng.randrange(size)
+        texts.append(part(rng.randrange(size)) + common[a : a + rng.randrange(3 * size)] + part(rng.randrange(size)))
+    texts += [b"z" * 3 * size, b"q" * size + b"z" * 2 * size]
+    segments, counts, spots, owner = [], [], [], []
+    for i, x in enumerate(texts):
+        for _, f, n, s in zip(*(y.tolist() for y in anchors(x, size, 8 if size < 64 else 32))):
+            segments.append(x[f : f + n + size - 1])
+            counts.append(n)
+            spots.append(s - f)
+            owner.append((i, f))
+    got = shared_strings(segments, np.array(counts), np.array(spots), size)
+    of, a, b = runs_of(got, np.array(counts))
+    marks = [bytearray(len(t)) for t in texts]
+    for k, x, y in zip(of.tolist(), a.tolist(), b.tolist()):
+        i, f = owner[k]
+        marks[i][f + x : f + y - 1 + size] = b"\1" * (y - x - 1 + size)
+    assert marks == covered(texts, size)
 
 
 def test_anchors_depend_on_the_string_alone():
     rng = random.Random(2)
     text = bytes(rng.choice(b"abcd ") for _ in range(3000))
-    h, first, count = anchors(text, 200)
+    h, first, count, spot = anchors(text, 200)
+    assert ((spot >= first + count - 1) & (spot <= first + 168)).all()
     assert first[0] == 0 and (first[1:] == first[:-1] + count[:-1]).all() and first[-1] + count[-1] == len(text) - 199
     of = np.repeat(h, count)
     for at in (0, 17, 1234, 2800):
