@@ -49,6 +49,7 @@ class Shelf:
         self.spark = spark
         self.root = f"{run_folder(spark)}/{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        self.held: list[DataFrame] = []  # so that no two tables share an id
         self.count = 0
 
     def path(self) -> str:
@@ -61,7 +62,7 @@ class Shelf:
         writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
-        self.keep = getattr(self, "keep", []) + [out]
+        self.held.append(out)
         return out
 
     def drop(self, *dfs: DataFrame) -> None:

@@ -38,10 +38,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A character that such a string covers in part stays. Null texts stay null,
     and a document that consists of repeats stays with an empty text.
     """
-    found = repeats.without_repeats(docs, characters=True)
-    text = F.when(F.size("spans") > 0, F.col("kept").cast("string")).otherwise(F.col("text"))
-    changed = found.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length(text)).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else found
-    return changed.withColumn("text", text).select([F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])
+    plain = docs.withColumnsRenamed({c: f"own_{c}" for c in ("spans", "kept")})
+    found = repeats.without_repeats(plain, characters=True)
+    hit = F.size("spans") > 0
+    text = F.when(hit, F.col("kept").cast("string")).otherwise(F.col("text"))
+    new = {"text": text, "n_chars": F.when(hit, F.char_length(text)).otherwise(F.col("n_chars"))}
+    return found.select([new.get(c, F.col(f"own_{c}" if c in ("spans", "kept") else c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
