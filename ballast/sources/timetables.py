@@ -37,7 +37,8 @@ def strict_csv(spark: SparkSession, path: str, max_rows: int | None = None) -> t
     """Text rows of a CSV with header, and its violations (code, n).
 
     Values are trimmed, all-blank rows are dropped, short rows are filled with
-    nulls, rows wider than the header are reported.
+    nulls, rows wider than the header are reported and left out. Every file below
+    ``path`` begins with the header.
     """
     names = header(spark, path)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(CORRUPT, T.StringType())])
@@ -54,7 +55,7 @@ def strict_csv(spark: SparkSession, path: str, max_rows: int | None = None) -> t
     if max_rows is not None:
         tests.append(F.struct(F.lit("TOO_MANY_ROWS").alias("code"), F.greatest(F.col("_n") - max_rows, F.lit(0)).alias("n")))
     bad = counts.select(F.explode(F.array(*tests)).alias("x")).select("x.*").where("n > 0")
-    return rows.drop(CORRUPT), bad
+    return rows.where(F.coalesce(width <= len(names), F.lit(True))).drop(CORRUPT), bad
 
 
 def read_static(spark: SparkSession, folder: str, members: list[str]) -> dict[str, DataFrame]:
