@@ -25,12 +25,12 @@ def query(name: str, oracle: str | None = None):
 
 
 @query("op6_benchmark_containment", f"""
-with i as (select item_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\v\\f\\r]+'), x -> x <> '') w from benchmark),
-si as (select distinct item_id, unnest(case when len(w) >= {decontaminate.WIDTH} then list_transform(range(1, len(w) - {decontaminate.WIDTH - 2}), k -> array_to_string(w[k:k + {decontaminate.WIDTH - 1}], ' '))
+with i as (select item_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') w from benchmark),
+si as (select distinct item_id, unnest(case when len(w) >= {decontaminate.WIDTH} then list_transform(range(1, len(w) - {decontaminate.WIDTH - 2}), lambda k: array_to_string(w[k:k + {decontaminate.WIDTH - 1}], ' '))
        when len(w) > 0 then [array_to_string(w, ' ')] else [] end) s, least(len(w), {decontaminate.WIDTH}) width from i),
 n as (select item_id, count(*) n_item from si group by item_id),
-d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\v\\f\\r]+'), x -> x <> '') w from documents),
-sd as (select distinct doc_id, width, unnest(list_transform(range(1, len(w) - width + 2), k -> array_to_string(w[k:k + width - 1], ' '))) s
+d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') w from documents),
+sd as (select distinct doc_id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda k: array_to_string(w[k:k + width - 1], ' '))) s
        from d, (select distinct width from si) where len(w) >= width)
 select doc_id, item_id, n_item, count(*) n_shared, count(*) / n_item containment
 from sd join si using (s, width) join n using (item_id)
