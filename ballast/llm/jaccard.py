@@ -37,7 +37,7 @@ THRESHOLD_PERCENT = 80
 #: Counters of the frequency sketch, as a power of two; four bytes each in a task, one when shared.
 SKETCH_BITS = 19
 #: Ranges of the order that the suffix filter counts.
-RANGES = 16
+RANGES = 64
 
 
 def text_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
@@ -97,7 +97,7 @@ def verified(pairs: DataFrame, docs: DataFrame, ranges: DataFrame, width: int, p
     """Of distinct pairs (a, b) those over the threshold: suffix filter, then the sets themselves."""
     key = docs.schema["doc_id"].dataType.simpleString()
     of = lambda side: ranges.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("ranges").alias(f"r_{side}"))
-    apart = F.aggregate(F.zip_with("r_a", "r_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
+    apart = F.aggregate(F.zip_with("r_a", "r_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda x, y: x + y)
     most = (F.col("n_a") + F.col("n_b") - apart) / 2
     asked = shelf.put(
         pairs.join(of("a"), "a").join(of("b"), "b").where(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).select("a", "b"))
@@ -154,14 +154,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = THRESHOL
                 held.append(s)
                 out["n"].append(len(s))
                 out["set_key"].append(s.sum(dtype=U64).tobytes() + mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64).tobytes())
-                out["ranges"].append(np.bincount((mix(s) >> U64(60)).astype(np.int64), minlength=RANGES))
+                out["ranges"].append(np.minimum(np.bincount((mix(s) >> U64(65 - RANGES.bit_length())).astype(np.int64), minlength=RANGES), 32767))
             total += np.bincount((np.concatenate(held) >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=cells)
             yield pd.DataFrame({"doc_id": frame["doc_id"].array, **out, "block": None, "counts": None})
         if total.any():
             yield pd.DataFrame({"doc_id": None, "n": None, "set_key": None, "ranges": None, "block": range(blocks), "counts": [x.astype("<u4").tobytes() for x in total.reshape(blocks, -1)]})
 
     # sizes of the sets and each task's share of the sketch, from one pass over the texts
-    both = shelf.put(docs.select("doc_id", "text").mapInPandas(survey, f"doc_id {key}, n int, set_key binary, ranges array<int>, block int, counts binary"))
+    both = shelf.put(docs.select("doc_id", "text").mapInPandas(survey, f"doc_id {key}, n int, set_key binary, ranges array<smallint>, block int, counts binary"))
     facts = both.where("block is null").drop("block", "counts")
     sketch = docs.sparkSession.sparkContext.broadcast(_rarity(both.where("block is not null").select("block", "counts"), cells, blocks))
 
