@@ -63,6 +63,7 @@ class Network:
 
     keys: list[np.ndarray] = field(default_factory=lambda: [np.zeros(0, U64)] * 2)
     p: dict[str, np.ndarray] = field(default_factory=dict)
+    wordless: float = 0.0  # logit of a text without words
 
     @staticmethod
     def new(keys: list[np.ndarray], weights: list[np.ndarray], seed: int = 1) -> Network:
@@ -93,10 +94,10 @@ class Network:
         """Logits of windows: ids (inputs, time, windows), mask (time, windows)."""
         p, h = self.p, HIDDEN
         x = np.concatenate((p["word"][ids[0]], p["piece"][ids[1:]].sum(axis=0)), axis=-1)
-        time, n = mask.shape
+        time, n, kind = *mask.shape, p["u"].dtype
         both = np.stack((x, x[::-1])), np.stack((mask, mask[::-1]))[..., None]
         gates = (both[0].reshape(2, time * n, -1) @ p["wx"] + p["b"]).reshape(2, time, n, 3 * h)
-        state, states, kept = np.zeros((2, n, h), np.float32), np.empty((2, time, n, h), np.float32), []
+        state, states, kept = np.zeros((2, n, h), kind), np.empty((2, time, n, h), kind), []
         for t in range(time):
             own = state @ p["wh"]
             rz = sigmoid(gates[:, t, :, : 2 * h] + own[..., : 2 * h])
@@ -109,7 +110,7 @@ class Network:
                 kept.append((before, own, r, z, new))
         hidden = np.concatenate((states[0], states[1, ::-1]), axis=-1)
         look = np.tanh(hidden @ p["wa"] + p["ba"])
-        weight = look @ p["va"] + np.where(mask > 0, np.float32(0), np.float32(-1e9))
+        weight = look @ p["va"] + np.where(mask > 0, 0, -1e9).astype(kind)
         weight = np.exp(weight - weight.max(axis=0))
         weight /= weight.sum(axis=0)
         pooled = (weight[..., None] * hidden).sum(axis=0)
@@ -132,7 +133,7 @@ class Network:
         g["wa"], g["ba"] = np.tensordot(hidden, d_look, ((0, 1), (0, 1))), d_look.sum(axis=(0, 1))
         d_hidden = d_hidden + d_look @ p["wa"].T
         d_states = np.stack((d_hidden[..., :h], d_hidden[::-1, :, h:]))
-        g["wh"], d_gates, d_state = np.zeros_like(p["wh"]), np.zeros((2, *mask.shape, 3 * h), np.float32), np.zeros((2, n, h), np.float32)
+        g["wh"], d_gates, d_state = np.zeros_like(p["wh"]), np.zeros((2, *mask.shape, 3 * h), p["u"].dtype), np.zeros((2, n, h), p["u"].dtype)
         for t in range(mask.shape[0] - 1, -1, -1):
             before, own, r, z, new = kept[t]
             d_state = d_state + d_states[:, t]
@@ -169,15 +170,20 @@ def windowed(ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np
 
 def vocabularies(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The features that tell the classes best apart, of words and of pieces, with their weights of evidence."""
+    def counted(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each value with the number of documents that have it, and of toxic ones."""
+        _, at = np.unique(mix(row ^ mix(doc.astype(U64) + U64(1))), return_index=True)
+        value, which = np.unique(row[at], return_inverse=True)
+        return value, np.bincount(which), np.bincount(which, weights=toxic[doc[at]])
+
     keys, weights = [], []
+    pos, neg = toxic.sum(), len(toxic) - toxic.sum()
     for rows in (features[:1], features[1:]):
-        pairs = np.unique(np.stack((rows.ravel(), np.tile(doc.astype(U64), len(rows)))), axis=1)
-        value, at, n = np.unique(pairs[0], return_index=True, return_counts=True)
-        hits = np.add.reduceat(toxic[pairs[1].astype(np.int64)], at)
-        pos, neg = toxic.sum(), len(toxic) - toxic.sum()
+        value, n, hits = (np.concatenate(x) for x in zip(*map(counted, rows), strict=True))
         weight = np.log((hits + 0.5) / (pos + 1)) - np.log((n - hits + 0.5) / (neg + 1))
         worth = np.where(n >= 3, np.abs(weight) * np.sqrt(n), 0)
-        chosen = np.sort(np.argsort(-worth, kind="stable")[: min(VOCABULARY, int((worth > 0).sum()))])
+        chosen = np.argsort(-worth, kind="stable")[: min(VOCABULARY, int((worth > 0).sum()))]
+        chosen = chosen[np.argsort(value[chosen])]
         keys.append(value[chosen])
         weights.append(np.clip(weight[chosen] / 4, -2, 2))
     return keys, weights
@@ -185,16 +191,26 @@ def vocabularies(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> tu
 
 def train(texts: list[bytes], toxic: np.ndarray, seed: int = 1) -> Network:
     """A network from texts and their 0/1 labels; its logit 0 separates the two best on them."""
-    batch = Batch(texts, letters=True)
-    start, length, owner = windows_of(batch.first)
+    # a part of the texts at a time: their byte-wise arrays are large
+    parts, counts = [], []
+    for low in range(0, len(texts), 100):
+        batch = Batch(texts[low : low + 100], letters=True)
+        parts.append(word_features(batch))
+        counts.append(np.diff(batch.first))
+    counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+    start, length, owner = windows_of(np.concatenate(([0], np.cumsum(counts))))
     if not len(start) or toxic.min() == toxic.max():
         net = Network.new([np.zeros(0, U64)] * 2, [np.zeros(0)] * 2)
-        net.p["u"][:], net.p["c"][:] = 0, 4.0 if len(toxic) and toxic.min() else -4.0
+        net.wordless = 4.0 if len(toxic) and toxic.min() else -4.0
+        net.p["u"][:], net.p["c"][:] = 0, net.wordless
         return net
-    features = word_features(batch)
-    keys, weights = vocabularies(features, batch.doc, toxic.astype(np.int64))
+    features = np.concatenate(parts, axis=1)
+    del parts
+    keys, weights = vocabularies(features, np.repeat(np.arange(len(texts)), counts), toxic.astype(np.int64))
     net = Network.new(keys, weights, seed)
     ids, rng = net.ids(features), np.random.default_rng(seed)
+    del features
+    net.wordless = float(np.log(toxic.sum() / (len(toxic) - toxic.sum())))
     evidence = net.p["word"][ids[0], 0] + net.p["piece"][ids[1:], 0].max(axis=0)
     score = np.array([evidence[a : a + n].max() for a, n in zip(start, length, strict=True)])
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
@@ -260,7 +276,7 @@ def judge(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.
     """Of each text the score, the number of windows and the bytes of the highest one (-1 without words)."""
     batch = Batch(texts, letters=True)
     start, length, owner = windows_of(batch.first)
-    logit, low, high = np.full(len(texts), float(net.p["c"][0])), np.full(len(texts), -1), np.full(len(texts), -1)
+    logit, low, high = np.full(len(texts), net.wordless), np.full(len(texts), -1), np.full(len(texts), -1)
     if len(start):
         found = net.window_logits(net.ids(word_features(batch)), start, length)
         worst = worst_windows(found, owner)
@@ -275,8 +291,8 @@ def score_documents(docs: DataFrame, net: Network) -> DataFrame:
     """Rows (doc_id, score, predicted, windows, worst_start, worst_end) for every row of ``docs``.
 
     ``worst_start``/``worst_end`` are bytes of the highest window in the text's
-    UTF-8 form, null without words. Null and wordless texts get the score of an
-    empty window. Repeated rows are kept; an empty table gives no rows. Columns
+    UTF-8 form, null without words. Null and wordless texts get the share of
+    toxic documents among the sampled ones. Repeated rows are kept; an empty table gives no rows. Columns
     other than doc_id and text are not read.
     """
     Shelf(docs.sparkSession)
