@@ -499,22 +499,16 @@ def _(t):
 
 # --- models ------------------------------------------------------------------------------------------------
 
-QUICK = {
-    "GradientBoostingRegressor": {"maxIter": 12, "stepSize": 0.2, "maxDepth": 3, "minInstancesPerNode": 3},
-    "RandomForestRegressor": {"numTrees": 12, "maxDepth": 6, "minInstancesPerNode": 3},
-}
-
-
 @query("mlo_01_training_protocol")
 def _(t):
-    """Test errors of the chosen model and of the formula; fewer trees than the defaults keep it short."""
-    r = models.train(t.features, hour_slot("observation_time", 24), settings=QUICK)
+    """Test errors of the chosen model and of the formula."""
+    r = models.train(t.features, hour_slot("observation_time", 24))
     return r["test"].select("rule", "rows", "mae", "rmse", "median_ae", "r2").withColumn("winner", F.lit(r["winner"]))
 
 
 @query("mlo_02_guarded_scoring")
 def _(t):
-    r = models.train(t.features, hour_slot("observation_time", 24), settings=QUICK)
+    r = models.train(t.features, hour_slot("observation_time", 24))
     gates = r["gates"].first().asDict()
     s = models.score(t.features, r["model"], r["bounds"], models.approved_gates({k: v for k, v in gates.items() if k != "eligible"}), "PRODUCTION")
     return s.select("row_id", "formula_minutes", "ml_minutes", "operational_minutes", "fallback", "reason")

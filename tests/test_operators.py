@@ -336,3 +336,20 @@ def test_cheapest_paths_have_no_hop_bound(spark):
     want = sorted((a, b, n + 1, p) for a, b in wanted for n, (_, p) in enumerate(sorted(walk(a, b, {a}, 0.0, []))[:3]))
     assert sorted((r.source, r.dest, r["rank"], r.path) for r in got) == want
     assert [r.path for r in got if r.source == 0] == [[0, 1, 2, 3, 4, 5]]
+
+
+@pytest.mark.parametrize("name", ["mlo_01_training_protocol", "mlo_02_guarded_scoring"])
+def test_registered_training_is_the_operators_own_protocol(spark, monkeypatch, name):
+    from ballast.operators import models
+    from ballast.plans import QUERIES
+
+    class Fitted(Exception):
+        pass
+
+    def estimators(settings):
+        raise Fitted(settings)
+
+    monkeypatch.setattr(models, "_estimators", estimators)
+    with pytest.raises(Fitted) as e:
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert e.value.args[0] == models.CANDIDATES
