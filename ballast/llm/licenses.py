@@ -1,16 +1,18 @@
-"""License texts in documents: winnowed fingerprints pick candidates, banded alignment confirms them.
-
-Words are runs of letters and digits in lower case. Of every few neighbouring
-word k-grams of a template the one of smallest hash is a fingerprint; an
-inverted index leads from fingerprints to their places in templates. Documents
-are winnowed alike, so any run of K + W - 1 common words is noticed. Hits on
-neighbouring diagonals make a candidate, whose stretch of the document is
-aligned with the template within a band around the diagonal. Reported are the
-share of template words matched in order and the span of the document.
+"""License texts in documents: common words or word k-grams pick candidates, alignment confirms them.
+
+Words are runs of letters and digits in lower case. An inverted index leads from
+the k-grams of long templates to their places; any K common words in a row make
+a candidate, whose stretch of the document is aligned with the template within a
+band around the diagonal. A template of fewer than SHORT words is found exactly:
+whatever reaches the coverage holds one of its few rarest words, and around
+these the tightest stretches are searched, with at most BAND words put in.
+Reported are the share of template words matched in order and the span of the
+document.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,11 +26,15 @@ from ballast.llm.text import Batch, batches, shingles
 
 #: Words of a fingerprint, and fingerprints of which one is kept.
 K, W = 3, 3
+#: Templates of fewer words are searched exactly.
+SHORT = 66
 #: Words by which an alignment may leave its diagonal at most, and the least share of template words matched.
 BAND, COVERAGE = 12, 0.8
 #: The index is sent to all tasks; more template words than this are refused.
 MOST_WORDS = 1_000_000
 
+# Words too common to look for.
+COMMON = frozenset("a an and any are as at be by for from in is it may not of on or that the this to under use was with without work you".split())
 # Public license notices and texts.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
@@ -84,12 +90,19 @@ def fingerprints(words: np.ndarray, first: np.ndarray, k: int = K, w: int = W) -
 
 @dataclass
 class Index:
-    """``keys`` are sorted fingerprints; ``places`` their (template, word place) lists."""
+    """``keys`` are sorted k-grams; ``places`` their (template, word place) lists; ``plain`` are the words of each template."""
 
     names: list[str]
     words: list[np.ndarray]
     keys: np.ndarray
     places: list[list[tuple[int, int]]]
+    plain: list[list[str]]
+
+    def rare(self, t: int, coverage: float) -> np.ndarray:
+        """Hashes of words of which every stretch that reaches the coverage holds one."""
+        spared = len(self.words[t]) - least(len(self.words[t]), coverage) + 1
+        order = sorted(range(len(self.words[t])), key=lambda i: (self.plain[t][i] in COMMON, -len(self.plain[t][i]), i))
+        return np.unique(self.words[t][order[:spared]])
 
     @staticmethod
     def of(templates: dict[str, str]) -> Index:
@@ -99,10 +112,44 @@ class Index:
             raise ValueError(f"templates have {len(batch.start)} words; at most {MOST_WORDS} can be sent to every task")
         hashes = batch.hashes()
         found = defaultdict(list)
-        for h, t, at in zip(*(x.tolist() for x in fingerprints(hashes, batch.first)), strict=True):
+        for h, t, at in zip(*(x.tolist() for x in fingerprints(hashes, batch.first, w=1)), strict=True):
             found[h].append((t, at))
         keys = np.array(sorted(found), np.uint64)
-        return Index(names, [hashes[a:b] for a, b in zip(batch.first[:-1], batch.first[1:], strict=True)][: len(names)], keys, [found[k] for k in keys.tolist()])
+        cuts = list(zip(batch.first[:-1], batch.first[1:], strict=True))[: len(names)]
+        plain = [bytes(batch.raw[a:b]).decode("utf-8", "replace").lower() for a, b in zip(batch.start, batch.end, strict=True)]
+        return Index(names, [hashes[a:b] for a, b in cuts], keys, [found[k] for k in keys.tolist()], [plain[a:b] for a, b in cuts])
+
+
+def least(size: int, coverage: float) -> int:
+    """Words that must match, at least one."""
+    return max(1, math.ceil(coverage * size - 1e-9))
+
+
+def tightest(template: np.ndarray, words: np.ndarray, need: int, begin: int, stop: int) -> list[tuple[int, int, int]]:
+    """(matched, first word, end word) of stretches between two places with ``need`` words of a short template in order.
+
+    For each end and number of matched words the latest first word is taken.
+    """
+    m = len(template)
+    at = defaultdict(list)
+    for i, w in enumerate(template.tolist()):
+        at[w].append(i + 1)
+    # latest[i, k]: where the last k matches within i template words begin
+    latest = np.full((m + 1, m + 1), -1, np.int64)
+    found = []
+    for p in range(begin, stop):
+        mine = at.get(int(words[p]))
+        if not mine:
+            continue
+        before = latest.copy()
+        for i in mine:
+            latest[i, 1:] = np.maximum(latest[i, 1:], before[i - 1, :-1])
+            latest[i, 1] = p
+        latest = np.maximum.accumulate(latest, axis=0)
+        for k in range(need, m + 1):
+            if latest[m, k] > before[m, k] and p + 1 - latest[m, k] - k <= BAND:
+                found.append((k, int(latest[m, k]), p + 1))
+    return found
 
 
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
@@ -134,25 +181,49 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAN
     return matched, low, high
 
 
-def scan_text(words: np.ndarray, hits: list[tuple[int, int, int]], index: Index, coverage: float) -> list[tuple[str, int, int, int]]:
-    """(template, matched, first word, end word) found in one text from hits (template, template place, text place)."""
-    out = []
+def scan_text(words: np.ndarray, hits: list[tuple[int, int, int]], rare: list[tuple[int, int]], index: Index, coverage: float) -> list[tuple[str, int, int, int]]:
+    """(template, matched, first word, end word) found in one text.
+
+    ``hits`` are (template, template place, text place) of k-grams, ``rare`` are
+    (short template, text place) of its rarest words.
+    """
+    found = defaultdict(list)
     by_template = defaultdict(set)
     for t, a, b in hits:
-        by_template[t].add(b - a)
-    for t, diagonals in sorted(by_template.items()):
-        template, found, last = index.words[t], [], None
-        band = max(2, min(BAND, len(template) // 3))  # narrower than two occurrences are apart
+        if len(index.words[t]) >= SHORT:
+            by_template[t].add(b - a)
+    for t, diagonals in by_template.items():
+        template, last = index.words[t], None
         for d in sorted(diagonals):
-            if last is not None and d - last <= band // 2:
-                continue  # within the band of the candidate before
+            if last is not None and d - last <= BAND // 2:
+                continue  # within BAND of it the candidate before has looked
             last = d
-            matched, low, high = align(template, words, d, band)
-            if matched and matched >= coverage * len(template) - 1e-9:
-                found.append((matched, low, high))
-        # of alignments that overlap the best one stays, of equals the first
+            matched, low, high = align(template, words, d, BAND + BAND // 2)
+            if matched >= least(len(template), coverage):
+                found[t].append((matched, low, high))
+    spots = defaultdict(list)
+    for t, b in rare:
+        spots[t].append(b)
+    for t, places in spots.items():
+        template = index.words[t]
+        need, reach = least(len(template), coverage), len(template) + BAND
+        known = np.concatenate(([0], np.cumsum(np.isin(words, template))))
+        stretches: list[list[int]] = []
+        for b in sorted(places):
+            begin, stop = max(0, b - reach), min(len(words), b + reach)
+            if known[stop] - known[begin] < need:
+                continue
+            if stretches and begin <= stretches[-1][1]:
+                stretches[-1][1] = stop
+            else:
+                stretches.append([begin, stop])
+        for begin, stop in stretches:
+            found[t] += tightest(template, words, need, begin, stop)
+    out = []
+    for t in sorted(found):
+        # of alignments that overlap the best one stays, of equals the shortest, then the first
         taken: list[tuple[int, int, int]] = []
-        for matched, low, high in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
+        for matched, low, high in sorted(found[t], key=lambda x: (-x[0], x[2] - x[1], x[1])):
             if all(high <= a or b <= low for _, a, b in taken):
                 taken.append((matched, low, high))
         out += [(index.names[t], matched, low, high) for matched, low, high in sorted(taken, key=lambda x: x[1])]
@@ -162,8 +233,7 @@ def scan_text(words: np.ndarray, hits: list[tuple[int, int, int]], index: Index,
 def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """Rows (doc_id, license, matched, template_words, coverage, span_start, span_end), one per occurrence.
 
-    Spans are bytes of the text's UTF-8 form. Templates of fewer than K words
-    are found where they are a whole text. Null and empty texts and templates
+    Spans are bytes of the text's UTF-8 form. Null and empty texts and templates
     match nothing; repeated rows are reported each. Of occurrences of one
     template that overlap the best is reported; different templates may overlap.
     No templates or an empty table give no rows. Columns other than doc_id and
@@ -177,19 +247,29 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, cove
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
         sizes = dict(zip(index.names, map(len, index.words), strict=True))
+        seeds = defaultdict(list)
+        for t, own in enumerate(index.words):
+            if 0 < len(own) < SHORT:
+                for h in index.rare(t, coverage).tolist():
+                    seeds[h].append(t)
+        seed_keys = np.array(sorted(seeds), np.uint64)
         for frame, texts in batches(frames):
             batch = Batch(texts, letters=True)
             words = batch.hashes()
-            print_, text, at = fingerprints(words, batch.first)
+            print_, text, at = fingerprints(words, batch.first, w=1)
             spot = np.searchsorted(index.keys, print_)
             hit = np.flatnonzero(index.keys[np.minimum(spot, len(index.keys) - 1)] == print_) if len(index.keys) else []
             by_text = defaultdict(list)
             for i in hit:
                 by_text[int(text[i])] += [(t, a, int(at[i])) for t, a in index.places[spot[i]]]
+            of_words = defaultdict(list)
+            for p in np.flatnonzero(np.isin(words, seed_keys)).tolist():
+                i = int(np.searchsorted(batch.first, p, "right")) - 1
+                of_words[i] += [(t, p - int(batch.first[i])) for t in seeds[int(words[p])]]
             rows, ids = [], frame["doc_id"].tolist()
-            for i, hits in sorted(by_text.items()):
+            for i in sorted(by_text.keys() | of_words.keys()):
                 own = slice(batch.first[i], batch.first[i + 1])
-                for name, matched, low, high in scan_text(words[own], hits, index, coverage):
+                for name, matched, low, high in scan_text(words[own], by_text[i], of_words[i], index, coverage):
                     a, b = batch.start[own][low] - batch.offset[i], batch.end[own][high - 1] - batch.offset[i]
                     rows.append((ids[i], name, matched, sizes[name], matched / sizes[name], int(a), int(b)))
             out = pd.DataFrame(rows, columns=names)

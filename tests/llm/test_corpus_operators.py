@@ -305,6 +305,17 @@ def test_licenses(spark, docs, none):
     assert licenses.license_spans(none).count() == 0 == licenses.license_spans(docs, {}).count() == licenses.license_spans(docs, {"a": "", "b": "?"}).count()
 
 
+def test_short_notices(spark):
+    """Any word of a short notice may be missing, and words may stand between its words."""
+    rows = [(1, "Released under the terms of the MIT License."), (2, "Released under a MIT License."), (3, "so Released under these MIT License"),
+            (4, "Licensed under the Apache Software License, Version 2.0."),
+            (6, "Released under the MIT License. Released under the MIT License."), (7, "Released some under words of the")]
+    got = licenses.license_spans(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.license, r.matched, r.span_start, r.span_end) for r in got) == [
+        (1, "MIT-notice", 5, 0, 43), (2, "MIT-notice", 4, 0, 28), (3, "MIT-notice", 4, 3, 35), (4, "Apache-2.0-line", 8, 0, 55),
+        (6, "MIT-notice", 5, 0, 30), (6, "MIT-notice", 5, 32, 62)]
+
+
 def check_repeats(got, rows, size):
     texts = [(t or "").encode() for _, t in rows]
     want = []
