@@ -35,12 +35,83 @@ MOST_WORDS = 1_000_000
 
 # Words too common to look for.
 COMMON = frozenset("a an and any are as at be by for from in is it may not of on or that the this to under use was with without work you".split())
+# Words that tell related licenses apart. A stretch must have those of the template and may not have others of APART.
+APART = frozenset("affero lesser nc nd noderivatives noderivs noncommercial sa sharealike".split())
+TELLING = APART | frozenset("agpl apache attribution bsd by cc cc0 gnu gpl isc lgpl library mit mozilla mpl only later unlicense zlib".split())
+
+# Parts of Creative Commons names by their short form.
+CC_PARTS = {"BY": "Attribution", "NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
+CC_KINDS = ("BY", "BY-SA", "BY-NC", "BY-NC-SA", "BY-ND", "BY-NC-ND")
+CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+GNU_NAMES = {
+    "GPL-1.0": ("General", "1"), "GPL-2.0": ("General", "2"), "GPL-3.0": ("General", "3"), "LGPL-2.0": ("Library General", "2"),
+    "LGPL-2.1": ("Lesser General", "2.1"), "LGPL-3.0": ("Lesser General", "3"), "AGPL-3.0": ("Affero General", "3"),
+}
+SPDX = (
+    *"MIT MIT-0 ISC Zlib Unlicense CC0-1.0 BSL-1.0 Apache-1.1 Apache-2.0 BSD-2-Clause BSD-3-Clause MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0".split(),
+    *(f"{x}-{y}" for x in GNU_NAMES for y in ("only", "or-later")), *(f"CC-{k}-{v}" for k in CC_KINDS for v in CC_VERSIONS),
+)
+BSD_START = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
+the following disclaimer in the documentation and/or other materials provided with the distribution. """
+BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission. """
+BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN
+NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS;
+OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def gnu_header(thing: str, name: str, version: str) -> str:
+    return f"""This {thing} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} Public License
+as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This
+{thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} Public License for more details."""
+
+
 # Public license notices and texts.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
-    "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
+    "ISC-notice": "Released under the ISC License.",
+    "Zlib-notice": "Released under the zlib License.",
+    "BSD-notice": "Released under the BSD License.",
+    "BSD-2-Clause-notice": "Released under the BSD 2-Clause License.",
+    "BSD-3-Clause-notice": "Released under the BSD 3-Clause License.",
+    "Unlicense-notice": "Released into the public domain under the Unlicense.",
+    **{f"Apache-{v}-line": f"Licensed under the Apache License, Version {v}." for v in ("1.0", "1.1", "2.0")},
+    **{f"MPL-{v}-notice": f"Released under the Mozilla Public License, Version {v}." for v in ("1.0", "1.1", "2.0")},
+    **{f"{x}-line": f"This work is licensed under the GNU {name} Public License, version {v}." for x, (name, v) in GNU_NAMES.items()},
+    **{f"{x}-notice": f"Released under the GNU {name} Public License, version {v}." for x, (name, v) in GNU_NAMES.items()},
+    **{f"{x}-header": gnu_header("program", name, v) for x, (name, v) in GNU_NAMES.items()},
+    **{f"{x}-library-header": gnu_header("library", name, v) for x, (name, v) in GNU_NAMES.items() if x[0] == "L"},
+    **{f"CC-{k}-{v}-line": f"Licensed under CC {k} {v}." for k in CC_KINDS for v in CC_VERSIONS},
+    **{
+        f"CC-{k}-{v}-notice": f"This work is licensed under a Creative Commons {'-'.join(CC_PARTS[x] for x in k.split('-'))} {v} License."
+        for k in CC_KINDS for v in CC_VERSIONS
+    },
+    "CC0-1.0-line": "Released under CC0 1.0.",
+    "CC0-1.0-notice": "Released under the CC0 1.0 Universal Public Domain Dedication.",
+    **{f"{x}-spdx": f"SPDX-License-Identifier: {x}" for x in SPDX},
+    "BSD-2-Clause": BSD_START + BSD_END,
+    "BSD-3-Clause": BSD_START + BSD_NAMES + BSD_END,
+    "MPL-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The
+origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this
+software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source
+versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be
+removed or altered from any source distribution.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate
+any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at
+large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in
+perpetuity of all present and future rights to this software under copyright law.""",
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to
 use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom
@@ -61,10 +132,6 @@ compliance with the License. You may obtain a copy of the License at http://www.
 by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
 WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions
 and limitations under the License.""",
-    "GPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
-General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
-later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
-implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
 }
 
 
@@ -90,13 +157,15 @@ def fingerprints(words: np.ndarray, first: np.ndarray, k: int = K, w: int = W) -
 
 @dataclass
 class Index:
-    """``keys`` are sorted k-grams; ``places`` their (template, word place) lists; ``plain`` are the words of each template."""
+    """``keys`` are sorted k-grams; ``places`` their (template, word place) lists; ``plain`` are the words of each template, ``must`` tells which may not be missing."""
 
     names: list[str]
     words: list[np.ndarray]
     keys: np.ndarray
     places: list[list[tuple[int, int]]]
     plain: list[list[str]]
+    must: list[np.ndarray]
+    apart: np.ndarray
 
     def rare(self, t: int, coverage: float) -> np.ndarray:
         """Hashes of words of which every stretch that reaches the coverage holds one."""
@@ -117,7 +186,19 @@ class Index:
         keys = np.array(sorted(found), np.uint64)
         cuts = list(zip(batch.first[:-1], batch.first[1:], strict=True))[: len(names)]
         plain = [bytes(batch.raw[a:b]).decode("utf-8", "replace").lower() for a, b in zip(batch.start, batch.end, strict=True)]
-        return Index(names, [hashes[a:b] for a, b in cuts], keys, [found[k] for k in keys.tolist()], [plain[a:b] for a, b in cuts])
+        return Index(names, [hashes[a:b] for a, b in cuts], keys, [found[k] for k in keys.tolist()],
+                     [plain[a:b] for a, b in cuts], [needed(plain[a:b]) for a, b in cuts], Batch([x.encode() for x in sorted(APART)], letters=True).hashes())
+
+
+def needed(words: list[str]) -> np.ndarray:
+    """Which words may not be missing: version numbers, in short templates all numbers and names that tell licenses apart."""
+    must = np.zeros(len(words), bool)
+    for i, w in enumerate(words):
+        if len(words) < SHORT:
+            must[i] = w.isdigit() or w in TELLING
+        else:
+            must[i] = w in APART or w.isdigit() and i > 0 and (words[i - 1] in ("version", "v") or words[i - 1].isdigit() and bool(must[i - 1]))
+    return must
 
 
 def least(size: int, coverage: float) -> int:
@@ -125,12 +206,13 @@ def least(size: int, coverage: float) -> int:
     return max(1, math.ceil(coverage * size - 1e-9))
 
 
-def tightest(template: np.ndarray, words: np.ndarray, need: int, begin: int, stop: int) -> list[tuple[int, int, int]]:
+def tightest(template: np.ndarray, must: np.ndarray, words: np.ndarray, need: int, begin: int, stop: int) -> list[tuple[int, int, int]]:
     """(matched, first word, end word) of stretches between two places with ``need`` words of a short template in order.
 
-    For each end and number of matched words the latest first word is taken.
+    For each end and number of matched words the latest first word is taken. No word of ``must`` is left out.
     """
     m = len(template)
+    cuts = [0, *(np.flatnonzero(must) + 1).tolist(), m + 1]
     at = defaultdict(list)
     for i, w in enumerate(template.tolist()):
         at[w].append(i + 1)
@@ -144,20 +226,23 @@ def tightest(template: np.ndarray, words: np.ndarray, need: int, begin: int, sto
         before = latest.copy()
         for i in mine:
             latest[i, 1:] = np.maximum(latest[i, 1:], before[i - 1, :-1])
-            latest[i, 1] = p
-        latest = np.maximum.accumulate(latest, axis=0)
+            if not must[: i - 1].any():
+                latest[i, 1] = p
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            latest[a:b] = np.maximum.accumulate(latest[a:b], axis=0)
         for k in range(need, m + 1):
             if latest[m, k] > before[m, k] and p + 1 - latest[m, k] - k <= BAND:
                 found.append((k, int(latest[m, k]), p + 1))
     return found
 
 
-def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
+def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND, must: np.ndarray | None = None) -> tuple[int, int, int]:
     """Most template words matched in order near the diagonal, and the words of the text from the first match to after the last.
 
     Cell (i, j) stands for i template words against text words up to
-    diagonal + i - band + j.
+    diagonal + i - band + j. No word of ``must`` is left out; -1 words match where one would be.
     """
+    must = np.zeros(len(template), bool) if must is None else must
     m, width = len(template), 2 * band + 1
     best = np.zeros((m + 1, width + 1), np.int32)
     for i in range(1, m + 1):
@@ -165,14 +250,16 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAN
         inside = (at >= 0) & (at < len(text))
         match = inside & (text[np.clip(at, 0, len(text) - 1)] == template[i - 1])
         # diagonal step, or a template word left out (one place further right in the row above)
-        row = np.maximum(best[i - 1, :width] + match, best[i - 1, 1:])
+        before = best[i - 1, :width]
+        row = np.where(match & (before >= 0), before + 1, -1) if must[i - 1] else np.maximum(np.where(before >= 0, before + match, -1), best[i - 1, 1:])
+        best[i, width] = -1 if must[i - 1] else best[i - 1, width]
         best[i, :width] = np.maximum.accumulate(row)  # or text words left out
     matched = int(best[m].max())
     i, j, low, high = m, int(best[m, :width].argmax()), -1, -1
-    while i and best[i, j]:
+    while i and best[i, j] > 0:
         if j and best[i, j - 1] == best[i, j]:
             j -= 1
-        elif best[i - 1, j + 1] == best[i, j]:
+        elif not must[i - 1] and best[i - 1, j + 1] == best[i, j]:
             i, j = i - 1, j + 1
         else:
             low = diagonal + i - 1 - band + j
@@ -198,7 +285,7 @@ def scan_text(words: np.ndarray, hits: list[tuple[int, int, int]], rare: list[tu
             if last is not None and d - last <= BAND // 2:
                 continue  # within BAND of it the candidate before has looked
             last = d
-            matched, low, high = align(template, words, d, BAND + BAND // 2)
+            matched, low, high = align(template, words, d, BAND + BAND // 2, index.must[t])
             if matched >= least(len(template), coverage):
                 found[t].append((matched, low, high))
     spots = defaultdict(list)
@@ -218,24 +305,27 @@ def scan_text(words: np.ndarray, hits: list[tuple[int, int, int]], rare: list[tu
             else:
                 stretches.append([begin, stop])
         for begin, stop in stretches:
-            found[t] += tightest(template, words, need, begin, stop)
-    out = []
-    for t in sorted(found):
-        # of alignments that overlap the best one stays, of equals the shortest, then the first
-        taken: list[tuple[int, int, int]] = []
-        for matched, low, high in sorted(found[t], key=lambda x: (-x[0], x[2] - x[1], x[1])):
-            if all(high <= a or b <= low for _, a, b in taken):
-                taken.append((matched, low, high))
-        out += [(index.names[t], matched, low, high) for matched, low, high in sorted(taken, key=lambda x: x[1])]
-    return out
+            found[t] += tightest(template, index.must[t], words, need, begin, stop)
+    ranked = []
+    for t, own in found.items():
+        size, other = len(index.words[t]), np.setdiff1d(index.apart, index.words[t])
+        ranked += [(size - 2 * m, -m / size, high - low, low, t, m, high) for m, low, high in own if not np.isin(words[low:high], other).any()]
+    # of alignments that overlap the one with most matched words, missing ones taken off, stays, of equals that with the larger share, then the shortest
+    taken: list[tuple[int, int, int, int]] = []
+    for _, _, _, low, t, matched, high in sorted(ranked):
+        if all(high <= a or b <= low for _, _, a, b in taken):
+            taken.append((t, matched, low, high))
+    return [(index.names[t], matched, low, high) for t, matched, low, high in sorted(taken, key=lambda x: x[::2])]
 
 
 def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """Rows (doc_id, license, matched, template_words, coverage, span_start, span_end), one per occurrence.
 
     Spans are bytes of the text's UTF-8 form. Null and empty texts and templates
-    match nothing; repeated rows are reported each. Of occurrences of one
-    template that overlap the best is reported; different templates may overlap.
+    match nothing; repeated rows are reported each. Of occurrences
+    that overlap, of one or of different templates, the best is reported. Version
+    numbers (in templates of fewer than SHORT words all numbers and the words of
+    TELLING) must match.
     No templates or an empty table give no rows. Columns other than doc_id and
     text are not read.
     """

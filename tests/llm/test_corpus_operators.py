@@ -316,6 +316,23 @@ def test_short_notices(spark):
         (6, "MIT-notice", 5, 0, 30), (6, "MIT-notice", 5, 32, 62)]
 
 
+def test_related_licenses(spark):
+    """Near relatives keep their own names; what no template names has none."""
+    rows = [(1, "This work is licensed under the GNU General Public License, version 2."), (2, "Licensed under CC BY-NC-SA 4.0."),
+            (3, "Licensed under the Apache License, Version 1.0."), (4, "Licensed under the Apache License, Version 7.0."),
+            (5, "This work is licensed under the GNU Lesser General Public License, version 2.1."), (6, "Released under the Affero General Public License, version 9"),
+            (7, licenses.TEMPLATES["BSD-2-Clause"]), (8, licenses.TEMPLATES["BSD-3-Clause"].replace("DISCLAIMED", "disavowed")),
+            (9, licenses.TEMPLATES["Apache-2.0-header"]), (10, licenses.TEMPLATES["GPL-3.0-header"].replace("version 3", "version 2")),
+            (11, "SPDX-License-Identifier: GPL-2.0-or-later"), (12, licenses.TEMPLATES["LGPL-3.0-header"]), (13, licenses.TEMPLATES["Apache-2.0-header"].replace("Version 2.0", "Version 3.0")),
+            (14, "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.")]
+    got = licenses.license_spans(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == [
+        (1, "GPL-2.0-line"), (2, "CC-BY-NC-SA-4.0-line"), (3, "Apache-1.0-line"), (5, "LGPL-2.1-line"), (7, "BSD-2-Clause"), (8, "BSD-3-Clause"),
+        (9, "Apache-2.0-header"), (10, "GPL-2.0-header"), (11, "GPL-2.0-or-later-spdx"), (12, "LGPL-3.0-header"), (14, "CC-BY-SA-3.0-notice")]
+    own = licenses.license_spans(frame(spark, list(enumerate(licenses.TEMPLATES.values())))).collect()
+    assert sorted((r.doc_id, r.license, r.coverage) for r in own) == [(i, x, 1.0) for i, x in enumerate(licenses.TEMPLATES)]
+
+
 def check_repeats(got, rows, size):
     texts = [(t or "").encode() for _, t in rows]
     want = []
