@@ -171,6 +171,17 @@ def _(t):
     return contracts.out_of_range(t.features, bounds).select("row_id", joined("outliers").alias("outliers"))
 
 
+@query("prj_22_out_of_range_whole", needs=("features",), oracle=f"""
+WITH b AS (SELECT {', '.join(f'min({c}) AS lo_{c}, max({c}) AS hi_{c}' for c in st.FEATURES)} FROM features),
+x AS (SELECT * REPLACE (segment_count + CASE WHEN row_id % 7 = 3 THEN 1000 ELSE 0 END AS segment_count, rainfall - CASE WHEN row_id % 5 = 1 THEN 1000 ELSE 0 END AS rainfall) FROM features)
+SELECT row_id, concat_ws(',', {', '.join(f"CASE WHEN {c} < lo_{c} OR {c} > hi_{c} THEN '{c}' END" for c in st.FEATURES)}) AS outliers FROM x, b""")
+def _(t):
+    """Bounds of all rows; some rows are moved out of them."""
+    moved = t.features.withColumns({"segment_count": F.col("segment_count") + F.when(F.col("row_id") % 7 == 3, 1000).otherwise(0),
+                                    "rainfall": F.col("rainfall") - F.when(F.col("row_id") % 5 == 1, 1000).otherwise(0)})
+    return contracts.out_of_range(moved, st.feature_bounds(t.features)).select("row_id", joined("outliers").alias("outliers"))
+
+
 LEG_TESTS = tests(
     ("COST_WITHOUT_SOURCE", "cost_source_type = 'UNAVAILABLE' AND cost_amount IS NOT NULL"), ("COST_SOURCE_WITHOUT_COST", "cost_source_type <> 'UNAVAILABLE' AND cost_amount IS NULL"),
     ("RISK_WITHOUT_SOURCE", "risk_source_type = 'UNAVAILABLE' AND risk_score IS NOT NULL"), ("RISK_SOURCE_WITHOUT_RISK", "risk_source_type <> 'UNAVAILABLE' AND risk_score IS NULL"),

@@ -295,6 +295,14 @@ def _(t):
     return st.residual_p90(rows, ["corridor"], "remaining_delay_minutes", "current_delay")
 
 
+@query("agg_24_residual_p90_whole", needs=("features",), oracle="""
+SELECT corridor, count(*) AS rows, round(quantile_cont(abs(remaining_delay_minutes - current_delay), 0.9), 4) AS p90,
+  count(*) >= 30 AND bool_and(data_class IN ('REAL_LIVE', 'REAL_HISTORICAL')) AS trusted FROM features GROUP BY corridor""")
+def _(t):
+    """All rows of all corridors."""
+    return st.residual_p90(t.features, ["corridor"], "remaining_delay_minutes", "current_delay")
+
+
 @query("agg_25_promotion_gates", needs=("features",), oracle="""
 SELECT a AS minimum_real_rows, b AS minimum_coverage_days, c AS minimum_corridors, d AS no_synthetic_test_rows, e AS beats_deterministic_by_10_pct, true AS no_forbidden_feature_leakage, a AND b AND c AND d AND e AS eligible
 FROM (SELECT count(*) FILTER (data_class LIKE 'REAL%') >= 1000 AS a, ceil((epoch_us(max(observation_time)) - epoch_us(min(observation_time))) / 86400e6) >= 14 AS b,
@@ -414,6 +422,16 @@ def _(t):
     return agg.next_sequence(t.customer.select(F.col("c_custkey").alias("case_id")), snaps, "case_id")
 
 
+@query("agg_40_next_sequence_whole", oracle="""
+SELECT case_id, coalesce(max(o_orderkey % 50), 0) + 1 AS next FROM (SELECT c_custkey AS case_id FROM customer UNION ALL SELECT -1 - c_custkey FROM customer) c
+LEFT JOIN orders ON o_custkey = case_id GROUP BY case_id""")
+def _(t):
+    """All orders; the negative keys are cases without any."""
+    snaps = t.orders.select(F.col("o_custkey").alias("case_id"), (F.col("o_orderkey") % 50).alias("sequence_no"))
+    own = t.customer.select(F.col("c_custkey").alias("case_id"))
+    return agg.next_sequence(own.unionByName(own.select((-1 - F.col("case_id")).alias("case_id"))), snaps, "case_id")
+
+
 @query("agg_41_feed_summary", oracle="""
 SELECT 'stops' AS "table", count(*) AS n, 'demo' AS provider FROM supplier UNION ALL SELECT 'routes', count(*), 'demo' FROM part
 UNION ALL SELECT 'trips', count(*), 'demo' FROM orders UNION ALL SELECT 'stop_times', count(*), 'demo' FROM lineitem""")

@@ -353,3 +353,31 @@ def test_registered_training_is_the_operators_own_protocol(spark, monkeypatch, n
     with pytest.raises(Fitted) as e:
         QUERIES[name](spark, "/root/testdata/sf0.001")
     assert e.value.args[0] == models.CANDIDATES
+
+
+@pytest.mark.parametrize("name,table,key", [
+    ("agg_40_next_sequence_whole", "customer", None), ("agg_24_residual_p90_whole", "features", "rows"), ("prj_22_out_of_range_whole", "features", None),
+    ("join_16_reading_as_of_whole", "positions", None)])
+def test_whole_table_queries_leave_nothing_out(spark, name, table, key):
+    from ballast.plans import QUERIES
+    from ballast.plans.stand_ins import Tables
+
+    folder = "/root/testdata/sf0.001"
+    got, t = QUERIES[name](spark, folder), Tables(spark, folder)
+    n = getattr(t, table).count()
+    if name.startswith("agg_40"):
+        best = {r[0]: r[1] + 1 for r in t.orders.groupBy("o_custkey").agg(F.max(F.col("o_orderkey") % 50)).collect()}
+        assert {r.case_id: r.next for r in got.collect()} == {k: best.get(k, 1) for r in t.customer.collect() for k in (r.c_custkey, -1 - r.c_custkey)}
+    elif key:
+        assert got.agg(F.sum(key)).first()[0] == n
+    else:
+        assert got.count() == n
+    if name.startswith("prj_22"):
+        assert {(r.row_id % 7 == 3, r.row_id % 5 == 1, "segment_count" in r.outliers, "rainfall" in r.outliers) for r in got.collect()} == {
+            (a, b, a, b) for a in (True, False) for b in (True, False)}
+
+
+def test_untrusted_corridors(spark):
+    rows = [(c, k, float(i), 0.0) for c, k, n in (("real", "REAL_LIVE", 30), ("few", "REAL_LIVE", 29), ("made", "REAL_LIVE", 30), ("made", "SYNTHETIC", 1)) for i in range(n)]
+    got = statistics.residual_p90(spark.createDataFrame(rows, "corridor string, data_class string, y double, p double"), ["corridor"], "y", "p")
+    assert {(r.corridor, r.rows, r.trusted) for r in got.collect()} == {("real", 30, True), ("few", 29, False), ("made", 31, False)}
