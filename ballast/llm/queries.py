@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm import decontaminate, jaccard, language, licenses, packing, repeats, rules, shards, toxicity, warc
+from ballast.llm import decontaminate, jaccard, language, licenses, neighbours, packing, repeats, rules, search, shards, spelling, toxicity, warc
 from ballast.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,35 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Every license notice or text in a document, with matched coverage and span."""
     return licenses.license_spans(table(spark, folder, "documents"))
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Every frequent word of all documents with the more frequent word one edit away that it is a variant of."""
+    return spelling.group_variants(table(spark, folder, "documents"))
+
+
+@query("op12_permutation_index")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors found of every vector whose id is divisible by 100."""
+    return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
+@query("op13_ranked_search", r"""
+with terms as (select row_number() over () d, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') t from documents where text is not null),
+held as (select d, doc_id, t, len(t)::bigint n from terms where len(t) > 0),
+total as (select count(*)::bigint docs, sum(n)::bigint tokens from held),
+tf as (select d, term, count(*)::bigint tf from (select d, unnest(t) term from held) group by d, term),
+items as (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) term from benchmark where text is not null),
+asked as (select item_id, term, count(*)::bigint k from items group by item_id, term),
+df as (select term, count(*)::bigint df from tf where term in (select term from asked) group by term),
+weight as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint w from df, total),
+norm as (select d, doc_id, 100 - 25 + ((25 * n * docs) // tokens) m from held, total),
+scored as (select item_id, d, doc_id, sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint score
+           from asked join weight using (term) join tf using (term) join norm using (d) group by item_id, d, doc_id)
+select item_id, rank::int rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) rank from scored where score > 0) where rank <= 20
+""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """The twenty documents of highest score for every benchmark item."""
+    return search.search(table(spark, folder, "benchmark"), table(spark, folder, "documents"))
