@@ -4,55 +4,57 @@ Documents of equal text form one group that is never split. Groups are ordered
 by the hash of their text, so a cut between two groups is one hash value. The
 smallest capacity with which a greedy left-to-right filling needs no more than
 ``shards`` shards is found by binary search; the shards are then cut where that
-filling stops. No shard of any
-other contiguous cutting in this order has a smaller largest shard.
+filling stops. No other contiguous cutting in this order has a smaller largest
+shard.
 
-Only DataFrame operations. The driver sees sums over stretches of the hash range
-and the cut keys; a group may hold any share of the rows, as it is one row of
+Only DataFrame operations. The driver sees sums over stretches of the hash range,
+the few groups larger than a mean stretch and the cut keys; a group may hold any share of the rows, as it is one row of
 summed sizes.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ballast.llm.common import Shelf
 
 SHARDS = 16
-#: Stretches of the hash range that are summed up first, and parts into which one is split, as powers of two.
-FIRST_BITS, MORE_BITS = 12, 8
+#: First stretches of the hash range, and parts into which one is split further on, as powers of two.
+FIRST_BITS, MORE_BITS = 12, 4
 #: Cells per shard within which rows are numbered.
 CELLS = 1024
 
 
 @dataclass
 class Cells:
-    """Stretches of the hash range in order: ``end`` is the running sum of sizes up to and with
-    a stretch, ``last`` its largest hash, ``single`` whether it is one group, ``bits`` its width."""
+    """Stretches of the hash range in order: ``low`` and ``high`` are their hashes, ``end`` is the running
+    sum of sizes up to and with a stretch, ``last`` its largest hash, ``single`` whether it is one group."""
 
+    low: list[int]
+    high: list[int]
     end: np.ndarray
-    last: np.ndarray
+    last: list[int]
     single: np.ndarray
-    bits: np.ndarray
-    key: np.ndarray
 
     @staticmethod
     def of(rows: list[tuple]) -> Cells:
-        """From (key, bits, size, groups, last) of each stretch."""
-        rows = sorted(rows, key=lambda r: r[4])
-        key, bits, size, groups, last = (np.array(c, np.int64) for c in zip(*rows, strict=True))
-        return Cells(np.cumsum(size), last, groups == 1, bits, key)
+        """From (low, high, size, groups, last) of each stretch."""
+        low, high, size, groups, last = zip(*sorted(rows), strict=True)
+        return Cells(list(low), list(high), np.cumsum(np.array(size, np.int64)), list(last), np.array(groups) == 1)
 
-    def rows(self) -> list[tuple]:
-        return list(zip(self.key.tolist(), self.bits.tolist(), np.diff(self.end, prepend=0).tolist(), np.where(self.single, 1, 2).tolist(), self.last.tolist(), strict=True))
+    def rows(self, chosen: np.ndarray) -> list[tuple]:
+        size = np.diff(self.end, prepend=0)
+        return [(self.low[i], self.high[i], int(size[i]), 1 if self.single[i] else 2, self.last[i]) for i in np.flatnonzero(chosen)]
 
     def filled(self, capacity: int, shards: int) -> list[int]:
-        """Greedy filling: the number of stretches in front of each shard's end."""
+        """Greedy filling with whole stretches: the number of stretches in front of each shard's end."""
         ends, at = [], 0
         for _ in range(shards):
             before = int(self.end[at - 1]) if at else 0
@@ -60,67 +62,108 @@ class Cells:
             ends.append(at)
         return ends
 
-    def smallest(self, low: int, shards: int) -> int:
-        """The least capacity over ``low`` that fits, by binary search."""
-        high = int(self.end[-1])
+    def flowing(self, capacity: int, shards: int) -> list[int]:
+        """Greedy filling where a stretch of several groups may be cut anywhere: the size in front of each shard's end.
+
+        No filling with whole groups gets further with this capacity.
+        """
+        ends, at = [], 0
+        for _ in range(shards):
+            at += capacity
+            i = int(np.searchsorted(self.end, at, "right"))
+            if i == len(self.end):
+                at = int(self.end[-1])
+            elif self.single[i]:
+                at = int(self.end[i - 1]) if i else 0
+            ends.append(at)
+        return ends
+
+    def smallest(self, low: int, fits: Callable[[int], bool]) -> int:
+        """The least capacity from ``low`` on that fits, by binary search."""
+        high = max(low, int(self.end[-1]))
         while low < high:
             middle = (low + high) // 2
-            if self.filled(middle, shards)[-1] == len(self.end):
+            if fits(middle):
                 high = middle
             else:
                 low = middle + 1
         return low
 
+    def bounds(self, least: int, shards: int) -> tuple[int, int]:
+        """Capacities between which the smallest for whole groups lies: less would not do even if stretches
+        could be cut anywhere, more is not needed even if they could not be cut at all."""
+        total = int(self.end[-1])
+        low = self.smallest(least, lambda c: self.flowing(c, shards)[-1] == total)
+        return low, self.smallest(low, lambda c: self.filled(c, shards)[-1] == len(self.end))
+
     def undecided(self, low: int, high: int, shards: int) -> np.ndarray:
-        """Stretches of several groups in which a filling of capacity low to high may end a shard."""
-        out, first, least, most = np.zeros(len(self.end), bool), np.concatenate(([0], self.end[:-1])), 0, 0
-        for _ in range(shards):
-            a = min(int(np.searchsorted(self.end, least + low, "right")), len(self.end) - 1)
-            b = min(int(np.searchsorted(self.end, most + high, "right")), len(self.end) - 1)
-            out[a : b + 1] = True
-            least = int(self.end[a]) if self.end[a] <= least + low else int(first[a])
-            most = int(self.end[b]) if self.end[b] <= most + high else int(first[b]) if self.single[b] else most + high
+        """Stretches of several groups in which a filling of whole groups with a capacity of low to high may end a shard."""
+        out = np.zeros(len(self.end), bool)
+        for a, b in zip(self.filled(low, shards), self.flowing(high, shards), strict=True):
+            out[a : int(np.searchsorted(self.end, b, "right")) + 1] = True
         return out & ~self.single
 
 
+def held(spark: SparkSession, rows: list[dict], form: str) -> DataFrame:
+    """A few rows as a literal table, to broadcast."""
+    return F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{form}>>"))))
+
+
+def summed(parts: DataFrame, by: list[str]) -> list:
+    return parts.groupBy(*by).agg(F.sum("size").alias("size"), F.count("*").alias("groups"), F.max("h").alias("last")).collect()
+
+
+def first_cells(groups: DataFrame, total: int) -> Cells:
+    """Stretches of equal width, cut around every group larger than a mean stretch. At most three times as many as stretches."""
+    shift, many = 64 - FIRST_BITS, 1 << FIRST_BITS
+    large = sorted((r["h"], r["size"]) for r in groups.where(F.col("size") > total // many).collect())  # fewer than ``many``
+    by: dict[int, list[int]] = {}
+    for h, _ in large:
+        by.setdefault(h >> shift, []).append(h)
+    rest = groups.where(F.col("size") <= total // many).withColumn("key", F.shiftright("h", shift))
+    marks = held(groups.sparkSession, [{"key": k, "marks": v} for k, v in by.items()], "key:bigint,marks:array<bigint>")
+    piece = F.when(F.col("marks").isNull(), 0).otherwise(F.size(F.filter("marks", lambda m: m < F.col("h"))))
+    cells = [(h, h, size, 1, h) for h, size in large]
+    for r in summed(rest.join(marks, "key", "left").withColumn("piece", piece), ["key", "piece"]):
+        edges = [(r["key"] << shift) - 1, *by.get(r["key"], []), ((r["key"] + 1) << shift)]
+        cells.append((edges[r["piece"]] + 1, edges[r["piece"] + 1] - 1, r["size"], r["groups"], r["last"]))
+    return Cells.of(cells)
+
+
+def finer(groups: DataFrame, cells: Cells, chosen: np.ndarray) -> Cells:
+    """``cells`` with the chosen ones split into parts of equal width."""
+    shift, spans = 64 - FIRST_BITS, []
+    for i in np.flatnonzero(chosen):
+        low, high = cells.low[i], cells.high[i]
+        spans.append({"key": low >> shift, "low": low, "high": high, "width": max(1, -(-(high - low + 1) >> MORE_BITS))})
+    inside = groups.withColumn("key", F.shiftright("h", shift)).join(held(groups.sparkSession, spans, "key:bigint,low:bigint,high:bigint,width:bigint"), "key").where("h between low and high")
+    part = F.expr("(h - low) div width")
+    found = [
+        (a := r["low"] + r["part"] * r["width"], min(r["high"], a + r["width"] - 1), r["size"], r["groups"], r["last"])
+        for r in summed(inside.withColumn("part", part), ["low", "high", "width", "part"])]
+    return Cells.of(cells.rows(~chosen) + found)
+
+
 def cut_keys(groups: DataFrame, shards: int) -> list[int]:
     """The last hash of each shard but the last one, of groups (h, size).
 
-    The hash range is summed up in stretches; only those in which a shard may
-    end are summed up more finely, until all of these are single groups. What
-    reaches the driver depends on ``shards`` and the stretches' fan-out alone.
+    The hash range is summed up in stretches; those in which a shard may end are
+    split until no smaller capacity could be found by splitting further. About
+    2k stretches are open for the k-th shard, so that a round collects some
+    ``shards``**2 times sixteen rows, however many groups there are.
     """
-    def summed(rows: DataFrame, bits: int) -> list[tuple]:
-        found = rows.groupBy(F.shiftright("h", 64 - bits).alias("key")).agg(F.sum("size").alias("size"), F.count("*").alias("groups"), F.max("h").alias("last")).collect()
-        return [(r.key, bits, r["size"], r.groups, r.last) for r in found]
-
-    found = summed(groups, FIRST_BITS)
-    if not found:
+    total, largest = groups.agg(F.sum("size"), F.max("size")).first()
+    if not total:
         return []
-    cells = Cells.of(found)
-    total, largest = int(cells.end[-1]), groups.agg(F.max("size")).first()[0]
-    low = max(-(-total // shards), largest)
+    cells = first_cells(groups, total)
     while True:
-        high = cells.smallest(low, shards)
+        low, high = cells.bounds(max(-(-total // shards), largest), shards)
         open_ = cells.undecided(low, high, shards)
-        if not open_.any():
+        if low == high or not open_.any():
             break
-        bits = min(64, int(cells.bits[open_].min()) + MORE_BITS)
-        rows = cells.rows()
-        ranges = []
-        for i in np.flatnonzero(open_):
-            shift = 64 - int(cells.bits[i])
-            a, b = int(cells.key[i]) << shift, (int(cells.key[i]) << shift) + (1 << shift) - 1
-            if ranges and ranges[-1][1] == a - 1:
-                ranges[-1][1] = b
-            else:
-                ranges.append([a, b])
-        inside = F.lit(False)
-        for a, b in ranges:
-            inside = inside | F.col("h").between(a, b)
-        cells = Cells.of([r for r, o in zip(rows, open_, strict=True) if not o] + summed(groups.where(inside), bits))
+        cells = finer(groups, cells, open_)
     ends = cells.filled(high, shards)
-    return [int(cells.last[e - 1]) for e in dict.fromkeys(ends) if 0 < e < len(cells.end)]
+    return [cells.last[e - 1] for e in dict.fromkeys(ends) if 0 < e < len(cells.end)]
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

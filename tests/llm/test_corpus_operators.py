@@ -277,6 +277,23 @@ def test_shards_are_minimax(spark, hot):
     assert max(load.values()) == smallest_largest([r.s for r in groups], 16)
 
 
+@pytest.mark.parametrize("others, hot, share", [(6000, 2000, 1), (4000, 2000, 4), (20000, 0, 1)])
+def test_shards_beside_a_dominating_text(spark, monkeypatch, others, hot, share):
+    """One text with a quarter or more of all rows: the cuts stay minimax and what is collected does not grow with the groups."""
+    from pyspark.sql import functions as F
+
+    seen = []
+    summed = shards.summed
+    monkeypatch.setattr(shards, "summed", lambda *a: seen.append(summed(*a)) or seen[-1])
+    table = spark.range(others).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.repeat(F.col("id").cast("string"), (F.col("id") % 9).cast("int"))).alias("text")).unionByName(
+        spark.range(hot).select((F.col("id") + 100000).alias("doc_id"), F.repeat(F.lit("hot text "), share).alias("text")))
+    load = {r.shard: r.s for r in shards.shard_documents(table, 16).groupBy("shard").agg(F.sum("size").alias("s")).collect()}
+    groups = table.groupBy(F.xxhash64("text").alias("h")).agg(F.sum(F.octet_length("text") + 1).alias("s")).orderBy("h").collect()
+    assert max(load.values()) == smallest_largest([r.s for r in groups], 16)
+    first, *more = [len(x) for x in seen]
+    assert first <= 3 << shards.FIRST_BITS and all(n <= 2 * 16 * 16 * (1 << shards.MORE_BITS) for n in more)
+
+
 def find_licenses(rows):
     """Templates found word for word."""
     import re

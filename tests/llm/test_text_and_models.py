@@ -220,26 +220,32 @@ def test_fingerprints_and_alignment():
 
 
 def test_smallest_capacity():
-    """Refined stretches give the capacity that a search over single groups gives."""
+    """Stretches bound the capacity that a search over single groups gives, and splitting the open ones finds it."""
     rng = np.random.default_rng(0)
-    for _ in range(60):
-        size = rng.integers(1, 50, int(rng.integers(1, 80)))
+    for _ in range(200):
+        size = rng.integers(1, 50, int(rng.integers(1, 120)))
         if rng.random() < 0.3:
-            size[rng.integers(len(size))] = size.sum()
-        shards, key = int(rng.integers(1, 9)), np.arange(len(size))
-        single = Cells(np.cumsum(size), key, np.ones(len(size), bool), np.full(len(size), 64), key)
-        low = max(-(-int(size.sum()) // shards), int(size.max()))
-        best = single.smallest(low, shards)
-        fits = lambda c: single.filled(c, shards)[-1] == len(size)
-        assert fits(best) and (best == low or not fits(best - 1))
-        coarse = np.unique(np.append(rng.integers(0, len(size), 10), len(size) - 1))
-        groups = np.diff(coarse, prepend=-1)
-        cells = Cells(np.cumsum(size)[coarse], coarse, groups == 1, np.full(len(coarse), 12), coarse)
-        high = cells.smallest(low, shards)
-        assert high >= best
-        open_ = cells.undecided(low, high, shards)
-        if not open_.any():
-            assert high == best
+            size[rng.integers(len(size))] = size.sum() * rng.random() + 1
+        shards, n = int(rng.integers(1, 9)), len(size)
+        single = Cells.of([(i, i, int(x), 1, i) for i, x in enumerate(size)])
+        least = max(-(-int(size.sum()) // shards), int(size.max()))
+        fits = lambda c: single.filled(c, shards)[-1] == n
+        best = single.smallest(least, fits)
+        assert fits(best) and (best == least or not fits(best - 1))
+        cuts = sorted({0, *rng.integers(0, n, 10).tolist(), n})
+        cells = Cells.of([(a, b - 1, int(size[a:b].sum()), b - a, b - 1) for a, b in zip(cuts, cuts[1:])])
+        while True:
+            low, high = cells.bounds(least, shards)
+            assert low <= best <= high
+            open_ = cells.undecided(low, high, shards)
+            if low == high or not open_.any():
+                break
+            parts = []
+            for a, b, _, _, _ in cells.rows(open_):
+                m = (a + b) // 2
+                parts += [(x, y, int(size[x : y + 1].sum()), y - x + 1, y) for x, y in ((a, m), (m + 1, b))]
+            cells = Cells.of(cells.rows(~open_) + parts)
+        assert high == best and cells.filled(high, shards)[-1] == len(cells.end)
 
 
 def test_state_is_small():
