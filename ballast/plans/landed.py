@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ballast.operators import aggregates as agg
 from ballast.operators import models
@@ -15,6 +17,7 @@ from ballast.plans.scalars import joined
 from ballast.session import run_folder
 from ballast.sources import feeds, files, sinks, timetables
 from ballast.streaming import observations as so
+from ballast.streaming import state
 
 c = F.col
 
@@ -331,12 +334,12 @@ def observation_rows(df):
 @query("snk_03_latest_values", needs=("obs",), oracle="""
 SELECT provider_key, event_type AS observation_type, cast(user_id % 50 as varchar) AS entity_id, arg_max(event_id, (fetched_at, event_id)) AS observation_id FROM obs WHERE valid GROUP BY 1, 2, 3""")
 def _(t):
+    state.keyed_states(t.spark)
     path = scratch(t)
-    latest = sinks.LatestTable(t.spark, path, ["provider_key", "observation_type", "entity_id"], ["fetched_at", "observation_id"])
-    rows = observation_rows(t.obs).where("valid")
-    latest.merge(rows.where("observation_id % 2 = 0"), 0)
-    latest.merge(rows.where("observation_id % 2 = 1"), 1)
-    return latest.read().select("provider_key", "observation_type", "entity_id", "observation_id")
+    observation_rows(t.obs).where("valid").repartition(2, "observation_id").write.parquet(f"{path}/in")
+    rows = so.file_stream(t.spark, f"{path}/in", maxFilesPerTrigger="1")
+    state.keep_states(state.newest_states(rows, ["provider_key", "observation_type", "entity_id"], "fetched_at", "observation_id"), f"{path}/checkpoint")
+    return state.newest_stored(t.spark, f"{path}/checkpoint", rows.schema).select("provider_key", "observation_type", "entity_id", "observation_id")
 
 
 @query("snk_04_preview_tables", oracle="""
@@ -349,18 +352,33 @@ def _(t):
 PURGE_AT = "2024-01-31 00:00:00"
 
 
-@query("snk_05_retention", needs=("positions", "obs"), oracle=f"""
-SELECT 'positions' AS "table", count(*) FILTER (observed_at < timestamp '{PURGE_AT}' - INTERVAL 14 DAY) AS deleted, count(*) FILTER (observed_at >= timestamp '{PURGE_AT}' - INTERVAL 14 DAY) AS kept FROM positions
-UNION ALL SELECT 'observations', count(*) FILTER (seen < timestamp '{PURGE_AT}' - INTERVAL 30 DAY), count(*) FILTER (seen >= timestamp '{PURGE_AT}' - INTERVAL 30 DAY) FROM obs""")
+def kept_and_deleted(name, kind, column, days):
+    limit = f"timestamp '{PURGE_AT}' - INTERVAL {days} DAY"
+    return f"SELECT '{name}' AS \"table\", count(*) FILTER ({column} < {limit}) AS deleted, count(*) FILTER ({column} >= {limit}) AS kept, count(DISTINCT {column}::date) FILTER ({column} >= {limit}) AS days FROM {kind}"
+
+
+@query("snk_05_retention", needs=("positions", "obs"), oracle=" UNION ALL ".join((
+    kept_and_deleted("positions", "positions", "observed_at", 14), kept_and_deleted("observations", "obs", "seen", 30),
+    kept_and_deleted("routes", "(SELECT seen - to_days(k) AS created_at FROM obs) r", "created_at", 90))))
 def _(t):
-    at = F.lit(PURGE_AT).cast("timestamp")
-    path = scratch(t)
-    t.positions.withColumnRenamed("observed_at", "created_at").write.parquet(path)
-    kept = t.spark.read.parquet(sinks.purge(t.spark, path, at, sinks.RETENTION_DAYS["positions"]))
-    gone = sinks.expired_counts({"positions": (t.positions, "observed_at"), "observations": (t.obs, "seen")}, at)
-    n = kept.agg(F.count("*").alias("kept")).select(F.lit("positions").alias("table"), "kept").unionByName(
-        sinks.retained(t.obs, at, 30, "seen").agg(F.count("*").alias("kept")).select(F.lit("observations").alias("table"), "kept"))
-    return gone.join(n, "table")
+    now = datetime.fromisoformat(PURGE_AT)
+    routes = t.obs.select((c("seen") - F.make_dt_interval(c("k"))).alias("created_at"), "event_id")
+    out = None
+    for name, rows, column in (("positions", t.positions, "observed_at"), ("observations", t.obs, "seen"), ("routes", routes, "created_at")):
+        table = sinks.DailyTable(t.spark, scratch(t), column)
+        table.append(rows.where("event_id % 3 = 0" if name != "positions" else "position_id % 3 = 0"), 0)
+        table.append(rows.where("event_id % 3 <> 0" if name != "positions" else "position_id % 3 <> 0"), 1)
+        gone = table.purge(now, sinks.RETENTION_DAYS[name])
+        part = table.read().agg(F.count("*").alias("kept"), F.count_distinct("day").alias("days")).select(F.lit(name).alias("table"), F.lit(gone).cast("long").alias("deleted"), "kept", "days")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("snk_05_expired_counts", needs=("positions", "obs"), oracle=f"""
+SELECT 'positions' AS "table", count(*) FILTER (observed_at < timestamp '{PURGE_AT}' - INTERVAL 14 DAY) AS deleted FROM positions
+UNION ALL SELECT 'observations', count(*) FILTER (seen < timestamp '{PURGE_AT}' - INTERVAL 30 DAY) FROM obs""")
+def _(t):
+    return sinks.expired_counts({"positions": (t.positions, "observed_at"), "observations": (t.obs, "seen")}, F.lit(PURGE_AT).cast("timestamp"))
 
 
 # --- streams ---------------------------------------------------------------------------------------------
@@ -378,11 +396,25 @@ def streamed(t):
 @query("str_01_vessel_state", needs=("positions",), oracle="""
 SELECT shipment_id AS vessel_id, arg_max(position_id, (observed_at, position_id)) AS message_id FROM positions GROUP BY shipment_id HAVING max(observed_at) >= timestamp '2024-01-30 20:00:00' - INTERVAL 45 MINUTE""")
 def _(t):
+    # messages may be a week late, so that the state still holds every vessel asked for
+    held = vessels(t, "7 days")
+    return so.fresh_vessels(held, F.lit("2024-01-30 20:00:00").cast("timestamp")).select("vessel_id", "message_id")
+
+
+def vessels(t, delay):
+    state.keyed_states(t.spark)
     path = scratch(t)
-    state = so.VesselState(t.spark, f"{path}/state")
     msgs = streamed(t)("positions").select(c("shipment_id").alias("vessel_id"), c("observed_at").alias("seen_at"), c("position_id").alias("message_id"), "nav_status", "lat", "lon")
-    so.run_available(msgs.writeStream.foreachBatch(state), f"{path}/checkpoint")
-    return state.snapshot(F.lit("2024-01-30 20:00:00").cast("timestamp")).select("vessel_id", "message_id")
+    state.keep_states(so.vessel_states(msgs, delay), f"{path}/checkpoint")
+    return state.newest_stored(t.spark, f"{path}/checkpoint", msgs.schema)
+
+
+@query("str_01_vessels_in_state", needs=("positions",), oracle="""
+SELECT shipment_id AS vessel_id, arg_max(position_id, (observed_at, position_id)) AS message_id, arg_max(nav_status, (observed_at, position_id)) AS nav_status, round(arg_max(lat, (observed_at, position_id)), 6) AS lat
+FROM positions GROUP BY shipment_id HAVING max(observed_at) > (SELECT max(observed_at) FROM positions) - INTERVAL 6 HOUR - INTERVAL 45 MINUTE""")
+def _(t):
+    """What is left when the watermark, six hours behind, has passed all messages."""
+    return vessels(t, "6 hours").select("vessel_id", "message_id", "nav_status", F.round("lat", 6).alias("lat"))
 
 
 @query("str_02_stream_deduplication", needs=("obs",), oracle="SELECT DISTINCT provider_key, event_type, k, status FROM obs")
@@ -394,6 +426,17 @@ def _(t):
     return t.spark.read.schema(s.schema).parquet(f"{path}/out")
 
 
+@query("str_02_stream_observation_keys", needs=("obs",), oracle="""
+SELECT provider_key, event_type, status, count(*) AS observations FROM (SELECT DISTINCT provider_key, event_type, k, status, coalesce(epoch_us(observed_at), -epoch_us(fetched_at)) AS stamp FROM obs) o GROUP BY 1, 2, 3""")
+def _(t):
+    """Failures have no observation time; each is kept by its fetch time."""
+    path = scratch(t)
+    s = streamed(t)("obs").withColumn("observation_key", so.observation_key(["provider_key", "event_type", "k", "status"]))
+    s = so.unseen_in_stream(s, ["observation_key"], "90 days").select("provider_key", "event_type", "status", "observation_key")
+    so.run_available(s.writeStream.format("parquet").option("path", f"{path}/out").outputMode("append"), f"{path}/checkpoint")
+    return t.spark.read.schema(s.schema).parquet(f"{path}/out").groupBy("provider_key", "event_type", "status").agg(F.count("*").alias("observations"))
+
+
 @query("str_02_batch_deduplication", needs=("obs",), oracle="""
 SELECT user_id % 3 AS provider, entity, k, min(event_id) AS observation_id FROM (SELECT *, CASE WHEN user_id % 4 <> 0 THEN user_id % 4 END AS entity FROM obs WHERE event_id % 5 <> 0) o
 WHERE NOT EXISTS (SELECT 1 FROM obs p WHERE p.event_id % 5 = 0 AND p.event_id % 2 = 0 AND p.user_id % 3 = o.user_id % 3 AND (CASE WHEN p.user_id % 4 <> 0 THEN p.user_id % 4 END) IS NOT DISTINCT FROM o.entity AND p.k = o.k) GROUP BY 1, 2, 3""")
@@ -403,27 +446,23 @@ def _(t):
     return so.unseen_in_batch(fresh, stored, ["provider", "entity", "k"], ["observation_id"])
 
 
-def cycle(t, path):
-    run = so.IngestCycle(t.spark, f"{path}/tables", ["rain"], ["provider_key", "observation_type", "entity_id", "observed_at", "k"], ["observation_id"])
-    rows = observation_rows(streamed(t)("obs"))
-    so.run_available(rows.writeStream.foreachBatch(run), f"{path}/checkpoint")
-    return run
-
-
 BAD_OBS = "(coalesce(epoch_us(observed_at) - epoch_us(fetched_at) > 300000000, false) OR coalesce(lat NOT BETWEEN -90 AND 90, false) OR coalesce(lon NOT BETWEEN -180 AND 180, false))"
-NEW_OBS = f"""SELECT provider_key, event_type, cast(user_id % 50 as varchar) AS entity_id, observed_at, k, min(event_id) AS observation_id FROM obs GROUP BY 1, 2, 3, 4, 5"""
+NEW_OBS = """SELECT provider_key, event_type, cast(user_id % 50 as varchar) AS entity_id, k, coalesce(epoch_us(observed_at), -epoch_us(fetched_at)) AS stamp, min(event_id) AS observation_id FROM obs GROUP BY 1, 2, 3, 4, 5"""
 
 
 @query("str_03_ingest_cycle", needs=("obs",), oracle=f"""
 WITH n AS ({NEW_OBS}), o AS (SELECT *, valid AND NOT {BAD_OBS} AS ok FROM obs WHERE event_id IN (SELECT observation_id FROM n)),
-e AS (SELECT event_id FROM o WHERE status IN ('STALE', 'UNAVAILABLE') UNION ALL SELECT event_id FROM o WHERE provider_key = 'open_meteo' AND ok AND value >= 7.5 UNION ALL SELECT event_id FROM o WHERE provider_key = 'open_meteo' AND ok AND value * 100 > 0 AND value * 100 < 2000 UNION ALL SELECT event_id FROM o WHERE provider_key = 'open_meteo' AND ok AND value * 3 >= 50)
-SELECT (SELECT count(*) FROM o) AS stored, (SELECT count(*) FROM o WHERE NOT ok) AS invalid, (SELECT count(*) FROM e) AS events, (SELECT count(*) FROM (SELECT DISTINCT provider_key, event_type, user_id % 50 FROM o WHERE ok) l) AS latest""")
+e AS (SELECT event_id FROM o WHERE status IN ('STALE', 'UNAVAILABLE') UNION ALL SELECT event_id FROM o WHERE provider_key = 'open_meteo' AND ok AND value >= 7.5 UNION ALL SELECT event_id FROM o WHERE provider_key = 'open_meteo' AND ok AND value * 100 > 0 AND value * 100 < 2000 UNION ALL SELECT event_id FROM o WHERE provider_key = 'open_meteo' AND ok AND value * 3 >= 50),
+r AS (SELECT *, coalesce(observed_at, fetched_at) < (SELECT max(fetched_at) FROM obs) - INTERVAL 30 DAY AS old FROM o)
+SELECT (SELECT count(*) FROM o) AS stored, (SELECT count(*) FROM o WHERE NOT ok) AS invalid, (SELECT count(*) FROM e) AS events, (SELECT count(*) FROM obs WHERE status = 'UNAVAILABLE') AS failures,
+  (SELECT count(*) FROM r WHERE old) AS expired, (SELECT count(*) FROM r WHERE NOT old) AS kept, (SELECT count(*) FROM (SELECT DISTINCT provider_key, event_type, user_id % 50 FROM r WHERE ok AND NOT old) l) AS latest""")
 def _(t):
     path = scratch(t)
-    run = cycle(t, path)
-    tally = run._table("counters").agg(*[F.sum(x).alias(x) for x in ("stored", "invalid", "events")])
-    latest = sinks.LatestTable(t.spark, f"{path}/tables/latest", [], []).read().agg(F.count("*").alias("latest"))
-    return tally.crossJoin(F.broadcast(latest))
+    run = so.IngestCycle(t.spark, f"{path}/tables", ["rain"], ["provider_key", "observation_type", "entity_id", "k"], ["observation_id"])
+    so.run_available(observation_rows(streamed(t)("obs")).writeStream.foreachBatch(run), f"{path}/checkpoint")
+    tally = run.counters().agg(*[F.sum(x).alias(x) for x in ("stored", "invalid", "events", "failures", "expired")])
+    rows = run.observations.read()
+    return tally.crossJoin(F.broadcast(rows.agg(F.count("*").alias("kept")))).crossJoin(F.broadcast(sinks.latest_valid(rows).agg(F.count("*").alias("latest"))))
 
 
 @query("str_04_event_rules", needs=("obs",), oracle="""
@@ -437,22 +476,22 @@ def _(t):
 
 
 @query("str_05_provider_runtime", needs=("obs",), oracle="""
-WITH a AS (SELECT provider_key || '-' || event_type AS provider_key, fetched_at AS at_, event_id AS seq, k % 4 < 2 AS ok FROM obs),
-s AS (SELECT provider_key, max((at_, seq)) FILTER (ok) AS ls, epoch_us(max(at_) FILTER (ok)) AS last_success_at, epoch_us(max(at_) FILTER (NOT ok)) AS last_failure_at FROM a GROUP BY provider_key)
-SELECT s.provider_key, (SELECT count(*) FROM a WHERE a.provider_key = s.provider_key AND NOT ok AND (ls IS NULL OR (at_, seq) > ls)) AS failures, last_success_at, last_failure_at FROM s""")
-def _(t):
+WITH a AS (SELECT provider_key || '-' || event_type AS provider_key, fetched_at AS at_, event_id AS seq, k % 4 < 2 AS ok, status FROM obs),
+s AS (SELECT provider_key, max((at_, seq)) FILTER (ok) AS ls, epoch_us(max(at_) FILTER (ok)) AS last_success_at, epoch_us(max(at_) FILTER (NOT ok)) AS last_failure_at, arg_max(status, (at_, seq)) AS status FROM a GROUP BY provider_key),
+f AS (SELECT s.*, (SELECT count(*) FROM a WHERE a.provider_key = s.provider_key AND NOT ok AND (ls IS NULL OR (at_, seq) > ls)) AS failures, (SELECT epoch_us(max(at_)) FROM a WHERE a.provider_key = s.provider_key AND NOT ok AND (ls IS NULL OR (at_, seq) > ls)) AS failed FROM s),
+o AS (SELECT *, CASE WHEN failures >= 3 THEN failed END AS opened_at, greatest(coalesce(last_success_at, last_failure_at), coalesce(last_failure_at, last_success_at)) + (60 + 90 * (len(provider_key) % 2)) * 1000000 AS now_ FROM f)
+SELECT provider_key, failures, last_success_at, last_failure_at, opened_at, CASE WHEN opened_at IS NULL THEN 'CLOSED' WHEN now_ >= opened_at + 120000000 THEN 'HALF_OPEN' ELSE 'OPEN' END AS state,
+  CASE WHEN now_ < opened_at + 120000000 THEN opened_at + 120000000 END AS next_attempt_at, status FROM o""")
+def _(t):
+    state.keyed_states(t.spark)
     path = scratch(t)
-    hold = {}
-
-    def fold(rows, batch):
-        old = hold.get("path")
-        out = so.fold_runtime(t.spark.read.parquet(old) if old else None, rows)
-        out.write.mode("overwrite").parquet(f"{path}/runtime-{batch}")
-        hold["path"] = f"{path}/runtime-{batch}"
-
     rows = streamed(t)("obs").select(F.concat_ws("-", "provider_key", "event_type").alias("provider_key"), c("fetched_at").alias("at"), c("event_id").alias("seq"), (c("k") % 4 < 2).alias("ok"), "status")
-    so.run_available(rows.writeStream.foreachBatch(fold), f"{path}/checkpoint")
-    return t.spark.read.parquet(hold["path"]).select("provider_key", "failures", F.unix_micros("last_success_at").alias("last_success_at"), F.unix_micros("last_failure_at").alias("last_failure_at"))
+    state.keep_states(state.breakers(rows), f"{path}/checkpoint")
+    runtime = state.runtime_stored(t.spark, f"{path}/checkpoint", so.THRESHOLD)
+    late = F.unix_micros(F.greatest("last_success_at", "last_failure_at")) + (60 + 90 * (F.length("provider_key") % 2)) * 1_000_000
+    found = so.breaker_states(runtime, F.timestamp_micros(late))
+    times = ("last_success_at", "last_failure_at", "opened_at", "next_attempt_at")
+    return found.select("provider_key", "failures", "state", "status", *[F.unix_micros(x).alias(x) for x in times])
 
 
 @query("str_06_future_and_late", needs=("obs",), oracle="""
@@ -478,12 +517,13 @@ def _(t):
 SELECT schedule_id, event_id AS observation_id, status, CASE WHEN NOT valid THEN 'bad ' || cast(k as varchar) END AS last_error
 FROM (SELECT s.schedule_id, o.*, row_number() OVER (PARTITION BY s.schedule_id ORDER BY o.fetched_at DESC, o.event_id DESC) AS rn FROM obs o JOIN schedules s ON s.train_code = 'T' || cast(o.event_id as varchar)) x WHERE rn = 1""")
 def _(t):
+    state.keyed_states(t.spark)
     path = scratch(t)
-    proj = so.ScheduleProjection(t.spark, f"{path}/state", t.schedules)
     rows = streamed(t)("obs").select(c("event_id").alias("observation_id"), F.concat(F.lit("T"), c("event_id").cast("string")).alias("train_code"), "fetched_at", "status", "valid",
                                      F.array(F.concat(F.lit("bad "), c("k").cast("string"))).alias("errors"))
-    so.run_available(rows.writeStream.foreachBatch(proj), f"{path}/checkpoint")
-    return proj.latest.read().select("schedule_id", "observation_id", "status", "last_error")
+    state.keep_states(so.schedule_states(rows, t.schedules), f"{path}/checkpoint")
+    kind = "schedule_id bigint, observation_id bigint, status string, last_error string"
+    return state.newest_stored(t.spark, f"{path}/checkpoint", T._parse_datatype_string(kind)).select("schedule_id", "observation_id", "status", "last_error")
 
 
 @query("str_08_event_feed", needs=("obs",), oracle="SELECT event_id, event_type FROM obs WHERE user_id % 10 = 3 OR k % 25 = 0")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballast.functions.digest import digest_of, group_digest
 from ballast.operators.ordered import newest
+from ballast.session import cut
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -41,39 +42,6 @@ def publish_dataset(rows: DataFrame, report: DataFrame, version: str, folder: st
 # --- latest values -------------------------------------------------------------------
 
 
-class LatestTable:
-    """Newest row per key, kept as numbered whole versions in the shared folder.
-
-    A version becomes current when its write has committed, so a retried or
-    repeated batch leaves the same content, and readers never see half a version.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str]):
-        self.spark, self.path, self.keys, self.order = spark, path, keys, order
-
-    def _versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return []
-        done = [
-            s.getPath().getName() for s in fs.listStatus(p)
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-        ]
-        return sorted(int(n[1:]) for n in done if n.startswith("v"))
-
-    def read(self, before: int | None = None) -> DataFrame | None:
-        v = [x for x in self._versions() if before is None or x < before]
-        return self.spark.read.parquet(f"{self.path}/v{v[-1]}") if v else None
-
-    def merge(self, rows: DataFrame, version: int) -> None:
-        """Fold rows into the version before ``version``; rows are combined per key before the shuffle."""
-        old = self.read(before=version)
-        both = rows if old is None else old.unionByName(rows, allowMissingColumns=True)
-        newest(both, self.keys, self.order).write.mode("overwrite").parquet(f"{self.path}/v{version}")
-
-
 def latest_valid(observations: DataFrame, asof: Column | None = None, retention_s: int | None = None) -> DataFrame:
     """Newest valid observation per provider, type and entity, within the retention time if given."""
     rows = newest(observations.where("valid"), ["provider_key", "observation_type", "entity_id"], ["fetched_at", "observation_id"])
@@ -115,8 +83,57 @@ def expired_counts(tables: dict[str, tuple[DataFrame, str]], asof: Column) -> Da
     return out
 
 
-def purge(spark: SparkSession, path: str, asof: Column, days: int, column: str = "created_at") -> str:
-    """Write the kept rows of a stored table beside it and return the new path; the caller switches readers over."""
-    target = f"{path.rstrip('/')}-{uuid.uuid4().hex[:8]}"
-    retained(spark.read.parquet(path), asof, days, column).write.parquet(target)
-    return target
+class DailyTable:
+    """Rows in one folder per UTC day of a time column and, below it, per micro-batch.
+
+    A batch that is repeated overwrites its own folders. Readers that name days
+    list and open only those. Rows without the time lie in a folder of their own
+    and never expire.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, column: str):
+        self.spark, self.path, self.column = spark, path.rstrip("/"), column
+
+    def append(self, rows: DataFrame, batch: int) -> DataFrame:
+        """Store a batch and return what is stored of it."""
+        dated = rows.withColumns({"day": F.to_date(self.column), "batch": F.lit(batch)}).hint("rebalance", "day")
+        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(self.path)
+        stored = self.spark.read.schema(dated.schema).parquet(self.path)
+        return stored.where(F.col("batch") == batch).select(*rows.columns)
+
+    def read(self, days: list | None = None, before: int | None = None) -> DataFrame | None:
+        """Stored rows, if given only of these days (None stands for rows without a time) and of earlier batches."""
+        folders = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/day=*")
+        if not folders.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(folders):
+            return None
+        rows = self.spark.read.parquet(self.path).withColumn("day", F.col("day").cast("date"))
+        if days is not None:
+            rows = rows.where(F.col("day").isin([d for d in days if d is not None]) | (F.col("day").isNull() if None in days else F.lit(False)))
+        return rows if before is None else rows.where(F.col("batch") < before)
+
+    def _drop(self, folder: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def purge(self, now: datetime, days: int) -> int:
+        """Let rows go whose time lies more than ``days`` before ``now`` (UTC); returns how many.
+
+        Whole days go as folders; only the day in which the limit falls is
+        rewritten, batch by batch, so that a repeated call finds the same.
+        """
+        limit = now - timedelta(days=days)
+        rows = self.read()
+        if rows is None:
+            return 0
+        old = F.unix_micros(F.col(self.column).cast("timestamp")) < F.unix_micros(F.lit(limit.isoformat(sep=" ")).cast("timestamp"))
+        held = rows.where(F.col("day") <= F.lit(limit.date())).groupBy("day", "batch").agg(F.count_if(old).alias("old"), F.count("*").alias("rows")).collect()
+        mixed = [r["batch"] for r in held if 0 < r["old"] < r["rows"]]
+        for r in held:
+            if r["day"] < limit.date():
+                self._drop(f"day={r['day']}")
+            elif r["old"] == r["rows"]:
+                self._drop(f"day={r['day']}/batch={r['batch']}")
+        if mixed:
+            kept = cut(rows.where((F.col("day") == F.lit(limit.date())) & F.col("batch").isin(mixed) & ~old))
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(self.path)
+        return sum(r["old"] for r in held)

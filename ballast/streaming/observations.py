@@ -13,7 +13,8 @@ from ballast.functions.common import codes
 from ballast.functions.freshness import observation_age, observation_freshness
 from ballast.operators.contracts import observation_codes
 from ballast.session import zoned
-from ballast.sources.sinks import LatestTable, exists
+from ballast.sources.sinks import RETENTION_DAYS, DailyTable
+from ballast.streaming import state
 
 # Fresh and stale limits in seconds of the polled providers.
 PROVIDER_LIMITS = {"open_meteo": (900, 3600), "noaa_swpc": (1800, 10800)}
@@ -63,11 +64,11 @@ def split_quarantine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def observation_key(fields: list[str]) -> Column:
-    """Digest of what makes two observations the same.
+    """Digest of what makes two observations the same; null parts equal null parts.
 
     A failure has no observation time: its fetch time stands in, so that each outage is kept.
     """
-    stamp = F.coalesce(F.unix_micros("observed_at"), -F.unix_micros("fetched_at"))
+    stamp = F.coalesce(F.unix_micros("observed_at"), -F.unix_micros("fetched_at"), F.lit(0))
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in fields]
     return F.sha2(F.concat_ws("\u0001", stamp.cast("string"), *parts), 256)
 
@@ -107,98 +108,68 @@ def observation_events(rows: DataFrame, keys: list[str]) -> DataFrame:
         "severity", F.when(F.col("event_type").startswith("PROVIDER"), "MEDIUM").otherwise("HIGH"))
 
 
-def fold_runtime(old: DataFrame | None, attempts: DataFrame) -> DataFrame:
-    """Breaker state per provider after a batch of attempts: (provider_key, at, seq, ok, status).
-
-    Only the last success, what failed after it, and the previous state are needed.
-    """
-    order = F.struct("at", "seq")
-    last = attempts.groupBy("provider_key").agg(
-        F.max(F.when(F.col("ok"), order)).alias("_s"), F.max(F.when(F.col("ok"), F.col("at"))).alias("_sat"),
-        F.max(F.when(~F.col("ok"), F.col("at"))).alias("_fat"), F.max_by("status", order).alias("status"),
-    )
-    after = attempts.where("not ok").join(last.select("provider_key", "_s"), "provider_key").where(
-        F.col("_s").isNull() | (order > F.col("_s"))).groupBy("provider_key").agg(F.count("*").alias("_n"))
-    new = last.join(after, "provider_key", "left").withColumn("_n", F.coalesce("_n", F.lit(0).cast("bigint")))
-    kind = "provider_key string, failures bigint, opened_at timestamp, last_success_at timestamp, last_failure_at timestamp, status string"
-    if old is None:
-        old = attempts.sparkSession.createDataFrame([], kind)
-    j = new.join(old.select("provider_key", F.col("failures").alias("_of"), F.col("opened_at").alias("_oo"), F.col("last_success_at").alias("_os"),
-                            F.col("last_failure_at").alias("_ol"), F.col("status").alias("_ost")), "provider_key", "full_outer")
-    touched = F.col("_n").isNotNull()
-    failures = F.when(~touched, F.col("_of")).when(F.col("_sat").isNotNull(), F.col("_n")).otherwise(F.coalesce("_of", F.lit(0)) + F.col("_n"))
-    opened = F.when(failures >= THRESHOLD, F.when(touched & (F.col("_n") > 0), F.col("_fat")).otherwise(F.col("_oo")))
-    return j.select(
-        "provider_key", failures.cast("bigint").alias("failures"), opened.alias("opened_at"), F.coalesce("_sat", "_os").alias("last_success_at"),
-        F.coalesce("_fat", "_ol").alias("last_failure_at"), F.coalesce("status", "_ost").alias("status"))
-
-
 def breaker_states(runtime: DataFrame, asof: Column) -> DataFrame:
+    """State of each breaker at ``asof`` and, of an open one, when it is tried again."""
     retry = F.timestamp_micros(F.unix_micros("opened_at") + COOLDOWN_S * 1_000_000)
     state = F.when(F.col("opened_at").isNull(), "CLOSED").when(asof >= retry, "HALF_OPEN").otherwise("OPEN")
-    return runtime.withColumns({"state": state, "next_attempt_at": F.when(state == "OPEN", retry)})
+    return runtime.withColumns({"state": state, "next_attempt_at": F.when(state == "OPEN", retry), "rate_limited": F.col("status") == "RATE_LIMITED"})
+
+
+FAILED = ("UNAVAILABLE", "INVALID", "RATE_LIMITED")
 
 
 class IngestCycle:
-    """One micro-batch of the ingest job: store new observations, then state, latest values and events.
+    """One micro-batch of the ingest job: store new observations and their events, then let old days go.
 
-    Everything is written below ``path``; ``keys`` identify an observation.
+    Observations lie in a folder per day of the time that is part of their key,
+    so the search for known ones reads only the days that the batch holds. Every
+    output is keyed by the batch, which overwrites itself when it is repeated.
     """
 
-    def __init__(self, spark: SparkSession, path: str, numbers: list[str], keys: list[str], order: list[str]):
-        self.spark, self.path, self.numbers, self.keys, self.order = spark, path.rstrip("/"), numbers, keys, order
-
-    def _table(self, name: str) -> DataFrame | None:
-        p = f"{self.path}/{name}"
-        return self.spark.read.option("basePath", p).parquet(p) if exists(self.spark, p) else None
+    def __init__(self, spark: SparkSession, path: str, numbers: list[str], keys: list[str], order: list[str], days: int = RETENTION_DAYS["observations"]):
+        self.spark, self.path, self.numbers, self.keys, self.order, self.days = spark, path.rstrip("/"), numbers, keys, order, days
+        self.observations = DailyTable(spark, f"{self.path}/observations", "stamp_at")
 
     def _put(self, df: DataFrame, name: str, batch: int) -> DataFrame:
         target = f"{self.path}/{name}/batch={batch}"
         df.write.mode("overwrite").parquet(target)
         return self.spark.read.schema(df.schema).parquet(target)
 
+    def known(self, days: list, batch: int) -> DataFrame | None:
+        """Keys stored by earlier batches on these days."""
+        stored = self.observations.read(days, before=batch)
+        return None if stored is None else stored.select("observation_key")
+
     def __call__(self, rows: DataFrame, batch: int) -> None:
-        checked = judged(rows, self.numbers).withColumn("valid", F.col("valid") & (F.size("errors") == 0))
-        stored = self._table("observations")
-        if stored is not None:
-            stored = stored.where(F.col("batch") < batch).drop("batch")
-        new = self._put(unseen_in_batch(checked, stored, self.keys, self.order), "observations", batch)
-        attempts = checked.select("provider_key", F.col("fetched_at").alias("at"), F.col("observation_id").alias("seq"),
-                                  F.col("status").isin("LIVE", "CACHED", "AGING").alias("ok"), "status")
-        before = self._table("runtime")
-        if before is not None:
-            last = before.where(F.col("batch") < batch).agg(F.max("batch")).first()[0]
-            before = None if last is None else before.where(F.col("batch") == last).drop("batch")
-        self._put(fold_runtime(before, attempts), "runtime", batch)
-        latest = LatestTable(self.spark, f"{self.path}/latest", ["provider_key", "observation_type", "entity_id"], ["fetched_at", "observation_id"])
-        latest.merge(new.where("valid"), batch)
+        checked = judged(rows, self.numbers).withColumns({
+            "valid": F.col("valid") & (F.size("errors") == 0), "observation_key": observation_key(self.keys), "stamp_at": F.coalesce("observed_at", "fetched_at")})
+        seen = checked.agg(F.max("fetched_at").alias("now"), F.collect_set(F.to_date("stamp_at")).alias("days"), F.count_if(F.col("status").isin(*FAILED)).alias("failures")).first()
+        new = unseen_in_batch(checked, self.known(seen["days"], batch), ["observation_key"], self.order)
+        new = self.observations.append(new.select(*checked.columns), batch)
         events = self._put(observation_events(new, ["observation_id"]), "events", batch)
-        tally = new.agg(F.count("*").alias("stored"), F.count_if(~F.col("valid")).alias("invalid")).crossJoin(
-            F.broadcast(events.agg(F.count("*").alias("events"))))
-        self._put(tally, "counters", batch)
+        expired = self.observations.purge(seen["now"], self.days) if seen["now"] is not None else 0
+        tally = new.agg(F.count("*").alias("stored"), F.count_if(~F.col("valid")).alias("invalid")).crossJoin(F.broadcast(events.agg(F.count("*").alias("events"))))
+        self._put(tally.select("*", F.lit(seen["failures"]).alias("failures"), F.lit(expired).cast("long").alias("expired")), "counters", batch)
 
+    def counters(self) -> DataFrame:
+        return self.spark.read.option("basePath", f"{self.path}/counters").parquet(f"{self.path}/counters")
 
-class ScheduleProjection:
-    """Newest status per schedule from a stream of provider messages joined to the schedules."""
 
-    def __init__(self, spark: SparkSession, path: str, schedules: DataFrame):
-        self.schedules = schedules.select("schedule_id", "train_code")
-        self.latest = LatestTable(spark, path, ["schedule_id"], ["fetched_at", "observation_id"])
+def schedule_states(messages: DataFrame, schedules: DataFrame) -> DataFrame:
+    """Stream of changes of the newest status per schedule, from provider messages joined to the schedules."""
+    j = messages.join(schedules.select("schedule_id", "train_code"), "train_code").withColumn("last_error", F.when(~F.col("valid"), F.array_join("errors", "; ")))
+    return state.newest_states(j.drop("errors"), ["schedule_id"], "fetched_at", "observation_id")
 
-    def __call__(self, rows: DataFrame, batch: int) -> None:
-        j = rows.join(self.schedules, "train_code").withColumn("last_error", F.when(~F.col("valid"), F.array_join("errors", "; ")))
-        self.latest.merge(j.drop("errors"), batch)
 
+#: Minutes after which a silent vessel leaves the state.
+VESSEL_EXPIRY_MIN = 45
 
-class VesselState:
-    """Latest state of each vessel; vessels silent for longer than the expiry leave the table."""
 
-    def __init__(self, spark: SparkSession, path: str, expiry_min: int = 45):
-        self.spark, self.expiry_us = spark, expiry_min * 60_000_000
-        self.latest = LatestTable(spark, path, ["vessel_id"], ["seen_at", "message_id"])
+def vessel_states(messages: DataFrame, delay: str, expiry_min: int = VESSEL_EXPIRY_MIN) -> DataFrame:
+    """Stream of changes of each vessel's newest message; vessels silent for longer than the expiry leave the state."""
+    return state.newest_states(messages, ["vessel_id"], "seen_at", "message_id", expiry_min * 60, delay)
 
-    def __call__(self, rows: DataFrame, batch: int) -> None:
-        self.latest.merge(rows, batch)
 
-    def snapshot(self, asof: Column) -> DataFrame:
-        return self.latest.read().where(F.unix_micros("seen_at") >= F.unix_micros(asof) - self.expiry_us)
+def fresh_vessels(vessels: DataFrame, asof: Column, expiry_min: int = VESSEL_EXPIRY_MIN) -> DataFrame:
+    """Vessels of the state that are not yet silent for too long at ``asof``."""
+    return vessels.where(F.unix_micros("seen_at") >= F.unix_micros(asof) - expiry_min * 60_000_000)

@@ -238,44 +238,6 @@ def test_repeated_header_is_refused(spark, tmp_path):
         timetables.strict_csv(spark, str(f))
 
 
-def test_latest_table_survives_a_repeated_batch(spark, tmp_path):
-    t = sinks.LatestTable(spark, str(tmp_path / "t"), ["k"], ["n"])
-    rows = lambda *x: spark.createDataFrame(list(x), "k string, n int")
-    t.merge(rows(("a", 1), ("a", 3), ("b", 1)), 0)
-    t.merge(rows(("a", 2), ("b", 5)), 1)
-    t.merge(rows(("a", 2), ("b", 5)), 1)
-    assert {tuple(r) for r in t.read().collect()} == {("a", 3), ("b", 5)}
-
-
-def test_stream_in_many_batches_equals_one_batch(spark, tmp_path):
-    rng = random.Random(11)
-    rows = [(i, f"v{rng.randrange(9)}", T0 + dt.timedelta(seconds=rng.randrange(20_000))) for i in range(400)]
-    src = str(tmp_path / "in")
-    spark.createDataFrame(rows, "message_id int, vessel_id string, seen_at timestamp").repartition(6).write.parquet(src)
-    state = so.VesselState(spark, str(tmp_path / "state"), expiry_min=60)
-    so.run_available(so.file_stream(spark, src, maxFilesPerTrigger="1").writeStream.foreachBatch(state), str(tmp_path / "cp"))
-    asof = T0 + dt.timedelta(seconds=20_000)
-    got = {(r["vessel_id"], r["message_id"]) for r in state.snapshot(F.lit(asof)).collect()}
-    want = set()
-    for v in {r[1] for r in rows}:
-        best = max((r for r in rows if r[1] == v), key=lambda r: (r[2], r[0]))
-        if best[2] >= asof - dt.timedelta(minutes=60):
-            want.add((v, best[0]))
-    assert got == want
-
-
-def test_runtime_folds_like_a_walk(spark):
-    rng = random.Random(13)
-    old, failures = None, 0
-    for batch in range(4):
-        rows = [("p", T0 + dt.timedelta(minutes=batch * 100 + i), batch * 100 + i, rng.random() < 0.2, "LIVE") for i in range(7)]
-        for r in rows:
-            failures = 0 if r[3] else failures + 1
-        folded = so.fold_runtime(old, spark.createDataFrame(rows, "provider_key string, at timestamp, seq int, ok boolean, status string"))
-        assert folded.first()["failures"] == failures
-        old = spark.createDataFrame(folded.collect(), folded.schema)
-
-
 def test_reading_grows_stale_one_way(spark):
     from ballast.functions.freshness import evidence_freshness
 
