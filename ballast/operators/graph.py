@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ballast.functions.digest import group_digest
 from ballast.functions.scoring import segment_cost
 from ballast.functions.vocab import TRUST_RELATIONS
-from ballast.operators.selections import top_k
 from ballast.session import cut
 
 
@@ -72,68 +71,6 @@ def least_cost_paths(edges: DataFrame, sources: DataFrame | None = None, max_rou
     return best.where("source <> node").select("source", F.col("node").alias("dest"), "cost", "path")
 
 
-def simple_paths(edges: DataFrame, requests: DataFrame, max_hops: int) -> DataFrame:
-    """All paths without a repeated node between requested ends, up to a hop bound.
-
-    ``edges`` may be parallel. Returns source, dest, cost, path.
-    """
-    kind = edges.schema["seg_id"].dataType.simpleString()
-    want = requests.select("source", "dest").distinct()
-    front = want.select("source").distinct().select(
-        "source", F.col("source").alias("node"), F.array("source").alias("visited"), F.lit(0.0).alias("cost"),
-        F.array().cast(f"array<{kind}>").alias("path"),
-    )
-    hop = edges.withColumnRenamed("cost", "step")
-    found = None
-    for _ in range(max_hops):
-        front = cut(front.join(hop, F.col("node") == F.col("src")).where(
-            ~F.array_contains("visited", F.col("dst"))
-        ).select(
-            "source", F.col("dst").alias("node"), F.concat("visited", F.array("dst")).alias("visited"),
-            F.round(F.col("cost") + F.col("step"), 9).alias("cost"), F.concat("path", F.array("seg_id")).alias("path"),
-        ))
-        hit = front.select("source", F.col("node").alias("dest"), "cost", "path").join(want, ["source", "dest"], "left_semi")
-        found = hit if found is None else found.unionByName(hit)
-    return found
-
-
-def k_cheapest_paths(edges: DataFrame, requests: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` cheapest paths without a repeated node of each requested pair: source, dest, cost, path, rank.
-
-    A partial path goes on only while its cost plus the least cost from its end
-    to the destination is not above the pair's k-th best so far, so there is no
-    bound on hops; rounds end when no partial path is left. ``edges`` may be
-    parallel; equal costs are settled by the smaller list of segments.
-    """
-    kind = edges.schema["seg_id"].dataType.simpleString()
-    want = cut(requests.select("source", "dest").distinct().where("source <> dest"))
-    back = edges.groupBy(F.col("dst").alias("src"), F.col("src").alias("dst")).agg(F.min("cost").alias("cost"), F.min("seg_id").alias("seg_id"))
-    ends = want.select(F.col("dest").alias("source")).distinct()
-    least = least_cost_paths(back, ends).select(F.col("source").alias("dest"), F.col("dest").alias("node"), F.col("cost").alias("rest"))
-    least = cut(least.unionByName(ends.select(F.col("source").alias("dest"), F.col("source").alias("node"), F.lit(0.0).alias("rest"))))
-    front = want.select("source", "dest", F.col("source").alias("node"), F.array("source").alias("visited"), F.lit(0.0).alias("cost"), F.array().cast(f"array<{kind}>").alias("path"))
-    hop, found = edges.withColumnRenamed("cost", "step"), None
-    while True:
-        tried = front.join(hop, F.col("node") == F.col("src")).where(~F.array_contains("visited", F.col("dst"))).select(
-            "source", "dest", F.col("dst").alias("node"), F.concat("visited", F.array("dst")).alias("visited"),
-            F.round(F.col("cost") + F.col("step"), 9).alias("cost"), F.concat("path", F.array("seg_id")).alias("path"),
-        ).join(least, ["dest", "node"])
-        if found is not None:
-            worst = found.where(F.col("rank") == k).select("source", "dest", F.col("cost").alias("worst"))
-            tried = tried.join(worst, ["source", "dest"], "left").where("worst is null or cost + rest <= worst + 1e-6").drop("worst")
-        tried = cut(tried)
-        hits = tried.where("node = dest").select("source", "dest", "cost", "path")
-        pool = hits if found is None else found.drop("rank").unionByName(hits)
-        found = cut(cheapest_paths(pool, k))
-        front = tried.where("node <> dest").drop("rest")
-        if front.isEmpty():
-            return found
-
-
-def cheapest_paths(paths: DataFrame, k: int = 5) -> DataFrame:
-    return top_k(paths, ["source", "dest"], [F.asc("cost"), F.asc("path")], k)
-
-
 # --- lineage ---------------------------------------------------------------------------
 
 

@@ -278,67 +278,6 @@ def test_nearest_place_around_the_globe(spark):
         assert got == {a[0]: min(spots, key=lambda b: (km(a, b), b[0]))[0] for a in asked}
 
 
-def test_cheapest_paths_have_no_hop_bound(spark):
-    rng = random.Random(4)
-    chain = [(i, i + 1, i, 1.0) for i in range(6)]
-    more = [(100 + k, rng.randrange(8), rng.randrange(8)) for k in range(18)]
-    edges = chain + [(20 + a % 8, 20 + b % 8, k, 1.0 + (k * 37 % 11) / 10) for k, a, b in more if a != b]
-    df = spark.createDataFrame(edges, "src int, dst int, seg_id int, cost double")
-    wanted = [(0, 6)] + [(20 + a, 20 + b) for a in range(8) for b in range(8) if a != b]
-    got = graph.k_cheapest_paths(df, spark.createDataFrame(wanted, "source int, dest int"), 3).collect()
-
-    def walk(node, dest, seen, cost, path):
-        if node == dest:
-            yield (round(cost, 9), path)
-            return
-        for a, b, s, c in edges:
-            if a == node and b not in seen:
-                yield from walk(b, dest, seen | {b}, cost + c, path + [s])
-
-    want = sorted((a, b, n + 1, p) for a, b in wanted for n, (_, p) in enumerate(sorted(walk(a, b, {a}, 0.0, []))[:3]))
-    assert sorted((r.source, r.dest, r["rank"], r.path) for r in got) == want
-    assert [r.path for r in got if r.source == 0] == [[0, 1, 2, 3, 4, 5]]
-
-
-@pytest.mark.parametrize("name", ["mlo_01_training_protocol", "mlo_02_guarded_scoring"])
-def test_registered_training_is_the_operators_own_protocol(spark, monkeypatch, name):
-    from ballast.operators import models
-    from ballast.plans import QUERIES
-
-    class Fitted(Exception):
-        pass
-
-    def estimators(settings):
-        raise Fitted(settings)
-
-    monkeypatch.setattr(models, "_estimators", estimators)
-    with pytest.raises(Fitted) as e:
-        QUERIES[name](spark, "/root/testdata/sf0.001")
-    assert e.value.args[0] == models.CANDIDATES
-
-
-@pytest.mark.parametrize("name,table,key", [
-    ("agg_40_next_sequence_whole", "customer", None), ("agg_24_residual_p90_whole", "features", "rows"), ("prj_22_out_of_range_whole", "features", None),
-    ("join_16_reading_as_of_whole", "positions", None)])
-def test_whole_table_queries_leave_nothing_out(spark, name, table, key):
-    from ballast.plans import QUERIES
-    from ballast.plans.stand_ins import Tables
-
-    folder = "/root/testdata/sf0.001"
-    got, t = QUERIES[name](spark, folder), Tables(spark, folder)
-    n = getattr(t, table).count()
-    if name.startswith("agg_40"):
-        best = {r[0]: r[1] + 1 for r in t.orders.groupBy("o_custkey").agg(F.max(F.col("o_orderkey") % 50)).collect()}
-        assert {r.case_id: r.next for r in got.collect()} == {k: best.get(k, 1) for r in t.customer.collect() for k in (r.c_custkey, -1 - r.c_custkey)}
-    elif key:
-        assert got.agg(F.sum(key)).first()[0] == n
-    else:
-        assert got.count() == n
-    if name.startswith("prj_22"):
-        assert {(r.row_id % 7 == 3, r.row_id % 5 == 1, "segment_count" in r.outliers, "rainfall" in r.outliers) for r in got.collect()} == {
-            (a, b, a, b) for a in (True, False) for b in (True, False)}
-
-
 def test_untrusted_corridors(spark):
     rows = [(c, k, float(i), 0.0) for c, k, n in (("real", "REAL_LIVE", 30), ("few", "REAL_LIVE", 29), ("made", "REAL_LIVE", 30), ("made", "SYNTHETIC", 1)) for i in range(n)]
     got = statistics.residual_p90(spark.createDataFrame(rows, "corridor string, data_class string, y double, p double"), ["corridor"], "y", "p")
