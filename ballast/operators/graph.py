@@ -43,13 +43,13 @@ def edge_costs(segments: DataFrame) -> DataFrame:
     ).select("src", "dst", "e.seg_id", "e.cost")
 
 
-def least_cost_paths(edges: DataFrame, sources: DataFrame | None = None, max_rounds: int = 100_000) -> DataFrame:
-    """Cheapest path from each source to every node it reaches: cost and segment ids in order.
+def paths_from(edges: DataFrame, sources: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+    """Cheapest path from each of a few sources to every node it reaches: cost and segment ids in order.
 
     Relaxation in rounds: only nodes improved in the last round are expanded.
     Equal costs are settled by the smaller list of segments.
     """
-    starts = (edges.select(F.col("src").alias("source")) if sources is None else sources.select("source")).distinct()
+    starts = sources.select("source").distinct()
     kind = edges.schema["seg_id"].dataType.simpleString()
     best = cut(starts.select(
         "source", F.col("source").alias("node"), F.lit(0.0).alias("cost"),

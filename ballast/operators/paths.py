@@ -1,4 +1,4 @@
-"""The cheapest paths without a repeated node, for all requested pairs at once, by deviations.
+"""Cheapest paths of all requested pairs at once, and the k cheapest without a repeated node by deviations.
 
 The best path of a pair that is not yet taken leaves an earlier one at some node.
 So each path taken is followed up to each of its nodes in turn (the root), and
@@ -24,28 +24,74 @@ from pyspark.sql import functions as F
 from ballast.session import cut
 
 SCALE = 1_000_000_000
+#: Hops that a round of relaxation takes.
+STRIDE = 3
 PAIR = ["source", "dest"]
 
 
+def distances_to(hops: DataFrame, ends: DataFrame) -> DataFrame:
+    """Least cost from every node that reaches an end: dest, node, rest.
+
+    A round takes ``STRIDE`` hops from the rows improved last and writes only
+    what it improves.
+    """
+    node = hops.schema["src"].dataType.simpleString()
+    least = F.min("rest").alias("rest")
+    front = best = cut(ends.select("dest", F.col("dest").cast(node).alias("node"), F.lit(0).cast("long").alias("rest")))
+    rounds = 0
+    while not front.isEmpty():
+        rounds += 1
+        tried = front
+        for _ in range(STRIDE):
+            back = tried.join(hops, F.col("node") == F.col("dst")).where(F.col("src") != F.col("dest")).select("dest", F.col("src").alias("node"), (F.col("rest") + F.col("step")).alias("rest"))
+            tried = tried.unionByName(back).groupBy("dest", "node").agg(least)
+        known = best.withColumnRenamed("rest", "known")
+        front = cut(tried.join(known, ["dest", "node"], "left").where("known is null or rest < known").select("dest", "node", "rest"))
+        best = best.unionByName(front).groupBy("dest", "node").agg(least)
+        if rounds % 8 == 0:
+            best = cut(best)
+    return cut(best)
+
+
 def ways_to(hops: DataFrame, ends: DataFrame) -> DataFrame:
     """Least cost way from every node to each end: dest, node, rest, segs, nodes. Equal costs: the smaller list of segments.
 
-    Rounds expand only what the last one improved.
+    Of the edges on cheapest ways each node takes the one of smallest id. These
+    pointers are followed by doubling: rounds grow with the logarithm of a way's length.
     """
+    rest = distances_to(hops, ends)
+    ahead = rest.select("dest", F.col("node").alias("dst"), F.col("rest").alias("after"))
     kind, node = hops.schema["seg_id"].dataType.simpleString(), hops.schema["src"].dataType.simpleString()
-    best = cut(ends.select(
-        "dest", F.col("dest").cast(node).alias("node"), F.lit(0).cast("long").alias("rest"), F.array().cast(f"array<{kind}>").alias("segs"),
-        F.array(F.col("dest").cast(node)).alias("nodes"), F.lit(0).alias("round")))
-    i = 0
+    tight = rest.where("node <> dest").join(hops, F.col("node") == F.col("src")).join(ahead, ["dest", "dst"]).where("rest = step + after")
+    way = cut(tight.groupBy("dest", "node", "rest").agg(F.min(F.struct("seg_id", "dst")).alias("e")).select(
+        "dest", "node", "rest", F.array("e.seg_id").alias("segs"), F.array("node", "e.dst").alias("nodes")))
     while True:
-        i += 1
-        tried = best.where(F.col("round") == i - 1).join(hops, F.col("node") == F.col("dst")).where(~F.array_contains("nodes", F.col("src"))).select(
-            "dest", F.col("src").alias("node"), (F.col("rest") + F.col("step")).alias("rest"), F.concat(F.array("seg_id"), "segs").alias("segs"),
-            F.concat(F.array("src"), "nodes").alias("nodes"), F.lit(i).alias("round"))
-        pick = F.min(F.struct("rest", "segs", "nodes", "round")).alias("b")
-        best = cut(best.unionByName(tried).groupBy("dest", "node").agg(pick).select("dest", "node", "b.*"))
-        if best.where(F.col("round") == i).isEmpty():
-            return best.drop("round")
+        end = F.element_at("nodes", -1)
+        open_ = way.where(end != F.col("dest")).withColumn("at", end)
+        if open_.isEmpty():
+            break
+        more = way.select("dest", F.col("node").alias("at"), F.col("segs").alias("on"), F.col("nodes").alias("over"))
+        longer = open_.join(more, ["dest", "at"]).select("dest", "node", "rest", F.concat("segs", "on").alias("segs"), F.concat("nodes", F.slice("over", 2, F.size("over"))).alias("nodes"))
+        way = cut(way.where(end == F.col("dest")).unionByName(longer))
+    there = rest.where("node = dest").select("dest", "node", "rest", F.array().cast(f"array<{kind}>").alias("segs"), F.array(F.col("node").cast(node)).alias("nodes"))
+    return way.unionByName(there)
+
+
+def whole_costs(edges: DataFrame) -> DataFrame:
+    """Edges between different nodes with their cost in billionths."""
+    return cut(edges.where("src <> dst").select("src", "dst", "seg_id", F.round(F.col("cost") * SCALE).cast("long").alias("step")))
+
+
+def least_cost_paths(edges: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """Cheapest path of each requested pair, or of all pairs: source, dest, cost, path (segment ids in order).
+
+    Pairs of one node and pairs that nothing connects get no rows. Costs are above zero.
+    """
+    hops = whole_costs(edges)
+    want = None if requests is None else requests.select(*PAIR).where("source <> dest").distinct()
+    ends = hops.select(F.col("dst").alias("dest")).distinct() if want is None else want.select("dest").distinct()
+    found = ways_to(hops, ends).where("node <> dest").select(F.col("node").alias("source"), "dest", (F.col("rest") / SCALE).alias("cost"), F.col("segs").alias("path"))
+    return found if want is None else found.join(want, PAIR, "left_semi")
 
 
 def spurs(taken: DataFrame, last: DataFrame) -> DataFrame:
@@ -111,7 +157,7 @@ def k_cheapest_paths(edges: DataFrame, requests: DataFrame, k: int = 5) -> DataF
     above zero. Equal costs are settled by the smaller list of segments. Pairs
     whose ends are one node, or that nothing connects, get no rows.
     """
-    hops = cut(edges.where("src <> dst").select("src", "dst", "seg_id", F.round(F.col("cost") * SCALE).cast("long").alias("step")))
+    hops = whole_costs(edges)
     want = cut(requests.select(*PAIR).where("source is not null and dest is not null and source <> dest").distinct())
     ways = ways_to(hops, want.select("dest").distinct())
     zero = F.lit(0)

@@ -28,7 +28,7 @@ PATHS_SQL = relaxed(25)
 
 @query("gra_01_least_cost_paths", needs=("segments",), oracle=f"{PATHS_SQL} SELECT source, dest, round(cost, 6) AS cost, array_to_string(path, ',') AS path FROM best")
 def _(t):
-    p = graph.least_cost_paths(graph.edge_costs(t.segments))
+    p = paths.least_cost_paths(graph.edge_costs(t.segments))
     return p.select("source", "dest", F.round("cost", 6).alias("cost"), joined("path").alias("path"))
 
 
@@ -89,8 +89,8 @@ def evaluated_routes(t):
     A request that no path answers has the status NO_PATH and no figures.
     """
     c = F.col
-    paths = graph.least_cost_paths(graph.edge_costs(t.segments))
-    legs = paths.select("source", "dest", F.posexplode("path").alias("seq", "seg_id")).join(t.segments.drop("src", "dst"), "seg_id")
+    best = paths.least_cost_paths(graph.edge_costs(t.segments), requests(t))
+    legs = best.select("source", "dest", F.posexplode("path").alias("seq", "seg_id")).join(t.segments.drop("src", "dst"), "seg_id")
     # path facts once per pair of ends, not once per request
     pair = F.concat_ws(">", "source", "dest")
     scores = agg.route_scores(legs.withColumn("route_id", pair)).withColumnRenamed("route_id", "pair")
@@ -98,7 +98,7 @@ def evaluated_routes(t):
         "pair": pair, "cargo_h": 4 + (c("request_id") % 8) / 10, "cargo_w": 3 + (c("request_id") % 5) / 10, "cargo_t": (70 + c("request_id") % 50).cast("double"),
         "weather": F.when(c("request_id") % 6 != 0, (c("request_id") % 1000) / 10), "port": F.when(c("request_id") % 5 != 0, (c("request_id") % 97) / 1),
     })
-    facts = paths.select("source", "dest", "cost", "path")
+    facts = best.select("source", "dest", "cost", "path")
     cargo = req.select("request_id", "source", "dest", "cargo_h", "cargo_w", "cargo_t")
     clear = agg.clearance(cargo.join(legs, ["source", "dest"]).withColumnRenamed("request_id", "route_id")).withColumnRenamed("route_id", "request_id")
     j = req.join(facts, ["source", "dest"], "left").join(scores, "pair", "left").join(clear, "request_id", "left")

@@ -167,7 +167,7 @@ def test_least_cost_paths_on_a_chain_with_shortcuts(spark):
     n = 60
     edges = [(i, i + 1, i, 1.0 + i % 3) for i in range(n - 1)] + [(a, b, 1000 + j, float(rng.randrange(2, 40))) for j, (a, b) in enumerate({tuple(sorted(rng.sample(range(n), 2))) for _ in range(90)})]
     df = spark.createDataFrame(edges, "src int, dst int, seg_id int, cost double")
-    got = {r["dest"]: r["cost"] for r in graph.least_cost_paths(df, spark.createDataFrame([(0,)], "source int")).collect()}
+    got = {r["dest"]: r["cost"] for r in graph.paths_from(df, spark.createDataFrame([(0,)], "source int")).collect()}
     dist, heap = {0: 0.0}, [(0.0, 0)]
     while heap:
         d, u = heapq.heappop(heap)

@@ -40,6 +40,18 @@ def test_all_lengths_ties_and_parallel_edges(spark):
     assert paths.k_cheapest_paths(*frames(spark, [], wanted), 3).count() == 0 == paths.k_cheapest_paths(*frames(spark, edges, []), 3).count()
 
 
+def test_least_cost_paths(spark):
+    rng = random.Random(5)
+    edges = [(a, b, k, float(rng.randint(1, 4))) for k in range(40) if (a := rng.randrange(12)) != (b := rng.randrange(12))] + [(30 + i, 31 + i, 500 + i, 1.0) for i in range(40)]
+    df, _ = frames(spark, edges, [])
+    want = {(a, b): found[0] for a in range(80) for b in range(80) if a != b and (a < 12) == (b < 12) and (found := answer(edges, a, b, 1))}
+    got = {(r.source, r.dest): (r.cost, r.path) for r in paths.least_cost_paths(df).collect()}
+    assert got == want
+    asked = [(0, 5), (30, 70), (70, 30), (3, 3), (1, 99)]
+    got = {(r.source, r.dest): (r.cost, r.path) for r in paths.least_cost_paths(*frames(spark, edges, asked)).collect()}
+    assert got == {p: want[p] for p in asked if p in want}
+
+
 def best_way(out, source, dest, off, banned):
     heap = [(0, (), source, (source,))]
     done = set()
