@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ballast.session import cut
+
 SLOT = "_slot"
 
 
@@ -116,6 +118,60 @@ def ranked(
     return res.join(sizes, keys) if keys else res.crossJoin(F.broadcast(sizes))
 
 
+def balanced_rank(df: DataFrame, keys: list[str], order: list[str], out: str = "rank") -> DataFrame:
+    """1-based position in each key group, from slices of equal row counts.
+
+    The rows are dealt by ranges of (keys, order), so a hot key is cut into as
+    many slices as its rows need, wherever in the order they lie.
+    """
+    cols = [*keys, *order]
+    rows = cut(df.repartitionByRange(*cols).withColumn(SLOT, F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy(*keys, SLOT).agg(F.count(F.lit(1)).alias("_n")).select(*keys, SLOT, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
+    place = F.row_number().over(Window.partitionBy(*keys, SLOT).orderBy(*order))
+    return rows.join(first, [*keys, SLOT]).withColumn(out, place + F.col("_b")).drop(SLOT, "_b")
+
+
+#: Rows of a stretch within which clamped steps are composed, as a power of two.
+STRETCH_BITS = 8
+
+
+def clamped(f: Column, u: Column) -> Column:
+    """A step u -> min(max(u + shift, low), high) applied to ``u``."""
+    return F.least(f["high"], F.greatest(f["low"], u + f["shift"]))
+
+
+def composed(first: Column, then: Column) -> Column:
+    """One step that does ``first`` and ``then``; a null first step does nothing."""
+    both = F.struct((first["shift"] + then["shift"]).alias("shift"), clamped(then, first["low"]).alias("low"), clamped(then, first["high"]).alias("high"))
+    return F.when(first.isNull(), then).otherwise(both)
+
+
+def compose_clamped(rows: DataFrame, keys: list[str], place: str, step: str) -> DataFrame:
+    """Add ``upto`` and ``before``: all clamped steps of a key up to each row, with it and without it.
+
+    ``place`` counts a key's rows from 0. Within a stretch steps are composed by
+    doubling distances; the stretches' own steps are composed in the same way, so
+    no task or row ever holds a key's steps. ``before`` is null at a key's first row.
+    """
+    width = 1 << STRETCH_BITS
+    within = Window.partitionBy(*keys, SLOT).orderBy(place)
+    held = rows.withColumns({SLOT: F.floor(F.col(place) / width), "upto": F.col(step)})
+    for bit in range(STRETCH_BITS):
+        held = held.withColumn("upto", composed(F.lag("upto", 1 << bit).over(within), F.col("upto")))
+    held = cut(held.withColumn("before", F.lag("upto").over(within)))
+    ends = held.groupBy(*keys, SLOT).agg(F.max_by("upto", place).alias(step))
+    if ends.where(F.col(SLOT) > 0).isEmpty():
+        return held.drop(SLOT)
+    above = compose_clamped(ends.withColumnRenamed(SLOT, "_place"), keys, "_place", step)
+    opening = above.select(*keys, (F.col("_place") + 1).alias(SLOT), F.col("upto").alias("_open"))
+    joined = held.join(opening, [*keys, SLOT], "left")
+    return joined.withColumns({
+        "upto": composed(F.col("_open"), F.col("upto")),
+        "before": F.when(F.col("before").isNull(), F.col("_open")).otherwise(composed(F.col("_open"), F.col("before"))),
+    }).drop(SLOT, "_open")
+
+
 def newest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the greatest ``order`` per key, as a map-side-combined aggregate."""
     rest = [c for c in df.columns if c not in keys]

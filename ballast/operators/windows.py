@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ballast.functions.geo import great_circle_km
-from ballast.operators.ordered import Step, newest, number_slot, ranked, scan
+from ballast.operators.ordered import balanced_rank, clamped, compose_clamped, newest, number_slot, ranked, scan, Step
 
 
 def latest_position(positions: DataFrame) -> DataFrame:
@@ -51,48 +51,20 @@ def chronological_split(rows: DataFrame, time: str, tie: str, slot: Column, trai
     return r.withColumn("part", part).drop("_i", "_n")
 
 
-def quota_ledger(requests: DataFrame, keys: list[str], order: list[str], slot: Column, limit: int) -> DataFrame:
+def quota_ledger(requests: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
     """Admit single-unit spends while the period's use is under the limit; refunds give back, not below zero.
 
     A spend is u → min(u + 1, limit) and a refund u → max(u - 1, 0). Any run of
     such steps is u → min(max(u + shift, low), high), and two runs combine into
-    one, so each slot is summarised by three numbers. From the running sum s and
-    its extremes the use after a run starting at u has a closed form.
+    one, so the use before and after each request is a composition of steps.
     """
-    step = F.when(F.col("kind") == "spend", 1).otherwise(-1)
-    rows = requests.withColumn("_d", step)
-    # fold each slot's ordered steps into (shift, low, high); a slot is a bounded stretch of one key
-    ordered = F.array_sort(F.collect_list(F.struct(*order, F.col("_d").alias("d"))))
-    start = F.struct(F.lit(0).alias("shift"), F.lit(0).alias("low"), F.lit(limit).alias("high"))
-
-    def fold(acc, x):
-        cap = lambda v: F.greatest(F.lit(0), F.least(F.lit(limit), v))
-        return F.struct((acc["shift"] + x["d"]).alias("shift"), cap(acc["low"] + x["d"]).alias("low"), cap(acc["high"] + x["d"]).alias("high"))
-
-    parts = rows.withColumn("_slot", slot).groupBy(*keys, "_slot").agg(ordered.alias("_steps"))
-    shaped = parts.withColumn("_f", F.aggregate("_steps", start, fold))
-    from pyspark.sql.window import Window
-
-    # a key has few slots; their summaries are folded in order to find each slot's opening use
-    w = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    opening = F.aggregate(
-        F.coalesce(F.collect_list("_f").over(w), F.array()), F.lit(0),
-        lambda u, f: F.greatest(f["low"], F.least(f["high"], u + f["shift"])),
-    )
-    opened = shaped.withColumn("_u", opening)
-
-    def run(acc, x):
-        u = acc["u"]
-        ok = F.when(x["d"] > 0, u < limit).otherwise(F.lit(True))
-        after = F.greatest(F.lit(0), F.least(F.lit(limit), u + x["d"]))
-        out = F.struct(*[x[c].alias(c) for c in order], ok.alias("admitted"), after.alias("used"))
-        return F.struct(after.alias("u"), F.concat(acc["rows"], F.array(out)).alias("rows"))
-
-    fields = ", ".join(f"{c}: {rows.schema[c].dataType.simpleString()}" for c in order)
-    kind = f"array<struct<{fields}, admitted: boolean, used: int>>"
-    init = F.struct(F.col("_u").alias("u"), F.array().cast(kind).alias("rows"))
-    done = opened.select(*keys, F.explode(F.aggregate("_steps", init, run)["rows"]).alias("x"))
-    return done.select(*keys, *[F.col(f"x.{c}").alias(c) for c in order], "x.admitted", "x.used")
+    whole = lambda v: F.lit(v).cast("long")
+    shift = F.when(F.col("kind") == "spend", 1).otherwise(-1).cast("long")
+    rows = balanced_rank(requests.select(*keys, *order, shift.alias("_d")), keys, order, "_at")
+    step = F.struct(F.col("_d").alias("shift"), whole(0).alias("low"), whole(limit).alias("high"))
+    found = compose_clamped(rows.select(*keys, *order, "_d", (F.col("_at") - 1).alias("_at"), step.alias("_step")), keys, "_at", "_step")
+    use = F.when(F.col("before").isNull(), whole(0)).otherwise(clamped(F.col("before"), whole(0)))
+    return found.select(*keys, *order, ((F.col("_d") < 0) | (use < limit)).alias("admitted"), clamped(F.col("upto"), whole(0)).cast("int").alias("used"))
 
 
 def newer_than(events: DataFrame, marker: Column, limit: int = 25) -> DataFrame:

@@ -473,7 +473,7 @@ SELECT provider, event_id, admitted, used FROM s"""
 def _(t):
     req = t.obs.select((F.col("user_id") % 5).alias("provider"), F.date_trunc("month", "seen").alias("month"), "seen", "event_id",
                        F.when(F.col("k") % 3 == 2, "refund").otherwise("spend").alias("kind"))
-    out = windows.quota_ledger(req, ["provider", "month"], ["seen", "event_id"], ordered.hour_slot("seen", 12), 40)
+    out = windows.quota_ledger(req, ["provider", "month"], ["seen", "event_id"], 40)
     return out.select("provider", "event_id", "admitted", "used")
 
 

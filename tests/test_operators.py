@@ -97,11 +97,41 @@ def test_percentiles_are_exact(spark, method):
             assert math.isclose(got[k][name], want, rel_tol=1e-12, abs_tol=1e-12)
 
 
+def test_quota_of_a_hot_key(spark):
+    """A key with many stretches of stretches, beside small ones; all at the same time but for the id."""
+    ordered.STRETCH_BITS, bits = 3, ordered.STRETCH_BITS
+    try:
+        rng = random.Random(6)
+        rows = [("hot", T0, i, rng.choice(["spend", "spend", "refund"])) for i in range(5000)] + [(f"k{i % 7}", T0, 9000 + i, rng.choice(["spend", "refund"])) for i in range(60)]
+        df = spark.createDataFrame(rows, "p string, at timestamp, i int, kind string")
+        got = {r["i"]: (r["admitted"], r["used"]) for r in windows.quota_ledger(df, ["p"], ["at", "i"], 12).collect()}
+    finally:
+        ordered.STRETCH_BITS = bits
+    use, want = {}, {}
+    for p, _, i, kind in rows:
+        u = use.get(p, 0)
+        ok = kind == "refund" or u < 12
+        use[p] = max(0, u - 1) if kind == "refund" else min(12, u + 1)
+        want[i] = (ok, use[p])
+    assert got == want
+    assert windows.quota_ledger(df.limit(0), ["p"], ["at", "i"], 12).count() == 0
+
+
+def test_balanced_rank(spark):
+    df = spark.range(20000).selectExpr("case when id % 3 > 0 then 0 else id % 50 end k", "cast(hash(id) as long) t", "id")
+    got = ordered.balanced_rank(df, ["k"], ["t", "id"], "n").collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r.k, r.t, r.id)):
+        by[r.k] = by.get(r.k, 0) + 1
+        assert r.n == by[r.k]
+    assert len(got) == 20000
+
+
 def test_quota_walk(spark):
     rng = random.Random(9)
     rows = [("p", T0 + dt.timedelta(minutes=i), i, "refund" if rng.random() < 0.4 else "spend") for i in range(600)]
     df = spark.createDataFrame(rows, "p string, at timestamp, i int, kind string")
-    got = {r["i"]: (r["admitted"], r["used"]) for r in windows.quota_ledger(df, ["p"], ["at", "i"], ordered.hour_slot("at"), 5).collect()}
+    got = {r["i"]: (r["admitted"], r["used"]) for r in windows.quota_ledger(df, ["p"], ["at", "i"], 5).collect()}
     used = 0
     for _, _, i, kind in rows:
         ok = kind == "refund" or used < 5
