@@ -1,13 +1,13 @@
-"""Least-cost paths, closures and peels as loops of joins.
+"""Costs of edges, closures and cycles as loops of joins.
 
 Each round is one join whose result is written to reliable storage, so plans
-stay short and a lost executor costs one round. Only counts reach the driver.
+stay short and a lost executor costs one round. Closures square their relation,
+so that rounds grow with the logarithm of the longest chain. Only counts reach
+the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,18 +17,38 @@ from ballast.functions.vocab import TRUST_RELATIONS
 from ballast.session import cut
 
 
-def grow(seed: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int = 100_000) -> DataFrame:
-    """Smallest set holding ``seed`` and closed under ``step`` (which keeps the columns)."""
-    seen = frontier = cut(seed.distinct())
+def powers(edges: DataFrame, start: str, end: str) -> tuple[list[DataFrame], bool]:
+    """Pairs (group, start, end) that 1, 2, 4, ... edges lead along, and whether there are cycles.
+
+    Each table is the one before it joined with itself. Without cycles the last
+    one is empty after the logarithm of the longest path; with them the walks
+    end where they are longer than any group has edges.
+    """
+    last = cut(edges.select("group", start, end).distinct())
+    most = last.groupBy("group").count().agg(F.max("count")).first()[0] or 0
+    out = []
+    while not last.isEmpty():
+        out.append(last)
+        if 1 << (len(out) - 1) > most:
+            return out, True
+        on = last.select("group", F.col(start).alias("_on"), F.col(end).alias("_over"))
+        last = cut(last.withColumnRenamed(end, "_on").join(on, ["group", "_on"]).select("group", start, F.col("_over").alias(end)).distinct())
+    return out, False
+
+
+def reached(seed: DataFrame, steps: list[DataFrame], start: str, end: str, node: str = "record_id") -> DataFrame:
+    """``seed`` with all that its nodes lead to; other columns go along.
+
+    Every distance is a sum of different powers of two, so one pass over the powers suffices.
+    """
     cols = seed.columns
-    for i in range(max_rounds):
-        frontier = cut(step(frontier).select(*cols).distinct().join(seen, cols, "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-        if i % 16 == 15:
-            seen = cut(seen)
-    raise RuntimeError(f"no fixed point within {max_rounds} rounds")
+    found = seed.distinct()
+    for i, step in enumerate(steps):
+        further = found.withColumnRenamed(node, start).join(step, ["group", start]).withColumnRenamed(end, node).select(*cols)
+        found = found.unionByName(further).distinct()
+        if i % 3 == 2:
+            found = cut(found)
+    return cut(found)
 
 
 def edge_costs(segments: DataFrame) -> DataFrame:
@@ -86,35 +106,19 @@ def ancestors(direct: DataFrame, edges: DataFrame, members: DataFrame) -> DataFr
     """
     up = trusted_edges(edges).join(
         members.select("group", F.col("record_id").alias("parent")), ["group", "parent"], "left_semi"
-    ).select("group", F.col("child").alias("record_id"), "parent").distinct()
-    up = cut(up)
-
-    def step(front):
-        return front.join(up, ["group", "record_id"]).select("group", "role", F.col("parent").alias("record_id"))
+    ).select("group", "child", "parent")
+    return reached(direct.select("group", "role", "record_id"), powers(up, "child", "parent")[0], "child", "parent")
 
-    return grow(direct.select("group", "role", "record_id"), step)
 
-
-def unpeeled(edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+def unpeeled(edges: DataFrame) -> DataFrame:
     """Records in a cycle or depending on one: what stays after removing records without open parents.
 
-    ``edges`` have (group, parent, child). An edge goes once its parent has no
-    open edge above it; rounds end when none goes.
+    ``edges`` have (group, parent, child). Those are the ends of walks longer
+    than the group has edges.
     """
-    left = cut(edges.select("group", "parent", "child").distinct())
-    n = left.count()
-    for _ in range(max_rounds):
-        if n == 0:
-            break
-        held = left.select("group", F.col("child").alias("parent")).distinct()
-        left = cut(left.join(held, ["group", "parent"], "left_semi"))
-        m = left.count()
-        if m == n:
-            break
-        n = m
-    else:
-        raise RuntimeError(f"edges still go after {max_rounds} rounds")
-    return left.select("group", F.col("child").alias("record_id")).distinct()
+    steps, cyclic = powers(edges, "parent", "child")
+    ends = steps[-1] if cyclic else edges.select("group", "child").where("false")
+    return ends.select("group", F.col("child").alias("record_id")).distinct()
 
 
 def lineage_faults(edges: DataFrame, members: DataFrame, relations=TRUST_RELATIONS) -> DataFrame:
@@ -135,13 +139,13 @@ def tainted(invalid: DataFrame, edges: DataFrame, derived: DataFrame) -> DataFra
     """Derived records that rest, through derived records, on an invalid one.
 
     All frames are keyed by (group, record_id); ``derived`` are the records that
-    pass a failure on. Each record appears once, so a long chain costs its length.
+    pass a failure on. Each record appears once.
     """
     down = cut(edges.select("group", F.col("parent").alias("record_id"), "child").join(
         derived.select("group", F.col("record_id").alias("child")), ["group", "child"], "left_semi"
     ).distinct())
-    step = lambda front: front.join(down, ["group", "record_id"]).select("group", F.col("child").alias("record_id"))
-    return grow(step(invalid.select("group", "record_id")), step)
+    first = invalid.select("group", "record_id").join(down, ["group", "record_id"]).select("group", F.col("child").alias("record_id"))
+    return reached(first, powers(down.withColumnRenamed("record_id", "parent"), "parent", "child")[0], "parent", "child")
 
 
 def tainted_by(invalid: DataFrame, edges: DataFrame, derived: DataFrame) -> DataFrame:
@@ -157,11 +161,7 @@ def tainted_by(invalid: DataFrame, edges: DataFrame, derived: DataFrame) -> Data
         "group", F.col("child").alias("record_id"), F.col("parent").alias("ancestor")
     )
 
-    def step(front):
-        j = front.join(down.withColumnRenamed("parent", "record_id"), ["group", "record_id"])
-        return j.select("group", F.col("child").alias("record_id"), "ancestor")
-
-    return grow(first, step)
+    return reached(first, powers(down, "parent", "child")[0], "parent", "child")
 
 
 def lineage_digests(edges: DataFrame) -> DataFrame:
