@@ -188,66 +188,68 @@ def percentiles(
 ) -> DataFrame:
     """Exact percentiles per group without gathering a group's values.
 
-    Values are counted on a fixed logarithmic grid (about 0.02 % wide cells), the
-    cells holding the wanted ranks are found from those counts, and only the
-    values of these cells are ranked. ``linear`` interpolates between the two
-    neighbours of ``(n-1)*p``; ``nearest`` takes the half-even rounded index.
+    Values are counted on a logarithmic grid (about 0.02 % wide cells), and the
+    cells holding the wanted ranks are found from those counts. A cell with many
+    different values is split evenly between its least and greatest value, again
+    and again, until each wanted rank lies in a cell of one value or of few
+    enough to rank. ``linear`` interpolates between the two neighbours of
+    ``(n-1)*p``; ``nearest`` takes the half-even rounded index.
     """
-    cell = F.floor(F.signum("_v") * F.log1p(F.abs(F.col("_v"))) * 4096).alias("_cell")
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
-    rows = rows.select("*", cell)
-    counts = rows.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    cell = F.floor(F.signum("_v") * F.log1p(F.abs(F.col("_v"))) * 4096).cast("bigint")
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null").withColumn("_path", F.array(cell))
+    tally = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")]
     whole = Window.partitionBy(*keys)
-    upto = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.select(
-        *keys, "_cell", "_n",
-        F.sum("_n").over(upto).alias("_hi"), F.sum("_n").over(whole).alias("_total"),
-    ).withColumn("_lo", F.col("_hi") - F.col("_n"))
+    upto = whole.orderBy("_path").rowsBetween(Window.unboundedPreceding, 0)
+    counts = rows.groupBy(*keys, "_path").agg(*tally).withColumns({"_hi": F.sum("_n").over(upto), "_total": F.sum("_n").over(whole)}).withColumn("_lo", F.col("_hi") - F.col("_n"))
 
     wants = []
     for name, p in probs.items():
         pos = (F.col("_total") - 1) * F.lit(float(p))
-        ranks = (
-            {"a": F.floor(pos), "b": F.ceil(pos)}
-            if method == "linear"
-            else {"a": F.bround(pos).cast("bigint")}
-        )
+        ranks = {"a": F.floor(pos), "b": F.ceil(pos)} if method == "linear" else {"a": F.bround(pos).cast("bigint")}
         for side, r in ranks.items():
-            wants.append(
-                F.struct(
-                    F.lit(f"{name}:{side}").alias("name"),
-                    (r + 1).cast("bigint").alias("rank"),
-                    (pos - F.floor(pos)).alias("frac"),
-                )
-            )
-    wanted = counts.select(
-        *keys, "_cell", "_lo",
-        F.explode(
-            F.filter(F.array(*wants), lambda w: (w["rank"] > F.col("_lo")) & (w["rank"] <= F.col("_hi")))
-        ).alias("_w"),
-    )
-    cells = wanted.select(*keys, "_cell", "_lo").distinct()
-    within = Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    values = (
-        rows.groupBy(*keys, "_cell", "_v")
-        .agg(F.count(F.lit(1)).alias("_k"))
-        .join(cells, [*keys, "_cell"])
-        .withColumn("_upto", F.col("_lo") + F.sum("_k").over(within))
-        .drop("_lo")
-    )
-    hits = (
-        values.join(wanted.drop("_lo"), [*keys, "_cell"])
-        .where((F.col("_w.rank") <= F.col("_upto")) & (F.col("_w.rank") > F.col("_upto") - F.col("_k")))
-    )
-    found = {}
+            wants.append(F.struct(F.lit(f"{name}:{side}").alias("name"), (r + 1).cast("bigint").alias("rank"), (pos - F.floor(pos)).alias("frac")))
+    inside = F.filter(F.array(*wants), lambda w: (w["rank"] > F.col("_lo")) & (w["rank"] <= F.col("_hi")))
+    wanted = cut(counts.withColumn("_w", F.explode(inside)).drop("_hi", "_total"))
+
+    hits = None
+    while True:
+        mixed = F.col("_min") < F.col("_max")
+        here = wanted.where(~mixed).select(*keys, "_w", F.col("_min").alias("_v")).unionByName(
+            _ranked_in_cells(rows, wanted.where(mixed & (F.col("_n") <= CELL_ROWS)), keys))
+        hits = here if hits is None else hits.unionByName(here)
+        wide = wanted.where(mixed & (F.col("_n") > CELL_ROWS))
+        if wide.isEmpty():
+            break
+        place = F.least(F.lit(CELL_PARTS - 1), F.floor((F.col("_v") - F.col("_min")) / (F.col("_max") - F.col("_min")) * CELL_PARTS))
+        cells = wide.select(*keys, "_path", "_min", "_max").distinct()
+        rows = cut(rows.join(cells, [*keys, "_path"]).select(*keys, "_v", F.concat("_path", F.array(place.cast("bigint"))).alias("_path")))
+        parent = F.slice("_path", F.lit(1), F.size("_path") - 1)
+        below = Window.partitionBy(*keys, "_in").orderBy("_path").rowsBetween(Window.unboundedPreceding, 0)
+        parts = rows.groupBy(*keys, "_path").agg(*tally).withColumn("_in", parent).withColumn("_to", F.sum("_n").over(below))
+        old = wide.select(*keys, F.col("_path").alias("_in"), F.col("_lo").alias("_from"), "_w")
+        found = parts.join(old, [*keys, "_in"]).withColumns({"_lo": F.col("_from") + F.col("_to") - F.col("_n"), "_hi": F.col("_from") + F.col("_to")})
+        wanted = cut(found.where((F.col("_w.rank") > F.col("_lo")) & (F.col("_w.rank") <= F.col("_hi"))).select(*keys, "_path", "_n", "_min", "_max", "_lo", "_w"))
+
+    out = {}
     for name in probs:
         a = F.max(F.when(F.col("_w.name") == f"{name}:a", F.col("_v")))
         if method == "linear":
             b = F.max(F.when(F.col("_w.name") == f"{name}:b", F.col("_v")))
             frac = F.max(F.when(F.col("_w.name") == f"{name}:a", F.col("_w.frac")))
-            found[name] = a * (1 - frac) + b * frac
+            out[name] = a * (1 - frac) + b * frac
         else:
-            found[name] = a
-    return hits.groupBy(*keys).agg(*[c.alias(n) for n, c in found.items()])
+            out[name] = a
+    return hits.groupBy(*keys).agg(*[c.alias(n) for n, c in out.items()])
+
+
+#: Values that are ranked in one task; parts into which a cell with more is split.
+CELL_ROWS, CELL_PARTS = 20_000, 4096
+
+
+def _ranked_in_cells(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The values of the wanted ranks (keys, _w, _v), in cells of few values."""
+    cells = wanted.select(*keys, "_path", "_lo").distinct()
+    within = Window.partitionBy(*keys, "_path").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    values = rows.join(cells, [*keys, "_path"]).groupBy(*keys, "_path", "_lo", "_v").agg(F.count(F.lit(1)).alias("_k")).withColumn("_upto", F.col("_lo") + F.sum("_k").over(within))
+    hit = values.drop("_lo").join(wanted.select(*keys, "_path", "_w"), [*keys, "_path"])
+    return hit.where((F.col("_w.rank") <= F.col("_upto")) & (F.col("_w.rank") > F.col("_upto") - F.col("_k"))).select(*keys, "_w", "_v")

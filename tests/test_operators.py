@@ -97,6 +97,28 @@ def test_percentiles_are_exact(spark, method):
             assert math.isclose(got[k][name], want, rel_tol=1e-12, abs_tol=1e-12)
 
 
+@pytest.mark.parametrize("method", ["linear", "nearest"])
+def test_percentiles_of_crowded_values(spark, monkeypatch, method):
+    """Values very near one another, very small ones, many equal ones and very large ones."""
+    monkeypatch.setattr(ordered, "CELL_ROWS", 50)
+    rng = np.random.default_rng(3)
+    groups = {
+        "near": 1000 + rng.random(20_000) * 1e-6, "small": rng.random(5_000) / 5000 - 1e-4, "tiny": 10.0 ** -rng.integers(3, 30, 3000).astype(float),
+        "equal": np.concatenate((np.full(9_000, 7.25), 7.25 + rng.random(600) * 1e-9)), "wide": rng.normal(size=4000) * 10.0 ** rng.integers(-5, 200, 4000), "one": np.array([3.0]),
+    }
+    df = spark.createDataFrame([(k, float(x)) for k, xs in groups.items() for x in xs] + [("one", None), ("none", None)], "k string, v double")
+    probs = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r["k"]: r for r in ordered.percentiles(df, ["k"], "v", probs, method).collect()}
+    assert set(got) == set(groups)
+    for k, xs in groups.items():
+        xs = np.sort(xs)
+        for name, p in probs.items():
+            at = (len(xs) - 1) * p
+            low, high = int(np.floor(at)), int(np.ceil(at))
+            want = xs[low] * (1 - (at - low)) + xs[high] * (at - low) if method == "linear" else xs[round(at)]
+            assert math.isclose(got[k][name], want, rel_tol=1e-12), (k, name)
+
+
 def test_quota_of_a_hot_key(spark):
     """A key with many stretches of stretches, beside small ones; all at the same time but for the id."""
     ordered.STRETCH_BITS, bits = 3, ordered.STRETCH_BITS
