@@ -78,6 +78,16 @@ class Shelf:
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def text_ids(df: DataFrame, *columns: str) -> DataFrame:
+    """Id columns as text: pandas would turn numbers beside a null into floats."""
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
+def typed_ids(df: DataFrame, like: DataFrame, *columns: str) -> DataFrame:
+    """Id columns in the type that they have in ``like``."""
+    return df.withColumns({c: F.col(c).cast(like.schema[c].dataType) for c in columns})
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

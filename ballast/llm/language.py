@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.llm.common import Shelf, fold
+from ballast.llm.common import Shelf, fold, text_ids, typed_ids
 from ballast.llm.text import U64, batches, mix
 
 #: Bytes of an n-gram; letters A-Z count as lower case, runs of anything else as one blank.
@@ -154,7 +154,6 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     doc_id and text are not read.
     """
     Shelf(docs.sparkSession)
-    key = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # of fixed size
 
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,7 +167,8 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
             some = lettered & bool(known.languages)
             yield pd.DataFrame({"doc_id": frame["doc_id"].array, "lang_pred": names[np.where(some, best, -1)], "score": np.where(some, scores[np.arange(len(best)), best], 0.0)})
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(decide, f"doc_id {key}, lang_pred string, score double")
+    rows = text_ids(docs.select("doc_id", F.col("text").cast("string").alias("text")), "doc_id")
+    return typed_ids(rows.mapInPandas(decide, "doc_id string, lang_pred string, score double"), docs, "doc_id")
 
 
 def learning_rows(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ballast.llm.common import Shelf
+from ballast.llm.common import Shelf, text_ids, typed_ids
 from ballast.llm.text import Batch, batches, shingles
 
 #: Words of a fingerprint, and fingerprints of which one is kept.
@@ -330,7 +330,6 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, cove
     text are not read.
     """
     Shelf(docs.sparkSession)
-    key = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(Index.of(TEMPLATES if templates is None else templates))
     names = ["doc_id", "license", "matched", "template_words", "coverage", "span_start", "span_end"]
 
@@ -362,9 +361,7 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, cove
                 for name, matched, low, high in scan_text(words[own], by_text[i], of_words[i], index, coverage):
                     a, b = batch.start[own][low] - batch.offset[i], batch.end[own][high - 1] - batch.offset[i]
                     rows.append((ids[i], name, matched, sizes[name], matched / sizes[name], int(a), int(b)))
-            out = pd.DataFrame(rows, columns=names)
-            if key in ("bigint", "int"):
-                out["doc_id"] = pd.array([None if pd.isna(x) else int(x) for x in out["doc_id"]], "Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=names)
 
-    return docs.select("doc_id", "text").mapInPandas(scan, f"doc_id {key}, license string, matched long, template_words long, coverage double, span_start long, span_end long")
+    found = text_ids(docs.select("doc_id", "text"), "doc_id").mapInPandas(scan, "doc_id string, license string, matched long, template_words long, coverage double, span_start long, span_end long")
+    return typed_ids(found, docs, "doc_id")

@@ -21,13 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.llm.common import Shelf
+from ballast.llm.common import Shelf, text_ids, typed_ids
 
 LENGTH = 1024
 END_ID = 2
 #: Pieces that one task packs, on average.
 GROUP = 60_000
-TOKENIZERS = "/opt/tokenizers"
+#: Folder of the vocabulary files; None takes those of the installed public_tokenizers.
+TOKENIZERS: str | None = None
 VOCABULARY = "byte_bpe_50k"
 
 _CODECS: dict[tuple[str, str], object] = {}
@@ -40,15 +41,17 @@ class Codec:
     beside it. Texts with a special token's own spelling go to the first one.
     """
 
-    def __init__(self, folder: str, vocabulary: str):
+    def __init__(self, folder: str | None, vocabulary: str):
         import base64
 
+        import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(os.path.join(folder, f"{vocabulary}.json"))
+        path = public_tokenizers.path if folder is None else lambda name: os.path.join(folder, name)
+        self.exact = Tokenizer.from_file(path(f"{vocabulary}.json"))
         self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
-        with open(os.path.join(folder, f"{vocabulary}.tiktoken"), "rb") as f:
+        with open(path(f"{vocabulary}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # of the byte-level splitter
         self.fast = tiktoken.Encoding(vocabulary, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -59,17 +62,15 @@ class Codec:
         return self.fast.encode_to_numpy(text, disallowed_special=())
 
 
-def codec(folder: str, vocabulary: str) -> Codec:
+def codec(folder: str | None, vocabulary: str) -> Codec:
     """One per worker process."""
     if (folder, vocabulary) not in _CODECS:
         _CODECS[folder, vocabulary] = Codec(folder, vocabulary)
     return _CODECS[folder, vocabulary]
 
 
-def token_pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, folder: str | None = TOKENIZERS, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, deal[, ids]); a null text is an empty one, of the end id alone."""
-    key = docs.schema["doc_id"].dataType.simpleString()
-
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder, row = codec(folder, vocabulary), 0
         for frame in frames:
@@ -82,12 +83,10 @@ def token_pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, fo
                         out.append((doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), row, *([ids[a:b].astype(np.int64)] if with_ids else [])))
                         row += 1
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "deal", *["ids"] * with_ids]
-                made = pd.DataFrame(out, columns=names)
-                made["doc_id"] = pd.array([x if x == x else None for x in made["doc_id"]], "Int64") if key in ("bigint", "int") else made["doc_id"]
-                yield made
+                yield pd.DataFrame(out, columns=names)
 
-    # ids as nullable numbers: pandas would turn them into floats beside a null
-    return docs.select("doc_id", "text").mapInPandas(cut, f"doc_id {key}, piece int, start long, length long, ids_crc32 long, deal long" + ", ids array<long>" * with_ids)
+    found = text_ids(docs.select("doc_id", "text"), "doc_id").mapInPandas(cut, "doc_id string, piece int, start long, length long, ids_crc32 long, deal long" + ", ids array<long>" * with_ids)
+    return typed_ids(found, docs, "doc_id")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,18 +128,16 @@ def pack(docs: DataFrame, length: int = LENGTH, group: int = GROUP, **tokens) ->
     shelf = Shelf(docs.sparkSession)
     pieces = shelf.put(token_pieces(docs, length, **tokens))
     groups = max(1, -(-pieces.count() // group))
-    key = docs.schema["doc_id"].dataType.simpleString()
     dealt = pieces.withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "deal"), F.lit(groups)))
 
     def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.iloc[np.lexsort((frame["piece"], frame["doc_id"].fillna(-1), frame["ids_crc32"]))].reset_index(drop=True)
+        frame = frame.iloc[np.lexsort((frame["piece"], frame["doc_id"].fillna("").to_numpy(str), frame["ids_crc32"]))].reset_index(drop=True)
         order = np.argsort(-frame["length"].to_numpy(), kind="stable")
         bins, places = sum_of_squares(frame["length"].to_numpy()[order], length)
         out = frame.iloc[order].reset_index(drop=True)
         out["sequence_id"], out["offset"] = bins + (out["deal"].to_numpy() << 32), places
-        if out["doc_id"].dtype == float:
-            out["doc_id"] = out["doc_id"].astype("Int64")
         return out.drop(columns="deal")
 
-    return dealt.groupBy("deal").applyInPandas(
-        fill, f"doc_id {key}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * ("ids" in pieces.columns) + ", sequence_id long, offset long")
+    packed = text_ids(dealt, "doc_id").groupBy("deal").applyInPandas(
+        fill, "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * ("ids" in pieces.columns) + ", sequence_id long, offset long")
+    return typed_ids(packed, docs, "doc_id")

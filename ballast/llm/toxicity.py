@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.llm.common import Shelf, fold
+from ballast.llm.common import Shelf, fold, text_ids, typed_ids
 from ballast.llm.text import U64, Batch, batches, mix, slices
 
 #: Labelled documents to learn from: of each class about this many, chosen by the hash of their id.
@@ -296,7 +296,6 @@ def score_documents(docs: DataFrame, net: Network) -> DataFrame:
     other than doc_id and text are not read.
     """
     Shelf(docs.sparkSession)
-    key = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -307,7 +306,8 @@ def score_documents(docs: DataFrame, net: Network) -> DataFrame:
                 "worst_start": pd.array(np.where(low < 0, None, low), "Int64"), "worst_end": pd.array(np.where(low < 0, None, high), "Int64"),
             })
 
-    return docs.select("doc_id", "text").mapInPandas(rows, f"doc_id {key}, score double, predicted int, windows long, worst_start long, worst_end long")
+    found = text_ids(docs.select("doc_id", "text"), "doc_id").mapInPandas(rows, "doc_id string, score double, predicted int, windows long, worst_start long, worst_end long")
+    return typed_ids(found, docs, "doc_id")
 
 
 def without_toxic(docs: DataFrame, net: Network) -> DataFrame:

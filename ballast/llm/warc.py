@@ -33,7 +33,7 @@ ARCHIVE_BYTES = 8 << 20
 RANGE_ROWS = 20_000
 END = "\r\n\r\n"
 RECORD = (
-    "page_id long, url string, captured string, record_type string, refers_to long, payload_bytes long, "
+    "page_id string, url string, captured string, record_type string, refers_to string, payload_bytes long, "
     "payload_digest string, archive string, at long, size long"
 )
 
@@ -49,8 +49,8 @@ def base32(hexadecimal: Column) -> Column:
 
 
 def crawl_time(page_id: Column) -> Column:
-    """Pages without a time of their own were captured one a second, in the order of their ids."""
-    at = F.timestamp_seconds(F.lit(1704067200) + F.coalesce(page_id.cast("long"), F.lit(0)))
+    """Pages without a time of their own were captured one a second, in the order of their ids, in a round of a hundred years."""
+    at = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.coalesce(page_id.cast("long"), F.lit(0)), F.lit(100 * 365 * 86400)))
     return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
@@ -102,7 +102,7 @@ def parse(name: str, data: bytes) -> Iterator[tuple]:
             raise ValueError(f"{name}: the record at byte {at} doesn't match its digest")
         end = split + 8 + size
         refers = head.get("WARC-Refers-To")
-        yield (None if page == "none" else int(page), head["WARC-Target-URI"], head["WARC-Date"], head["WARC-Type"], int(refers[10:-1]) if refers else None,
+        yield (None if page == "none" else page, head["WARC-Target-URI"], head["WARC-Date"], head["WARC-Type"], refers[10:-1] if refers else None,
                size if head["WARC-Type"] == "response" else int(head["WARC-Payload-Length"]), digest, name, at, end - at)
         at = end
 
@@ -113,13 +113,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         names = [x.split()[0] for x in RECORD.split(", ")]
         for frame in frames:
             for name, data in zip(frame["path"], frame["content"], strict=True):
-                out = pd.DataFrame(list(parse(name.rpartition("/")[2], gzip.decompress(data))), columns=names)
-                for c in ("page_id", "refers_to"):
-                    out[c] = pd.array(out[c].astype(object).where(out[c].notna(), None), "Int64")
-                yield out
+                yield pd.DataFrame(list(parse(name.rpartition("/")[2], gzip.decompress(data))), columns=names)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(walk, RECORD)
+    return files.mapInPandas(walk, RECORD).withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def url_key(url: Column) -> Column:
@@ -175,8 +172,7 @@ class LoserTree:
 def capture_index(captures: DataFrame, rows: int | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Captures ordered by (url_key, captured, page_id), with their place in the URL's history.
 
-    The output's partitions follow one another in that order. ``earlier`` counts
-    a URL's captures before this one.
+    The output's partitions follow one another in that order.
     """
     spark = captures.sparkSession
     shelf = Shelf(spark)
@@ -185,21 +181,20 @@ def capture_index(captures: DataFrame, rows: int | None = None, range_rows: int
     n = runs.count() if rows is None else rows
     order = ["url_key", "captured", "page_id", "archive", "at"]
     fields = [f for f in runs.columns if f not in order]
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in [runs.schema[c] for c in order + fields])
+    # pandas would turn numbers beside a null into floats: no id is null there, and the ones referred to are text
+    types = ", ".join(f"{f.name} {'string' if f.name == 'refers_to' else f.dataType.simpleString()}" for f in [runs.schema[c] for c in order + fields])
+    none = F.lit(-(2**63))
 
     def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = pd.concat([pd.DataFrame(columns=order + fields), *frames])
         if not len(held):
             return
-        held["page_id"] = held["page_id"].astype("object").where(held["page_id"].notna(), -(2**63))
         slices = [list(part[order + fields].itertuples(index=False, name=None)) for _, part in held.groupby("archive", sort=True)]
-        merged = pd.DataFrame(list(LoserTree(slices)), columns=order + fields)
-        merged["page_id"] = pd.array([None if x == -(2**63) else int(x) for x in merged["page_id"]], "Int64")
-        merged["refers_to"] = pd.array([None if pd.isna(x) else int(x) for x in merged["refers_to"]], "Int64")
-        yield merged
+        yield pd.DataFrame(list(LoserTree(slices)), columns=order + fields)
 
     dealt = runs.repartitionByRange(max(1, -(-n // range_rows)), *order).sortWithinPartitions("archive", *order[:3], "at")
-    return dealt.select(*order, *fields).mapInPandas(merge, types)
+    plain = dealt.select(*order, *fields).withColumns({"page_id": F.coalesce("page_id", none), "refers_to": F.col("refers_to").cast("string")})
+    return plain.mapInPandas(merge, types).withColumns({"page_id": F.when(F.col("page_id") != none, F.col("page_id")), "refers_to": F.col("refers_to").cast("long")})
 
 
 def archive_pages(pages: DataFrame, least: int = 0) -> DataFrame:
