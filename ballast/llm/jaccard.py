@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ballast.llm.common import Shelf
+from ballast.llm.common import Shelf, text_ids, typed_ids
 from ballast.llm.text import U64, Batch, batches, mix, shingles
 
 WIDTH = 5
@@ -161,14 +161,21 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = THRESHOL
             yield pd.DataFrame({"doc_id": None, "n": None, "set_key": None, "ranges": None, "block": range(blocks), "counts": [x.astype("<u4").tobytes() for x in total.reshape(blocks, -1)]})
 
     # sizes of the sets and each task's share of the sketch, from one pass over the texts
-    both = shelf.put(docs.select("doc_id", "text").mapInPandas(survey, f"doc_id {key}, n int, set_key binary, ranges array<smallint>, block int, counts binary"))
+    found = text_ids(docs.select("doc_id", "text"), "doc_id").mapInPandas(survey, "doc_id string, n int, set_key binary, ranges array<smallint>, block int, counts binary")
+    both = shelf.put(typed_ids(found, docs, "doc_id"))
     facts = both.where("block is null").drop("block", "counts")
+    ranges = shelf.put(
+        facts.where("n > 0 and doc_id is not null").groupBy("doc_id")
+        .agg(F.first("n").alias("n"), F.first("ranges").alias("ranges"), (F.min("set_key") < F.max("set_key")).alias("several")))
+    if ranges.where("several").limit(1).count():
+        out = _by_text(docs, facts, width, percent, shelf)
+        shelf.drop(both, ranges)
+        return out
     sketch = docs.sparkSession.sparkContext.broadcast(_rarity(both.where("block is not null").select("block", "counts"), cells, blocks))
 
     sets = facts.where("n > 0 and doc_id is not null")
     classes = sets.groupBy("set_key").agg(F.min("doc_id").alias("a"), F.count("*").alias("rows"))
     copies = shelf.put(sets.select("set_key", F.col("doc_id").alias("b")).join(classes.where("rows > 1").drop("rows"), "set_key").where("a <> b").select("a", "b").distinct())
-    ranges = shelf.put(facts.where("n > 0 and doc_id is not null").select("doc_id", "n", "ranges").dropDuplicates(["doc_id"]))
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rarity = sketch.value
@@ -221,6 +228,28 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = THRESHOL
     return out
 
 
+def _by_text(docs: DataFrame, facts: DataFrame, width: int, percent: int, shelf: Shelf) -> DataFrame:
+    """As ``near_duplicates``, where some ids have several sets: each text of an id is joined as a node of its own.
+
+    The id and a digest of the text name the node; afterwards the nodes of an id
+    and the ids of a component are closed together.
+    """
+    node = F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256))
+    own = docs.where("doc_id is not null and text is not null").select("doc_id", node.alias("node"), "text")
+    names = shelf.put(own.select("doc_id", "node").distinct())
+    parts = near_duplicates(own.select(F.col("node").alias("doc_id"), "text"), width, percent)
+    # nodes without words link with nothing, other than by their id
+    placed = shelf.put(parts.where("n_shingles > 0").select(F.col("doc_id").alias("node"), "component_id").distinct().join(names, "node").select("doc_id", "component_id").distinct())
+    least = placed.groupBy("component_id").agg(F.min("doc_id").alias("a"))
+    links = shelf.put(placed.join(least, "component_id").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct())
+    final = components(links, shelf)
+    out = shelf.put(
+        facts.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
+    shelf.drop(names, placed, links)
+    return out
+
+
 def _rarity(counts: DataFrame, cells: int, blocks: int) -> np.ndarray:
     """Of each cell eighths of powers of two in its count: 4 MB of sums reach the driver at any input."""
     def add(frame: pd.DataFrame) -> pd.DataFrame:

@@ -159,6 +159,15 @@ def test_near_duplicates_of_one_original(spark):
         assert key(jaccard.near_duplicates(frame_, width, percent).collect()) == key(near_duplicates(rows, width, percent))
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """Every text of an id links it, also where another of its texts is a copy of a smaller id's."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (7, b + " more"), (8, c), (9, c + " more"), (9, None), (9, ""), (10, None), (7, "alone"), (2**53 + 1, "alone"), (None, "alone"), (12, "other")]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert key(got) == key(near_duplicates(rows, 5, 80))
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 5: 1, 7: 1, 8: 8, 9: 8, 10: 10, 2**53 + 1: 1, None: None, 12: 12}
+
+
 def test_language(spark, docs, none):
     texts = {"xx": "zama luku poro dene miki ", "yy": "schtraum grolch pfnurd knitz wrolch "}
     rows = [(i, texts["xx" if i % 2 else "yy"] * (1 + i % 5), "xx" if i % 2 else "yy") for i in range(60)] + [(None, None, "xx"), (61, "zz", None), (62, "", "yy")]

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from ballast.llm import language, licenses, packing, toxicity, warc
+from ballast.llm import jaccard, language, licenses, packing, toxicity, warc
 
 BIG = 2**53 + 1
 IDS = [BIG, None, BIG + 2, 2**62 + 1, None, -(2**60) - 1, 5]
@@ -25,6 +25,7 @@ def test_ids_come_back_as_they_are(spark, docs):
     assert ids(toxicity.score_documents(docs, net)) == want
     assert ids(language.identify(docs, language.learn(docs))) == want
     assert ids(packing.pack(docs)) == want
+    assert ids(jaccard.near_duplicates(docs)) == want
     assert ids(licenses.license_spans(docs)) == want
 
 
