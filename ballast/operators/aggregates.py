@@ -108,6 +108,19 @@ def distinct_in_order(df: DataFrame, key: str, pos: str, value: str) -> DataFram
     return df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(pos).alias("first_pos"))
 
 
+def journey_parts(legs: DataFrame, steps: DataFrame, alerts: DataFrame, journey: str) -> DataFrame:
+    """Distinct segments and alerts of multi-leg journeys as rows (part, value, leg_no, seq), at their first place.
+
+    ``steps``: route_id, segment and its place seq; ``alerts``: journey, leg_no and
+    alert. Rows, not arrays: a journey may have any number of segments.
+    """
+    place = F.struct("leg_no", "seq").alias("pos")
+    on = legs.select(journey, "leg_no", "route_id").join(steps, "route_id")
+    rows = on.select(F.struct(journey, F.lit("segment").alias("part")).alias("key"), place, F.col("segment").alias("value")).unionByName(
+        alerts.withColumn("seq", F.lit(0).cast(steps.schema["seq"].dataType)).select(F.struct(journey, F.lit("alert").alias("part")).alias("key"), place, F.col("alert").alias("value")))
+    return distinct_in_order(rows, "key", "pos", "value").select(f"key.{journey}", "key.part", "value", "first_pos.leg_no", "first_pos.seq")
+
+
 def kit_status(legs: DataFrame, journey: str) -> DataFrame:
     """Evidence-kit status of a journey and how much of it is traced, as a rounded percentage."""
     total = F.sum("total")

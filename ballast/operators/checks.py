@@ -113,3 +113,32 @@ def speed_advisory(requests: DataFrame, constraints: DataFrame, brakes: DataFram
         F.when(ok, F.round(limit, 2)).alias("advisory_kph"), F.when(ok, c("_m.label")).alias("limiting_constraint"),
         F.when(ok, stopping_distance_m(limit, c("reaction_s"), c("deceleration"), c("margin_m"))).alias("stopping_m"),
     )
+
+
+def withheld_reasons(requests: DataFrame, constraints: DataFrame, brakes: DataFrame) -> DataFrame:
+    """Why a request has no advisory speed, as rows (request_id, kind, label, constraint_no, code).
+
+    REASON rows withhold the number; WARNING rows tell of evidence of other
+    categories that was not used. The label is the constraint's, or the required
+    category that has no usable evidence.
+    """
+    c = F.col
+    state = constraint_currency(c("evaluation_at"), c("observed_at"), c("fetched_at"), c("valid_until"), c("source_type"))
+    rows = constraints.join(requests, "request_id").withColumns({
+        "_must": c("category").isin(*REQUIRED_CONSTRAINTS),
+        "_why": F.when(state != "CURRENT", F.concat(F.lit("EVIDENCE_"), state))
+        .when(~F.coalesce(c("authority_level") == "AUTHORITATIVE", F.lit(False)), "NOT_AUTHORITATIVE")})
+    number = constraints.schema["constraint_no"].dataType
+    reason = lambda df, label, code: df.select(
+        "request_id", F.lit("REASON").alias("kind"), label.cast("string").alias("label"), F.lit(None).cast(number).alias("constraint_no"), code.alias("code"))
+    unused = rows.where("_why is not null").select("request_id", F.when(c("_must"), "REASON").otherwise("WARNING").alias("kind"), "label", "constraint_no", c("_why").alias("code"))
+    usable = [F.bool_or((c("category") == k) & c("_why").isNull()).alias(f"_{k}") for k in REQUIRED_CONSTRAINTS]
+    seen = rows.groupBy("request_id").agg(F.count("*").alias("_n"), *usable)
+    braking = brakes.join(requests, "request_id").select("request_id", state.alias("_brake"))
+    j = requests.select("request_id").join(seen, "request_id", "left").join(braking, "request_id", "left")
+    lacking = F.explode(F.array_compact(F.array(*[F.when(~F.coalesce(f"_{k}", F.lit(False)), F.lit(k)) for k in REQUIRED_CONSTRAINTS])))
+    gaps = reason(j.select("request_id", lacking.alias("_k")), c("_k"), F.lit("CATEGORY_MISSING"))
+    none = reason(j.where("_n is null"), F.lit(None), F.lit("NO_CONSTRAINTS"))
+    held = j.where("_brake is null or _brake <> 'CURRENT'")
+    brake = reason(held, F.lit(None), F.coalesce(F.concat(F.lit("BRAKING_"), c("_brake")), F.lit("BRAKING_MISSING")))
+    return unused.unionByName(gaps).unionByName(none).unionByName(brake)

@@ -164,14 +164,6 @@ def _(t):
 
 
 @query("prj_22_out_of_range", needs=("features",), oracle=f"""
-WITH b AS (SELECT {', '.join(f'min({c}) AS lo_{c}, max({c}) AS hi_{c}' for c in st.FEATURES)} FROM features WHERE row_id % 4 = 0 AND segment_count < 6)
-SELECT row_id, concat_ws(',', {', '.join(f"CASE WHEN {c} < lo_{c} OR {c} > hi_{c} THEN '{c}' END" for c in st.FEATURES)}) AS outliers FROM features, b""")
-def _(t):
-    bounds = st.feature_bounds(t.features.where("row_id % 4 = 0 and segment_count < 6"))
-    return contracts.out_of_range(t.features, bounds).select("row_id", joined("outliers").alias("outliers"))
-
-
-@query("prj_22_out_of_range_whole", needs=("features",), oracle=f"""
 WITH b AS (SELECT {', '.join(f'min({c}) AS lo_{c}, max({c}) AS hi_{c}' for c in st.FEATURES)} FROM features),
 x AS (SELECT * REPLACE (segment_count + CASE WHEN row_id % 7 = 3 THEN 1000 ELSE 0 END AS segment_count, rainfall - CASE WHEN row_id % 5 = 1 THEN 1000 ELSE 0 END AS rainfall) FROM features)
 SELECT row_id, concat_ws(',', {', '.join(f"CASE WHEN {c} < lo_{c} OR {c} > hi_{c} THEN '{c}' END" for c in st.FEATURES)}) AS outliers FROM x, b""")
@@ -282,6 +274,11 @@ SELECT q.request_id, CASE WHEN ok THEN 'ADVISORY' WHEN g.request_id IS NULL OR q
   CASE WHEN ok THEN round(lim / 3.6e0 * 2.5e0 + (lim / 3.6e0) * (lim / 3.6e0) / (0.7e0 * 2) + 100, 2) END AS stopping_m
 FROM q LEFT JOIN g USING (request_id), LATERAL (SELECT coalesce(k = 2 AND NOT bad, false) AND q.request_id % 9 <> 0 AND q.request_id % 10 <> 1 AS ok) z""")
 def _(t):
+    return checks.speed_advisory(*advisory_inputs(t))
+
+
+def advisory_inputs(t):
+    """Requests, constraints and brakes; some requests have none, some brakes are out of date."""
     k = F.col("o_orderkey")
     at = (F.col("o_orderdate") + F.expr("interval 900 days")).alias("evaluation_at")
     req = t.orders.select(k.alias("request_id"), at)
@@ -289,7 +286,19 @@ def _(t):
         k.alias("request_id"), F.col("o_orderdate").alias("observed_at"), F.col("o_orderdate").alias("fetched_at"),
         (F.col("o_orderdate") + F.when(k % 10 == 1, F.expr("interval 1 day")).otherwise(F.expr("interval 2000 days"))).alias("valid_until"), F.lit("AUTHORIZED_FEED").alias("source_type"),
         F.lit(2.5).alias("reaction_s"), F.lit(0.7).alias("deceleration"), F.lit(100.0).alias("margin_m"))
-    return checks.speed_advisory(req, t.speed_rows.where("category <> 'BRAKING'"), b)
+    return req, t.speed_rows.where("category <> 'BRAKING'"), b
+
+
+@query("agg_36_withheld_reasons", needs=("speed_rows",), oracle="""
+WITH q AS (SELECT o_orderkey AS request_id, o_orderdate + INTERVAL 900 DAY AS ev FROM orders),
+s AS (SELECT s.*, CASE WHEN source_type = 'REPLAYED_SNAPSHOT' THEN 'EXPIRED' WHEN observed_at > ev OR fetched_at > ev THEN 'FUTURE' WHEN valid_until < ev THEN 'EXPIRED' END AS late FROM speed_rows s JOIN q USING (request_id) WHERE category <> 'BRAKING'),
+c AS (SELECT *, CASE WHEN late IS NOT NULL THEN 'EVIDENCE_' || late WHEN authority_level <> 'AUTHORITATIVE' THEN 'NOT_AUTHORITATIVE' END AS code FROM s)
+SELECT request_id, CASE WHEN category IN ('ROUTE_LIMIT', 'HEADWAY') THEN 'REASON' ELSE 'WARNING' END AS kind, label, constraint_no, code FROM c WHERE code IS NOT NULL
+UNION ALL SELECT request_id, 'REASON', k, NULL, 'CATEGORY_MISSING' FROM q, (VALUES ('HEADWAY'), ('ROUTE_LIMIT')) v(k) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.request_id = q.request_id AND category = k AND code IS NULL)
+UNION ALL SELECT request_id, 'REASON', NULL, NULL, 'NO_CONSTRAINTS' FROM q WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.request_id = q.request_id)
+UNION ALL SELECT request_id, 'REASON', NULL, NULL, CASE WHEN request_id % 9 = 0 THEN 'BRAKING_MISSING' ELSE 'BRAKING_EXPIRED' END FROM q WHERE request_id % 9 = 0 OR request_id % 10 = 1""")
+def _(t):
+    return checks.withheld_reasons(*advisory_inputs(t))
 
 
 # --- cases ----------------------------------------------------------------------------------
@@ -350,6 +359,11 @@ def _(t):
     return cases.role_matrix(ca, ev, found).withColumn("codes", joined("codes"))
 
 
+@query("agg_31_role_records", needs=CASE_NEEDS, oracle="SELECT DISTINCT case_id, role, record_id, catalogue_id FROM case_rows")
+def _(t):
+    return cases.role_records(assessed(t)[1])
+
+
 @query("evd_03_case_states", needs=CASE_NEEDS, oracle=f"{FINDINGS_SQL} SELECT * FROM states")
 def _(t):
     ca, ev, found = assessed(t)

@@ -29,7 +29,9 @@ def scratch(t) -> str:
 # --- timetables ---------------------------------------------------------------------------
 
 
-def static_members(t):
+def static_members(t, bad_time=None, bad_number=None):
+    """Static tables made of the supplied ones; stop times under the conditions are unreadable."""
+    bad_time, bad_number = [F.lit(False) if x is None else x for x in (bad_time, bad_number)]
     two = lambda x: F.lpad((x).cast("string"), 2, "0")
     k = c("l_orderkey")
     at = lambda shift: F.concat((c("l_partkey") % 30).cast("string"), F.lit(":"), two((c("l_suppkey") + shift) % 60))
@@ -37,14 +39,14 @@ def static_members(t):
         "stops": t.supplier.select(c("s_suppkey").alias("stop_id"), F.concat(F.lit(" "), c("s_name"), F.lit(', "halt"')).alias("stop_name"), F.when(c("s_nationkey") % 3 == 0, "").otherwise("c").alias("stop_code")),
         "routes": t.part.select(c("p_partkey").alias("route_id"), c("p_brand").alias("route_short_name"), (c("p_size") % 12).alias("route_type")),
         "trips": t.orders.select(c("o_orderkey").alias("trip_id"), (c("o_orderkey") % 150).alias("route_id"), c("o_custkey").alias("service_id"), F.when(c("o_orderkey") % 5 != 0, c("o_orderkey") % 2).alias("direction_id")),
-        "stop_times": t.lineitem.select(k.alias("trip_id"), c("l_suppkey").alias("stop_id"), c("l_linenumber").alias("stop_sequence"), at(F.lit(0)).alias("arrival_time"), F.concat(at(F.lit(1)), F.lit(":30")).alias("departure_time")),
+        "stop_times": t.lineitem.select(k.alias("trip_id"), c("l_suppkey").alias("stop_id"), F.when(bad_number, "x").otherwise(c("l_linenumber").cast("string")).alias("stop_sequence"), F.when(bad_time, "7:5").otherwise(at(F.lit(0))).alias("arrival_time"), F.concat(at(F.lit(1)), F.lit(":30")).alias("departure_time")),
         "calendar": t.customer.select(c("c_custkey").alias("service_id"), F.lit("1").alias("monday")),
     }
 
 
-def landed_static(t):
+def landed_static(t, members=None):
     folder = scratch(t)
-    members = static_members(t)
+    members = members or static_members(t)
     for name, df in members.items():
         df.write.option("header", True).option("escape", '"').csv(f"{folder}/{name}.txt")
     return timetables.read_static(t.spark, folder, list(members))
@@ -63,6 +65,39 @@ def _(t):
         "trip_id", "stop_id", "stop_sequence", "arrival_s", "departure_s", "stop_name", "stop_code", "direction_id")
 
 
+def faulty_members(t):
+    """Static tables with blank, repeated and unknown ids, unreadable times and integers."""
+    m = static_members(t)
+    k, o, text = c("stop_id"), c("trip_id"), lambda x: x.cast("string")
+    return {
+        **m, "stops": m["stops"].withColumn("stop_id", F.when(k % 17 == 3, "").when(k % 19 == 4, text(k - 1)).otherwise(text(k))),
+        "trips": m["trips"].withColumns({"route_id": F.when(o % 23 == 5, "none").otherwise(text(c("route_id"))), "direction_id": F.when(o % 37 == 1, "-1").otherwise(text(c("direction_id")))}),
+        "stop_times": static_members(t, c("l_partkey") % 29 == 6, c("l_partkey") % 31 == 7)["stop_times"],
+    }
+
+
+@query("src_01_violations", oracle=f"""
+WITH st AS (SELECT CASE WHEN s_suppkey % 17 = 3 THEN NULL WHEN s_suppkey % 19 = 4 THEN s_suppkey - 1 ELSE s_suppkey END AS id FROM supplier),
+tr AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 23 = 5 THEN 'none' ELSE cast(o_orderkey % 150 as varchar) END AS route FROM orders),
+tm AS (SELECT l_orderkey AS trip, l_suppkey AS stop, CASE WHEN l_partkey % 31 <> 7 THEN l_linenumber END AS seq, CASE WHEN l_partkey % 29 <> 6 THEN {TIME_SQL.format(0, 0)} END AS a, {TIME_SQL.format(1, 30)} AS d FROM lineitem),
+tk AS (SELECT *, trip || '|' || coalesce(cast(seq as varchar), 'x') AS key FROM tm), p AS (SELECT trip, seq, count(*) AS n, min(a) AS a, max(d) AS d FROM tm WHERE seq IS NOT NULL AND a IS NOT NULL GROUP BY trip, seq),
+f AS (SELECT 'stops' AS member, '' AS key, 'stop_id' AS field, 'MISSING_FIELD' AS code FROM st WHERE id IS NULL
+UNION ALL SELECT 'stops', cast(id as varchar), 'stop_id', 'DUPLICATE_ID' FROM st WHERE id IN (SELECT id FROM st WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1)
+UNION ALL SELECT 'routes', cast(p_partkey as varchar), 'route_id', 'DUPLICATE_ID' FROM part WHERE p_partkey IN (SELECT p_partkey FROM part GROUP BY p_partkey HAVING count(*) > 1)
+UNION ALL SELECT 'trips', cast(id as varchar), 'trip_id', 'DUPLICATE_ID' FROM tr WHERE id IN (SELECT id FROM tr GROUP BY id HAVING count(*) > 1)
+UNION ALL SELECT 'trips', cast(id as varchar), 'direction_id', 'BAD_VALUE' FROM tr WHERE id % 37 = 1
+UNION ALL SELECT 'trips', route, 'route_id', 'BAD_REFERENCE' FROM tr WHERE route NOT IN (SELECT cast(p_partkey as varchar) FROM part)
+UNION ALL SELECT 'stop_times', cast(trip as varchar), 'trip_id', 'BAD_REFERENCE' FROM tm WHERE trip NOT IN (SELECT id FROM tr)
+UNION ALL SELECT 'stop_times', cast(stop as varchar), 'stop_id', 'BAD_REFERENCE' FROM tm WHERE stop NOT IN (SELECT id FROM st WHERE id IS NOT NULL)
+UNION ALL SELECT 'stop_times', key, 'stop_sequence', 'BAD_VALUE' FROM tk WHERE seq IS NULL UNION ALL SELECT 'stop_times', key, 'arrival_time', 'BAD_TIME' FROM tk WHERE a IS NULL
+UNION ALL SELECT 'stop_times', key, 'departure_time', 'BAD_TIME' FROM tk WHERE d < a
+UNION ALL SELECT 'stop_times', key, 'stop_sequence', 'BAD_ORDER' FROM tk JOIN p ON p.trip = tk.trip AND p.seq = tk.seq WHERE tk.a IS NOT NULL AND n > 1
+UNION ALL SELECT 'stop_times', trip || '|' || seq, 'arrival_time', 'BAD_ORDER' FROM (SELECT *, lag(d) OVER (PARTITION BY trip ORDER BY seq) AS before FROM p) w WHERE a < before)
+SELECT member, key, field, code, count(*) AS n FROM f GROUP BY member, key, field, code""")
+def _(t):
+    return timetables.static_violations(landed_static(t, faulty_members(t)))
+
+
 @query("src_13_member_counts", oracle="""
 SELECT 'stops' AS member, count(*) AS rows, true AS ok FROM supplier UNION ALL SELECT 'routes', count(*), true FROM part UNION ALL SELECT 'trips', count(*), true FROM orders
 UNION ALL SELECT 'stop_times', count(*), true FROM lineitem UNION ALL SELECT 'calendar', count(*), true FROM customer""")
@@ -70,21 +105,32 @@ def _(t):
     return timetables.member_counts(landed_static(t))
 
 
-@query("src_02_strict_csv", oracle="""
-SELECT a, b, n_bad FROM (SELECT cast(o_orderkey as varchar) AS a, CASE WHEN o_orderkey % 9 <> 4 THEN trim(o_orderpriority) END AS b FROM orders WHERE o_orderkey % 11 <> 3 AND o_orderkey % 50 <> 7) x, (SELECT count(*) FILTER (o_orderkey % 50 = 7 AND o_orderkey % 11 <> 3) AS n_bad FROM orders) y""")
-def _(t):
-    # short, blank and over-wide lines
+def landed_lines(t):
+    """A CSV with short, blank and over-wide lines."""
     k = c("o_orderkey")
     line = F.concat(k.cast("string"), F.when(k % 9 == 4, "").otherwise(F.concat(F.lit(",  "), c("o_orderpriority"), F.lit(" "))), F.when(k % 50 == 7, F.when(k % 9 == 4, ",,x,y").otherwise(",x")).otherwise(""))
     # whole lines as the only column, whose name is the header line of every file
     text = t.orders.select(F.when(k % 11 == 3, " , ").otherwise(line).alias(" a ,b"))
     path = scratch(t)
     text.write.options(header=True, sep="\u0001", quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return path
+
+
+@query("src_02_strict_csv", oracle="""
+SELECT a, b, n_bad FROM (SELECT cast(o_orderkey as varchar) AS a, CASE WHEN o_orderkey % 9 <> 4 THEN trim(o_orderpriority) END AS b FROM orders WHERE o_orderkey % 11 <> 3 AND o_orderkey % 50 <> 7) x, (SELECT count(*) FILTER (o_orderkey % 50 = 7 AND o_orderkey % 11 <> 3) AS n_bad FROM orders) y""")
+def _(t):
+    path = landed_lines(t)
     rows, bad = timetables.strict_csv(t.spark, path)
     n = bad.groupBy().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_bad"))
     return rows.select("a", "b").crossJoin(F.broadcast(n))
 
 
+@query("src_02_refused_rows", oracle="""
+SELECT cast(o_orderkey as varchar) AS key, 'BAD_ROW' AS code, CASE WHEN o_orderkey % 9 = 4 THEN 4 ELSE 3 END AS fields FROM orders WHERE o_orderkey % 50 = 7 AND o_orderkey % 11 <> 3""")
+def _(t):
+    return timetables.refused_rows(t.spark, landed_lines(t)).select("key", "code", "fields")
+
+
 def realtime_docs(t):
     """One document per event, with a trip update, a vehicle or an alert."""
     e = t.obs.select("*", (c("event_id") % 3).alias("z"))
@@ -275,26 +321,42 @@ def _(t):
     return files.way_tracks(nodes.unionByName(ways))
 
 
-def limit_rows(t):
+def limit_rows(t, faulty=True):
     k = c("seg_id")
+    fault = lambda n, bad, good: F.when(F.lit(faulty) & (k % n == 0), bad).otherwise(good)
     return t.segments.where("seg_id % 5 <> 0").select(
-        F.lower("src_code").alias("source_code"), F.when(k % 7 == 0, "ZZZ").otherwise(F.concat(F.lit(" "), "dst_code")).alias("destination_code"), (c("max_h") + 1).cast("string").alias("max_height"), F.when(k % 9 == 0, "0").otherwise("4.5").alias("max_width"),
-        F.lit("150").alias("max_weight"), F.lit("1.25").alias("congestion_factor"), F.lit("0.5").alias("historical_delay_hours"), F.when(k % 11 == 0, "[[1,2]]").otherwise("[[1.123456789,2],[3,4]]").alias("geometry_lon_lat"),
-        F.lit("imported_document").alias("source_type"), F.lit("doc 7").alias("source_reference"), F.when(k % 8 == 0, " ").otherwise("Issuer A").alias("certified_by"), F.lit("2024-01-01T00:00:00Z").alias("certified_at"))
+        F.lower("src_code").alias("source_code"), fault(7, "ZZZ", F.concat(F.lit(" "), "dst_code")).alias("destination_code"), (c("max_h") + 1).cast("string").alias("max_height"), fault(9, "0", "4.5").alias("max_width"),
+        F.lit("150").alias("max_weight"), fault(17, "much", "1.25").alias("congestion_factor"), F.lit("0.5").alias("historical_delay_hours"), fault(11, "[[1,2]]", "[[1.123456789,2],[3,4]]").alias("geometry_lon_lat"),
+        F.lit("imported_document").alias("source_type"), F.lit("doc 7").alias("source_reference"), fault(8, " ", "Issuer A").alias("certified_by"),
+        fault(13, "2031-01-01T00:00:00Z", "2024-01-01T00:00:00Z").alias("certified_at"))
 
 
-@query("src_12_engineering_limits", needs=("segments",), oracle="""
-WITH l AS (SELECT *, seg_id % 9 <> 0 AND seg_id % 11 <> 0 AND seg_id % 8 <> 0 AND seg_id % 7 <> 0 AND seg_id % 5 <> 0 AS ok FROM segments)
-SELECT 'segment' AS kind, src_code || '->' || dst_code AS segment, CASE WHEN ok THEN max_h + 1 ELSE max_h END AS max_h, CASE WHEN ok THEN 1.25e0 ELSE factor END AS factor, ok AS sealed FROM l
-UNION ALL SELECT 'UNKNOWN_SEGMENT', src_code || '->ZZZ', NULL, NULL, NULL FROM (SELECT DISTINCT src_code FROM l WHERE seg_id % 5 <> 0 AND seg_id % 7 = 0) a
-UNION ALL SELECT 'DUPLICATE_SEGMENT', src_code || '->ZZZ', NULL, NULL, NULL FROM l WHERE seg_id % 5 <> 0 AND seg_id % 7 = 0 GROUP BY src_code HAVING count(*) > 1
-UNION ALL SELECT code, src_code || '->' || CASE WHEN seg_id % 7 = 0 THEN 'ZZZ' ELSE dst_code END, NULL, NULL, NULL FROM l, LATERAL (VALUES ('TOO_FEW_POINTS', seg_id % 11 = 0), ('LIMIT_NOT_POSITIVE', seg_id % 9 = 0), ('CERTIFICATION_MISSING', seg_id % 8 = 0)) u(code, hit) WHERE seg_id % 5 <> 0 AND hit""")
-def _(t):
-    out, bad = files.load_engineering(t.segments, limit_rows(t))
-    a = out.select(F.lit("segment").alias("kind"), F.concat_ws("->", "src_code", "dst_code").alias("segment"), "max_h", "factor", c("engineering_digest").isNotNull().alias("sealed"))
+def loaded(t, rows):
+    out, bad = files.load_engineering(t.segments, rows, F.lit("2025-06-01T00:00:00Z").cast("timestamp"), ["issuer a ", "issuer b"])
+    a = out.select(F.lit("segment").alias("kind"), F.concat_ws("->", "src_code", "dst_code").alias("segment"), "max_h", "max_w", "factor", c("engineering_digest").isNotNull().alias("sealed"))
     return a.unionByName(bad.select(c("code").alias("kind"), "segment"), allowMissingColumns=True)
 
 
+@query("src_12_engineering_limits", needs=("segments",), oracle="""
+WITH l AS (SELECT *, src_code || '->' || CASE WHEN seg_id % 7 = 0 THEN 'ZZZ' ELSE dst_code END AS k FROM segments WHERE seg_id % 5 <> 0)
+SELECT 'segment' AS kind, src_code || '->' || dst_code AS segment, max_h, max_w, factor, false AS sealed FROM segments
+UNION ALL SELECT DISTINCT 'UNKNOWN_SEGMENT', k, NULL, NULL, NULL, NULL FROM l WHERE seg_id % 7 = 0
+UNION ALL SELECT 'DUPLICATE_SEGMENT', k, NULL, NULL, NULL, NULL FROM l GROUP BY k HAVING count(*) > 1
+UNION ALL SELECT code, k, NULL, NULL, NULL, NULL FROM l, LATERAL (VALUES ('TOO_FEW_POINTS', seg_id % 11 = 0), ('LIMIT_NOT_POSITIVE', seg_id % 9 = 0), ('NUMBER_INVALID', seg_id % 17 = 0),
+  ('CERTIFICATION_MISSING', seg_id % 8 = 0), ('ISSUER_NOT_ALLOWED', seg_id % 8 = 0), ('CERTIFIED_IN_FUTURE', seg_id % 13 = 0)) u(code, hit) WHERE hit""")
+def _(t):
+    """A load with faults: the segments stay as they were, and every fault is a row."""
+    return loaded(t, limit_rows(t))
+
+
+@query("src_12_engineering_load", needs=("segments",), oracle="""
+WITH l AS (SELECT *, seg_id % 5 <> 0 AS ok FROM segments)
+SELECT 'segment' AS kind, src_code || '->' || dst_code AS segment, CASE WHEN ok THEN max_h + 1 ELSE max_h END AS max_h, CASE WHEN ok THEN 4.5e0 ELSE max_w END AS max_w, CASE WHEN ok THEN 1.25e0 ELSE factor END AS factor, ok AS sealed FROM l""")
+def _(t):
+    """A load without faults is applied."""
+    return loaded(t, limit_rows(t, faulty=False))
+
+
 # --- sinks --------------------------------------------------------------------------------------------
 
 

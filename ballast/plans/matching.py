@@ -213,18 +213,6 @@ def _(t):
 
 @query("join_16_reading_as_of", needs=("positions", "obs"), oracle="""
 SELECT q.position_id AS query_id, q.shipment_id AS code, CASE WHEN r.seen IS NOT NULL THEN 'CACHED' END AS source, epoch_us(r.seen) AS observed_us, r.k
-FROM (SELECT *, observed_at + INTERVAL 17 MINUTE AS ts FROM positions WHERE source_type <> 'GPS') q
-LEFT JOIN LATERAL (SELECT seen, k FROM obs WHERE user_id = q.shipment_id AND event_type <> 'error' AND seen <= q.ts AND seen >= q.ts - INTERVAL 7200 SECOND ORDER BY seen DESC LIMIT 1) r ON true""")
-def _(t):
-    q = t.positions.where("source_type <> 'GPS'").select(
-        F.col("shipment_id").alias("code"), (F.col("observed_at") + F.expr("interval 17 minutes")).alias("ts"), F.col("position_id").alias("query_id"))
-    r = t.obs.where("event_type <> 'error'").select(F.col("user_id").alias("code"), F.col("seen").alias("ts"), "k")
-    out = joins.reading_as_of(q, r, "code", 7200)
-    return out.select("query_id", "code", "source", F.unix_micros("observed_at").alias("observed_us"), "k")
-
-
-@query("join_16_reading_as_of_whole", needs=("positions", "obs"), oracle="""
-SELECT q.position_id AS query_id, q.shipment_id AS code, CASE WHEN r.seen IS NOT NULL THEN 'CACHED' END AS source, epoch_us(r.seen) AS observed_us, r.k
 FROM (SELECT *, observed_at + INTERVAL 17 MINUTE AS ts FROM positions) q
 LEFT JOIN LATERAL (SELECT seen, k FROM obs WHERE user_id = q.shipment_id AND event_type <> 'error' AND seen <= q.ts AND seen >= q.ts - INTERVAL 7200 SECOND ORDER BY seen DESC LIMIT 1) r ON true""")
 def _(t):

@@ -8,7 +8,9 @@ from ballast.functions import track
 from ballast.functions.delay import delay_risk
 from ballast.operators import aggregates as agg
 from ballast.operators import statistics as st
-from ballast.operators.ordered import percentiles
+from ballast.functions.vocab import REAL_CLASSES
+from ballast.operators.ordered import hour_slot, percentiles
+from ballast.operators.windows import chronological_split
 from ballast.plans.registry import query
 from ballast.plans.scalars import CONDITIONS_SQL, all_conditions, joined
 
@@ -287,15 +289,6 @@ def _(t):
 
 
 @query("agg_24_residual_p90", needs=("features",), oracle="""
-SELECT corridor, count(*) AS rows, round(quantile_cont(abs(remaining_delay_minutes - current_delay), 0.9), 4) AS p90,
-  count(*) >= 30 AND bool_and(data_class IN ('REAL_LIVE', 'REAL_HISTORICAL')) AS trusted
-FROM features WHERE row_id % 10 <> 6 AND (corridor <> 'N1-JNPT' OR data_class LIKE 'REAL%') GROUP BY corridor""")
-def _(t):
-    rows = t.features.where("row_id % 10 <> 6 and (corridor <> 'N1-JNPT' or data_class like 'REAL%')")
-    return st.residual_p90(rows, ["corridor"], "remaining_delay_minutes", "current_delay")
-
-
-@query("agg_24_residual_p90_whole", needs=("features",), oracle="""
 SELECT corridor, count(*) AS rows, round(quantile_cont(abs(remaining_delay_minutes - current_delay), 0.9), 4) AS p90,
   count(*) >= 30 AND bool_and(data_class IN ('REAL_LIVE', 'REAL_HISTORICAL')) AS trusted FROM features GROUP BY corridor""")
 def _(t):
@@ -306,12 +299,32 @@ def _(t):
 @query("agg_25_promotion_gates", needs=("features",), oracle="""
 SELECT a AS minimum_real_rows, b AS minimum_coverage_days, c AS minimum_corridors, d AS no_synthetic_test_rows, e AS beats_deterministic_by_10_pct, true AS no_forbidden_feature_leakage, a AND b AND c AND d AND e AS eligible
 FROM (SELECT count(*) FILTER (data_class LIKE 'REAL%') >= 1000 AS a, ceil((epoch_us(max(observation_time)) - epoch_us(min(observation_time))) / 86400e6) >= 14 AS b,
-  count(DISTINCT corridor) >= 3 AS c, true AS d, 100 * (avg(abs(remaining_delay_minutes - current_delay)) - avg(abs(remaining_delay_minutes - 70))) / avg(abs(remaining_delay_minutes - current_delay)) >= 10 AS e FROM features) x""")
+  count(DISTINCT corridor) >= 3 AS c, 100 * (avg(abs(remaining_delay_minutes - current_delay)) - avg(abs(remaining_delay_minutes - 70))) / avg(abs(remaining_delay_minutes - current_delay)) >= 10 AS e FROM features) x,
+ (SELECT bool_and(data_class LIKE 'REAL%') AS d FROM (SELECT data_class, row_number() OVER (ORDER BY observation_time, row_id) AS i, count(*) OVER () AS n FROM features) r WHERE i > greatest(greatest(1, floor(n * 0.7e0)) + 1, floor(n * 0.85e0))) y""")
 def _(t):
     y = F.col("remaining_delay_minutes")
     err = t.features.agg(F.avg(F.abs(y - F.col("current_delay"))).alias("a"), F.avg(F.abs(y - 70)).alias("b"))
-    rep = st.dataset_report(t.features).crossJoin(F.broadcast(err))
-    return st.promotion_gates(rep, (F.col("a") - F.col("b")) * 100 / F.col("a"), F.lit(True))
+    split = chronological_split(t.features, "observation_time", "row_id", hour_slot("observation_time", 24))
+    real = split.where("part = 'test'").agg(F.bool_and(F.col("data_class").isin(*REAL_CLASSES)).alias("all_real"))
+    rep = st.dataset_report(t.features).crossJoin(F.broadcast(err)).crossJoin(F.broadcast(real))
+    return st.promotion_gates(rep, (F.col("a") - F.col("b")) * 100 / F.col("a"), F.coalesce("all_real", F.lit(False)))
+
+
+@query("agg_25_stored_gates", needs=("features",), oracle="""
+SELECT corridor, concat_ws(',', CASE WHEN NOT beats THEN 'beats_deterministic_by_10_pct' END, CASE WHEN NOT days THEN 'minimum_coverage_days' END, CASE WHEN NOT rows_ THEN 'minimum_real_rows' END,
+  'missing:minimum_corridors', 'no_forbidden_feature_leakage', CASE WHEN synthetic THEN 'no_synthetic_test_rows' END) AS missing
+FROM (SELECT corridor, count(*) FILTER (data_class LIKE 'REAL%') >= 1000 AS rows_, ceil((epoch_us(max(observation_time)) - epoch_us(min(observation_time))) / 86400e6) >= 14 AS days,
+  bool_or(data_class NOT LIKE 'REAL%') AS synthetic, avg(abs(remaining_delay_minutes - 70)) <= 0.9e0 * avg(abs(remaining_delay_minutes - current_delay)) AS beats FROM features GROUP BY corridor) g""")
+def _(t):
+    """Stored gate maps, one per corridor, without the gate on corridors and with an unknown one."""
+    y, real = F.col("remaining_delay_minutes"), F.col("data_class").isin(*REAL_CLASSES)
+    days = F.ceil((F.unix_micros(F.max("observation_time")) - F.unix_micros(F.min("observation_time"))) / 86_400e6)
+    held = {
+        "minimum_real_rows": F.count_if(real) >= 1000, "minimum_coverage_days": days >= 14, "no_synthetic_test_rows": F.bool_and(real),
+        "beats_deterministic_by_10_pct": F.avg(F.abs(y - 70)) <= 0.9 * F.avg(F.abs(y - F.col("current_delay"))), "no_forbidden_feature_leakage": F.lit(None).cast("boolean")}
+    g = t.features.groupBy("corridor").agg(*[v.alias(k) for k, v in held.items()])
+    gates = F.create_map(*[x for k in held for x in (F.lit(k), F.col(k))])
+    return g.select("corridor", joined(st.missing_gates(gates)).alias("missing"))
 
 
 @query("agg_28_journey_merge", needs=("journey_legs",), oracle="""
@@ -325,6 +338,29 @@ def _(t):
     return agg.journey_merge(t.journey_legs, "journey_id")
 
 
+@query("agg_28_journey_parts", needs=("journey_legs",), oracle="""
+WITH p AS (SELECT journey_id, 'segment' AS part, cast(l_suppkey as varchar) AS value, leg_no, l_linenumber AS seq FROM journey_legs JOIN lineitem ON l_orderkey = route_id
+UNION ALL SELECT journey_id, 'alert', decision_state, leg_no, 0 FROM journey_legs WHERE decision_state <> 'READY')
+SELECT journey_id, part, value, min(leg_no) AS leg_no, arg_min(seq, (leg_no, seq)) AS seq FROM p GROUP BY journey_id, part, value""")
+def _(t):
+    """Segments and alerts of whole journeys, each once, at their first place."""
+    steps = t.lineitem.select(F.col("l_orderkey").alias("route_id"), F.col("l_suppkey").cast("string").alias("segment"), F.col("l_linenumber").alias("seq"))
+    alerts = t.journey_legs.select("journey_id", "leg_no", F.when(F.col("decision_state") != "READY", F.col("decision_state")).alias("alert"))
+    return agg.journey_parts(t.journey_legs, steps, alerts, "journey_id")
+
+
+@query("agg_33_sample_alerts", needs=("weather",), oracle="""
+SELECT route_id, point_id // 40 AS day, alert, min(point_id) AS first_pos FROM (SELECT *, unnest([CASE WHEN visibility IS NULL THEN 'WEATHER_UNKNOWN' END, CASE WHEN visibility IS NOT NULL AND weather_code * 9 BETWEEN 200 AND 699 THEN 'PRECIPITATION' END,
+  CASE WHEN visibility IS NOT NULL AND wind_speed_10m > 15 THEN 'HIGH_WIND' END, CASE WHEN visibility < 5000 THEN 'REDUCED_VISIBILITY' END]) AS alert FROM weather) w
+WHERE alert IS NOT NULL GROUP BY route_id, day, alert""")
+def _(t):
+    from ballast.functions.weather import weather_score
+
+    v = weather_score(F.array(F.col("weather_code") * 9), F.col("wind_speed_10m"), F.col("visibility"))
+    each = t.weather.select(F.struct("route_id", F.floor(F.col("point_id") / 40).alias("day")).alias("key"), "point_id", F.explode(v["alerts"]).alias("alert"))
+    return agg.distinct_in_order(each, "key", "point_id", "alert").select("key.route_id", "key.day", "alert", "first_pos")
+
+
 @query("agg_33_weakest_weather_sample", needs=("weather",), oracle="""
 SELECT route_id, day, CASE WHEN count(score) = count(*) THEN min(score) END AS score,
   CASE WHEN count(score) = count(*) THEN min_by(point_id, score * 1000000000 + point_id) ELSE min(point_id) END AS governing, count(*) AS samples
@@ -415,14 +451,7 @@ def _(t):
         F.col("deterministic_value").alias("seconds"))).withColumn("seconds", F.round("seconds", 4))
 
 
-@query("agg_40_next_sequence", needs=("schedules",), oracle="""
-SELECT c_custkey AS case_id, coalesce(max(o_orderkey % 50), 0) + 1 AS next FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 3 = 0 GROUP BY c_custkey""")
-def _(t):
-    snaps = t.orders.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("case_id"), (F.col("o_orderkey") % 50).alias("sequence_no"))
-    return agg.next_sequence(t.customer.select(F.col("c_custkey").alias("case_id")), snaps, "case_id")
-
-
-@query("agg_40_next_sequence_whole", oracle="""
+@query("agg_40_next_sequence", oracle="""
 SELECT case_id, coalesce(max(o_orderkey % 50), 0) + 1 AS next FROM (SELECT c_custkey AS case_id FROM customer UNION ALL SELECT -1 - c_custkey FROM customer) c
 LEFT JOIN orders ON o_custkey = case_id GROUP BY case_id""")
 def _(t):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.functions.common import blank_to_null, codes
+from ballast.functions.common import blank_to_null, codes, finite
 from ballast.functions.digest import digest_of
+from ballast.operators.contracts import certification_codes
 
 MAX_FEEDS = 16
 
@@ -53,50 +54,54 @@ def way_tracks(elements: DataFrame) -> DataFrame:
 
 LIMITS = ("max_height", "max_width", "max_weight", "congestion_factor", "historical_delay_hours")
 # Source types an engineering load may have.
-TRUSTED_LOADS = ("IMPORTED_DOCUMENT",)
+TRUSTED_LOADS = ("OPERATOR_INPUT", "IMPORTED_DOCUMENT")
 
 
-def engineering_rows(rows: DataFrame, trusted: tuple[str, ...] = TRUSTED_LOADS) -> DataFrame:
+def engineering_rows(rows: DataFrame, asof: Column, issuers: list[str], trusted: tuple[str, ...] = TRUSTED_LOADS) -> DataFrame:
     """Text rows of a limits file, typed, with the codes that refuse each."""
     upper = lambda c: F.upper(F.trim(c))
     geom = F.from_json("geometry_lon_lat", "array<array<double>>")
     line = F.transform(geom, lambda p: F.struct(F.round(F.get(p, 0), 7).alias("lon"), F.round(F.get(p, 1), 7).alias("lat")))
     t = rows.withColumns({
         "source_code": upper("source_code"), "destination_code": upper("destination_code"), "source_type": upper("source_type"),
-        "line": line, **{c: F.col(c).try_cast("double") for c in LIMITS},
+        "line": line, **{c: F.trim(c).try_cast("double") for c in LIMITS},
     })
-    positive = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
-    return t.withColumn("codes", codes(
+    positive = lambda c: F.coalesce((F.col(c) > 0) & finite(F.col(c)), F.lit(False))
+    whole = F.forall("line", lambda p: F.coalesce(finite(p["lon"]) & finite(p["lat"]), F.lit(False)))
+    return t.withColumn("codes", F.concat(codes(
         (~F.coalesce(F.col("source_type").isin(*trusted), F.lit(False)), "UNTRUSTED_SOURCE_TYPE"),
-        (F.coalesce(F.size("line"), F.lit(0)) < 2, "TOO_FEW_POINTS"),
+        (F.coalesce(F.size("line"), F.lit(0)) < 2, "TOO_FEW_POINTS"), (~whole, "POINT_INVALID"),
         (~(positive("max_height") & positive("max_width") & positive("max_weight")), "LIMIT_NOT_POSITIVE"),
+        (~(finite(F.col("congestion_factor")) & finite(F.col("historical_delay_hours"))), "NUMBER_INVALID"),
         (blank_to_null(F.col("source_reference")).isNull() | blank_to_null(F.col("certified_by")).isNull(), "CERTIFICATION_MISSING"),
-    ))
+    ), certification_codes(asof, issuers)))
 
 
-def load_engineering(segments: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Segments with their certified limits replaced and sealed, and violations of the load.
+def load_engineering(segments: DataFrame, rows: DataFrame, asof: Column, issuers: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The segments after a load of certified limits, and the load's violations (segment, code).
 
-    A load with any violation must not be applied; the caller decides from the second frame.
+    All or nothing: with any violation, or without rows, the segments are the old
+    ones and ``engineering_digest`` is null throughout. Otherwise the loaded ones
+    carry the new limits and the digest that seals them.
     """
-    typed = engineering_rows(rows)
+    typed = engineering_rows(rows, asof, issuers)
     key = ["source_code", "destination_code"]
-    known = segments.select(F.col("src_code").alias("source_code"), F.col("dst_code").alias("destination_code"))
+    known = segments.select(F.col("src_code").alias("source_code"), F.col("dst_code").alias("destination_code")).distinct()
     name = F.concat_ws("->", *key).alias("segment")
     own = typed.select(name, F.explode("codes").alias("code"))
     twice = typed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(name, F.lit("DUPLICATE_SEGMENT").alias("code"))
     stray = typed.join(known, key, "left_anti").select(name, F.lit("UNKNOWN_SEGMENT").alias("code")).distinct()
-    bad = own.unionByName(twice).unionByName(stray)
+    empty = rows.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("").alias("segment"), F.lit("NO_ROWS").alias("code"))
+    bad = own.unionByName(twice).unionByName(stray).unionByName(empty)
 
-    # the last row of a repeated key would be arbitrary; such loads are refused by the violations
-    sound = typed.where(F.size("codes") == 0)
-    one = sound.groupBy(*key).agg(F.min(F.struct(*LIMITS, "line", "source_type", "source_reference", "certified_by", "certified_at")).alias("r")).select(*key, "r.*")
+    # keys are unique wherever the load is applied; grouping keeps a refused load from multiplying segments
+    one = typed.groupBy(*key).agg(F.min(F.struct(*LIMITS, "line", "source_type", "source_reference", "certified_by", "certified_at")).alias("r")).select(*key, "r.*")
     sealed = one.withColumn("engineering_digest", digest_of(one, one.columns))
     new = sealed.select(
         F.col("source_code").alias("src_code"), F.col("destination_code").alias("dst_code"), F.col("max_height").alias("n_h"), F.col("max_width").alias("n_w"),
-        F.col("max_weight").alias("n_t"), F.col("congestion_factor").alias("n_f"), F.col("historical_delay_hours").alias("n_d"), "engineering_digest")
+        F.col("max_weight").alias("n_t"), F.col("congestion_factor").alias("n_f"), F.col("historical_delay_hours").alias("n_d"), F.col("engineering_digest").alias("n_s"))
+    verdict = bad.agg((F.count("*") == 0).alias("applied"))  # one row
     pairs = {"max_h": "n_h", "max_w": "n_w", "max_t": "n_t", "factor": "n_f", "delay_h": "n_d"}
-    out = segments.join(new, ["src_code", "dst_code"], "left").withColumns({k: F.coalesce(v, k) for k, v in pairs.items()})
-    return out.drop(*pairs.values()), bad
-
-
+    out = segments.join(new, ["src_code", "dst_code"], "left").crossJoin(F.broadcast(verdict))
+    out = out.withColumns({k: F.when(F.col("applied") & F.col("n_s").isNotNull(), F.col(v)).otherwise(F.col(k)) for k, v in pairs.items()})
+    return out.withColumn("engineering_digest", F.when(F.col("applied"), F.col("n_s"))).drop(*pairs.values(), "n_s", "applied"), bad

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +12,7 @@ from ballast.functions.clock import from_unix, schedule_value, service_seconds
 from ballast.functions.common import blank_to_null, once
 from ballast.functions.vocab import TIMETABLE_ALIASES
 from ballast.operators.contracts import snake
+from ballast.operators.ordered import Step, number_slot, scan
 
 # Members of a static timetable, with the columns each must have.
 REQUIRED_MEMBERS = {
@@ -20,6 +23,7 @@ REQUIRED_MEMBERS = {
 }
 CALENDARS = ("calendar", "calendar_dates")
 CORRUPT = "_corrupt"
+FIELDS = "_fields"
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
@@ -27,35 +31,51 @@ def header(spark: SparkSession, path: str) -> list[str]:
     first = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
     if not first:
         raise ValueError(f"{path} has no header")
-    names = [n.strip().strip('"').strip() for n in first[0][0].lstrip("﻿").split(",")]
+    names = [n.strip() for n in next(csv.reader([first[0][0].lstrip("\ufeff")], skipinitialspace=True))]
     if any(not n for n in names) or len(set(names)) != len(names):
         raise ValueError(f"{path} has a blank or repeated column name")
     return names
 
 
-def strict_csv(spark: SparkSession, path: str, max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Text rows of a CSV with header, and its violations (code, n).
-
-    Values are trimmed, all-blank rows are dropped, short rows are filled with
-    nulls, rows wider than the header are reported and left out. Every file below
-    ``path`` begins with the header.
-    """
+def _lines(spark: SparkSession, path: str, multiline: bool = False) -> tuple[list[str], DataFrame]:
+    """Header names and the text rows that are not blank, each with its number of fields (null: as many as the header or fewer) and raw line."""
     names = header(spark, path)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(CORRUPT, T.StringType())])
     raw = (
-        spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("escape", '"')
+        spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", multiline)
+        .option("columnPruning", False)  # else a row's width would be that of the columns in use
         .option("columnNameOfCorruptRecord", CORRUPT).csv(path)
     )
     text = raw.select(*[blank_to_null(F.col(f"`{n}`")).alias(n) for n in names], CORRUPT)
     bare = F.regexp_replace(CORRUPT, '"([^"]|"")*"', "")
     width = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
-    rows = text.where(F.coalesce(*[F.col(f"`{n}`") for n in names]).isNotNull() | (width > len(names)))
+    rows = text.withColumn(FIELDS, width)
+    return names, rows.where(F.coalesce(*[F.col(f"`{n}`") for n in names]).isNotNull() | (F.col(FIELDS) > len(names)))
+
+
+def strict_csv(spark: SparkSession, path: str, max_rows: int | None = None, multiline: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Text rows of a CSV with header, and its violations (code, n).
+
+    Values are trimmed, all-blank rows are dropped, short rows are filled with
+    nulls, rows wider than the header are reported and left out; ``refused_rows``
+    lists them. Every file below ``path`` begins with the header. With
+    ``multiline`` quoted values may hold line breaks; files are then not split.
+    """
+    names, rows = _lines(spark, path, multiline)
+    width = F.col(FIELDS)
     counts = rows.agg(F.count_if(width > len(names)).alias("BAD_ROW"), F.count("*").alias("_n"))
     tests = [F.struct(F.lit("BAD_ROW").alias("code"), F.col("BAD_ROW").alias("n"))]
     if max_rows is not None:
         tests.append(F.struct(F.lit("TOO_MANY_ROWS").alias("code"), F.greatest(F.col("_n") - max_rows, F.lit(0)).alias("n")))
     bad = counts.select(F.explode(F.array(*tests)).alias("x")).select("x.*").where("n > 0")
-    return rows.where(F.coalesce(width <= len(names), F.lit(True))).drop(CORRUPT), bad
+    return rows.where(F.coalesce(width <= len(names), F.lit(True))).drop(CORRUPT, FIELDS), bad
+
+
+def refused_rows(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Rows wider than the header: (key, code, fields, line). The key is the first column's value."""
+    names, rows = _lines(spark, path, multiline)
+    return rows.where(F.col(FIELDS) > len(names)).select(
+        F.col(f"`{names[0]}`").alias("key"), F.lit("BAD_ROW").alias("code"), F.col(FIELDS).alias("fields"), F.col(CORRUPT).alias("line"))
 
 
 def read_static(spark: SparkSession, folder: str, members: list[str]) -> dict[str, DataFrame]:
@@ -73,6 +93,65 @@ def read_static(spark: SparkSession, folder: str, members: list[str]) -> dict[st
     return out
 
 
+def static_violations(raw: dict[str, DataFrame]) -> DataFrame:
+    """Faults of a static timetable as rows (member, key, field, code, n); a timetable without any may be used.
+
+    The key is the id of the faulty row (trip and sequence for stop times), for a
+    reference to nothing the id that is missing; n counts the rows. Ids may be
+    neither blank nor repeated, references must exist, times be service times that
+    don't run backwards within a trip, integers whole and not negative, and a
+    trip's sequence numbers differ. Rows are ordered by sequence, as files have no
+    order once they are split.
+    """
+    def faults(df: DataFrame, member: str, key: Column, *tests: tuple[str, str, Column]) -> DataFrame:
+        each = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(f).alias("field"), F.lit(code).alias("code"))) for f, code, hit in tests]))
+        return df.select(F.lit(member).alias("member"), F.coalesce(key, F.lit("")).alias("key"), F.explode(each).alias("x")).select("member", "key", "x.*", F.lit(1).cast("long").alias("n"))
+
+    def whole(df: DataFrame, field: str) -> tuple[str, str, Column]:
+        v = df[field] if field in df.columns else F.lit(None).cast("string")
+        return field, "BAD_VALUE", v.isNotNull() & ~(v.rlike(r"^[+]?[0-9]+$") & v.try_cast("int").isNotNull())
+
+    def absent(df: DataFrame, member: str, field: str, other: str) -> DataFrame:
+        # values first: a frequent one is a single row before the join
+        used = df.where(F.col(field).isNotNull()).groupBy(F.col(field).alias("key")).agg(F.count("*").alias("n"))
+        return used.join(raw[other].select(F.col(field).alias("key")), "key", "left_anti").select(
+            F.lit(member).alias("member"), "key", F.lit(field).alias("field"), F.lit("BAD_REFERENCE").alias("code"), "n")
+
+    parts = []
+    for member, field in (("stops", "stop_id"), ("routes", "route_id"), ("trips", "trip_id")):
+        df = raw[member]
+        parts.append(faults(df, member, F.col(field), (field, "MISSING_FIELD", F.col(field).isNull())))
+        parts.append(df.where(F.col(field).isNotNull()).groupBy(F.col(field).alias("key")).agg(F.count("*").alias("n")).where("n > 1").select(
+            F.lit(member).alias("member"), "key", F.lit(field).alias("field"), F.lit("DUPLICATE_ID").alias("code"), "n"))
+    for member, field in (("routes", "route_type"), ("trips", "direction_id")):
+        parts.append(faults(raw[member], member, F.col(REQUIRED_MEMBERS[member][-1]), whole(raw[member], field)))
+    trips, times = raw["trips"], raw["stop_times"]
+    parts.append(faults(trips, "trips", F.col("trip_id"), ("route_id", "MISSING_FIELD", F.col("route_id").isNull())))
+    parts.append(absent(trips, "trips", "route_id", "routes"))
+    parts += [absent(times, "stop_times", "trip_id", "trips"), absent(times, "stop_times", "stop_id", "stops")]
+
+    at = F.concat_ws("|", F.coalesce("trip_id", F.lit("")), F.coalesce("stop_sequence", F.lit("")))
+    a, d = service_seconds(F.col("arrival_time")), service_seconds(F.col("departure_time"))
+    needed = REQUIRED_MEMBERS["stop_times"]
+    parts.append(faults(
+        times, "stop_times", at, *[(f, "MISSING_FIELD", F.col(f).isNull()) for f in needed],
+        *[whole(times, f) for f in ("stop_sequence", "pickup_type", "drop_off_type")],
+        ("arrival_time", "BAD_TIME", F.col("arrival_time").isNotNull() & a.isNull()), ("departure_time", "BAD_TIME", F.col("departure_time").isNotNull() & d.isNull()),
+        ("departure_time", "BAD_TIME", d < a)))
+    placed = times.select("trip_id", F.col("stop_sequence").try_cast("int").alias("seq"), a.alias("a"), d.alias("d")).where("trip_id is not null and seq is not null and a is not null and d is not null")
+    # of equal numbers one row goes on, so that a trip's slot holds its numbers only
+    stops = placed.groupBy("trip_id", "seq").agg(F.count("*").alias("n"), F.min("a").alias("a"), F.max("d").alias("d"))
+    after = scan(stops, ["trip_id"], ["seq"], number_slot("seq", 4096), [Step("before", "lag", F.col("d"))])
+    key = F.concat_ws("|", "trip_id", "seq").alias("key")
+    order = lambda df, field, n: df.select(F.lit("stop_times").alias("member"), key, F.lit(field).alias("field"), F.lit("BAD_ORDER").alias("code"), n.alias("n"))
+    parts.append(order(stops.where("n > 1"), "stop_sequence", F.col("n")))
+    parts.append(order(after.where("a < before"), "arrival_time", F.lit(1).cast("long")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("member", "key", "field", "code").agg(F.sum("n").alias("n"))
+
+
 def typed_static(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Named, typed columns of the static tables; calendars stay text."""
     def pick(df: DataFrame, *cols: str, ints: tuple[str, ...] = ()) -> DataFrame:
