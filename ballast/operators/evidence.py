@@ -157,16 +157,13 @@ def context_codes() -> Column:
         F.when(~bound, "EVIDENCE_CONTEXT_MISMATCH").when(_is(wrong), "EVIDENCE_SEMANTIC_CONTEXT_MISMATCH")))
 
 
-def quality_codes(asof: Column, role: Column) -> Column:
-    """Payload, completeness, freshness, availability, digests and source class of a record under a role."""
-    c, v = F.col, F.col("v")
+def record_codes(asof: Column) -> Column:
+    """Payload, completeness, freshness, availability, digests and source class of a record, whatever role it serves."""
+    c = F.col
     fresh = effective_freshness(asof, c("source_key"), c("observed_at"), c("valid_until"), c("freshness_state"))
     avail = F.upper(F.coalesce("availability", F.lit("UNKNOWN")))
     kind = F.upper(F.coalesce("source_type", F.lit("")))
-    ref, sha = v["loading_window"]["manifest_reference"], v["loading_window"]["manifest_sha256"]
-    proven = _is(F.length(F.trim(ref)) >= 3) & _is(sha.rlike("^[0-9a-fA-F]{64}$"))
-    clearance = role == "CLEARANCE_DECISION"
-    return F.array_distinct(codes(
+    return codes(
         (~c("has_value"), "EVIDENCE_PAYLOAD_EMPTY"),
         (c("completeness").isNull() | (c("completeness") < 1), "EVIDENCE_PAYLOAD_INCOMPLETE"),
         (~payload_matches(), "EVIDENCE_PAYLOAD_SCHEMA_INVALID"),
@@ -180,10 +177,29 @@ def quality_codes(asof: Column, role: Column) -> Column:
         (c("integrity_checksum") != c("envelope_digest"), "RECORD_ENVELOPE_INVALID"),
         (~kind.isin(*SOURCE_TYPES), "EVIDENCE_SOURCE_UNKNOWN"),
         (kind == "SIMULATED", "EVIDENCE_SIMULATED"), (kind == "SEEDED_BASELINE", "EVIDENCE_SEEDED"),
+    )
+
+
+def manifest_proven() -> Column:
+    """Whether a record names a manifest and its digest."""
+    window = F.col("v")["loading_window"]
+    return _is(F.length(F.trim(window["manifest_reference"])) >= 3) & _is(window["manifest_sha256"].rlike("^[0-9a-fA-F]{64}$"))
+
+
+def served_codes(role: Column, proven: Column) -> Column:
+    """What a record's source class means for the role it serves."""
+    kind = F.upper(F.coalesce("source_type", F.lit("")))
+    clearance = role == "CLEARANCE_DECISION"
+    return codes(
         (clearance & (kind == "SIMULATED"), "CRITICAL_CLEARANCE_SIMULATED"),
         (clearance & (kind == "SEEDED_BASELINE"), "CRITICAL_CLEARANCE_SEEDED"),
         ((role == "PORT_ALIGNMENT") & (kind == "OPERATOR_INPUT") & ~proven, "OPERATOR_EVIDENCE_UNVERIFIED"),
-    ))
+    )
+
+
+def quality_codes(asof: Column, role: Column) -> Column:
+    """Codes of a record under a role."""
+    return F.concat(record_codes(asof), served_codes(role, manifest_proven()))
 
 
 def _with_decision(records: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -244,22 +260,37 @@ def role_policy_codes(rows: DataFrame) -> DataFrame:
     )).alias("code"))
 
 
-def decision_codes(snapshots: DataFrame, records: DataFrame, edges: DataFrame, sources: DataFrame, roots: DataFrame, asof: Column) -> DataFrame:
-    """Every failure code of every decision: (snapshot_id, role or null, code)."""
-    rows = cut(_with_decision(opened(records), snapshots).join(sources, "source_id", "left"))
+def judged_records(snapshots: DataFrame, records: DataFrame, sources: DataFrame, asof: Column) -> DataFrame:
+    """One narrow row per record: its codes and what the role policies ask of it; payloads are read here and left behind."""
+    wide = _with_decision(opened(records), snapshots).join(sources, "source_id", "left")
+    own = F.array_distinct(F.concat(context_codes(), identity_codes(), timestamp_codes(asof)))
+    return wide.select(
+        "snapshot_id", "record_id", "source_id", "source_type", "entity_type", "role", "used", "m",
+        F.struct("v.status", "v.score").alias("v"), "s_clearance_state", *[f"s_{x}" for x in dict.fromkeys(ROLE_SCORE.values())],
+        own.alias("own_codes"), record_codes(asof).alias("record_codes"), manifest_proven().alias("proven"),
+    )
+
+
+def decision_codes(
+    snapshots: DataFrame, records: DataFrame, edges: DataFrame, sources: DataFrame, roots: DataFrame, asof: Column, members: DataFrame | None = None,
+) -> DataFrame:
+    """Every failure code of every decision: (snapshot_id, role or null, code).
+
+    ``members`` are the role members, where the caller has them already.
+    """
+    rows = cut(judged_records(snapshots, records, sources, asof))
     none = F.lit(None).cast("string").alias("role")
-    each = F.array_distinct(F.flatten(F.array(context_codes(), identity_codes(), timestamp_codes(asof))))
-    plain = rows.select("snapshot_id", none, F.explode(each).alias("code"))
+    plain = rows.select("snapshot_id", none, F.explode("own_codes").alias("code"))
 
     ids = records.select(F.col("snapshot_id").alias("group"), "record_id")
     faults = graph.lineage_faults(edges.withColumnRenamed("snapshot_id", "group"), ids).select(
         F.col("group").alias("snapshot_id"), none, F.lit("EVIDENCE_LINEAGE_INVALID").alias("code"))
 
-    members = role_members(records, edges).withColumnRenamed("role", "member_role")
+    members = (role_members(records, edges) if members is None else members).withColumnRenamed("role", "member_role")
     held = members.join(rows, ["snapshot_id", "record_id"])
     served = F.col("member_role")
-    left_out = F.when(~_is(F.col("used")), F.array(F.lit("REQUIRED_INPUT_EXCLUDED"))).otherwise(F.array().cast("array<string>"))
-    quality = held.select("snapshot_id", served.alias("role"), F.explode(F.concat(quality_codes(asof, served), left_out)).alias("code"))
+    left_out = codes((~_is(F.col("used")), "REQUIRED_INPUT_EXCLUDED"))
+    quality = held.select("snapshot_id", served.alias("role"), F.explode(F.concat("record_codes", served_codes(served, F.col("proven")), left_out)).alias("code"))
     policy = role_policy_codes(held)
 
     present = records.where(F.col("role").isin(*ROLES)).groupBy("snapshot_id").agg(F.collect_set("role").alias("_h"))
@@ -295,6 +326,22 @@ def decisions(snapshots: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def role_status(snapshots: DataFrame, found: DataFrame, members: DataFrame) -> DataFrame:
+    """Each required role of each decision: (snapshot_id, role, trustworthy, records, codes).
+
+    ``records`` counts the direct records and ancestors the role rests on, which are
+    the rows of ``members``; a role without records has the code of a missing one.
+    """
+    keys = ["snapshot_id", "role"]
+    asked = snapshots.select("snapshot_id", F.explode(F.array(*[F.lit(r) for r in ROLES])).alias("role"))
+    # codes are a closed vocabulary
+    coded = found.where("role is not null").groupBy(*keys).agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    held = members.groupBy(*keys).agg(F.count("*").alias("records"))
+    return asked.join(coded, keys, "left").join(held, keys, "left").select(
+        *keys, F.col("codes").isNull().alias("trustworthy"), F.coalesce("records", F.lit(0)).alias("records"),
+        F.coalesce("codes", F.array().cast("array<string>")).alias("codes"))
+
+
 def requested_decisions(requests: DataFrame, decided: DataFrame) -> DataFrame:
     """Answers per request; a request without a stored decision is UNAVAILABLE."""
     j = requests.join(decided, "snapshot_id", "left")

@@ -9,6 +9,7 @@ from ballast.operators import contracts, evidence, graph
 from ballast.operators import selections as sel
 from ballast.plans.registry import query
 from ballast.plans.scalars import AT, asof, joined
+from ballast.session import cut
 
 EV = ("ev_snapshots", "ev_records", "ev_edges", "ev_sources", "ev_roots")
 NOW = f"timestamp '{AT}'"
@@ -229,6 +230,19 @@ def _(t):
     return evidence.decisions(t.ev_snapshots, found).withColumn("reason_codes", joined("reason_codes"))
 
 
+@query("evd_01_role_status", needs=EV, oracle=f"""
+WITH RECURSIVE {MEMBERS_CTE}, {HELD_CTE}, asked AS (SELECT snapshot_id, unnest(['CLEARANCE_DECISION', 'WEATHER', 'PORT_ALIGNMENT', 'CONGESTION', 'HISTORICAL_DELAY']) AS role FROM ev_snapshots),
+rc AS (SELECT snapshot_id, role, code FROM ({QUALITY_SQL}) a UNION ALL SELECT snapshot_id, role, code FROM ({POLICY_SQL}) b UNION ALL SELECT snapshot_id, member_role, 'REQUIRED_INPUT_EXCLUDED' FROM held WHERE NOT used
+ UNION ALL SELECT snapshot_id, role, 'REQUIRED_ROLE_MISSING' FROM asked a WHERE NOT EXISTS (SELECT 1 FROM ev_records r WHERE r.snapshot_id = a.snapshot_id AND r.role = a.role))
+SELECT a.snapshot_id, a.role, c IS NULL AS trustworthy, coalesce(n, 0) AS records, coalesce(c, '') AS codes FROM asked a
+ LEFT JOIN (SELECT snapshot_id, role, string_agg(DISTINCT code, ',' ORDER BY code) AS c FROM rc GROUP BY snapshot_id, role) x ON x.snapshot_id = a.snapshot_id AND x.role = a.role
+ LEFT JOIN (SELECT snapshot_id, role, count(*) AS n FROM members GROUP BY snapshot_id, role) y ON y.snapshot_id = a.snapshot_id AND y.role = a.role""")
+def _(t):
+    members = cut(evidence.role_members(t.ev_records, t.ev_edges))
+    found = evidence.decision_codes(snapshots(t), t.ev_records, t.ev_edges, t.ev_sources, t.ev_roots, asof(), members)
+    return evidence.role_status(t.ev_snapshots, found, members).withColumn("codes", joined("codes"))
+
+
 @query("evd_01_requested_decisions", needs=EV, oracle=f"""{CODES_SQL}
 SELECT c_custkey AS request_no, coalesce(decision_state, 'UNAVAILABLE') AS decision_state, coalesce(kit_status, 'UNAVAILABLE') AS kit_status, coalesce(reason_codes, 'NO_STORED_DECISION_EVIDENCE') AS reason_codes
 FROM customer LEFT JOIN gate ON snapshot_id = c_custkey * 11""")
@@ -282,6 +296,11 @@ for _no, _name in enumerate(["latest_value", "checksum_timestamp", "role_quorum"
     query(f"evd_{4 + _no:02d}_baseline_{_name}", needs=("ev_snapshots", "ev_records"), oracle=f"{BASE_SQL} SELECT snapshot_id, b{_no} FROM b")(_rule)
 
 
+@query("evd_04_08_baselines", needs=("ev_snapshots", "ev_records"), oracle=f"{BASE_SQL} SELECT * FROM b")
+def _(t):
+    return evidence.baselines(t.ev_snapshots, t.ev_records, asof())
+
+
 @query("agg_32_conflicting_assertions", needs=("ev_records",), oracle="""
 SELECT snapshot_id, role, entity_type, entity_key, count(DISTINCT sha256(value)) AS digests, count(*) AS records FROM (SELECT * REPLACE (coalesce(role, entity_type) AS role,
   CASE WHEN snapshot_id % 6 < 2 THEN 'shared' ELSE entity_key END AS entity_key, snapshot_id // 2 AS snapshot_id) FROM ev_records) r GROUP BY snapshot_id, role, entity_type, entity_key HAVING count(DISTINCT sha256(value)) > 1""")
