@@ -77,3 +77,15 @@ def group_digest(df: DataFrame, keys: list[str], row_digest: str, out: str, pref
         .agg(joined(row_digest).alias("_d"), F.count(F.lit(1)).alias("_n"))
     )
     return leaf.groupBy(*keys).agg(joined("_d").alias(out), F.sum("_n").alias(f"{out}_rows"))
+
+
+def manifest_digest(rows: DataFrame, header: list[str], out: str, left_out: tuple[str, ...] = ()) -> DataFrame:
+    """Digest of each manifest: its header fields and every field of its rows, in whatever order these come.
+
+    A manifest's own digest and remarks are named in ``left_out``. Rows carry their
+    place as a field, so the digest tells one order of the train from another.
+    """
+    fields = [c for c in rows.columns if c not in (*header, *left_out)]
+    tree = group_digest(rows.withColumn("_row", digest_of(rows, fields)), header, "_row", "_tree")
+    head = [canonical(F.col(c), rows.schema[c].dataType) for c in header]
+    return tree.select(*header, F.sha2(F.concat_ws("|", *head, F.col("_tree_rows").cast("string"), "_tree"), 256).alias(out))

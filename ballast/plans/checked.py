@@ -12,6 +12,7 @@ from ballast.operators.conflicts import source_errors
 from ballast.plans.matching import SRC_BAD  # noqa: F401
 from ballast.plans.registry import query
 from ballast.plans.scalars import AT, asof, joined
+from ballast.session import cut
 
 NOW_US = f"epoch_us(timestamp '{AT}')"
 
@@ -379,6 +380,34 @@ def _(t):
     return cases.snapshot_digests(states, found)
 
 
+def tree_sql(name, select, source):
+    """Digest of each case's rows by leading digits of theirs."""
+    return f"""{name} AS (SELECT case_id, sha256(string_agg(d, '' ORDER BY d)) AS t FROM (SELECT case_id, sha256(string_agg(x, '' ORDER BY x)) AS d FROM (SELECT case_id, sha256({select}) AS x FROM {source}) q GROUP BY case_id, substring(x, 1, 5)) r GROUP BY case_id)"""
+
+
+MANIFEST_TEXT = "role || '|' || cast(record_id as varchar) || '|' || coalesce(cast(catalogue_id as varchar), '-') || '|' || coalesce({}, '-') || '|' || coalesce(integrity_checksum, '-')"
+SEAL_TEXT = "sha256(concat_ws('|', cast(s.case_id as varchar), owner_id, subject_type, subject_key, context_digest, state, evidence_records, errors, warnings, satisfied_roles, coalesce({}, ''), coalesce(f.t, ''), coalesce(m.t, '')))"
+
+
+@query("evd_14_verified_seals", needs=CASE_NEEDS, oracle=f"""{FINDINGS_SQL},
+{tree_sql("sealed_tree", MANIFEST_TEXT.format("value_digest"), "case_rows")},
+{tree_sql("now_tree", MANIFEST_TEXT.format("CASE WHEN case_id % 9 = 4 THEN 'changed' ELSE value_digest END"), "case_rows")},
+{tree_sql("finding_tree", "role || '|' || coalesce(cast(record_id as varchar), '-') || '|' || code || '|' || severity", "found")},
+{tree_sql("matrix_tree", "role || '|' || cast(required as varchar) || '|' || status || '|' || cast(records as varchar) || '|' || cast(sources as varchar) || '|' || codes", "matrix")},
+sealed AS (SELECT s.case_id, {SEAL_TEXT.format("n.t")} AS seal, CASE WHEN s.case_id % 13 <> 5 THEN {SEAL_TEXT.format("b.t")} END AS stored_seal FROM states s JOIN judged_cases c ON c.case_id = s.case_id
+ LEFT JOIN sealed_tree b ON b.case_id = s.case_id LEFT JOIN now_tree n ON n.case_id = s.case_id LEFT JOIN finding_tree f ON f.case_id = s.case_id LEFT JOIN matrix_tree m ON m.case_id = s.case_id)
+SELECT case_id, seal, stored_seal, CASE WHEN stored_seal IS NULL THEN 'UNSEALED' WHEN seal <> stored_seal THEN 'ALTERED' ELSE 'SEALED' END AS code FROM sealed""")
+def _(t):
+    ca, ev, found = assessed(t)
+    found = cut(found)
+    matrix = cut(cases.role_matrix(ca, ev, found))
+    states = cut(cases.case_states(ca, ev, found, matrix))
+    stored = cases.case_seals(ca, states, ev, matrix, found).where("case_id % 13 <> 5").withColumnRenamed("seal", "stored_seal")
+    # records changed after their case was sealed
+    ev = ev.withColumn("value_digest", F.when(F.col("case_id") % 9 == 4, "changed").otherwise(F.col("value_digest")))
+    return cases.verified_seals(cases.case_seals(ca, states, ev, matrix, found), stored)
+
+
 @query("evd_09_run_verification", needs=("outcomes",), oracle="""
 SELECT code, n FROM (SELECT 'FINGERPRINT_INVALID' AS code, count(*) FILTER (case_id % 500 = 7) AS n FROM outcomes UNION ALL SELECT 'FINGERPRINT_REPEATED', count(*) FILTER (case_id % 300 = 1 AND case_id > 0) FROM outcomes UNION ALL SELECT 'SOURCE_DIGEST_MISMATCH', count(*) FILTER (case_id % 400 = 9) FROM outcomes
  UNION ALL SELECT 'LABEL_INVALID', count(*) FILTER (case_id % 700 = 3) FROM outcomes UNION ALL SELECT 'CLASSIFIER_INVALID', count(*) FILTER (case_id % 600 = 5) FROM outcomes UNION ALL SELECT 'CASE_COUNT_MISMATCH', abs(count(*) - 1501) FROM outcomes) x WHERE n > 0""")
@@ -392,13 +421,17 @@ def _(t):
     return contracts.run_violations(rows, ["b0", "b1"], "src", 1501)
 
 
-@query("fun_31_manifest_digest", needs=("carriages",), oracle="""
-SELECT consist_id, sha256(string_agg(d, '' ORDER BY d)) AS manifest_digest FROM (SELECT consist_id, sha256(string_agg(x, '' ORDER BY x)) AS d FROM (SELECT consist_id,
- sha256('{"cargo_t":' || cast(cast(cargo_t as decimal(38,6)) as varchar) || ',"identifier":"' || identifier || '","position":' || position || ',"tie":' || tie || '}') AS x FROM carriages) c GROUP BY consist_id, substring(x, 1, 5)) l GROUP BY consist_id""")
+CARRIAGE_TEXT = " || ',' || ".join(
+    f"""'"{f}":' || """ + (f"cast(cast({f} as decimal(38,6)) as varchar)" if k == "d" else f"""'"' || {f} || '"'""" if k == "s" else f"cast({f} as varchar)")
+    for f, k in (("axles", "i"), ("cargo_t", "d"), ("gross_t", "d"), ("height_m", "d"), ("identifier", "s"), ("length_m", "d"), ("position", "i"), ("tare_t", "d"), ("width_m", "d")))
+
+
+@query("fun_31_manifest_digest", needs=("carriages",), oracle=f"""
+SELECT consist_id, sha256(cast(consist_id as varchar) || '|' || cast(sum(n) as varchar) || '|' || sha256(string_agg(d, '' ORDER BY d))) AS manifest_digest
+FROM (SELECT consist_id, sha256(string_agg(x, '' ORDER BY x)) AS d, count(*) AS n FROM (SELECT consist_id, sha256('{{' || {CARRIAGE_TEXT} || '}}') AS x FROM carriages) c GROUP BY consist_id, substring(x, 1, 5)) l GROUP BY consist_id""")
 def _(t):
-    fields = ["position", "identifier", "cargo_t", "tie"]
-    rows = t.carriages.withColumn("_row", digest.digest_of(t.carriages, fields))
-    return digest.group_digest(rows, ["consist_id"], "_row", "manifest_digest").drop("manifest_digest_rows")
+    # ``tie`` only settles equal places and is no field of a carriage
+    return digest.manifest_digest(t.carriages, ["consist_id"], "manifest_digest", left_out=("tie",))
 
 
 @query("fun_37_prediction_outcomes", needs=("predictions",), oracle="""

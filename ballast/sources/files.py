@@ -13,7 +13,7 @@ MAX_FEEDS = 16
 
 
 def recorded_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Name, length and SHA-256 of each file of a recorded snapshot."""
+    """Name, length and SHA-256 of each file of a recorded snapshot. Spark skips empty files, so these count as not there."""
     f = spark.read.format("binaryFile").load(folder)
     return f.select(F.element_at(F.split("path", "/"), -1).alias("local_filename"), F.col("length").alias("actual_length"), F.sha2("content", 256).alias("actual_digest"))
 
@@ -40,6 +40,31 @@ def snapshot_check(manifests: DataFrame, files: DataFrame, keys: list[str]) -> D
     )
 
 
+MANIFEST = "struct<operational_authority:string,feeds:array<struct<source_key:string,local_filename:string,byte_length:bigint,sha256:string>>>"
+
+
+def inspect_recorded(spark: SparkSession, folder: str, manifest: str, pinned_digest: str) -> DataFrame:
+    """The recorded snapshot in ``folder`` against its manifest: one row per feed, as ``snapshot_check`` gives them.
+
+    ``manifest`` is the file of the folder that lists the feeds; ``manifest_valid``
+    tells whether its bytes have the digest that was pinned beforehand. No feed of
+    another manifest counts as valid. A folder without the manifest, or one that
+    lists nothing, gives one row with the code of that.
+    """
+    stored = recorded_files(spark, folder)
+    text = spark.read.format("binaryFile").load(folder).where(F.element_at(F.split("path", "/"), -1) == manifest)
+    found = text.select(F.from_json(F.decode("content", "UTF-8"), MANIFEST).alias("m"), F.sha2("content", 256).eqNullSafe(pinned_digest.lower()).alias("manifest_valid"))
+    head = spark.range(1).join(found, how="left").select(
+        F.lit(0).alias("_one"), F.coalesce("manifest_valid", F.lit(False)).alias("manifest_valid"), F.col("m.operational_authority").alias("operational_authority"),
+        F.coalesce("m.feeds", F.array().cast("array<struct<source_key:string,local_filename:string,byte_length:bigint,sha256:string>>")).alias("feeds"), F.col("m").isNull().alias("_lost"))
+    feeds = snapshot_check(head.select("_one", "operational_authority", "feeds"), stored.withColumn("_one", F.lit(0)), ["_one"])
+    none = F.lit(None).cast("string")
+    out = head.join(feeds, "_one", "left")
+    code = F.when(F.col("_lost"), "MANIFEST_MISSING").when(F.size("feeds") == 0, "FEED_COUNT").otherwise(F.col("codes"))
+    sound = F.col("manifest_valid") & F.coalesce(F.col("checksum_valid"), F.lit(False)) & (F.coalesce("codes", none) == "")
+    return out.select("manifest_valid", "source_key", "local_filename", F.coalesce(sound, F.lit(False)).alias("checksum_valid"), code.alias("codes"))
+
+
 def way_tracks(elements: DataFrame) -> DataFrame:
     """Points of each map way in order; unknown nodes are dropped, ways of fewer than two points too.
 

@@ -1,5 +1,8 @@
 """Loads that are refused as a whole, and the rows that tell why."""
 
+import hashlib
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +91,28 @@ def test_missing_gates(spark):
     frame = spark.sql("select map('minimum_real_rows', true, 'minimum_corridors', false, 'minimum_coverage_days', cast(null as boolean)) as g")
     assert frame.select(st.missing_gates(F.col("g"))).first()[0] == [
         "minimum_corridors", "minimum_coverage_days", "missing:beats_deterministic_by_10_pct", "missing:no_forbidden_feature_leakage", "missing:no_synthetic_test_rows"]
+
+
+def recorded(spark, folder, feeds, authority="NONE", pin=None):
+    text = json.dumps({"operational_authority": authority, "feeds": feeds}).encode()
+    (folder / "manifest.json").write_bytes(text)
+    rows = files.inspect_recorded(spark, str(folder), "manifest.json", pin or hashlib.sha256(text).hexdigest().upper()).collect()
+    return {r.local_filename: (r.manifest_valid, r.checksum_valid, r.codes) for r in rows}
+
+
+def test_recorded_bytes_against_a_pinned_manifest(spark, tmp_path):
+    def feed(name, body=None, **other):
+        if body is not None:
+            (tmp_path / name).write_bytes(body)
+        known = body if body is not None else b"lost"
+        return {"source_key": "k", "local_filename": name, "byte_length": len(known), "sha256": hashlib.sha256(known).hexdigest(), **other}
+
+    sound = [feed("a.bin", b"\x00\xff" * 5000), feed("empty", b"")]
+    assert recorded(spark, tmp_path, sound) == {"a.bin": (True, True, ""), "empty": (True, False, "")}
+    assert recorded(spark, tmp_path, sound, pin="0" * 64)["a.bin"] == (False, False, "")
+    assert recorded(spark, tmp_path, sound, authority="SIGNALLING")["a.bin"] == (True, False, "AUTHORITY_CLAIMED")
+    wrong = [feed("gone"), feed("b.bin", b"b", byte_length=2), feed("c.bin", b"c", sha256="0" * 64), feed("d.bin", b"d", sha256="x"), {**feed("a.bin", b"a"), "local_filename": "../a.bin"}]
+    assert recorded(spark, tmp_path, wrong) == {
+        "gone": (True, False, ""), "b.bin": (True, False, ""), "c.bin": (True, False, ""), "d.bin": (True, False, "DIGEST_FORM"), "../a.bin": (True, False, "UNSAFE_NAME")}
+    assert recorded(spark, tmp_path, []) == {None: (True, False, "FEED_COUNT")}
+    assert {r.codes for r in files.inspect_recorded(spark, str(tmp_path), "other.json", "0" * 64).collect()} == {"MANIFEST_MISSING"}
