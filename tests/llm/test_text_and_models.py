@@ -8,7 +8,7 @@ from brute import covered, grams
 
 from ballast.llm.induced import suffix_array
 from ballast.llm.language import letter_grams
-from ballast.llm.licenses import Index, align, fingerprints
+from ballast.llm.licenses import BAND, Index, align, fingerprints, least, scan_text, winnow
 from ballast.llm.packing import END_ID, Codec, sum_of_squares
 from ballast.llm.repeats import anchors, runs_of, shared_strings, span_key
 from ballast.llm.shards import Cells
@@ -206,8 +206,6 @@ def test_fingerprints_and_alignment():
     assert index.names == ["a", "short"]
     batch = Batch([b"x y the quick brown red fox jumps the lazy dog today z"], letters=True)
     words = batch.hashes()
-    prints, _, at = fingerprints(words, batch.first)
-    assert set(prints.tolist()) & set(index.keys.tolist())
     assert align(index.words[0], words, 2) == (9, 2, 12)  # "over" is missing, "red" is new
     # any K + W - 1 common words share a fingerprint
     rng = random.Random(0)
@@ -219,6 +217,31 @@ def test_fingerprints_and_alignment():
         assert set(prints[text == 0].tolist()) & set(prints[text == 1].tolist())
 
 
+@pytest.mark.parametrize("size, coverage", [(66, 0.8), (100, 0.8), (195, 0.8), (200, 0.8), (300, 0.95), (80, 0.9)])
+def test_no_stretch_of_the_coverage_is_lost_by_winnowing(size, coverage):
+    """Texts with as many words replaced and put in as allowed, evenly and at random, share a fingerprint near their diagonal."""
+    rng = random.Random(size)
+    own = [f"w{rng.randint(0, 60)}" for _ in range(size)]
+    index = Index.of({"t": " ".join(own)}, coverage)
+    assert winnow(size, coverage) in index.grams and sum(winnow(size, coverage)) > 3
+    gone = size - least(size, coverage)
+    for trial in range(40):
+        breaks = gone + BAND
+        at = [round((i + 1) * size / (breaks + 1)) for i in range(breaks)] if trial < 20 else sorted(rng.sample(range(1, size), breaks))
+        put = set(rng.sample(range(breaks), BAND))
+        text, rest = [], iter(range(size))
+        for i in rest:
+            if i in at:
+                text.append("x")
+                if at.index(i) not in put:
+                    continue
+            text.append(own[i])
+        batch = Batch([" ".join(["z"] * trial + text).encode()], letters=True)
+        found = index.candidates(batch.hashes(), batch.first).tolist()
+        assert any(abs(d - trial) <= BAND for _, _, d in found), trial
+        assert scan_text(batch.hashes(), [(t, d) for _, t, d in found], [], index, coverage)[0][1] >= least(size, coverage)
+
+
 def test_smallest_capacity():
     """Stretches bound the capacity that a search over single groups gives, and splitting the open ones finds it."""
     rng = np.random.default_rng(0)
