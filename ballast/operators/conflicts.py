@@ -103,6 +103,9 @@ def coverage_gaps(schedules: DataFrame, windows: DataFrame, policies: DataFrame)
 
 def _partnered(windows: DataFrame, keys: list[str]) -> DataFrame:
     w = windows.select(*keys, F.col("schedule_id").alias("id"), "lo", "hi")
+    # one train alone has no partner: only keys of several go on to the blocks, which hold a row many times
+    several = w.groupBy(*keys).agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a < _b").select(*keys)
+    w = cut(w.join(several, keys, "left_semi"))
     return least_partner(w, w, keys, any_partner=True).where("partner is not null").select(F.col("id").alias("schedule_id")).distinct()
 
 
@@ -113,11 +116,13 @@ def schedule_statuses(schedules: DataFrame, windows: DataFrame, policies: DataFr
     windows is formed here.
     """
     active = schedules.where("status <> 'CANCELLED'").select("schedule_id", network)
-    w = windows.join(active, "schedule_id")
-    # read by both conflict searches
-    sound = cut(_sound(w).select(
-        network, "section_id", "schedule_id", F.upper("direction").alias("direction"), "entry_at", "exit_at"
-    ))
+    # what is asked of a window's source is answered before the join, so that only narrow rows are dealt; all searches read them
+    bad_window = (F.size(source_errors()) > 0) | ~(F.col("exit_at") > F.col("entry_at"))
+    replay = F.upper("source_type").isin(*HISTORICAL_TYPES)
+    narrow = windows.select(
+        "section_id", "schedule_id", F.upper("direction").alias("direction"), "entry_at", "exit_at", bad_window.alias("_bad"), replay.alias("_old"))
+    w = cut(narrow.join(active, "schedule_id"))
+    sound = _sound(w)
     overlapping = _partnered(sound.withColumns({"lo": F.col("entry_at"), "hi": F.col("exit_at")}), [network, "section_id"])
     ruled = sound.join(policies.where("headway_s > 0").select("section_id", "single_track", "headway_s"), "section_id")
     lane = F.when(F.col("single_track"), F.lit("*")).otherwise(F.col("direction"))
@@ -128,11 +133,9 @@ def schedule_statuses(schedules: DataFrame, windows: DataFrame, policies: DataFr
     )
     blocked = overlapping.union(close).distinct().withColumn("conflict", F.lit(True))
 
-    bad_window = (F.size(source_errors()) > 0) | ~(F.col("exit_at") > F.col("entry_at"))
-    replay = F.upper("source_type").isin(*HISTORICAL_TYPES)
     per_net = (
         active.join(w.groupBy("schedule_id").agg(
-            F.count("*").alias("_w"), F.bool_or(bad_window | replay).alias("_bad"), F.bool_or(replay).alias("_old"),
+            F.count("*").alias("_w"), F.bool_or(F.col("_bad") | F.col("_old")).alias("_bad"), F.bool_or("_old").alias("_old"),
         ), "schedule_id", "left")
         .groupBy(network)
         .agg(
