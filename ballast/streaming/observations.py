@@ -147,9 +147,13 @@ class IngestCycle:
         new = unseen_in_batch(checked, self.known(seen["days"], batch), ["observation_key"], self.order)
         new = self.observations.append(new.select(*checked.columns), batch)
         events = self._put(observation_events(new, ["observation_id"]), "events", batch)
+        # counted before retention lets go of files that this batch has just written
+        held = new.agg(F.count("*").alias("stored"), F.count_if(~F.col("valid")).alias("invalid")).first()
         expired = self.observations.purge(seen["now"], self.days) if seen["now"] is not None else 0
-        tally = new.agg(F.count("*").alias("stored"), F.count_if(~F.col("valid")).alias("invalid")).crossJoin(F.broadcast(events.agg(F.count("*").alias("events"))))
-        self._put(tally.select("*", F.lit(seen["failures"]).alias("failures"), F.lit(expired).cast("long").alias("expired")), "counters", batch)
+        number = lambda n, name: F.lit(n).cast("long").alias(name)
+        tally = events.agg(F.count("*").alias("events")).select(
+            number(held["stored"], "stored"), number(held["invalid"], "invalid"), "events", F.lit(seen["failures"]).alias("failures"), number(expired, "expired"))
+        self._put(tally, "counters", batch)
 
     def counters(self) -> DataFrame:
         return self.spark.read.option("basePath", f"{self.path}/counters").parquet(f"{self.path}/counters")

@@ -157,3 +157,12 @@ def test_ingest_cycle(spark, tmp_path):
     assert "day" in plan.split("PartitionFilters: [")[1].split("]")[0]
     cycle(batch(), 3)
     assert held() == [5, 7, 9, 13, 17, 21]
+
+
+def test_a_batch_that_outlives_its_own_oldest_rows_is_counted_whole(spark, tmp_path):
+    cycle = so.IngestCycle(spark, str(tmp_path), ["rain"], ["provider_key", "observation_type", "entity_id"], ["observation_id"], days=5)
+    for _ in range(2):
+        cycle(spark.createDataFrame([observation(i, i) for i in range(1, 8)] + [observation(9, 4, day=6), observation(11, 9, day=20)], OBS), 0)
+    r = cycle.counters().first()
+    assert (r.stored, r.events, r.expired) == (9, 0, 8)
+    assert [x.observation_id for x in cycle.observations.read().collect()] == [11]
