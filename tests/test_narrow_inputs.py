@@ -28,9 +28,9 @@ def test_edges_read_the_decisions_once(spark):
 
 def test_codes_need_no_lambda(spark):
     x = F.col("x")
-    df = spark.createDataFrame([(1,), (-1,), (None,)], "x int").select("x", codes((x > 0, "UP"), (x != 5, "OTHER"), (x < 0, "DOWN")).alias("c"))
+    df = spark.createDataFrame([(1,), (-1,), (None,)], "x int").select("x", codes((x > 0, "UP"), (x != 5, "OTHER, ONE"), (x < 0, "DOWN")).alias("c"))
     assert "lambda" not in plan(df)
-    assert {r.x: r.c for r in df.collect()} == {1: ["UP", "OTHER"], -1: ["OTHER", "DOWN"], None: []}
+    assert {r.x: r.c for r in df.collect()} == {1: ["UP", "OTHER, ONE"], -1: ["OTHER, ONE", "DOWN"], None: []}
 
 
 def test_lone_trains_are_not_placed_in_blocks(spark, monkeypatch):
