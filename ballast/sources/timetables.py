@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ballast.functions.clock import from_unix, schedule_value, service_seconds
-from ballast.functions.common import blank_to_null, once
+from ballast.functions.common import blank_to_null, codes, once
 from ballast.functions.vocab import TIMETABLE_ALIASES
 from ballast.operators.contracts import snake
 from ballast.operators.ordered import Step, number_slot, scan
+from ballast.session import cut
 
 # Members of a static timetable, with the columns each must have.
 REQUIRED_MEMBERS = {
@@ -104,8 +105,9 @@ def static_violations(raw: dict[str, DataFrame]) -> DataFrame:
     order once they are split.
     """
     def faults(df: DataFrame, member: str, key: Column, *tests: tuple[str, str, Column]) -> DataFrame:
-        each = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(f).alias("field"), F.lit(code).alias("code"))) for f, code, hit in tests]))
-        return df.select(F.lit(member).alias("member"), F.coalesce(key, F.lit("")).alias("key"), F.explode(each).alias("x")).select("member", "key", "x.*", F.lit(1).cast("long").alias("n"))
+        each = codes(*[(hit, f"{f}|{code}") for f, code, hit in tests])
+        found = df.select(F.lit(member).alias("member"), F.coalesce(key, F.lit("")).alias("key"), F.explode(each).alias("x"))
+        return found.select("member", "key", *[F.substring_index("x", "|", i).alias(n) for i, n in ((1, "field"), (-1, "code"))], F.lit(1).cast("long").alias("n"))
 
     def whole(df: DataFrame, field: str) -> tuple[str, str, Column]:
         v = df[field] if field in df.columns else F.lit(None).cast("string")
@@ -126,13 +128,17 @@ def static_violations(raw: dict[str, DataFrame]) -> DataFrame:
     for member, field in (("routes", "route_type"), ("trips", "direction_id")):
         parts.append(faults(raw[member], member, F.col(REQUIRED_MEMBERS[member][-1]), whole(raw[member], field)))
     trips, times = raw["trips"], raw["stop_times"]
+    needed = REQUIRED_MEMBERS["stop_times"]
+    # every stop time is parsed once for the searches below
+    a, d = service_seconds(F.col("arrival_time")), service_seconds(F.col("departure_time"))
+    kept = [f for f in times.columns if f in (*needed, "pickup_type", "drop_off_type")]
+    times = cut(times.select(*kept, a.alias("_a"), d.alias("_d")))
     parts.append(faults(trips, "trips", F.col("trip_id"), ("route_id", "MISSING_FIELD", F.col("route_id").isNull())))
     parts.append(absent(trips, "trips", "route_id", "routes"))
     parts += [absent(times, "stop_times", "trip_id", "trips"), absent(times, "stop_times", "stop_id", "stops")]
 
     at = F.concat_ws("|", F.coalesce("trip_id", F.lit("")), F.coalesce("stop_sequence", F.lit("")))
-    a, d = service_seconds(F.col("arrival_time")), service_seconds(F.col("departure_time"))
-    needed = REQUIRED_MEMBERS["stop_times"]
+    a, d = F.col("_a"), F.col("_d")
     parts.append(faults(
         times, "stop_times", at, *[(f, "MISSING_FIELD", F.col(f).isNull()) for f in needed],
         *[whole(times, f) for f in ("stop_sequence", "pickup_type", "drop_off_type")],

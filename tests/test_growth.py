@@ -83,3 +83,17 @@ def test_judged_records_of_cases_leave_digests_behind(spark, monkeypatch):
     monkeypatch.setattr(cases, "cut", lambda df: written.append(df.columns) or session.cut(df))
     checked.assessed(stand_ins.Tables(spark, FOLDER))
     assert not any(c.endswith(("digest", "checksum")) for cols in written for c in cols)
+
+
+def test_stop_times_are_parsed_once(spark, monkeypatch):
+    from ballast.sources import timetables
+
+    calls, seconds = [], timetables.service_seconds
+    monkeypatch.setattr(timetables, "service_seconds", lambda x: calls.append(1) or seconds(x))
+    one = lambda values, cols: spark.createDataFrame(values, ", ".join(f"{c} string" for c in cols.split()))
+    raw = {
+        "stops": one([("s", "S")], "stop_id stop_name"), "routes": one([("r",)], "route_id"), "trips": one([("r", "w", "t")], "route_id service_id trip_id"),
+        "stop_times": one([("t", "s", "1", "7:00", "7:01"), ("t", "s", "2", "6:00", "x"), ("t", "s", "3", "8:00", "7:59")], "trip_id stop_id stop_sequence arrival_time departure_time")}
+    found = timetables.static_violations(raw)
+    assert "regexp_extract" not in plan(found) and "lambda" not in plan(found)
+    assert sorted((r.key, r.field, r.code, r.n) for r in found.collect()) == [("t|2", "departure_time", "BAD_TIME", 1), ("t|3", "departure_time", "BAD_TIME", 1)]
