@@ -207,7 +207,8 @@ REALTIME = (
 
 def realtime_tables(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> dict[str, DataFrame]:
     """Trip updates, vehicle positions, alerts and violations of realtime JSON documents."""
-    d = docs.select(doc_id, F.from_json(text, REALTIME).alias("d"))
+    # nine searches read the documents; each is parsed once
+    d = cut(docs.select(doc_id, F.from_json(text, REALTIME).alias("d")))
     e = d.select(doc_id, F.explode("d.entity").alias("e")).select(doc_id, "e.*")
     eid = blank_to_null(F.col("id"))
 

@@ -85,6 +85,18 @@ def test_judged_records_of_cases_leave_digests_behind(spark, monkeypatch):
     assert not any(c.endswith(("digest", "checksum")) for cols in written for c in cols)
 
 
+def test_realtime_documents_are_parsed_once(spark, monkeypatch):
+    from ballast.sources import timetables
+
+    docs = spark.createDataFrame([
+        (1, '{"header":{"gtfs_realtime_version":"2.0"},"entity":[{"id":"a","vehicle":{"position":{"latitude":95.0,"longitude":1.0}}},{"id":"a","alert":{}}]}'),
+        (2, "no json"), (3, None)], "doc_id int, text string")
+    out = timetables.realtime_tables(docs)
+    assert not any("from_json" in plan(df) for df in out.values())
+    assert sorted(tuple(r) for r in out["violations"].collect()) == [(1, "DUPLICATE_ENTITY_ID"), (1, "POSITION_RANGE"), (2, "NO_VERSION"), (3, "NO_VERSION")]
+    assert out["vehicle_positions"].count() == 1 and out["alerts"].count() == 1 and out["trip_updates"].count() == 0
+
+
 def test_stop_times_are_parsed_once(spark, monkeypatch):
     from ballast.sources import timetables
 
