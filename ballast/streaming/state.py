@@ -54,12 +54,12 @@ def restored(found: DataFrame, schema: T.StructType) -> DataFrame:
 class Newest(StatefulProcessor):
     """Keeps each key's newest row and emits it when it changes.
 
-    With an expiry a key whose newest row lies further behind the watermark
+    A key whose newest row lies further behind the watermark than the expiry
     leaves the state, and its row is emitted once more, marked as gone.
     """
 
-    def __init__(self, expiry_s: int | None = None):
-        self.expiry_ms = None if expiry_s is None else expiry_s * 1000
+    def __init__(self, expiry_s: int):
+        self.expiry_ms = expiry_s * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -74,10 +74,9 @@ class Newest(StatefulProcessor):
             best = top if best is None else max(best, top)
         if best == before:
             return
-        if self.expiry_ms is not None:
-            if before is not None:
-                self.handle.deleteTimer(self.due(before))
-            self.handle.registerTimer(self.due(best))
+        if before is not None:
+            self.handle.deleteTimer(self.due(before))
+        self.handle.registerTimer(self.due(best))
         self.newest.update(best)
         yield self.row(key, best, False)
 
@@ -99,12 +98,15 @@ def newest_states(rows: DataFrame, keys: list[str], time: str, tie: str, expiry_
     """Stream of changes (key, at, tie, payload, gone) of the newest row per key, by time and then tie.
 
     ``delay`` is how late a row may come; with an expiry later ones are left out.
+    Without an expiry the state is that of Spark's own aggregate, kept on the JVM;
+    then a key's newest row comes with every batch that holds rows of the key.
     """
     packed = carried(rows, keys, time, tie)
-    if expiry_s is not None:
-        packed = packed.withWatermark("event_time", delay)
-    return packed.groupBy("key").transformWithStateInPandas(
-        Newest(expiry_s), "key string, at long, tie long, payload string, gone boolean", "Update", "None" if expiry_s is None else "EventTime")
+    if expiry_s is None:
+        newest = packed.groupBy("key").agg(F.max(F.struct("at", "tie", "payload")).alias("newest"))
+        return newest.select("key", "newest.*", F.lit(False).alias("gone"))
+    return packed.withWatermark("event_time", delay).groupBy("key").transformWithStateInPandas(
+        Newest(expiry_s), "key string, at long, tie long, payload string, gone boolean", "Update", "EventTime")
 
 
 class Breaker(StatefulProcessor):
@@ -164,7 +166,11 @@ def stored(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
 
 def newest_stored(spark: SparkSession, checkpoint: str, schema: T.StructType) -> DataFrame:
     """The rows that ``newest_states`` holds, with the key's text."""
-    return restored(stored(spark, checkpoint, "newest"), schema)
+    kind = spark.read.format("state-metadata").load(checkpoint).select("operatorName").first()[0]
+    if kind.startswith("transformWithState"):
+        return restored(stored(spark, checkpoint, "newest"), schema)
+    held = spark.read.format("statestore").load(checkpoint)  # the one value of a key is the greatest (at, tie, payload)
+    return restored(held.select("key.key", F.col("value")[held.schema["value"].dataType.names[0]].alias("_newest")).select("key", "_newest.*"), schema)
 
 
 def runtime_stored(spark: SparkSession, checkpoint: str, threshold: int) -> DataFrame:

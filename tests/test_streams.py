@@ -62,6 +62,13 @@ def test_newest_rows_in_many_batches_with_a_restart_and_a_repeated_batch(spark,
     assert run(spark, folder) == newest(first + second)
 
 
+def test_newest_rows_without_an_expiry_need_no_python(spark, tmp_path):
+    put(spark, messages(1), MESSAGES, f"{tmp_path}/in")
+    rows = so.file_stream(spark, f"{tmp_path}/in")
+    plan = lambda expiry: state.newest_states(rows, ["vessel_id"], "seen_at", "message_id", expiry)._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan(None) and "TransformWithState" in plan(60)
+
+
 def test_silent_vessels_leave_the_state(spark, tmp_path):
     folder = str(tmp_path)
     rows = [(i, f"v{i % 5}", T0 + dt.timedelta(minutes=i), None) for i in range(300)] + [(1000, "old", T0, None), (1001, "back", T0, None)]
