@@ -21,6 +21,18 @@ def test_rows_are_dealt_to_more_tasks_when_there_are_more(spark, monkeypatch):
     assert session.fan_out(spark.range(100), "id").rdd.getNumPartitions() == 20
 
 
+def test_a_task_gets_no_more_shuffled_bytes_than_named(spark):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    try:
+        for named, want in (("64MB", f"{session.TASK_BYTES}b"), ("8m", "8m")):
+            spark.conf.set(key, named)
+            stand_ins.Tables(spark, FOLDER)
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_shuffles_start_from_more_partitions_for_larger_tables(spark, monkeypatch):
     least = spark.conf.get("spark.sql.shuffle.partitions")
     monkeypatch.setattr(session, "PART_BYTES", 1000)
