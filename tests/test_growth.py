@@ -121,3 +121,13 @@ def test_stop_times_are_parsed_once(spark, monkeypatch):
     found = timetables.static_violations(raw)
     assert "regexp_extract" not in plan(found) and "lambda" not in plan(found)
     assert sorted((r.key, r.field, r.code, r.n) for r in found.collect()) == [("t|2", "departure_time", "BAD_TIME", 1), ("t|3", "departure_time", "BAD_TIME", 1)]
+
+
+def test_findings_write_records_once(spark, monkeypatch):
+    from ballast.plans import checked
+
+    written = []
+    monkeypatch.setattr(cases, "cut", lambda df: written.append(df.columns) or session.cut(df))
+    found = checked.assessed(stand_ins.Tables(spark, FOLDER))[2]
+    assert len(written) == 4 and sum("record_id" in cols and "role" in cols for cols in written) == 2
+    assert plan(found).count("Relation ") == 1
