@@ -123,6 +123,23 @@ def test_stop_times_are_parsed_once(spark, monkeypatch):
     assert sorted((r.key, r.field, r.code, r.n) for r in found.collect()) == [("t|2", "departure_time", "BAD_TIME", 1), ("t|3", "departure_time", "BAD_TIME", 1)]
 
 
+def test_only_edges_that_go_on_are_squared(spark, monkeypatch):
+    written, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(cut(df)) or written[-1])
+    # many short lineages, one chain and one ring
+    pairs = [(g, 0, c) for g in range(50) for c in (1, 2)] + [(99, 0, 1), (99, 1, 2), (99, 2, 3), (98, 0, 1), (98, 1, 0), (98, 1, 5)]
+    e = edges_of(spark, pairs)
+    ids = spark.createDataFrame([(g, n) for g in (*range(50), 98, 99) for n in range(6)], "group int, record_id int")
+    direct = spark.createDataFrame([(g, "r", 2) for g in range(50)] + [(99, "r", 3)], "group int, role string, record_id int")
+    got = {tuple(r) for r in graph.ancestors(direct, e, ids).collect()}
+    assert got == {(g, "r", n) for g in range(50) for n in (0, 2)} | {(99, "r", n) for n in range(4)}
+    assert {tuple(r) for r in graph.unpeeled(e).collect()} == {(98, 0), (98, 1), (98, 5)}
+    bad = spark.createDataFrame([(1, 0), (99, 0)], "group int, record_id int")
+    assert {tuple(r) for r in graph.tainted(bad, e, ids).collect()} == {(1, 1), (1, 2), (99, 1), (99, 2), (99, 3)}
+    squared = [df.count() for df in written if set(df.columns) == {"group", "parent", "child"}]
+    assert max(squared) < 10
+
+
 def test_findings_write_records_once(spark, monkeypatch):
     from ballast.plans import checked
 
