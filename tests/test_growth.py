@@ -148,3 +148,26 @@ def test_findings_write_records_once(spark, monkeypatch):
     found = checked.assessed(stand_ins.Tables(spark, FOLDER))[2]
     assert len(written) == 4 and sum("record_id" in cols and "role" in cols for cols in written) == 2
     assert plan(found).count("Relation ") == 1
+
+
+def test_payloads_that_no_rule_reads_are_not_parsed(spark):
+    from ballast.plans import decisions
+
+    t = stand_ins.Tables(spark, FOLDER)
+    text = plan(decisions.rows(t, evidence.CONTEXT_KINDS).select("record_id", "v"))
+    assert "CASE WHEN entity_type" in text.split("from_json")[0].splitlines()[-1]
+    r = spark.createDataFrame([
+        (1, "CLEARANCE_DECISION", 1, '{"status":"APPROVED"}'), (1, "WEATHER", 2, '{"status":"APPROVED"}'), (2, "CLEARANCE_DECISION", 3, "no"), (2, None, 4, None)],
+        "snapshot_id int, role string, record_id int, value string")
+    r = r.selectExpr(
+        "*", "timestamp '2024-01-01' fetched_at", "timestamp '2024-01-01' observed_at", "timestamp '2030-01-01' valid_until", "sha2(value, 256) checksum", "1d completeness",
+        "'AVAILABLE' availability", "'FRESH' freshness_state", "'LIVE_PROVIDER' source_type", "true used", "cast(null as string) excluded_reason")
+    s = spark.createDataFrame([(1, 70), (2, 70), (3, 70)], "snapshot_id int, reliability_score int")
+    seen = []
+    cut, evidence.cut = evidence.cut, lambda df: seen.append(plan(df)) or cut(df)
+    try:
+        out = evidence.baselines(s, r, F.lit("2024-01-20").cast("timestamp"), quorum=2)
+    finally:
+        evidence.cut = cut
+    assert {x.snapshot_id: (x.b2, x.b4) for x in out.collect()} == {1: (True, True), 2: (False, False), 3: (False, False)}
+    assert "CASE WHEN (role" in seen[0].split("from_json")[0].splitlines()[-1]
