@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ballast.functions.common import codes, plus_seconds
 from ballast.functions.vocab import HISTORICAL_TYPES, REAL_TYPES
 from ballast.operators.intervals import least_partner, overlap_join
-from ballast.session import cut
+from ballast.session import cut, sent_if_few
 
 
 def source_errors() -> Column:
@@ -44,8 +44,8 @@ def overlap_conflicts(windows: DataFrame, policies: DataFrame, keys: list[str] |
     """
     keys = keys or ["section_id"]
     rule = policies.select("section_id", "single_track")
-    w = _sound(windows).join(rule, "section_id", "left").select(
-        *keys, "schedule_id", "window_id", F.upper("direction").alias("direction"),
+    w = _sound(windows).join(sent_if_few(rule), "section_id", "left").select(
+        *keys, "schedule_id", F.upper("direction").alias("direction"),
         F.coalesce("single_track", F.lit(False)).alias("single_track"),
         F.col("entry_at").alias("lo"), F.col("exit_at").alias("hi"),
     )
