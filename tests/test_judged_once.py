@@ -5,7 +5,8 @@ import datetime
 import pytest
 
 from ballast import session
-from ballast.operators import evidence
+from ballast.operators import cases, evidence, graph
+from ballast.plans import checked, stand_ins
 from ballast.plans.registry import QUERIES
 
 
@@ -28,3 +29,31 @@ def test_only_requested_decisions_are_judged(spark, folder, monkeypatch):
     gone = ("UNAVAILABLE", "UNAVAILABLE", "NO_STORED_DECISION_EVIDENCE")
     assert got == [(2, whole[22]), (3, whole[33]), (3, whole[33]), (99, gone), (None, gone)]
     assert {r.snapshot_id for r in written[0].collect()} == {22, 33}
+
+
+def test_lines_of_cases_are_written_once(spark, folder, monkeypatch):
+    written = []
+    monkeypatch.setattr(cases, "cut", lambda df: written.append(session.cut(df)) or written[-1])
+    found = checked.assessed(stand_ins.Tables(spark, folder))[2]
+    lines = [df for df in written if {"parent", "child"} <= set(df.columns)]
+    assert len(lines) == 1 and not {"value_digest", "role"} & set(lines[0].columns)
+    cyclic = {r.record_id for r in found.where("code = 'DERIVED_LINEAGE_CYCLE'").collect()}
+    assert cyclic == {174, 175, 188, 574, 575, 588}
+    # what rests on a cycle is not also said to rest on an invalid record
+    assert not cyclic & {r.record_id for r in found.where("code = 'DERIVED_LINEAGE_INVALID'").collect()}
+
+
+def test_failures_pass_along_edges_that_all_lead_to_derived_records(spark):
+    e = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 4), (2, 1, 2)], "group int, parent int, child int")
+    bad = spark.createDataFrame([(1, 1)], "group int, record_id int")
+    assert {tuple(r) for r in graph.tainted(bad, e.where("child < 4")).collect()} == {(1, 2), (1, 3)}
+
+
+def test_seals_share_what_was_judged(spark, folder, monkeypatch):
+    written = []
+    monkeypatch.setattr(checked, "cut", lambda df: written.append(df.columns) or session.cut(df))
+    monkeypatch.setattr(cases, "cut", lambda df: written.append(df.columns) or session.cut(df))
+    out = {r.case_id: r.code for r in QUERIES["evd_14_verified_seals"](spark, folder).collect()}
+    assert sum("severity" in cols for cols in written) == 1 and sum({"_r", "_f"} <= set(cols) for cols in written) == 1
+    code = lambda k: "UNSEALED" if k % 13 == 5 else "ALTERED" if k % 9 == 4 and k % 40 != 38 else "SEALED"
+    assert out == {k: code(k) for k in range(1, 81)}
